@@ -1,4 +1,389 @@
-"""Registered queries of the mirror engine and their SQL."""
+"""Registered queries of the mirror engine over the given tables, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.config import Config, RangeLayout, Schema, Table, TimeLayout, Unit
+from tidemark.functions.expressions import epoch_ms, flatten_claims, in_comma_list, merge_metadata, structs_to_json
+from tidemark.operators import changes, grants, partitions, security, selections
+from tidemark.operators.reads import Query, SecureReader, catalog
+from tidemark.plans.sync import sync
+from tidemark.sources.store import Store, scratch_root
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+DAY = TimeLayout("ts", "DAY")
+KEYS = RangeLayout("o_custkey", 100, 1025, 250)
+UNITS = (Unit("nation", "c_nationkey"), Unit("segment", "c_mktsegment"))
+USER = {"role": "user", "schemas": ["shop", "lab"], "sub": "s3"}
+CLOCK = F.lit("2024-06-01T00:00:00Z")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query (spark, sf_dir) and the SQL that says the same."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def demo_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grants of one subject for each nation: a nation unit, a segment for every third, some admins, some disabled."""
+    n = table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    meta = F.create_map(F.lit("note"), F.col("n_name"))
+    base = n.select(F.lit("shop").alias("schema"), F.concat(F.lit("s"), k).alias("subject"), (k % 11 == 0).alias("is_admin"), (k % 5 != 4).alias("is_enabled"), F.lit("nation").alias("unit_type"), k.cast("string").alias("unit_id"), meta.alias("metadata"))
+    more = n.filter(k % 3 == 0).select(F.lit("shop"), F.concat(F.lit("s"), k), F.lit(False), F.lit(True), F.lit("segment"), F.when(k % 2 == 0, "BUILDING").otherwise("MACHINERY"), meta)
+    return base.union(more)
+
+
+GRANTS_SQL = """g AS (
+  SELECT 'shop' AS schema, 's' || n_nationkey AS subject, n_nationkey % 11 = 0 AS is_admin, n_nationkey % 5 <> 4 AS is_enabled, 'nation' AS unit_type, n_nationkey::VARCHAR AS unit_id, n_name FROM nation
+  UNION ALL
+  SELECT 'shop', 's' || n_nationkey, false, true, 'segment', CASE WHEN n_nationkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END, n_name FROM nation WHERE n_nationkey % 3 = 0)"""
+
+# partitions -------------------------------------------------------------------
+
+FORMAT_SQL = {"HOUR": "%Y%m%d%H", "DAY": "%Y%m%d", "MONTH": "%Y%m", "YEAR": "%Y"}
+
+
+def _time_inventory(granularity: str, name: str, column: str):
+    sql = f"""SELECT strftime({column}, '{FORMAT_SQL[granularity]}') AS partition_id, strftime(date_trunc('{granularity}', min({column})), '%Y-%m-%d %H:%M:%S') AS lower,
+      strftime(date_trunc('{granularity}', min({column})) + INTERVAL 1 {granularity}, '%Y-%m-%d %H:%M:%S') AS upper, count(*) AS "rows" FROM {name} WHERE {column} IS NOT NULL GROUP BY 1"""
+
+    @query(f"time_partition_inventory_{granularity.lower()}", sql)
+    def run(spark, sf_dir):
+        layout = TimeLayout(column, granularity)
+        df = table(spark, sf_dir, name).filter(F.col(column).isNotNull())
+        found = df.groupBy(partitions.partition_id(layout).alias("partition_id")).agg(F.count("*").alias("rows"))
+        return partitions.with_bounds(found, layout).select("partition_id", "lower", "upper", "rows")
+
+
+for _g, _t, _c in (("HOUR", "events", "ts"), ("DAY", "events", "ts"), ("MONTH", "orders", "o_orderdate"), ("YEAR", "lineitem", "l_shipdate")):
+    _time_inventory(_g, _t, _c)
+
+BUCKET_SQL = "CASE WHEN o_custkey IS NULL OR o_custkey < 100 OR o_custkey >= 1025 THEN '__NULL__' ELSE (100 + ((o_custkey - 100) // 250) * 250)::VARCHAR END"
+
+
+@query("range_partition_inventory", f"""SELECT pid AS partition_id, CASE WHEN pid = '__NULL__' THEN 'remainder' ELSE 'range' END AS kind,
+  CASE WHEN pid = '__NULL__' THEN '100' ELSE pid END AS lower, CASE WHEN pid = '__NULL__' THEN '1025' ELSE least(pid::BIGINT + 250, 1025)::VARCHAR END AS upper, "rows"
+  FROM (SELECT {BUCKET_SQL} AS pid, count(*) AS "rows" FROM orders GROUP BY 1)""")
+def range_inventory(spark, sf_dir):
+    found = table(spark, sf_dir, "orders").groupBy(partitions.partition_id(KEYS).alias("partition_id")).agg(F.count("*").alias("rows"))
+    return partitions.in_order(partitions.with_bounds(found, KEYS).select("partition_id", "kind", "lower", "upper", "rows"))
+
+
+@query("last_n_partitions", "SELECT strftime(ts, '%Y%m%d') AS partition_id, count(*) AS \"rows\" FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 7")
+def last_n(spark, sf_dir):
+    found = table(spark, sf_dir, "events").groupBy(partitions.partition_id(DAY).alias("partition_id")).agg(F.count("*").alias("rows"))
+    return partitions.last_partitions(found, 7)
+
+
+@query("partition_violations", "SELECT 'x' || o_orderpriority AS partition_id, 'not an integer' AS reason FROM orders GROUP BY 1 UNION ALL SELECT DISTINCT o_custkey::VARCHAR, CASE WHEN o_custkey < 100 OR o_custkey >= 1025 THEN 'outside the range' ELSE 'not aligned' END FROM orders WHERE o_custkey < 100 OR o_custkey >= 1025 OR (o_custkey - 100) % 250 <> 0")
+def bad_partitions(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    ids = orders.select(F.concat(F.lit("x"), "o_orderpriority").alias("partition_id")).union(orders.select(F.col("o_custkey").cast("string"))).distinct()
+    return partitions.violations(ids.withColumn("modified", F.lit("1")), KEYS).select("partition_id", "reason")
+
+
+# selections -------------------------------------------------------------------
+
+
+@query("extract_time_range", "SELECT * FROM events WHERE ts >= '2024-01-10' AND ts < '2024-01-12'")
+def extract_time(spark, sf_dir):
+    return selections.select_rows(table(spark, sf_dir, "events"), selections.Between("ts", "2024-01-10 00:00:00", "2024-01-12 00:00:00"))
+
+
+@query("extract_int_range", "SELECT * FROM orders WHERE o_custkey >= 350 AND o_custkey < 600")
+def extract_int(spark, sf_dir):
+    return selections.select_rows(table(spark, sf_dir, "orders"), selections.Between("o_custkey", 350, 600))
+
+
+@query("extract_remainder", "SELECT * FROM (SELECT * REPLACE (nullif(o_custkey % 1200, 0) AS o_custkey) FROM orders) WHERE o_custkey IS NULL OR o_custkey < 100 OR o_custkey >= 1025")
+def extract_rest(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").withColumn("o_custkey", F.expr("nullif(o_custkey % 1200, 0)"))
+    return selections.select_rows(df, selections.Remainder("o_custkey", 100, 1025))
+
+
+@query("retain_unaffected", "SELECT * FROM (SELECT *, nullif(o_custkey % 7, 0) AS k FROM orders) WHERE NOT coalesce(k >= 2 AND k < 4 OR o_orderdate >= '1997-01-01' AND o_orderdate < '1998-01-01', false)")
+def retain(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").withColumn("k", F.expr("nullif(o_custkey % 7, 0)"))
+    return selections.retain(df, [selections.Between("k", 2, 4), selections.Between("o_orderdate", "1997-01-01", "1998-01-01")])
+
+
+# change detection ---------------------------------------------------------------
+
+
+@query("partition_fingerprint", "SELECT strftime(ts, '%Y%m%d') AS partition_id, sum(('0x' || substr(md5(event_id || '|' || user_id || '|' || event_type), 1, 8))::BIGINT)::BIGINT AS print, count(*) AS \"rows\" FROM events GROUP BY 1")
+def fingerprints(spark, sf_dir):
+    """The engine's own fingerprint sums xxhash64, which DuckDB lacks; here the same form over MD5."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", "event_id", "user_id", "event_type")), 1, 8), 16, 10).cast("long")
+    return table(spark, sf_dir, "events").groupBy(partitions.partition_id(DAY).alias("partition_id")).agg(F.sum(h).alias("print"), F.count("*").alias("rows"))
+
+
+def _manifests(spark, sf_dir):
+    found = table(spark, sf_dir, "events").groupBy(partitions.partition_id(DAY).alias("partition_id")).agg(F.count("*").alias("rows"))
+    base = partitions.with_bounds(found, DAY).withColumns({"schema": F.lit("lab"), "table": F.lit("events"), "signature": F.sha2(F.concat_ws(":", "partition_id", F.col("rows").cast("string")), 256)})
+    day = F.substring("partition_id", 7, 2).cast("int")
+    current = base.filter(day != 3)
+    stored = base.filter(day != 20).withColumn("signature", F.when(day.isin(5, 6, 7, 12), F.lit("old")).otherwise(F.col("signature")))
+    return current, stored
+
+
+@query("partition_diff", """WITH d AS (SELECT DISTINCT strftime(ts, '%Y%m%d') AS p, day(ts) AS d FROM events)
+SELECT 'lab' AS schema, 'events' AS "table", p AS partition_id, CASE WHEN d = 3 THEN 'removed' WHEN d = 20 THEN 'new' WHEN d IN (5, 6, 7, 12) THEN 'changed' ELSE 'unchanged' END AS status FROM d""")
+def diff(spark, sf_dir):
+    return changes.partition_diff(*_manifests(spark, sf_dir))
+
+
+@query("table_plan", """SELECT 'lab' AS schema, 'events' AS "table", count(DISTINCT CASE WHEN day(ts) = 20 THEN day(ts) END) AS new, count(DISTINCT CASE WHEN day(ts) IN (5, 6, 7, 12) THEN day(ts) END) AS changed,
+ count(DISTINCT CASE WHEN day(ts) = 3 THEN day(ts) END) AS removed, count(DISTINCT CASE WHEN day(ts) NOT IN (3, 5, 6, 7, 12, 20) THEN day(ts) END) AS unchanged FROM events""")
+def plans(spark, sf_dir):
+    return changes.table_plans(changes.partition_diff(*_manifests(spark, sf_dir)))
+
+
+@query("changed_tables", """SELECT 'tpch' AS schema, r_name AS "table", md5(r_name) AS signature FROM region WHERE r_regionkey % 2 = 0 OR r_regionkey = 3""")
+def changed(spark, sf_dir):
+    now = table(spark, sf_dir, "region").select(F.lit("tpch").alias("schema"), F.col("r_name").alias("table"), F.md5("r_name").alias("signature"), "r_regionkey")
+    stored = now.filter("r_regionkey <> 3").withColumn("signature", F.when(F.col("r_regionkey") % 2 == 0, "old").otherwise(F.col("signature")))
+    return changes.changed_tables(now.drop("r_regionkey"), stored)
+
+
+@query("changed_intervals", """WITH d AS (SELECT DISTINCT date_trunc('day', ts) AS d FROM events WHERE day(ts) IN (5, 6, 7, 12, 20)),
+ s AS (SELECT d, CASE WHEN lag(d) OVER (ORDER BY d) + INTERVAL 1 DAY = d THEN 0 ELSE 1 END AS s FROM d), i AS (SELECT d, sum(s) OVER (ORDER BY d) AS i FROM s)
+ SELECT 'lab' AS schema, 'events' AS "table", strftime(min(d), '%Y-%m-%d %H:%M:%S') AS lower, strftime(max(d) + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS upper, count(*) AS n FROM i GROUP BY i""")
+def intervals(spark, sf_dir):
+    current, stored = _manifests(spark, sf_dir)
+    todo = changes.partition_diff(current, stored).filter("status IN ('new', 'changed')")
+    return changes.merged_intervals(current.join(todo.select(*changes.KEY), changes.KEY, "left_semi"))
+
+
+# refresh: the real store ---------------------------------------------------------
+
+ORDERS = Config({"shop": Schema((Table("orders", "orders", TimeLayout("o_orderdate", "MONTH")),))})
+
+
+def _edited(df: DataFrame) -> DataFrame:
+    """Two months changed, one gone."""
+    month = F.date_format("o_orderdate", "yyyyMM")
+    return df.filter(month != "199603").withColumn("o_orderstatus", F.when(month.isin("199701", "199702"), "X").otherwise(F.col("o_orderstatus")))
+
+
+def _served(spark, first: DataFrame, then: DataFrame | None, config: Config = ORDERS, name: str = "orders") -> DataFrame:
+    root = scratch_root(spark)
+    for df in (first, then):
+        if df is not None:
+            failed = sync(spark, config, root, {name: df}).filter("status = 'failed'").collect()
+            if failed:
+                raise RuntimeError(failed[0].error)
+    return Store(spark, root).read("shop", name)
+
+
+@query("incremental_refresh", "SELECT * REPLACE (CASE WHEN strftime(o_orderdate, '%Y%m') IN ('199701', '199702') THEN 'X' ELSE o_orderstatus END AS o_orderstatus) FROM orders WHERE strftime(o_orderdate, '%Y%m') <> '199603'")
+def incremental(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return _served(spark, orders.filter("o_orderdate < '2001-01-01'"), _edited(orders))
+
+
+@query("deletion_only_refresh", "SELECT * FROM orders WHERE o_orderdate >= '1996-01-01'")
+def deletion(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return _served(spark, orders, orders.filter("o_orderdate >= '1996-01-01'"))
+
+
+@query("full_rebuild", "SELECT *, o_custkey % 5 AS extra FROM orders")
+def rebuild(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return _served(spark, orders, orders.withColumn("extra", F.col("o_custkey") % 5))
+
+
+@query("full_replace", "SELECT p_partkey, p_name, p_size FROM part WHERE p_size <= 40")
+def replace(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    return _served(spark, part, part.filter("p_size <= 40"), Config({"shop": Schema((Table("part", "part", order=("p_partkey",)),))}), "part")
+
+
+@query("range_refresh", "SELECT * REPLACE (CASE WHEN o_custkey < 100 THEN 'X' ELSE o_orderstatus END AS o_orderstatus) FROM orders")
+def range_refresh(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    edited = orders.withColumn("o_orderstatus", F.when(F.col("o_custkey") < 100, "X").otherwise(F.col("o_orderstatus")))
+    return _served(spark, orders, edited, Config({"shop": Schema((Table("orders", "orders", KEYS),))}))
+
+
+@query("struct_to_json", """SELECT o_orderkey, '{"key":' || o_custkey || ',"status":"' || o_orderstatus || '","none":null}' AS s, '[{"p":"' || o_orderpriority || '"}]' AS a FROM orders""")
+def to_json(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return structs_to_json(orders.select("o_orderkey", F.struct(F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("status"), F.lit(None).cast("string").alias("none")).alias("s"), F.array(F.struct(F.col("o_orderpriority").alias("p"))).alias("a")))
+
+
+# security --------------------------------------------------------------------------
+
+
+def _secure_sql(subject: str) -> str:
+    return f"""WITH {GRANTS_SQL} SELECT c.* FROM customer c WHERE EXISTS (SELECT 1 FROM g WHERE schema = 'shop' AND subject = '{subject}' AND is_enabled
+      AND (is_admin OR unit_type = 'nation' AND unit_id = c.c_nationkey::VARCHAR OR unit_type = 'segment' AND unit_id = c.c_mktsegment))"""
+
+
+for _name, _subject in (("secure_read_units", "s3"), ("secure_read_admin", "s11"), ("secure_read_disabled", "s9"), ("secure_read_disabled_only", "s4")):
+
+    @query(_name, _secure_sql(_subject))
+    def secured(spark, sf_dir, subject=_subject):
+        return security.secure(table(spark, sf_dir, "customer"), "shop", UNITS, "sub", demo_grants(spark, sf_dir), USER | {"sub": subject})
+
+
+@query("schema_scope", "SELECT *, 'lab' AS via FROM supplier")
+def scope(spark, sf_dir):
+    supplier, g = table(spark, sf_dir, "supplier"), demo_grants(spark, sf_dir)
+    seen = security.secure(supplier, "lab", None, None, g, USER).withColumn("via", F.lit("lab"))
+    return seen.union(security.secure(supplier, "labs", None, None, g, USER).withColumn("via", F.lit("labs")))
+
+
+@query("access_audit", f"""WITH {GRANTS_SQL} SELECT p.subject, p.is_admin, CASE WHEN p.is_admin THEN (SELECT count(*) FROM customer) ELSE count(DISTINCT c.c_custkey) END AS visible_rows
+ FROM (SELECT subject, bool_or(is_admin) AS is_admin FROM g WHERE is_enabled GROUP BY subject) p JOIN g ON g.subject = p.subject AND g.is_enabled
+ LEFT JOIN customer c ON unit_type = 'nation' AND unit_id = c.c_nationkey::VARCHAR OR unit_type = 'segment' AND unit_id = c.c_mktsegment GROUP BY p.subject, p.is_admin""")
+def audit(spark, sf_dir):
+    return security.audit(table(spark, sf_dir, "customer"), "shop", UNITS, demo_grants(spark, sf_dir))
+
+
+@query("claims_flatten", """SELECT n_nationkey, 's' || n_nationkey AS sub, 'shop,r' || n_regionkey AS schemas, n_nationkey::VARCHAR AS n, NULL::VARCHAR AS missing FROM nation""")
+def claims(spark, sf_dir):
+    raw = F.concat(F.lit('{"sub":"s'), "n_nationkey", F.lit('","schemas":["shop","r'), "n_regionkey", F.lit('"],"n":'), "n_nationkey", F.lit(',"missing":null}'))
+    df = table(spark, sf_dir, "nation").select("n_nationkey", flatten_claims(raw).alias("c"))
+    return df.select("n_nationkey", *[F.col("c")[k].alias(k) for k in ("sub", "schemas", "n", "missing")])
+
+
+@query("comma_membership", "SELECT p_partkey, list_contains(string_split(p_name || ',' || p_brand, ','), 'Brand#2') AS member FROM part")
+def membership(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", in_comma_list(F.lit("Brand#2"), F.concat_ws(",", "p_name", "p_brand")).alias("member"))
+
+
+@query("epoch_millis", "SELECT event_id, (epoch_us(ts) // 1000)::VARCHAR AS ms FROM events")
+def millis(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", epoch_ms(F.col("ts").cast("timestamp")).alias("ms"))
+
+
+@query("metadata_merge", "SELECT n_nationkey, n_name AS note, 'server' AS created_at, 2::BIGINT AS n FROM nation")
+def metadata(spark, sf_dir):
+    given = F.create_map(F.lit("note"), F.col("n_name"), F.lit("created_at"), F.lit("client"))
+    merged = merge_metadata(given, F.create_map(F.lit("created_at"), F.lit("server")))
+    return table(spark, sf_dir, "nation").select("n_nationkey", merged["note"].alias("note"), merged["created_at"].alias("created_at"), F.size(merged).cast("long").alias("n"))
+
+
+# grants -------------------------------------------------------------------------------
+
+
+def _new_grants(spark, sf_dir):
+    k = F.col("n_nationkey")
+    n = table(spark, sf_dir, "nation").filter(k % 2 == 0)
+    return n.select(F.lit("shop").alias("schema"), F.concat(F.lit("s"), k).alias("subject"), F.lit("nation").alias("unit_type"), F.when(k % 4 == 0, k).otherwise(k + 100).cast("string").alias("unit_id"), F.lit(False).alias("is_enabled"))
+
+
+@query("grants_upsert", f"""WITH {GRANTS_SQL}, n AS (SELECT 's' || n_nationkey AS subject, CASE WHEN n_nationkey % 4 = 0 THEN n_nationkey ELSE n_nationkey + 100 END::VARCHAR AS unit_id FROM nation WHERE n_nationkey % 2 = 0)
+ SELECT 'shop' AS schema, coalesce(g.subject, n.subject) AS subject, coalesce(g.is_admin, false) AS is_admin, CASE WHEN n.subject IS NOT NULL THEN false ELSE g.is_enabled END AS is_enabled, coalesce(g.unit_type, 'nation') AS unit_type,
+ coalesce(g.unit_id, n.unit_id) AS unit_id, g.n_name AS note, CASE WHEN n.subject IS NOT NULL THEN '2024-06-01T00:00:00Z' END AS updated_at
+ FROM g FULL OUTER JOIN n ON g.subject = n.subject AND g.unit_id = n.unit_id AND g.unit_type = 'nation'""")
+def upsert(spark, sf_dir):
+    out = grants.upsert(demo_grants(spark, sf_dir), _new_grants(spark, sf_dir), CLOCK, "shop")
+    return out.select("schema", "subject", "is_admin", "is_enabled", "unit_type", "unit_id", F.col("metadata")["note"].alias("note"), F.col("metadata")["updated_at"].alias("updated_at"))
+
+
+@query("grants_disable", f"WITH {GRANTS_SQL} SELECT subject, unit_type, unit_id, is_enabled AND unit_type <> 'segment' AS is_enabled FROM g")
+def disable(spark, sf_dir):
+    return grants.set_enabled(demo_grants(spark, sf_dir), F.col("unit_type") == "segment", False, CLOCK, "shop").select("subject", "unit_type", "unit_id", "is_enabled")
+
+
+@query("grants_read_scope", f"WITH {GRANTS_SQL} SELECT subject, unit_type, unit_id FROM g WHERE schema = 'shop'")
+def own_grants(spark, sf_dir):
+    g = demo_grants(spark, sf_dir)
+    return security.readable_grants(g.union(g.withColumn("schema", F.lit("other"))), USER).select("subject", "unit_type", "unit_id")
+
+
+@query("grants_restore_diff", f"""WITH {GRANTS_SQL} SELECT 'shop' AS schema, subject, unit_type, unit_id, CASE WHEN unit_type = 'segment' THEN 'only_live' WHEN n_name LIKE 'A%' THEN 'only_restored' ELSE 'differs' END AS status
+ FROM g WHERE unit_type = 'segment' OR n_name LIKE 'A%' OR subject IN ('s20', 's21')""")
+def restore(spark, sf_dir):
+    g = demo_grants(spark, sf_dir)
+    name = F.col("metadata")["note"]
+    live = g.filter((F.col("unit_type") == "segment") | ~name.like("A%"))
+    restored = g.filter("unit_type <> 'segment'").withColumn("is_enabled", F.when(F.col("subject").isin("s20", "s21"), ~F.col("is_enabled")).otherwise(F.col("is_enabled")))
+    return grants.restore_diff(live, restored)
+
+
+# reads -----------------------------------------------------------------------------------
+
+READS = {
+    "read_filters": ("orders", Query(where=[("o_totalprice", "gte", "100000"), ("o_orderdate", "lt", "1998-01-01"), ("o_orderstatus", "neq", "F")], select=("o_orderkey", "o_totalprice"), order=(("o_orderkey", "asc"),), cap=10**9),
+                     "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 100000 AND o_orderdate < '1998-01-01' AND o_orderstatus <> 'F'"),
+    "read_like": ("part", Query(where=[("p_name", "like", "*ring*")], cap=10**9), "SELECT * FROM part WHERE p_name LIKE '%ring%'"),
+    "read_in": ("part", Query(where=[("p_size", "in", ["1", "7", "28"]), ("p_partkey", "gt", 3), ("p_retailprice", "lte", 1500)], cap=10**9), "SELECT * FROM part WHERE p_size IN (1, 7, 28) AND p_partkey > 3 AND p_retailprice <= 1500"),
+    "read_or_not": ("orders", Query(where=[{"or": [("o_orderstatus", "eq", "P"), {"not": ("o_orderkey", "gt", 50)}]}], cap=10**9), "SELECT * FROM orders WHERE o_orderstatus = 'P' OR NOT o_orderkey > 50"),
+    "read_page": ("orders", Query(where=[("o_custkey", "lt", 700)], order=(("o_custkey", "desc"), ("o_orderkey", "asc")), limit=50, offset=20), "SELECT * FROM orders WHERE o_custkey < 700 ORDER BY o_custkey DESC NULLS FIRST, o_orderkey ASC NULLS LAST LIMIT 50 OFFSET 20"),
+    "read_cap": ("orders", Query(order=(("o_orderkey", "asc"),), limit=5000), "SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000"),
+}
+
+
+def _register_read(name: str, source: str, spec: Query, sql: str) -> None:
+    @query(name, sql)
+    def run(spark, sf_dir):
+        return spec.page(table(spark, sf_dir, source))
+
+
+for _name, (_source, _spec, _sql) in READS.items():
+    _register_read(_name, _source, _spec, _sql)
+
+
+@query("read_is", "SELECT o_orderkey, nullif(o_custkey % 7, 0) AS k, o_orderkey % 2 = 0 AS even FROM orders WHERE nullif(o_custkey % 7, 0) IS NULL AND (o_orderkey % 2 = 0) IS TRUE ORDER BY o_orderkey LIMIT 1000")
+def read_is(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("nullif(o_custkey % 7, 0)").alias("k"), (F.col("o_orderkey") % 2 == 0).alias("even"))
+    return Query(where=[("k", "is", None), ("even", "is", True)], order=(("o_orderkey", "asc"),)).page(df)
+
+
+@query("read_nulls_order", "SELECT o_orderkey, nullif(o_custkey % 7, 0) AS k FROM orders ORDER BY k DESC NULLS FIRST, o_orderkey LIMIT 1000")
+def read_nulls(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("nullif(o_custkey % 7, 0)").alias("k"))
+    return Query(order=(("k", "desc"), ("o_orderkey", "asc"))).page(df)
+
+
+@query("read_count_exact", "SELECT count(*) AS total FROM orders WHERE o_orderstatus = 'O'")
+def count_exact(spark, sf_dir):
+    return Query(where=[("o_orderstatus", "eq", "O")], limit=10).exact_count(table(spark, sf_dir, "orders"))
+
+
+def _reader(spark, sf_dir, claims: dict) -> SecureReader:
+    root = scratch_root(spark)
+    config = Config({"shop": Schema((Table("customer", "customer", rls=UNITS, order=("c_custkey",)), Table("events", "events", DAY, last=7), Table("orders", "orders", KEYS)), claim="sub")})
+    failed = sync(spark, config, root, {n: table(spark, sf_dir, n) for n in ("customer", "events", "orders")}).filter("status = 'failed'").collect()
+    if failed:
+        raise RuntimeError(failed[0].error)
+    return SecureReader(Store(spark, root), demo_grants(spark, sf_dir), claims)
+
+
+@query("mirror_secure_page", _secure_sql("s3").replace("SELECT c.*", "SELECT c.c_custkey, c.c_name") + " AND c.c_acctbal > 0 ORDER BY c_custkey LIMIT 1000")
+def mirror_page(spark, sf_dir):
+    spec = Query(where=[("c_acctbal", "gt", 0)], select=("c_custkey", "c_name"), order=(("c_custkey", "asc"),))
+    return _reader(spark, sf_dir, USER).read("shop", "customer", spec)
+
+
+@query("mirror_last_days", "SELECT * FROM events WHERE strftime(ts, '%Y%m%d') IN (SELECT DISTINCT strftime(ts, '%Y%m%d') AS d FROM events ORDER BY d DESC LIMIT 7)")
+def mirror_days(spark, sf_dir):
+    return _reader(spark, sf_dir, USER).table("shop", "events")
+
+
+@query("catalog")
+def tables(spark, sf_dir):
+    return catalog(spark, _reader(spark, sf_dir, USER).store, USER)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mirror the last seven days of events, then one secured, ordered page of them."""
+    spec = Query(where=[("ts", "gte", "2024-01-24 00:00:00")], order=(("ts", "asc"), ("event_id", "asc")), limit=100)
+    return _reader(spark, sf_dir, USER).read("shop", "events", spec)
