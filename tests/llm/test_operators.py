@@ -181,7 +181,7 @@ def brute_classes(rows, k, percent):
 def test_jaccard_classes_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "DIRECT", 4)
     monkeypatch.setattr(ngram_join, "PIVOTS", 2)
-    monkeypatch.setattr(ngram_join, "ROUNDS", 3)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 2)
     rng = np.random.default_rng(5)
     base = [f"v{i}" for i in rng.integers(0, 10_000, 120)]
     rows = [tuple(r) for r in documents(spark).select("doc_id", "text").collect()]
@@ -191,7 +191,7 @@ def test_jaccard_classes_against_brute_force(spark, monkeypatch):
             words[at] = f"edit{i}_{at}"
         rows.append((10_000 + i, " ".join(words)))
     rows += [(20_000, "a b"), (20_001, "A  B"), (20_002, "a"), (20_003, ""), (20_004, None), (20_005, " \n")]
-    for k, percent in ((4, 85), (5, 80), (2, 50)):
+    for k, percent in ((4, 85), (2, 50)):
         got = sorted(tuple(r)[:3] for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent, k=k).collect())
         assert got == brute_classes(rows, k, percent)
 
@@ -417,8 +417,9 @@ def test_pipeline_stages(spark):
     seen = docs
     for _, stage in pipeline.STAGES[:3]:
         after = stage(spark, seen, SF)
-        assert after.columns == docs.columns and after.exceptAll(seen).count() == 0
-        seen = spark.createDataFrame(after.collect(), docs.schema)
+        rows = after.collect()
+        assert after.columns == docs.columns and not Counter(rows) - Counter(seen.collect())
+        seen = spark.createDataFrame(rows, docs.schema)
     rows = seen.select("doc_id", "text").collect()
     assert [c for _, _, c in brute_classes([(r.doc_id, r.text) for r in rows if r.doc_id is not None], 5, 80)] == sorted(r.doc_id for r in rows if r.doc_id is not None)
     mixed = pipeline.mixed(spark, seen, SF)

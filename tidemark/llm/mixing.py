@@ -118,7 +118,8 @@ def apply(docs: DataFrame, **options) -> DataFrame:
     share = F.expr("__sum div __rows")
     joined = joined.withColumn("__taken", share).withColumn("__full", F.expr("if(__size > 0, __taken div __size, 0)")).withColumn("__part", F.expr("if(__size > 0, __taken % __size, 0)"))
     parts = F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("__full").cast("int")), F.when(F.col("__part") > 0, F.array("__part")).otherwise(F.array().cast("array<bigint>")))
-    out = joined.withColumn("__cut", F.explode(parts))
+    out = joined.withColumn("__parts", parts).filter(F.size("__parts") > 0).withColumn("__copies", F.size("__parts"))
+    out = out.withColumn("__at", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).withColumn("__cut", F.get("__parts", F.col("__at")))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     cut = F.when(F.col("__cut") == 0, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("__cut"), F.lit(1)).cast("int")), " "))
     out = out.withColumn("text", cut).withColumn("n_chars", F.when(F.col("__cut") == 0, F.col("n_chars")).otherwise(F.char_length("text")))
