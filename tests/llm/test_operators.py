@@ -413,7 +413,8 @@ def test_mixtures(spark):
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipeline
 
-    docs = documents(spark).union(odd(spark).select(*documents(spark).columns))
+    strange = odd(spark).withColumn("doc_id", F.col("doc_id") + 100_000)
+    docs = documents(spark).union(strange.select(*documents(spark).columns))
     seen = docs
     for _, stage in pipeline.STAGES[:3]:
         after = stage(spark, seen, SF)
