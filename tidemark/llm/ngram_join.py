@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,11 +15,13 @@ from tidemark.llm._bytes import chunks, mix, shingles, short, words
 from tidemark.llm._graph import components
 from tidemark.llm._shared import keep
 
-SKETCH = 1 << 20
-SKETCH_BLOCK = 1 << 14
+SKETCH = 1 << 22
+SKETCH_BLOCK = 1 << 17
+PARITY = 1024
+MARKS = 1 << 24
 DIRECT = 64
-PIVOTS = 8
-ROUNDS = 8
+PIVOTS = 16
+ROUNDS = 2
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -38,53 +41,104 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 def frequency_classes(docs: DataFrame, k: int) -> np.ndarray:
     """Class of each slot of a fixed-size count of all shingles: 0 for those near the mean, then by powers of two.
 
-    Only the order in which a set lists its shingles depends on it, so collisions cost time and never a link.
+    Only the order in which a set lists its shingles depends on it, so collisions, and the
+    255 at which a task stops counting a slot, cost time and never a link.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, dtype=np.int64)
+        total = np.zeros(SKETCH, dtype=np.uint32)
         for batch in batches:
             held: list[np.ndarray] = []
-            for s in shingle_sets(batch.column(0), k):
-                held.append(s)
-                if len(held) == 1024:
-                    total += np.bincount((np.concatenate(held) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-                    held = []
-            if held:
-                total += np.bincount((np.concatenate(held) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        at = range(0, SKETCH, SKETCH_BLOCK)
-        yield pa.RecordBatch.from_arrays([pa.array([i // SKETCH_BLOCK for i in at], pa.int32()), pa.array([total[i : i + SKETCH_BLOCK].tobytes() for i in at], pa.binary())], ["block", "n"])
+            size = 0
+            for s in [*shingle_sets(batch.column(0), k), None]:
+                if s is not None:
+                    held.append((s & np.uint64(SKETCH - 1)).astype(np.int64))
+                    size += len(s)
+                if held and (s is None or size > 1 << 20):
+                    slot, n = np.unique(np.concatenate(held), return_counts=True)
+                    total[slot] += n.astype(np.uint32)
+                    held, size = [], 0
+        clipped = np.minimum(total, 255).astype(np.uint8)
+        at = [i for i in range(0, SKETCH, SKETCH_BLOCK) if clipped[i : i + SKETCH_BLOCK].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i // SKETCH_BLOCK for i in at], pa.int32()), pa.array([clipped[i : i + SKETCH_BLOCK].tobytes() for i in at], pa.binary())], ["block", "n"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), dtype=np.int64) for x in table.column("n"))
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "n": pa.array([np.asarray(total).tobytes()], pa.binary())})
+        total = np.zeros(SKETCH_BLOCK, dtype=np.int64)
+        for n in table.column("n"):
+            total += np.frombuffer(n.as_py(), dtype=np.uint8 if len(n.as_py()) == SKETCH_BLOCK else np.uint32)
+        sums = np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "n": pa.array([sums], pa.binary())})
 
-    blocks = docs.select("text").mapInArrow(count, "block int, n binary").groupBy("block").applyInArrow(add, "block int, n binary").collect()  # SKETCH numbers
+    counted = docs.select("text").mapInArrow(count, "block int, n binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
+    for keys in (("block", "part"), ("block",)):  # in two steps, so that no task gets the counts of all tasks
+        summed = counted.groupBy(*keys).applyInArrow(add, "block int, n binary")
+        counted = summed.withColumn("part", F.lit(0))
+    blocks = summed.collect()  # SKETCH numbers
     counts = np.zeros(SKETCH)
     for block, n in blocks:
-        counts[block * SKETCH_BLOCK : (block + 1) * SKETCH_BLOCK] = np.frombuffer(n, dtype=np.int64)
+        counts[block * SKETCH_BLOCK : (block + 1) * SKETCH_BLOCK] = np.frombuffer(n, dtype=np.uint32)
     limit = 2 * counts.mean() + 8
     return np.where(counts > limit, np.floor(np.log2(np.maximum(counts, 1) / limit)) + 1, 0).astype(np.uint8)
 
 
+def identity(s: np.ndarray) -> int | None:
+    """64-bit name of a set, none for the empty one."""
+    return int(mix(mix(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s))).view(np.int64)[0]) if len(s) else None
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """Bit b: whether an odd number of shingles hash to b. Sets that differ in m shingles differ in m bits at most."""
+    bits = np.bincount((s >> np.uint64(40)).astype(np.int64) & (PARITY - 1), minlength=PARITY) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def sets(docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """doc_id, n, node (the set's identity), prefix and the set's hashes of every row of ``docs`` (doc_id, text)."""
+    """doc_id, n, node (the set's identity), prefix and parity bits of every row of ``docs`` (doc_id, text)."""
     classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, k))  # SKETCH bytes
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = classes.value
         for batch in batches:
-            n, node, prefix, low = [], [], [], []
+            n, node, prefix, bits = [], [], [], []
             for s in shingle_sets(batch.column(1), k):
                 kind = order[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
                 first = s[np.argsort(kind, kind="stable")] if len(s) and kind.any() else s
                 n.append(len(s))
-                node.append(int(mix(mix(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s))).view(np.int64)[0]) if len(s) else None)
+                node.append(identity(s))
                 prefix.append(first[: len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0].view(np.int64))
-                low.append(np.sort((s >> np.uint64(32)).astype(np.uint32)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(low, pa.binary())], ["doc_id", "n", "node", "prefix", "low"])
+                bits.append(parity(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n", "node", "prefix", "bits"])
+
+    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long, prefix array<long>, bits array<long>")
+
+
+def whole_sets(docs: DataFrame, k: int, need: DataFrame) -> DataFrame:
+    """node and all hashes of the sets named in ``need`` (node), spread by node and held on the executors' disks.
+
+    The texts are read again; a bitmap of fixed size (``MARKS`` bits) of the names lets few
+    others pass, which the join then drops. A lost part is made again from the texts.
+    """
+    spark = docs.sparkSession
+    words = need.select(F.shiftright(F.pmod(F.col("node"), F.lit(MARKS)), 6).alias("at"), F.expr("shiftleft(1L, cast(pmod(node, 64) as int))").alias("bit"))
+    mask = np.zeros(MARKS // 64, dtype=np.uint64)
+    for at, bits in words.groupBy("at").agg(F.bit_or("bit")).toLocalIterator():  # MARKS / 64 rows at most
+        mask[at] = np.uint64(bits & 0xFFFFFFFFFFFFFFFF)
+    marks = spark.sparkContext.broadcast(mask)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long, prefix array<long>, low binary")
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = marks.value
+        for batch in batches:
+            node, low = [], []
+            for s in shingle_sets(batch.column(0), k):
+                name = identity(s)
+                if name is not None and int(named[(name % MARKS) >> 6]) >> (name % 64) & 1:
+                    node.append(name)
+                    low.append(np.sort((s >> np.uint64(32)).astype(np.uint32)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(low, pa.binary())], ["node", "low"])
+
+    found = docs.select("text").mapInArrow(scan, "node long, low binary")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(parts, "node").dropDuplicates(["node"]).persist(StorageLevel.DISK_ONLY)
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -95,19 +149,23 @@ def common(a: bytes, b: bytes) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def verify(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """(a, b, shared, total): exact sizes of the intersection and union of each pair of sets."""
-    one = reps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("low").alias("xa"))
-    two = reps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("low").alias("xb"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "xa", "xb")
+    both = pairs.select("a", "b").join(held.select(F.col("node").alias("a"), F.col("low").alias("xa")), "a").join(held.select(F.col("node").alias("b"), F.col("low").alias("xb")), "b")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared = np.array([common(p.as_py(), q.as_py()) for p, q in zip(batch.column(4), batch.column(5), strict=True)], dtype=np.int64)
-            total = batch.column(2).to_numpy() + batch.column(3).to_numpy() - shared
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared), pa.array(total)], ["a", "b", "shared", "total"])
+            shared = np.array([common(p.as_py(), q.as_py()) for p, q in zip(batch.column(2), batch.column(3), strict=True)], dtype=np.int64)
+            sizes = np.array([len(p.as_py()) + len(q.as_py()) for p, q in zip(batch.column(2), batch.column(3), strict=True)], dtype=np.int64) // 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared), pa.array(sizes - shared)], ["a", "b", "shared", "total"])
+
+    return both.select("a", "b", "xa", "xb").mapInArrow(measure, "a long, b long, shared long, total long")
 
-    return both.mapInArrow(measure, "a long, b long, shared long, total long")
+
+def may_link(na: Column, nb: Column, xa: Column, xb: Column, percent: int) -> Column:
+    """What sizes and parity bits leave: a link's sets differ in (100 - p) / (100 + p) of their sizes at most."""
+    apart = F.aggregate(F.zip_with(xa, xb, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (apart * (100 + percent) <= (na + nb) * (100 - percent))
 
 
 def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,65 +185,69 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id",
        replicate the whole table. A set's home is the region of its first shingle in one
        common order, rare ones first, and its window of width e reaches the regions of its
        first n - ceil(percent n / 100) + 1 shingles: two sets within e share one of them.
-    2. In each region a document becomes pivot and its distance to each member is computed.
-       Members within e are linked. Members of one class need no more comparison.
-    3. Regions that still hold several classes are joined again: up to ``PIVOTS`` more
-       documents outside their largest class become pivots, compared with the members that
-       the windows of size (the distance to the empty set's side) and of the distance to the
-       first pivot (triangle inequality: |d(x, p) - d(y, p)| <= e) leave, until one class or
-       at most ``DIRECT`` members are left. What then remains is compared pair by pair,
-       between classes only. A pivot is done with once it met its region, so nothing is lost.
-
-    Each round is partial aggregates and joins on keys; sets are fetched for pairs alone.
+    2. Regions of at most ``DIRECT`` members are joined pair by pair. Pairs must pass the
+       window of size and that of parity bits, a map of the sets to 1024 bits that never
+       makes distances larger, before whole sets are fetched and compared exactly.
+    3. Larger regions are joined again by pivots: up to ``PIVOTS`` documents outside the
+       largest class of a region meet the members of other classes that the windows of size,
+       of bits and of the distance to the region's first pivot (triangle inequality:
+       |d(x, p) - d(y, p)| <= e) leave. Classes grow by the links found, pivots that met
+       their region leave it, and a region of one class is done; what remains after
+       ``ROUNDS`` rounds is joined pair by pair between classes, under the same windows. So no
+       link is lost, and a group of thousands of near copies costs a few pivots' pairs.
+
+    Each step is partial aggregates and joins on keys; sets are fetched for pairs alone.
     """
-    spark_docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    table = keep(sets(spark_docs, percent, k).withColumn("row", F.monotonically_increasing_id()), "sets")
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    table = keep(sets(docs, percent, k).withColumn("row", F.monotonically_increasing_id()), "sets")
     full = table.filter("node IS NOT NULL")
     first = full.groupBy("node").agg(F.min("row").alias("row"))
     reps = full.join(first.select("row"), "row")
     everywhere = Window.partitionBy("shingle")
     pivot = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).over(everywhere)
     regions = reps.select("node", "n", F.explode("prefix").alias("shingle")).withColumn("members", F.count("*").over(everywhere)).withColumn("pivot", pivot)
-    regions = keep(regions.filter("members > 1").select("shingle", "node", "n", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pn")), "regions")
+    regions = keep(regions.filter("members > 1").select("shingle", "node", "n", "members", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pn")), "regions")
+    bits = keep(reps.select("node", "n", "bits"), "bits")
     fits = lambda p, q: F.least(p, q) * 100 >= F.greatest(p, q) * percent
-    members = regions.filter("node <> pivot")
-    pairs = members.filter(fits(F.col("n"), F.col("pn"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    used = regions.select("node").distinct()
-    held = keep(reps.select("node", "n", "low").join(used, "node"), "members")
-    near = keep(verify(pairs, held), "distances")
+    one, two = (regions.filter(F.col("members") <= DIRECT).select("shingle", F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
+    pairs = one.join(two, "shingle").filter((F.col("a") < F.col("b")) & fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    left, right = (bits.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}")) for c in "ab")
+    both = pairs.join(left, "a").join(right, (pairs["b"] == right["b"]) & may_link(F.col("na"), F.col("nb"), F.col("xa"), F.col("xb"), percent))
+    near = keep(both.select("a", pairs["b"]), "near")
+    members = keep(regions.filter(F.col("members") > DIRECT).drop("members").join(bits.drop("n"), "node"), "large")
+    need = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
+    held = whole_sets(docs, k, need)
     linked = F.col("shared") * 100 >= F.col("total") * percent
-    edges = near.filter(linked).select("a", "b")
+    stars = members.filter((F.col("node") != F.col("pivot")) & fits(F.col("n"), F.col("pn"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    met = keep(verify(stars, held), "stars")
+    edges = verify(near, held).filter(linked).select("a", "b").unionByName(met.filter(linked).select("a", "b"))
     parts = keep(components(edges), "classes")
-    away = near.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("total")).alias("d"))
-    left = keep(members.join(away, ["node", "pivot"], "left").select("shingle", "node", "n", "pivot", "d"), "left")
+    away = met.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("total")).alias("d"))
+    left = members.filter("node <> pivot").join(away, ["node", "pivot"], "left").select("shingle", "node", "n", "pivot", "d", "bits")
     reach = 1 - percent / 100 + 1e-9
-    open_pairs = None
     for turn in range(ROUNDS + 1):
         now = left.join(parts, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
         counts = now.groupBy("shingle", "class").agg(F.count("*").alias("n_class"))
-        state = counts.groupBy("shingle").agg(F.count("*").alias("classes"), F.sum("n_class").alias("members"), F.max(F.struct("n_class", "class")).alias("top"))
-        state = state.filter("classes > 1").select("shingle", "members", F.col("top.class").alias("top"))
-        now = keep(now.join(state, "shingle"), "open")
-        small = now if turn == ROUNDS else now.filter(F.col("members") <= DIRECT)
-        large = now.filter(F.col("members") > DIRECT)
-        one, two = (small.select("shingle", *[F.col(c).alias(c + s) for c in ("node", "n", "class", "pivot", "d")]) for s in "12")
-        window = fits(F.col("n1"), F.col("n2")) & ~F.coalesce((F.col("pivot1") == F.col("pivot2")) & (F.abs(F.col("d1") - F.col("d2")) > reach), F.lit(False))
-        direct = one.join(two, "shingle").filter((F.col("node1") < F.col("node2")) & (F.col("class1") != F.col("class2")) & window)
-        direct = direct.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
-        open_pairs = direct if open_pairs is None else open_pairs.unionByName(direct)
-        if turn == ROUNDS or not large.take(1):
+        state = counts.groupBy("shingle").agg(F.count("*").alias("classes"), F.max(F.struct("n_class", "class")).alias("top"))
+        now = keep(now.join(state.filter("classes > 1").select("shingle", F.col("top.class").alias("top")), "shingle"), "open")
+        if not now.take(1):
             break
-        slot = F.pmod(F.xxhash64("class", F.lit(turn)), F.lit(PIVOTS))
-        picks = large.filter("class <> top").groupBy("shingle", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.struct("node", "n", "class", "d").alias("own"))).alias("p"))
-        picks = keep(picks.select("shingle", *[F.col(f"p.own.{c}").alias(f"{c}2") for c in ("node", "n", "class", "d")]), "picks")
-        window = fits(F.col("n"), F.col("n2")) & ~F.coalesce(F.abs(F.col("d") - F.col("d2")) > reach, F.lit(False))
-        met = large.join(picks, "shingle").filter((F.col("node") != F.col("node2")) & (F.col("class") != F.col("class2")) & window)
-        met = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        fresh = verify(met, held).filter(linked).select("a", "b")
+        if turn < ROUNDS:
+            slot = F.pmod(F.xxhash64("class", F.lit(turn)), F.lit(PIVOTS))
+            picks = now.filter("class <> top").groupBy("shingle", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.struct("node", "n", "class", "pivot", "d", "bits").alias("own"))).alias("p"))
+            other = keep(picks.select("shingle", *[F.col(f"p.own.{c}").alias(f"{c}2") for c in ("node", "n", "class", "pivot", "d", "bits")]), "picks")
+        else:
+            other = now.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "class", "pivot", "d", "bits")])
+        apart = F.coalesce((F.col("pivot") == F.col("pivot2")) & (F.abs(F.col("d") - F.col("d2")) > reach), F.lit(False))
+        window = (F.col("node") != F.col("node2")) & (F.col("class") != F.col("class2")) & ~apart & may_link(F.col("n"), F.col("n2"), F.col("bits"), F.col("bits2"), percent)
+        found = now.alias("l").join(other.alias("r"), (F.col("l.shingle") == F.col("r.shingle")) & window)
+        found = found.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+        fresh = verify(found, held).filter(linked).select("a", "b")
         parts = keep(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh)), "classes")
-        left = large.join(picks.select("shingle", F.col("node2").alias("node")), ["shingle", "node"], "left_anti").select("shingle", "node", "n", "pivot", "d")
-    last = verify(open_pairs.distinct(), held).filter(linked).select("a", "b")
-    parts = keep(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(last)), "classes")
+        if turn == ROUNDS:
+            break
+        left = now.join(other.select("shingle", F.col("node2").alias("node")), ["shingle", "node"], "left_anti").select("shingle", "node", "n", "pivot", "d", "bits")
+    held.unpersist()
     out = table.select("doc_id", "n", "node", "row").join(parts, "node", "left")
     # an empty set is a class of its own, named by its row
     out = out.withColumn("class", F.when(F.col("node").isNull(), F.struct(F.lit(True).alias("alone"), F.col("row").alias("name"))).otherwise(F.struct(F.lit(False).alias("alone"), F.coalesce("component", "node").alias("name"))))
@@ -193,5 +255,3 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id",
     names = out.groupBy("class").agg(F.min("doc_id").alias("component_id"), F.min(order).alias("first"))
     out = out.join(names, "class")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("row") == F.col("first.row")).alias("kept"))
-
-
