@@ -1,5 +1,8 @@
 """Every mirror query against its SQL in DuckDB on the smallest tables, and the driver contract."""
 
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -34,3 +37,8 @@ def test_query_matches_sql(spark, duck, name):
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries()) and entry.entry(spark).count() > 0
     assert catalogue.tables(spark, SF).count() > 0
+
+
+def test_import_needs_no_session():
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=entry.HERE, check=True, timeout=120)

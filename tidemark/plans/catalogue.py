@@ -18,7 +18,7 @@ DAY = TimeLayout("ts", "DAY")
 KEYS = RangeLayout("o_custkey", 100, 1025, 250)
 UNITS = (Unit("nation", "c_nationkey"), Unit("segment", "c_mktsegment"))
 USER = {"role": "user", "schemas": ["shop", "lab"], "sub": "s3"}
-CLOCK = F.lit("2024-06-01T00:00:00Z")
+CLOCK = "2024-06-01T00:00:00Z"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -293,13 +293,13 @@ def _new_grants(spark, sf_dir):
  coalesce(g.unit_id, n.unit_id) AS unit_id, g.n_name AS note, CASE WHEN n.subject IS NOT NULL THEN '2024-06-01T00:00:00Z' END AS updated_at
  FROM g FULL OUTER JOIN n ON g.subject = n.subject AND g.unit_id = n.unit_id AND g.unit_type = 'nation'""")
 def upsert(spark, sf_dir):
-    out = grants.upsert(demo_grants(spark, sf_dir), _new_grants(spark, sf_dir), CLOCK, "shop")
+    out = grants.upsert(demo_grants(spark, sf_dir), _new_grants(spark, sf_dir), F.lit(CLOCK), "shop")
     return out.select("schema", "subject", "is_admin", "is_enabled", "unit_type", "unit_id", F.col("metadata")["note"].alias("note"), F.col("metadata")["updated_at"].alias("updated_at"))
 
 
 @query("grants_disable", f"WITH {GRANTS_SQL} SELECT subject, unit_type, unit_id, is_enabled AND unit_type <> 'segment' AS is_enabled FROM g")
 def disable(spark, sf_dir):
-    return grants.set_enabled(demo_grants(spark, sf_dir), F.col("unit_type") == "segment", False, CLOCK, "shop").select("subject", "unit_type", "unit_id", "is_enabled")
+    return grants.set_enabled(demo_grants(spark, sf_dir), F.col("unit_type") == "segment", False, F.lit(CLOCK), "shop").select("subject", "unit_type", "unit_id", "is_enabled")
 
 
 @query("grants_read_scope", f"WITH {GRANTS_SQL} SELECT subject, unit_type, unit_id FROM g WHERE schema = 'shop'")
