@@ -55,7 +55,7 @@ class Query:
     order: Sequence[tuple[str, str]] = ()
     limit: int | None = None
     offset: int = 0
-    cap: int = field(default=ROW_CAP)
+    cap: int | None = field(default=ROW_CAP)  # None: no cap
 
     def filtered(self, df: DataFrame) -> DataFrame:
         return df.filter(condition(df, list(self.where))) if self.where else df
@@ -67,7 +67,9 @@ class Query:
             out = out.orderBy(*[F.col(c).desc_nulls_first() if way == "desc" else F.col(c).asc_nulls_last() for c, way in self.order])
         if self.offset:
             out = out.offset(self.offset)
-        out = out.limit(min(self.cap if self.limit is None else self.limit, self.cap))
+        bounds = [n for n in (self.limit, self.cap) if n is not None]
+        if bounds:
+            out = out.limit(min(bounds))
         return out.select(*self.select) if self.select else out
 
     def exact_count(self, df: DataFrame) -> DataFrame:
@@ -76,12 +78,13 @@ class Query:
 
     def estimated_count(self, df: DataFrame, known_rows: int, sample: float = 0.01, seed: int = 7) -> tuple[int, bool]:
         """(rows, exact): counted up to the cap, above it the manifest's rows scaled by a sample."""
-        few = self.filtered(df).limit(self.cap + 1).count()
-        if few <= self.cap:
+        cap = ROW_CAP if self.cap is None else self.cap
+        few = self.filtered(df).limit(cap + 1).count()
+        if few <= cap:
             return few, True
         part = df.sample(sample, seed)
         seen, hit = part.agg(F.count("*"), F.count_if(condition(df, list(self.where)))).first()
-        return max(self.cap + 1, round(known_rows * hit / max(1, seen))), False
+        return max(cap + 1, round(known_rows * hit / max(1, seen))), False
 
 
 class SecureReader:

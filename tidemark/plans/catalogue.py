@@ -321,11 +321,11 @@ def restore(spark, sf_dir):
 # reads -----------------------------------------------------------------------------------
 
 READS = {
-    "read_filters": ("orders", Query(where=[("o_totalprice", "gte", "100000"), ("o_orderdate", "lt", "1998-01-01"), ("o_orderstatus", "neq", "F")], select=("o_orderkey", "o_totalprice"), order=(("o_orderkey", "asc"),), cap=10**9),
+    "read_filters": ("orders", Query(where=[("o_totalprice", "gte", "100000"), ("o_orderdate", "lt", "1998-01-01"), ("o_orderstatus", "neq", "F")], select=("o_orderkey", "o_totalprice"), order=(("o_orderkey", "asc"),), cap=None),
                      "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 100000 AND o_orderdate < '1998-01-01' AND o_orderstatus <> 'F'"),
-    "read_like": ("part", Query(where=[("p_name", "like", "*ring*")], cap=10**9), "SELECT * FROM part WHERE p_name LIKE '%ring%'"),
-    "read_in": ("part", Query(where=[("p_size", "in", ["1", "7", "28"]), ("p_partkey", "gt", 3), ("p_retailprice", "lte", 1500)], cap=10**9), "SELECT * FROM part WHERE p_size IN (1, 7, 28) AND p_partkey > 3 AND p_retailprice <= 1500"),
-    "read_or_not": ("orders", Query(where=[{"or": [("o_orderstatus", "eq", "P"), {"not": ("o_orderkey", "gt", 50)}]}], cap=10**9), "SELECT * FROM orders WHERE o_orderstatus = 'P' OR NOT o_orderkey > 50"),
+    "read_like": ("part", Query(where=[("p_name", "like", "*ring*")], cap=None), "SELECT * FROM part WHERE p_name LIKE '%ring%'"),
+    "read_in": ("part", Query(where=[("p_size", "in", ["1", "7", "28"]), ("p_partkey", "gt", 3), ("p_retailprice", "lte", 1500)], cap=None), "SELECT * FROM part WHERE p_size IN (1, 7, 28) AND p_partkey > 3 AND p_retailprice <= 1500"),
+    "read_or_not": ("orders", Query(where=[{"or": [("o_orderstatus", "eq", "P"), {"not": ("o_orderkey", "gt", 50)}]}], cap=None), "SELECT * FROM orders WHERE o_orderstatus = 'P' OR NOT o_orderkey > 50"),
     "read_page": ("orders", Query(where=[("o_custkey", "lt", 700)], order=(("o_custkey", "desc"), ("o_orderkey", "asc")), limit=50, offset=20), "SELECT * FROM orders WHERE o_custkey < 700 ORDER BY o_custkey DESC NULLS FIRST, o_orderkey ASC NULLS LAST LIMIT 50 OFFSET 20"),
     "read_cap": ("orders", Query(order=(("o_orderkey", "asc"),), limit=5000), "SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000"),
 }
