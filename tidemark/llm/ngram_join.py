@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +16,7 @@ from pyspark.sql.window import Window
 
 from tidemark.llm._bytes import chunks, mix, shingles, short, words
 from tidemark.llm._graph import components
-from tidemark.llm._shared import keep
+from tidemark.llm._shared import discard, keep
 
 SKETCH = 1 << 22
 SKETCH_BLOCK = 1 << 17
@@ -164,8 +167,39 @@ def verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
 def may_link(na: Column, nb: Column, xa: Column, xb: Column, percent: int) -> Column:
     """What sizes and parity bits leave: a link's sets differ in (100 - p) / (100 + p) of their sizes at most."""
-    apart = F.aggregate(F.zip_with(xa, xb, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (apart * (100 + percent) <= (na + nb) * (100 - percent))
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (apart(xa, xb) * (100 + percent) <= (na + nb) * (100 - percent))
+
+
+def apart(xa: Column, xb: Column) -> Column:
+    """Parity bits that differ; spelled out word by word, which Spark compiles, as it does not for a lambda."""
+    return reduce(operator.add, (F.bit_count(xa.getItem(i).bitwiseXOR(xb.getItem(i))) for i in range(PARITY // 64)))
+
+
+def first_common(na: Column, nb: Column, ia: Column, ib: Column, percent: int) -> Column:
+    """Whether a link may have its first common shingle at these places of the two sets in the common order.
+
+    All that the sets share lies behind it, so the shorter rest bounds the intersection. A link
+    passes at its first common shingle; at others the same pair need not be found again.
+    """
+    return F.least(na - ia, nb - ib) * (100 + percent) >= (na + nb) * percent
+
+
+def band(n: Column, percent: int) -> Column:
+    """Sizes that a link allows lie in the same or in neighbouring bands."""
+    return F.floor(F.log(n.cast("double")) / math.log(100.01 / percent))
+
+
+def between(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are not in one class yet."""
+    one, two = (parts.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+    apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
+    return pairs.join(one, "a", "left").join(two, "b", "left").filter(apart).select("a", "b")
+
+
+def grow(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes (node, component) after the links (a, b)."""
+    edges = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links.select("a", "b"))
+    return keep(components(edges), "classes")
 
 
 def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,14 +220,16 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id",
        common order, rare ones first, and its window of width e reaches the regions of its
        first n - ceil(percent n / 100) + 1 shingles: two sets within e share one of them.
     2. Regions of at most ``DIRECT`` members are joined pair by pair. Pairs must pass the
-       window of size and that of parity bits, a map of the sets to 1024 bits that never
-       makes distances larger, before whole sets are fetched and compared exactly.
+       windows of size and of place (where the region's shingle stands in both sets) and that
+       of parity bits, a map of the sets to 1024 bits that never makes distances larger,
+       before whole sets are fetched and compared exactly, nearest candidates first: pairs
+       that these bring into one class are not compared.
     3. Larger regions are joined again by pivots: up to ``PIVOTS`` documents outside the
        largest class of a region meet the members of other classes that the windows of size,
        of bits and of the distance to the region's first pivot (triangle inequality:
        |d(x, p) - d(y, p)| <= e) leave. Classes grow by the links found, pivots that met
        their region leave it, and a region of one class is done; what remains after
-       ``ROUNDS`` rounds is joined pair by pair between classes, under the same windows. So no
+       ``ROUNDS`` rounds is joined pair by pair between classes, under all windows. So no
        link is lost, and a group of thousands of near copies costs a few pivots' pairs.
 
     Each step is partial aggregates and joins on keys; sets are fetched for pairs alone.
@@ -202,28 +238,34 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id",
     table = keep(sets(docs, percent, k).withColumn("row", F.monotonically_increasing_id()), "sets")
     full = table.filter("node IS NOT NULL")
     first = full.groupBy("node").agg(F.min("row").alias("row"))
-    reps = full.join(first.select("row"), "row")
+    reps = keep(full.join(first.select("row"), "row").select("node", "n", "prefix", "bits"), "reps")
     everywhere = Window.partitionBy("shingle")
     pivot = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).over(everywhere)
-    regions = reps.select("node", "n", F.explode("prefix").alias("shingle")).withColumn("members", F.count("*").over(everywhere)).withColumn("pivot", pivot)
-    regions = keep(regions.filter("members > 1").select("shingle", "node", "n", "members", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pn")), "regions")
-    bits = keep(reps.select("node", "n", "bits"), "bits")
+    regions = reps.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "shingle")).withColumn("members", F.count("*").over(everywhere)).withColumn("pivot", pivot)
+    regions = keep(regions.filter("members > 1").select("shingle", "node", "n", "i", "members", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pn")), "regions")
     fits = lambda p, q: F.least(p, q) * 100 >= F.greatest(p, q) * percent
-    one, two = (regions.filter(F.col("members") <= DIRECT).select("shingle", F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
-    pairs = one.join(two, "shingle").filter((F.col("a") < F.col("b")) & fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    left, right = (bits.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}")) for c in "ab")
+    one, two = (regions.filter(F.col("members") <= DIRECT).select("shingle", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("i").alias(f"i{c}")) for c in "ab")
+    window = (F.col("a") < F.col("b")) & fits(F.col("na"), F.col("nb")) & first_common(F.col("na"), F.col("nb"), F.col("ia"), F.col("ib"), percent)
+    pairs = one.join(two, "shingle").filter(window).select("a", "b").distinct()
+    left, right = (reps.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, (pairs["b"] == right["b"]) & may_link(F.col("na"), F.col("nb"), F.col("xa"), F.col("xb"), percent))
-    near = keep(both.select("a", pairs["b"]), "near")
-    members = keep(regions.filter(F.col("members") > DIRECT).drop("members").join(bits.drop("n"), "node"), "large")
+    near = keep(both.select("a", pairs["b"], apart(F.col("xa"), F.col("xb")).alias("apart")), "near")
+    members = keep(regions.filter(F.col("members") > DIRECT).drop("members").join(reps.select("node", "bits"), "node"), "large")
+    discard(regions)
+    discard(reps)
     need = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
     held = whole_sets(docs, k, need)
     linked = F.col("shared") * 100 >= F.col("total") * percent
     stars = members.filter((F.col("node") != F.col("pivot")) & fits(F.col("n"), F.col("pn"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     met = keep(verify(stars, held), "stars")
-    edges = verify(near, held).filter(linked).select("a", "b").unionByName(met.filter(linked).select("a", "b"))
+    # the nearest candidate of each set first: what comes into one class so needs no second look
+    nearest = near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("p")).select("p.a", "b")
+    edges = verify(nearest, held).filter(linked).select("a", "b").unionByName(met.filter(linked).select("a", "b"))
     parts = keep(components(edges), "classes")
+    parts = grow(parts, verify(between(near.select("a", "b"), parts), held).filter(linked))
     away = met.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("total")).alias("d"))
-    left = members.filter("node <> pivot").join(away, ["node", "pivot"], "left").select("shingle", "node", "n", "pivot", "d", "bits")
+    columns = ("node", "n", "i", "pivot", "d", "bits")
+    left = members.filter("node <> pivot").join(away, ["node", "pivot"], "left").select("shingle", *columns)
     reach = 1 - percent / 100 + 1e-9
     for turn in range(ROUNDS + 1):
         now = left.join(parts, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
@@ -234,19 +276,23 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id",
             break
         if turn < ROUNDS:
             slot = F.pmod(F.xxhash64("class", F.lit(turn)), F.lit(PIVOTS))
-            picks = now.filter("class <> top").groupBy("shingle", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.struct("node", "n", "class", "pivot", "d", "bits").alias("own"))).alias("p"))
-            other = keep(picks.select("shingle", *[F.col(f"p.own.{c}").alias(f"{c}2") for c in ("node", "n", "class", "pivot", "d", "bits")]), "picks")
+            own = F.struct(*columns, "class").alias("own")
+            picks = now.filter("class <> top").groupBy("shingle", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("node").alias("h"), own)).alias("p"))
+            other = keep(picks.select("shingle", *[F.col(f"p.own.{c}").alias(f"{c}2") for c in (*columns, "class")]), "picks")
         else:
-            other = now.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "class", "pivot", "d", "bits")])
-        apart = F.coalesce((F.col("pivot") == F.col("pivot2")) & (F.abs(F.col("d") - F.col("d2")) > reach), F.lit(False))
-        window = (F.col("node") != F.col("node2")) & (F.col("class") != F.col("class2")) & ~apart & may_link(F.col("n"), F.col("n2"), F.col("bits"), F.col("bits2"), percent)
-        found = now.alias("l").join(other.alias("r"), (F.col("l.shingle") == F.col("r.shingle")) & window)
-        found = found.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        fresh = verify(found, held).filter(linked).select("a", "b")
-        parts = keep(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh)), "classes")
+            other = now.select("shingle", *[F.col(c).alias(f"{c}2") for c in (*columns, "class")])
+        far = F.coalesce((F.col("pivot") == F.col("pivot2")) & (F.abs(F.col("d") - F.col("d2")) > reach), F.lit(False))
+        window = F.col("class") != F.col("class2")
         if turn == ROUNDS:
-            break
-        left = now.join(other.select("shingle", F.col("node2").alias("node")), ["shingle", "node"], "left_anti").select("shingle", "node", "n", "pivot", "d", "bits")
+            window &= (F.col("node") < F.col("node2")) & first_common(F.col("n"), F.col("n2"), F.col("i"), F.col("i2"), percent)
+        window &= ~far & may_link(F.col("n"), F.col("n2"), F.col("bits"), F.col("bits2"), percent)
+        one = now.withColumn("band", band(F.col("n"), percent))
+        two = other.withColumn("band", F.explode(F.array(*[band(F.col("n2"), percent) + x for x in (-1, 0, 1)])))
+        found = one.join(two, ["shingle", "band"]).filter(window)
+        found = found.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+        parts = grow(parts, verify(found, held).filter(linked))
+        if turn < ROUNDS:
+            left = now.join(other.select("shingle", F.col("node2").alias("node")), ["shingle", "node"], "left_anti").select("shingle", *columns)
     held.unpersist()
     out = table.select("doc_id", "n", "node", "row").join(parts, "node", "left")
     # an empty set is a class of its own, named by its row
