@@ -70,13 +70,12 @@ def frequency_classes(docs: DataFrame, k: int) -> np.ndarray:
         for n in table.column("n"):
             total += np.frombuffer(n.as_py(), dtype=np.uint8 if len(n.as_py()) == SKETCH_BLOCK else np.uint32)
         sums = np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "n": pa.array([sums], pa.binary())})
+        return pa.table({"block": table.column("block")[:1], "part": table.column("part")[:1], "n": pa.array([sums], pa.binary())})
 
-    counted = docs.select("text").mapInArrow(count, "block int, n binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
-    for keys in (("block", "part"), ("block",)):  # in two steps, so that no task gets the counts of all tasks
-        summed = counted.groupBy(*keys).applyInArrow(add, "block int, n binary")
-        counted = summed.withColumn("part", F.lit(0))
-    blocks = summed.collect()  # SKETCH numbers
+    summed = docs.select("text").mapInArrow(count, "block int, n binary").withColumn("part", F.spark_partition_id())
+    for _ in range(2):  # in steps, so that no group holds the counts of all tasks: 64 at most, in the last step a 4096th of them
+        summed = summed.withColumn("part", F.shiftright("part", 6)).groupBy("block", "part").applyInArrow(add, "block int, part int, n binary")
+    blocks = summed.groupBy("block").applyInArrow(add, "block int, part int, n binary").select("block", "n").collect()  # SKETCH numbers
     counts = np.zeros(SKETCH)
     for block, n in blocks:
         counts[block * SKETCH_BLOCK : (block + 1) * SKETCH_BLOCK] = np.frombuffer(n, dtype=np.uint32)
@@ -282,9 +281,9 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id",
         else:
             other = now.select("shingle", *[F.col(c).alias(f"{c}2") for c in (*columns, "class")])
         far = F.coalesce((F.col("pivot") == F.col("pivot2")) & (F.abs(F.col("d") - F.col("d2")) > reach), F.lit(False))
-        window = F.col("class") != F.col("class2")
+        window = (F.col("class") != F.col("class2")) & first_common(F.col("n"), F.col("n2"), F.col("i"), F.col("i2"), percent)
         if turn == ROUNDS:
-            window &= (F.col("node") < F.col("node2")) & first_common(F.col("n"), F.col("n2"), F.col("i"), F.col("i2"), percent)
+            window &= F.col("node") < F.col("node2")
         window &= ~far & may_link(F.col("n"), F.col("n2"), F.col("bits"), F.col("bits2"), percent)
         one = now.withColumn("band", band(F.col("n"), percent))
         two = other.withColumn("band", F.explode(F.array(*[band(F.col("n2"), percent) + x for x in (-1, 0, 1)])))
