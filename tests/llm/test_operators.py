@@ -434,3 +434,21 @@ def test_pipeline_over_an_empty_table(spark, tmp_path):
     empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_wide_parity_never_rules_out_a_link():
+    rng = np.random.default_rng(7)
+    ruled_out = 0
+    for n in (1, 5, 900, 3000, 20000):
+        for shared in (0.0, 0.5, 0.9, 0.92, 0.95, 1.0):
+            for grown in (1.0, 1.1, 1.7):
+                base = rng.integers(0, 2**64, int(n * (grown + 1)) + 2, dtype=np.uint64)
+                keep = max(int(n * shared), 0)
+                a = np.unique(base[:n])
+                b = np.unique(np.concatenate([base[:keep], base[n : n + max(int(n * grown) - keep, 1)]]))
+                both = len(np.intersect1d(a, b))
+                union = len(a) + len(b) - both
+                far = ngram_join.far_apart(ngram_join.wide(a), ngram_join.wide(b), len(a), len(b), 85)
+                assert not (far and 100 * both >= 85 * union)
+                ruled_out += far
+    assert ruled_out > 20

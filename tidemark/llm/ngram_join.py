@@ -88,12 +88,25 @@ def identity(s: np.ndarray) -> int | None:
     return int(mix(mix(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s))).view(np.int64)[0]) if len(s) else None
 
 
-def parity(s: np.ndarray) -> np.ndarray:
+def parity(s: np.ndarray, width: int = PARITY) -> np.ndarray:
     """Bit b: whether an odd number of shingles hash to b. Sets that differ in m shingles differ in m bits at most."""
-    bits = np.bincount((s >> np.uint64(40)).astype(np.int64) & (PARITY - 1), minlength=PARITY) & 1
+    bits = np.bincount((s >> np.uint64(40)).astype(np.int64) & (width - 1), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def wide(s: np.ndarray) -> bytes:
+    """Parity bits in proportion to the set, 1 to 2 for each shingle: an eighth of a byte or two where a hash takes four bytes."""
+    return parity(s, min(max(1 << len(s).bit_length(), PARITY), 1 << 24)).tobytes()
+
+
+def far_apart(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
+    """Whether wide parity bits rule a link out; the wider one is folded to the width of the other."""
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    width = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, width), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum()) * (100 + percent) > (na + nb) * (100 - percent)
+
+
 def sets(docs: DataFrame, percent: int, k: int) -> DataFrame:
     """doc_id, n, node (the set's identity), prefix and parity bits of every row of ``docs`` (doc_id, text)."""
     classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, k))  # SKETCH bytes
@@ -130,15 +143,17 @@ def whole_sets(docs: DataFrame, k: int, need: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named = marks.value
         for batch in batches:
-            node, low = [], []
+            node, n, low, bits = [], [], [], []
             for s in shingle_sets(batch.column(0), k):
                 name = identity(s)
                 if name is not None and int(named[(name % MARKS) >> 6]) >> (name % 64) & 1:
                     node.append(name)
+                    n.append(len(s))
                     low.append(np.sort((s >> np.uint64(32)).astype(np.uint32)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(low, pa.binary())], ["node", "low"])
+                    bits.append(wide(s))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(low, pa.binary()), pa.array(bits, pa.binary())], ["node", "n", "low", "wide"])
 
-    found = docs.select("text").mapInArrow(scan, "node long, low binary")
+    found = docs.select("text").mapInArrow(scan, "node long, n long, low binary, wide binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return found.repartition(parts, "node").dropDuplicates(["node"]).persist(StorageLevel.DISK_ONLY)
 
@@ -151,6 +166,20 @@ def common(a: bytes, b: bytes) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
+def likely(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that wide parity bits leave; these move in place of whole sets, above all those of long texts."""
+    one, two = (held.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"x{c}")) for c in "ab")
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(2, 6)]
+            kept = [not far_apart(x, y, na, nb, percent) for x, y, na, nb in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "xa", "xb", "na", "nb")
+    return keep(both.mapInArrow(narrow, "a long, b long"), "likely")
+
+
 def verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """(a, b, shared, total): exact sizes of the intersection and union of each pair of sets."""
     both = pairs.select("a", "b").join(held.select(F.col("node").alias("a"), F.col("low").alias("xa")), "a").join(held.select(F.col("node").alias("b"), F.col("low").alias("xb")), "b")
@@ -259,9 +288,9 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id",
     met = keep(verify(stars, held), "stars")
     # the nearest candidate of each set first: what comes into one class so needs no second look
     nearest = near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("p")).select("p.a", "b")
-    edges = verify(nearest, held).filter(linked).select("a", "b").unionByName(met.filter(linked).select("a", "b"))
+    edges = verify(likely(nearest, held, percent), held).filter(linked).select("a", "b").unionByName(met.filter(linked).select("a", "b"))
     parts = keep(components(edges), "classes")
-    parts = grow(parts, verify(between(near.select("a", "b"), parts), held).filter(linked))
+    parts = grow(parts, verify(likely(between(near.select("a", "b"), parts), held, percent), held).filter(linked))
     away = met.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("total")).alias("d"))
     columns = ("node", "n", "i", "pivot", "d", "bits")
     left = members.filter("node <> pivot").join(away, ["node", "pivot"], "left").select("shingle", *columns)
@@ -289,7 +318,7 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id",
         two = other.withColumn("band", F.explode(F.array(*[band(F.col("n2"), percent) + x for x in (-1, 0, 1)])))
         found = one.join(two, ["shingle", "band"]).filter(window)
         found = found.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        parts = grow(parts, verify(found, held).filter(linked))
+        parts = grow(parts, verify(likely(found, held, percent), held).filter(linked))
         if turn < ROUNDS:
             left = now.join(other.select("shingle", F.col("node2").alias("node")), ["shingle", "node"], "left_anti").select("shingle", *columns)
     held.unpersist()
