@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._graph import components
@@ -47,25 +47,29 @@ def grow(x: np.ndarray) -> Tree:
 
 
 def dual(a: Tree, b: Tree, xa: np.ndarray, xb: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows (i of a, j of b) of pairs at the cosine or above; nodes farther apart than their radii and the limit are passed over."""
+    """Rows (i of a, j of b) of pairs at the cosine or above; nodes farther apart than their radii and the limit are passed over.
+
+    All children of two nodes meet in one product of their centres; of what is left, the leaves
+    that meet one leaf are compared with it at once.
+    """
     reach = math.sqrt(2 - 2 * cosine) + SLACK
     todo = [(a, b)]
     while todo:
         p, q = todo.pop()
-        apart = math.sqrt(max(0.0, 2 - 2 * float(xa[p.centre] @ xb[q.centre])))
-        if apart > p.radius + q.radius + reach:
-            continue
-        if not p.children and not q.children:
-            for s in range(0, len(p.points), 1024):
-                rows = p.points[s : s + 1024]
-                for t in range(0, len(q.points), 1024):
-                    i, j = np.nonzero(xa[rows] @ xb[q.points[t : t + 1024]].T >= cosine)
+        ps, qs = p.children or [p], q.children or [q]
+        apart = np.sqrt(np.maximum(0, 2 - 2 * (xa[[c.centre for c in ps]] @ xb[[c.centre for c in qs]].T)))
+        near = apart <= np.array([c.radius for c in ps])[:, None] + np.array([c.radius for c in qs]) + reach
+        for c, row in zip(ps, near, strict=True):
+            met = [qs[k] for k in np.flatnonzero(row)]
+            todo += [(c, d) for d in met if c.children or d.children]
+            leaves = [] if c.children else [d.points for d in met if not d.children]
+            others = np.concatenate(leaves) if leaves else np.zeros(0, dtype=np.int64)
+            for s in range(0, len(c.points), 1024):
+                rows = c.points[s : s + 1024]
+                for t in range(0, len(others), 1024):
+                    i, j = np.nonzero(xa[rows] @ xb[others[t : t + 1024]].T >= cosine)
                     if len(i):
-                        yield rows[i], q.points[t + j]
-        elif q.children and (not p.children or q.radius >= p.radius):
-            todo += [(p, c) for c in q.children]
-        else:
-            todo += [(c, q) for c in p.children]
+                        yield rows[i], others[t + j]
 
 
 def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -106,7 +110,7 @@ def links(left: pd.DataFrame, right: pd.DataFrame | None, cosine: float) -> pd.D
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, cell_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Links of vectors with one label whose cosine is ``cosine`` or more, exactly and in double precision.
 
-    The rows of a label are cut into cells: those above ``cell_rows`` choose a few centres by
+    The rows of a label are cut into cells: those above ``cell_rows`` choose up to 16 centres by
     hash, each row joins its nearest, and cells that are still too large are cut again (the
     upper, nested levels of the cover tree). Pairs of cells that their covering radii cannot
     rule out go to one task each, which grows a tree of both and traverses them together; a
@@ -124,8 +128,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, cell_rows: int = 4
     # scaled by the largest component first, so that squares neither overflow nor vanish
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     good = F.coalesce(F.col("label").isNotNull() & (F.size("unit") > 0) & finite & (largest > 0), F.lit(False))
-    table = table.withColumn("unit", F.when(good, F.transform(x, lambda v: v / largest)))
-    table = table.withColumn("unit", F.transform("unit", lambda v: v / norm)).withColumn("node", F.monotonically_increasing_id())
+    table = table.withColumn("unit", F.when(good, _divided(x, largest)))
+    table = table.withColumn("unit", _divided(x, norm)).withColumn("node", F.monotonically_increasing_id())
     table = keep(table, "vectors")
     rows = table.filter("unit IS NOT NULL").select("node", "unit", F.concat_ws(":", F.col("label").cast("string"), F.size("unit")).alias("group"))
     cells = keep(_cells(rows, cell_rows), "cells")
@@ -139,6 +143,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, cell_rows: int = 4
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
 
 
+def _divided(x: Column, by: Column) -> Column:
+    """Each component divided; ``by`` is bound to a variable of its own, or it would be worked out again for every component."""
+    return F.transform(F.array(by), lambda d: F.transform(x, lambda v: v / d)).getItem(0)
+
+
 def _distance(a: str, b: str):
     dot = F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     return F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot))
@@ -152,9 +161,10 @@ def _cells(rows: DataFrame, cell_rows: int, fan: int = 16, levels: int = 6) -> D
         large = sizes.filter(F.col("count") > cell_rows)
         if not large.take(1):
             return now
-        # one centre for each residue of a hash: a partial minimum, no ranking of a hot cell
-        pick = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(fan))
-        centres = now.join(large, "cell", "left_semi").groupBy("cell", pick.alias("pick")).agg(F.min(F.struct(F.xxhash64("node"), F.col("unit"))).alias("c"))
+        # one centre for each residue of a hash: a partial minimum, no ranking of a hot cell; no
+        # more centres than the rows ask for, since each cell left near another sends its rows there
+        pick = F.pmod(F.xxhash64("node", F.lit(level)), F.least(F.lit(fan), F.ceil(F.col("count") * 2 / cell_rows)))
+        centres = now.join(large, "cell").groupBy("cell", pick.alias("pick")).agg(F.min(F.struct(F.xxhash64("node"), F.col("unit"))).alias("c"))
         per = centres.groupBy("cell").agg(F.collect_list(F.struct("pick", F.col("c.unit").alias("centre"))).alias("centres"))  # fan at most
         joined = now.join(per, "cell", "left")
         dot = lambda c: F.aggregate(F.zip_with(c["centre"], F.col("unit"), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
