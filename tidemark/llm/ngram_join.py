@@ -136,8 +136,8 @@ def whole_sets(docs: DataFrame, k: int, need: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     words = need.select(F.shiftright(F.pmod(F.col("node"), F.lit(MARKS)), 6).alias("at"), F.expr("shiftleft(1L, cast(pmod(node, 64) as int))").alias("bit"))
     mask = np.zeros(MARKS // 64, dtype=np.uint64)
-    for at, bits in words.groupBy("at").agg(F.bit_or("bit")).toLocalIterator():  # MARKS / 64 rows at most
-        mask[at] = np.uint64(bits & 0xFFFFFFFFFFFFFFFF)
+    found = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # MARKS / 64 rows at most, in one job
+    mask[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     marks = spark.sparkContext.broadcast(mask)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +177,7 @@ def likely(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "xa", "xb", "na", "nb")
-    return keep(both.mapInArrow(narrow, "a long, b long"), "likely")
+    return both.mapInArrow(narrow, "a long, b long")
 
 
 def verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -218,16 +218,20 @@ def band(n: Column, percent: int) -> Column:
 
 
 def between(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are not in one class yet."""
+    """The pairs (a, b) whose sets are not in one class yet, with their classes (ca, cb)."""
     one, two = (parts.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
-    apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
-    return pairs.join(one, "a", "left").join(two, "b", "left").filter(apart).select("a", "b")
+    named = pairs.select("a", "b").join(one, "a", "left").join(two, "b", "left")
+    return named.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).filter("ca <> cb")
 
 
 def grow(parts: DataFrame, links: DataFrame) -> DataFrame:
-    """Classes (node, component) after the links (a, b)."""
-    edges = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links.select("a", "b"))
-    return keep(components(edges), "classes")
+    """Classes (node, component) after the links (a, b): classes that these join are joined, the others stay."""
+    joined = components(between(links, parts).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    if not joined.take(1):
+        return parts
+    moved = parts.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    moved = moved.select("node", F.coalesce("to", "component").alias("component"))
+    return keep(moved.unionByName(joined.join(parts.select("node"), "node", "left_anti")), "classes")
 
 
 def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
