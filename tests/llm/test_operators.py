@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontamination, html, language, lines, mixing, ngram_join, repeats, sharding, vectors
+from tidemark.llm import chat, decontamination, html, language, lines, mixing, ngram_join, queries, repeats, sharding, vectors
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -301,6 +301,43 @@ def test_line_pairs_against_brute_force(spark):
     assert got == {d: len(g) for d, g in gone.items()} and sum(got.values())
 
 
+def test_every_shared_block_against_all_pairs(spark):
+    rows = [tuple(r) for r in documents(spark).select("doc_id", "text").orderBy("doc_id").collect()]
+    one, two = "a line of six and twenty c", "one more of six and twenty"
+    # the lines of the block lead to texts 10,000 and 10,001, the block itself to 10,002
+    rows += [(10_000, one), (10_001, two), (10_002, f"{one}\n{two}"), (10_003, f"own\n{one}\n \n  {two}\nown too")]
+    split = {d: [x.strip() for x in t.split("\n") if x.strip()] for d, t in rows}
+    texts, gone, aligned = {}, {d: set() for d, _ in rows}, {d: set() for d, _ in rows}
+    for d, t in rows:
+        texts.setdefault(t, d)
+    order = sorted(texts.values())
+    for n, d in enumerate(order):
+        for a in (a for a in order[:n] if set(split[a]) & set(split[d])):
+            ends = [[0] * (len(split[d]) + 1) for _ in range(len(split[a]) + 1)]
+            for i, x in enumerate(split[a]):
+                for j, y in enumerate(split[d]):
+                    ends[i + 1][j + 1] = ends[i][j] + 1 if x == y else 0
+            for i, line in enumerate(ends):
+                for j, long in enumerate(line):
+                    if sum(map(len, split[d][j - long : j])) >= 50:
+                        gone[d] |= set(range(j - long, j))
+            aligned[d] |= set(lines.common_blocks(split[a], split[d], [len(x) for x in split[d]], 50))
+    assert all(aligned[d] <= gone[d] for d in order) and gone[10_003] == {1, 2}
+    for d, t in rows:
+        if texts[t] != d and sum(map(len, split[d])) >= 50:
+            gone[d] = set(range(len(split[d])))
+    got = {r.doc_id: (r.n_deleted, r.text) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), every_block=True).collect()}
+    assert {d: n for d, (n, _) in got.items()} == {d: len(g) for d, g in gone.items()} and got[10_003] == (2, "own\n \nown too")
+    assert lines.dedup(empty(spark), every_block=True).count() == 0 and lines.dedup(odd(spark), every_block=True).count() == 12
+
+
+def test_line_query_deletes_blocks_with_split_leaders(spark, tmp_path):
+    one, two = "a line of six and twenty c", "one more of six and twenty"
+    rows = [(1, one), (2, two), (3, f"{one}\n{two}"), (4, f"own\n{one}\n{two}\nown too")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_deleted for r in queries.line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 0, 3: 0, 4: 2}
+
+
 # 8 ---------------------------------------------------------------------------
 
 

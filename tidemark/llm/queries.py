@@ -39,7 +39,7 @@ def vector_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"))
+    return lines.dedup(_table(spark, sf_dir, "documents"), every_block=True).select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
