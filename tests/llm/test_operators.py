@@ -338,6 +338,14 @@ def test_line_query_deletes_blocks_with_split_leaders(spark, tmp_path):
     assert {r.doc_id: r.n_deleted for r in queries.line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 0, 3: 0, 4: 2}
 
 
+def test_line_query_deletes_blocks_however_many_share_them(spark, tmp_path):
+    short, long = "a line of three and fifty characters, ever and again.", "a line of a hundred characters, " * 3 + "once"
+    rows = [(i, f"own line {i}\n{short}") for i in range(12)] + [(i, f"own line {i}\n{long}") for i in range(100, 300)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert (len(short), len(long)) == (53, 100)
+    assert {r.doc_id: r.n_deleted for r in queries.line_dedup(spark, str(tmp_path)).collect()} == {i: int(i not in (0, 100)) for i, _ in rows}
+
+
 # 8 ---------------------------------------------------------------------------
 
 
