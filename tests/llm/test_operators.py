@@ -346,6 +346,14 @@ def test_line_query_deletes_blocks_however_many_share_them(spark, tmp_path):
     assert {r.doc_id: r.n_deleted for r in queries.line_dedup(spark, str(tmp_path)).collect()} == {i: int(i not in (0, 100)) for i, _ in rows}
 
 
+def test_line_query_deletes_doubled_and_moved_passages(spark, tmp_path):
+    passage = [f"passage line {i}, short" for i in range(4)]
+    other = [f"another line {i}, short" for i in range(4)]
+    rows = [(1, "\n".join(["top", *passage, "between", *other, "end"])), (2, "\n".join(["x", *passage, "y", *passage, "z"])), (3, "\n".join(["u", *other, "v", *passage, "w"]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_deleted for r in queries.line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 8, 3: 8}
+
+
 # 8 ---------------------------------------------------------------------------
 
 
