@@ -70,7 +70,7 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 def order_windows(contexts: list[bytes], copies: np.ndarray, length: int) -> list[np.ndarray]:
     """For each context, which of its strings of ``length`` bytes start elsewhere too.
 
-    All strings of the dictionary entries at hand are put in one order; those with like
+    The hashes of all strings of the dictionary entries at hand are sorted; those with like
     neighbours, or of an entry with copies, occur again.
     """
     data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
@@ -121,11 +121,12 @@ def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     like strings. The dictionary counts each distinct phrase in its context; the parse is the
     table of their occurrences. A phrase whose trigger occurs once holds no repeat and goes;
     one that occurs with a single context repeats whole. Only for triggers with several
-    contexts the order of strings is needed, and only inside the dictionary entry: those
-    strings are sorted entry by entry and neighbours that agree in ``length`` bytes repeat.
-    That is the part of the suffix order of the corpus that decides, so no task holds more
-    than a piece of the dictionary. Entries with over ``HOT`` contexts are not gathered:
-    their strings are counted by hash in Spark with partial sums.
+    contexts strings are compared, and only inside the dictionary entry: the 64-bit hashes of
+    its strings of ``length`` bytes are sorted and like neighbours repeat, so no task holds
+    more than a piece of the dictionary. No suffix array of dictionary or parse is built, as
+    which strings are alike decides and not their order; bytes are not compared, so results
+    are exact up to collisions. Entries with over ``HOT`` contexts are not gathered: their
+    strings are counted by hash in Spark with partial sums.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
