@@ -196,6 +196,31 @@ def test_jaccard_classes_against_brute_force(spark, monkeypatch):
         assert got == brute_classes(rows, k, percent)
 
 
+def test_chance_matches_of_upper_halves_make_no_link(spark):
+    text = " ".join(f"v{i}" for i in range(400_000))
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    upper = ngram_join.shingles(ngram_join.words(data, np.array([0, len(data)]))[0], 1) >> np.uint64(32)
+    order = np.argsort(upper, kind="stable")
+    x, y = [(int(i), int(j)) for i, j in zip(order[:-1], order[1:], strict=True) if upper[i] == upper[j]][-1]
+    shared = " ".join(f"common{i}" for i in range(17))
+    rows = [(1, f"{shared} v{x}"), (2, f"{shared} v{y}"), (4, f"{shared.replace('common', 'other')} v{x}"), (5, f"{shared.replace('common', 'other')} v{y} more")]
+    for percent in (90, 94):
+        got = sorted(tuple(r)[:3] for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent, k=1).collect())
+        assert got == brute_classes(rows, 1, percent)
+    assert [ngram_join.chance(n) for n in (2, 40, 600)] == [1, 1, 2] and ngram_join.chance(2_000_000) > 465
+
+
+def test_pipeline_keeps_one_of_each_class_and_drops_linked_ones_only(spark):
+    import corpus_pipeline as pipeline
+
+    rows = sorted((r.doc_id, r.text) for r in documents(spark).collect())
+    classes = brute_classes(rows, 5, 80)
+    got = sorted(tuple(r)[:3] for r in ngram_join.join(documents(spark), percent=80, k=5).collect())
+    assert got == classes
+    kept = {r.doc_id for r in pipeline.one_of_each_class(spark, documents(spark), SF).collect()}
+    assert kept == {c for _, _, c in classes} and len(kept) < len(rows)
+
+
 def test_jaccard_edge_cases(spark):
     rows = ngram_join.join(odd(spark)).collect()
     assert len(rows) == 12

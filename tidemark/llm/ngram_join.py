@@ -130,6 +130,8 @@ def sets(docs: DataFrame, percent: int, k: int) -> DataFrame:
 def whole_sets(docs: DataFrame, k: int, need: DataFrame) -> DataFrame:
     """node and all hashes of the sets named in ``need`` (node), spread by node and held on the executors' disks.
 
+    The sorted hashes are held in two columns: their upper halves (low) and their lower ones (rest).
+
     The texts are read again; a bitmap of fixed size (``MARKS`` bits) of the names lets few
     others pass, which the join then drops. A lost part is made again from the texts.
     """
@@ -143,29 +145,40 @@ def whole_sets(docs: DataFrame, k: int, need: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named = marks.value
         for batch in batches:
-            node, n, low, bits = [], [], [], []
+            node, n, low, rest, bits = [], [], [], [], []
             for s in shingle_sets(batch.column(0), k):
                 name = identity(s)
                 if name is not None and int(named[(name % MARKS) >> 6]) >> (name % 64) & 1:
                     node.append(name)
                     n.append(len(s))
-                    low.append(np.sort((s >> np.uint64(32)).astype(np.uint32)).tobytes())
+                    low.append((s >> np.uint64(32)).astype(np.uint32).tobytes())
+                    rest.append(s.astype(np.uint32).tobytes())
                     bits.append(wide(s))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(low, pa.binary()), pa.array(bits, pa.binary())], ["node", "n", "low", "wide"])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(low, pa.binary()), pa.array(rest, pa.binary()), pa.array(bits, pa.binary())], ["node", "n", "low", "rest", "wide"])
 
-    found = docs.select("text").mapInArrow(scan, "node long, n long, low binary, wide binary")
+    found = docs.select("text").mapInArrow(scan, "node long, n long, low binary, rest binary, wide binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return found.repartition(parts, "node").dropDuplicates(["node"]).persist(StorageLevel.DISK_ONLY)
 
 
 def common(a: bytes, b: bytes) -> int:
-    """Size of the intersection of two sorted lists of the upper halves of hashes."""
+    """Like neighbours among two sorted lists of the upper halves of hashes: the size of the intersection, or more by chance."""
     x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
     both = np.concatenate([x, y])
     both.sort(kind="stable")
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
+def chance(n: int) -> int:
+    """How many of n upper halves may be like another one by chance: more with a probability of 1e-12 at most."""
+    mean = n * n / 2**33
+    most, left = 0, math.log(max(mean, 1e-300))
+    while left > math.log(1e-12):
+        most += 1
+        left += math.log(mean / (most + 1))
+    return most
+
+
 def likely(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that wide parity bits leave; these move in place of whole sets, above all those of long texts."""
     one, two = (held.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"x{c}")) for c in "ab")
@@ -180,17 +193,39 @@ def likely(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(narrow, "a long, b long")
 
 
-def verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """(a, b, shared, total): exact sizes of the intersection and union of each pair of sets."""
+def verify(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """(a, b, shared, total, chance): sizes of the intersection and union of each pair of sets.
+
+    The upper halves of the hashes never count too little, so pairs they don't link are none.
+    Those that chance matches may have linked are counted again by whole hashes; the others
+    keep their count, of which ``chance`` may be too many.
+    """
     both = pairs.select("a", "b").join(held.select(F.col("node").alias("a"), F.col("low").alias("xa")), "a").join(held.select(F.col("node").alias("b"), F.col("low").alias("xb")), "b")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shared = np.array([common(p.as_py(), q.as_py()) for p, q in zip(batch.column(2), batch.column(3), strict=True)], dtype=np.int64)
             sizes = np.array([len(p.as_py()) + len(q.as_py()) for p, q in zip(batch.column(2), batch.column(3), strict=True)], dtype=np.int64) // 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared), pa.array(sizes - shared)], ["a", "b", "shared", "total"])
+            most = np.array([chance(n) for n in sizes.tolist()], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared), pa.array(sizes - shared), pa.array(most)], ["a", "b", "shared", "total", "chance"])
+
+    measured = keep(both.select("a", "b", "xa", "xb").mapInArrow(measure, "a long, b long, shared long, total long, chance long"), "measured")
+    linked = F.col("shared") * 100 >= F.col("total") * percent
+    doubtful = linked & ((F.col("shared") - F.col("chance")) * 100 < (F.col("total") + F.col("chance")) * percent)
+    one, two = (held.select(F.col("node").alias(c), F.col("low").alias(f"x{c}"), F.col("rest").alias(f"y{c}")) for c in "ab")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shared, total = [], []
+            for halves in zip(*(batch.column(i) for i in range(2, 6)), strict=True):
+                xa, ya, xb, yb = (np.frombuffer(x.as_py(), dtype=np.uint32).astype(np.uint64) for x in halves)
+                both = np.intersect1d(xa << np.uint64(32) | ya, xb << np.uint64(32) | yb, assume_unique=True)
+                shared.append(len(both))
+                total.append(len(xa) + len(xb) - len(both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(total, pa.int64()), pa.array([0] * len(total), pa.int64())], ["a", "b", "shared", "total", "chance"])
 
-    return both.select("a", "b", "xa", "xb").mapInArrow(measure, "a long, b long, shared long, total long")
+    again = measured.filter(doubtful).select("a", "b").join(one, "a").join(two, "b").select("a", "b", "xa", "ya", "xb", "yb")
+    return measured.filter(~doubtful).unionByName(again.mapInArrow(count, "a long, b long, shared long, total long, chance long"))
 
 
 def may_link(na: Column, nb: Column, xa: Column, xb: Column, percent: int) -> Column:
@@ -242,6 +277,7 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id",
     percent * union. Rows with one set are one node; null, empty and wordless texts have an
     empty set and stay alone; null ids come last and name a class only if it has no other.
     Other columns are ignored. Sets are held as 64-bit hashes.
+    They are counted by upper halves first, and whole where chance matches of these could decide.
 
     The method, in the metric d = 1 - Jaccard with e = 1 - percent / 100:
 
@@ -289,16 +325,16 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id",
     held = whole_sets(docs, k, need)
     linked = F.col("shared") * 100 >= F.col("total") * percent
     stars = members.filter((F.col("node") != F.col("pivot")) & fits(F.col("n"), F.col("pn"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    met = keep(verify(stars, held), "stars")
+    met = keep(verify(stars, held, percent), "stars")
     # the nearest candidate of each set first: what comes into one class so needs no second look
     nearest = near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("p")).select("p.a", "b")
-    edges = verify(likely(nearest, held, percent), held).filter(linked).select("a", "b").unionByName(met.filter(linked).select("a", "b"))
+    edges = verify(likely(nearest, held, percent), held, percent).filter(linked).select("a", "b").unionByName(met.filter(linked).select("a", "b"))
     parts = keep(components(edges), "classes")
-    parts = grow(parts, verify(likely(between(near.select("a", "b"), parts), held, percent), held).filter(linked))
-    away = met.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("total")).alias("d"))
-    columns = ("node", "n", "i", "pivot", "d", "bits")
+    parts = grow(parts, verify(likely(between(near.select("a", "b"), parts), held, percent), held, percent).filter(linked))
+    away = met.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("total")).alias("d"), (2 * F.col("chance") / F.col("total")).alias("slack"))
+    columns = ("node", "n", "i", "pivot", "d", "slack", "bits")
     left = members.filter("node <> pivot").join(away, ["node", "pivot"], "left").select("shingle", *columns)
-    reach = 1 - percent / 100 + 1e-9
+    reach = 1 - percent / 100 + 1e-9  # and what chance matches may take off a distance
     for turn in range(ROUNDS + 1):
         now = left.join(parts, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
         counts = now.groupBy("shingle", "class").agg(F.count("*").alias("n_class"))
@@ -313,7 +349,7 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id",
             other = keep(picks.select("shingle", *[F.col(f"p.own.{c}").alias(f"{c}2") for c in (*columns, "class")]), "picks")
         else:
             other = now.select("shingle", *[F.col(c).alias(f"{c}2") for c in (*columns, "class")])
-        far = F.coalesce((F.col("pivot") == F.col("pivot2")) & (F.abs(F.col("d") - F.col("d2")) > reach), F.lit(False))
+        far = F.coalesce((F.col("pivot") == F.col("pivot2")) & (F.abs(F.col("d") - F.col("d2")) > reach + F.greatest("slack", "slack2")), F.lit(False))
         window = (F.col("class") != F.col("class2")) & first_common(F.col("n"), F.col("n2"), F.col("i"), F.col("i2"), percent)
         if turn == ROUNDS:
             window &= F.col("node") < F.col("node2")
@@ -322,7 +358,7 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id",
         two = other.withColumn("band", F.explode(F.array(*[band(F.col("n2"), percent) + x for x in (-1, 0, 1)])))
         found = one.join(two, ["shingle", "band"]).filter(window)
         found = found.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        parts = grow(parts, verify(likely(found, held, percent), held).filter(linked))
+        parts = grow(parts, verify(likely(found, held, percent), held, percent).filter(linked))
         if turn < ROUNDS:
             left = now.join(other.select("shingle", F.col("node2").alias("node")), ["shingle", "node"], "left_anti").select("shingle", *columns)
     held.unpersist()
