@@ -191,12 +191,12 @@ def test_jaccard_classes_against_brute_force(spark, monkeypatch):
             words[at] = f"edit{i}_{at}"
         rows.append((10_000 + i, " ".join(words)))
     rows += [(20_000, "a b"), (20_001, "A  B"), (20_002, "a"), (20_003, ""), (20_004, None), (20_005, " \n")]
-    for k, percent in ((4, 85), (2, 50)):
+    for k, percent in ((4, 85), (5, 80), (2, 50)):
         got = sorted(tuple(r)[:3] for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent, k=k).collect())
         assert got == brute_classes(rows, k, percent)
 
 
-def test_chance_matches_of_upper_halves_make_no_link(spark):
+def test_like_upper_halves_of_hashes_make_no_link(spark):
     text = " ".join(f"v{i}" for i in range(400_000))
     data = np.frombuffer(text.encode(), dtype=np.uint8)
     upper = ngram_join.shingles(ngram_join.words(data, np.array([0, len(data)]))[0], 1) >> np.uint64(32)
@@ -207,7 +207,43 @@ def test_chance_matches_of_upper_halves_make_no_link(spark):
     for percent in (90, 94):
         got = sorted(tuple(r)[:3] for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent, k=1).collect())
         assert got == brute_classes(rows, 1, percent)
-    assert [ngram_join.chance(n) for n in (2, 40, 600)] == [1, 1, 2] and ngram_join.chance(2_000_000) > 465
+    assert ngram_join.common(np.array([5, 9], np.uint64).tobytes(), b"") == 0
+
+
+def test_regions_are_cut_level_by_level(spark, monkeypatch):
+    """Words of a pool in every text: regions too large at the first shingle, cut at the next ones, with links across."""
+    monkeypatch.setattr(ngram_join, "DIRECT", 3)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 2)
+    cuts = []
+    whole = ngram_join.split
+    monkeypatch.setattr(ngram_join, "split", lambda rest, reps, percent, depth: cuts.append((depth, (out := whole(rest, reps, percent, depth))[0].count())) or out)
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(400):
+        words = [f"p{x}" for x in rng.choice(120, 12, replace=False)]
+        rows.append((i, " ".join(words)))
+        if i % 5 == 0:
+            rows.append((1000 + i, " ".join([*words, f"more{i}"])))
+    rows += [(2000 + i, " ".join([*(f"c{x}" for x in range(9)), f"own{i}"])) for i in range(40)] + [(3000, " ".join(f"c{x}" for x in range(9)))]
+    got = sorted(tuple(r)[:3] for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), percent=85, k=1).collect())
+    assert got == brute_classes(rows, 1, 85)
+    assert [d for d, n in cuts if n] and len({c for _, _, c in got}) < len(rows) - 79
+
+
+def test_unlinked_texts_of_one_region_cost_in_proportion(spark, monkeypatch):
+    """Texts at a similarity of 80 % (a few by chance above), all in one region: what is compared grows as the texts do."""
+    compared = []
+    whole = ngram_join.likely
+    monkeypatch.setattr(ngram_join, "likely", lambda pairs, held, percent: compared.append(pairs.count()) or whole(pairs, held, percent))
+    seen = {}
+    for size in (750, 1500, 3000):
+        compared.clear()
+        rng = np.random.default_rng(size)
+        rows = [(i, " ".join([*(f"core{x}" for x in range(80)), *(f"pool{x}" for x in rng.choice(size * 5, 10, replace=False))])) for i in range(size)]
+        got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), percent=85, k=1)
+        assert got.select("component_id").distinct().count() >= 0.99 * size
+        seen[size] = sum(compared)
+    assert seen[3000] <= 6 * max(seen[750], 200)
 
 
 def test_pipeline_keeps_one_of_each_class_and_drops_linked_ones_only(spark):

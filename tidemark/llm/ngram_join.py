@@ -12,11 +12,10 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.llm._bytes import chunks, mix, shingles, short, words
 from tidemark.llm._graph import components
-from tidemark.llm._shared import discard, keep
+from tidemark.llm._shared import discard, keep, small_batches
 
 SKETCH = 1 << 22
 SKETCH_BLOCK = 1 << 17
@@ -25,6 +24,7 @@ MARKS = 1 << 24
 DIRECT = 64
 PIVOTS = 16
 ROUNDS = 2
+LEVELS = 5
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -108,7 +108,7 @@ def far_apart(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
 
 
 def sets(docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """doc_id, n, node (the set's identity), prefix and parity bits of every row of ``docs`` (doc_id, text)."""
+    """doc_id, n, node (the set's identity), prefix (with a shingle more for each level) and parity bits of every row of ``docs`` (doc_id, text)."""
     classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, k))  # SKETCH bytes
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,7 @@ def sets(docs: DataFrame, percent: int, k: int) -> DataFrame:
                 first = s[np.argsort(kind, kind="stable")] if len(s) and kind.any() else s
                 n.append(len(s))
                 node.append(identity(s))
-                prefix.append(first[: len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0].view(np.int64))
+                prefix.append(first[: len(s) - (percent * len(s) + 99) // 100 + LEVELS if len(s) else 0].view(np.int64))
                 bits.append(parity(s))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n", "node", "prefix", "bits"])
 
@@ -128,12 +128,10 @@ def sets(docs: DataFrame, percent: int, k: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, k: int, need: DataFrame) -> DataFrame:
-    """node and all hashes of the sets named in ``need`` (node), spread by node and held on the executors' disks.
-
-    The sorted hashes are held in two columns: their upper halves (low) and their lower ones (rest).
+    """node, n, wide parity bits and all hashes (sorted, as bytes) of the sets named in ``need`` (node), spread by node.
 
     The texts are read again; a bitmap of fixed size (``MARKS`` bits) of the names lets few
-    others pass, which the join then drops. A lost part is made again from the texts.
+    others pass. Held on the executors' disks; a lost part is made again from the texts.
     """
     spark = docs.sparkSession
     words = need.select(F.shiftright(F.pmod(F.col("node"), F.lit(MARKS)), 6).alias("at"), F.expr("shiftleft(1L, cast(pmod(node, 64) as int))").alias("bit"))
@@ -145,40 +143,36 @@ def whole_sets(docs: DataFrame, k: int, need: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named = marks.value
         for batch in batches:
-            node, n, low, rest, bits = [], [], [], [], []
+            out: list[tuple] = []
+            held = 0
             for s in shingle_sets(batch.column(0), k):
                 name = identity(s)
                 if name is not None and int(named[(name % MARKS) >> 6]) >> (name % 64) & 1:
-                    node.append(name)
-                    n.append(len(s))
-                    low.append((s >> np.uint64(32)).astype(np.uint32).tobytes())
-                    rest.append(s.astype(np.uint32).tobytes())
-                    bits.append(wide(s))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(low, pa.binary()), pa.array(rest, pa.binary()), pa.array(bits, pa.binary())], ["node", "n", "low", "rest", "wide"])
-
-    found = docs.select("text").mapInArrow(scan, "node long, n long, low binary, rest binary, wide binary")
+                    out.append((name, len(s), wide(s), s.tobytes()))
+                    held += 9 * len(s)
+                if held > 1 << 21:
+                    yield _set_batch(out)
+                    out, held = [], 0
+            if out:
+                yield _set_batch(out)
+
+    found = docs.select("text").mapInArrow(scan, "node long, n long, wide binary, hashes binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return found.repartition(parts, "node").dropDuplicates(["node"]).persist(StorageLevel.DISK_ONLY)
 
 
+def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["node", "n", "wide", "hashes"])
+
+
 def common(a: bytes, b: bytes) -> int:
-    """Like neighbours among two sorted lists of the upper halves of hashes: the size of the intersection, or more by chance."""
-    x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
-    both = np.concatenate([x, y])
+    """Size of the intersection of two sets of hashes, each sorted and without repeats."""
+    both = np.concatenate([np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)])
     both.sort(kind="stable")
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def chance(n: int) -> int:
-    """How many of n upper halves may be like another one by chance: more with a probability of 1e-12 at most."""
-    mean = n * n / 2**33
-    most, left = 0, math.log(max(mean, 1e-300))
-    while left > math.log(1e-12):
-        most += 1
-        left += math.log(mean / (most + 1))
-    return most
-
-
 def likely(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that wide parity bits leave; these move in place of whole sets, above all those of long texts."""
     one, two = (held.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"x{c}")) for c in "ab")
@@ -193,39 +187,21 @@ def likely(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(narrow, "a long, b long")
 
 
-def verify(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """(a, b, shared, total, chance): sizes of the intersection and union of each pair of sets.
-
-    The upper halves of the hashes never count too little, so pairs they don't link are none.
-    Those that chance matches may have linked are counted again by whole hashes; the others
-    keep their count, of which ``chance`` may be too many.
-    """
-    both = pairs.select("a", "b").join(held.select(F.col("node").alias("a"), F.col("low").alias("xa")), "a").join(held.select(F.col("node").alias("b"), F.col("low").alias("xb")), "b")
+def links(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of the pairs (a, b), by whole 64-bit hashes."""
+    one, two = (held.select(F.col("node").alias(c), F.col("hashes").alias(f"x{c}")) for c in "ab")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared = np.array([common(p.as_py(), q.as_py()) for p, q in zip(batch.column(2), batch.column(3), strict=True)], dtype=np.int64)
-            sizes = np.array([len(p.as_py()) + len(q.as_py()) for p, q in zip(batch.column(2), batch.column(3), strict=True)], dtype=np.int64) // 4
-            most = np.array([chance(n) for n in sizes.tolist()], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared), pa.array(sizes - shared), pa.array(most)], ["a", "b", "shared", "total", "chance"])
-
-    measured = keep(both.select("a", "b", "xa", "xb").mapInArrow(measure, "a long, b long, shared long, total long, chance long"), "measured")
-    linked = F.col("shared") * 100 >= F.col("total") * percent
-    doubtful = linked & ((F.col("shared") - F.col("chance")) * 100 < (F.col("total") + F.col("chance")) * percent)
-    one, two = (held.select(F.col("node").alias(c), F.col("low").alias(f"x{c}"), F.col("rest").alias(f"y{c}")) for c in "ab")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shared, total = [], []
-            for halves in zip(*(batch.column(i) for i in range(2, 6)), strict=True):
-                xa, ya, xb, yb = (np.frombuffer(x.as_py(), dtype=np.uint32).astype(np.uint64) for x in halves)
-                both = np.intersect1d(xa << np.uint64(32) | ya, xb << np.uint64(32) | yb, assume_unique=True)
-                shared.append(len(both))
-                total.append(len(xa) + len(xb) - len(both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(total, pa.int64()), pa.array([0] * len(total), pa.int64())], ["a", "b", "shared", "total", "chance"])
+            kept = []
+            for p, q in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = p.as_py(), q.as_py()
+                shared = common(p, q)
+                kept.append(100 * shared >= percent * ((len(p) + len(q)) // 8 - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    again = measured.filter(doubtful).select("a", "b").join(one, "a").join(two, "b").select("a", "b", "xa", "ya", "xb", "yb")
-    return measured.filter(~doubtful).unionByName(again.mapInArrow(count, "a long, b long, shared long, total long, chance long"))
+    both = likely(pairs, held, percent).join(one, "a").join(two, "b")
+    return both.select("a", "b", "xa", "xb").mapInArrow(measure, "a long, b long")
 
 
 def may_link(na: Column, nb: Column, xa: Column, xb: Column, percent: int) -> Column:
@@ -238,17 +214,28 @@ def apart(xa: Column, xb: Column) -> Column:
     return reduce(operator.add, (F.bit_count(xa.getItem(i).bitwiseXOR(xb.getItem(i))) for i in range(PARITY // 64)))
 
 
-def first_common(na: Column, nb: Column, ia: Column, ib: Column, percent: int) -> Column:
-    """Whether a link may have its first common shingle at these places of the two sets in the common order.
+def least_common(n: Column, percent: int) -> Column:
+    """What a set of n shingles shares with every set linked to it: percent % of it, rounded up."""
+    return F.floor((n * percent + 99) / 100).cast("int")
+
 
-    All that the sets share lies behind it, so the shorter rest bounds the intersection. A link
-    passes at its first common shingle; at others the same pair need not be found again.
+def lean(n: Column, i: Column, percent: int, depth: int) -> Column:
+    """Whether the smaller one of two linked sets may have the last of their first ``depth`` common shingles at place i."""
+    return (depth - 1 + n - i) * (100 + percent) >= n * 2 * percent
+
+
+def may_meet(na: Column, nb: Column, ia: Column, ib: Column, percent: int, depth: int) -> Column:
+    """Whether a link may have the last of its first ``depth`` common shingles at these places of the two sets in the common order.
+
+    All else that the sets share lies behind, so the shorter rest bounds the intersection. A link
+    passes at its first common shingles; at others the same pair need not be found again.
     """
-    return F.least(na - ia, nb - ib) * (100 + percent) >= (na + nb) * percent
+    sizes = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+    return sizes & ((depth - 1 + F.least(na - ia, nb - ib)) * (100 + percent) >= (na + nb) * percent)
 
 
 def band(n: Column, percent: int) -> Column:
-    """Sizes that a link allows lie in the same or in neighbouring bands."""
+    """Sizes that a link allows lie in the same or in neighbouring bands: rings around the empty set."""
     return F.floor(F.log(n.cast("double")) / math.log(100.01 / percent))
 
 
@@ -259,9 +246,9 @@ def between(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return named.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).filter("ca <> cb")
 
 
-def grow(parts: DataFrame, links: DataFrame) -> DataFrame:
+def grow(parts: DataFrame, found: DataFrame) -> DataFrame:
     """Classes (node, component) after the links (a, b): classes that these join are joined, the others stay."""
-    joined = components(between(links, parts).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    joined = components(between(found, parts).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     if not joined.take(1):
         return parts
     moved = parts.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
@@ -269,6 +256,60 @@ def grow(parts: DataFrame, links: DataFrame) -> DataFrame:
     return keep(moved.unionByName(joined.join(parts.select("node"), "node", "left_anti")), "classes")
 
 
+def regions(reps: DataFrame, percent: int) -> DataFrame:
+    """key (a shingle), node, n, i (its place), members: every region whose members may link, with all that its window reaches."""
+    first = F.posexplode(F.slice("prefix", F.lit(1), F.col("n") - least_common(F.col("n"), percent) + 1)).alias("i", "key")
+    places = reps.select(first, "node", "n")
+    may = F.count_if(lean(F.col("n"), F.col("i"), percent, 1))
+    shared = keep(places.groupBy("key").agg(F.count("*").alias("members"), may.alias("leans")).filter("members > 1 AND leans > 0").select("key", "members"), "shared")
+    return keep(places.join(shared, "key"), "regions")
+
+
+def classed(members: DataFrame, parts: DataFrame, percent: int, depth: int) -> DataFrame:
+    """``members`` (key, node, n, i, bits) of the regions that hold more than one class, with class, top (the largest class), others (members outside it), leans and members."""
+    now = members.join(parts, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
+    may = F.count_if(lean(F.col("n"), F.col("i"), percent, depth))
+    counts = now.groupBy("key", "class").agg(F.count("*").alias("n_class"), may.alias("leans"))
+    state = counts.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n_class").alias("members"), F.sum("leans").alias("leans"), F.max(F.struct("n_class", "class")).alias("t"))
+    state = state.filter("classes > 1 AND leans > 0").select("key", "members", "leans", F.col("t.class").alias("top"), (F.col("members") - F.col("t.n_class")).alias("others"))
+    return keep(now.join(keep(state, "state"), "key"), "open")
+
+
+def meet(one: DataFrame, two: DataFrame, percent: int, depth: int) -> DataFrame:
+    """(a, b): sets of different classes that meet in a region, ``one`` with ``two``, and pass the windows of size, place and parity bits."""
+    columns = ("node", "n", "i", "bits", "class")
+    left = one.select("key", *columns).withColumn("band", band(F.col("n"), percent))
+    right = two.select("key", *[F.col(c).alias(f"{c}2") for c in columns]).withColumn("band", F.explode(F.array(*[band(F.col("n2"), percent) + x for x in (-1, 0, 1)])))
+    window = (F.col("class") != F.col("class2")) & may_meet(F.col("n"), F.col("n2"), F.col("i"), F.col("i2"), percent, depth)
+    found = left.join(right, ["key", "band"]).filter(window & may_link(F.col("n"), F.col("n2"), F.col("bits"), F.col("bits2"), percent))
+    return found.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+
+
+def split(rest: DataFrame, reps: DataFrame, percent: int, depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Regions cut at the next common shingle: (members of the new ones, members of those where that doesn't pay, pairs that share no further shingle).
+
+    Counts decide it region by region, before any row moves: a group of texts that are alike in
+    all shingles would only be repeated once for each, and is better joined as it is.
+    """
+    n, i = F.col("n"), F.col("i")
+    reach = F.greatest(n - least_common(n, percent) + depth - i, F.lit(0))  # places i + 1 to n - least + depth
+    longer = rest.join(reps.select("node", "prefix"), "node")
+    longer = longer.select("key", "node", "n", "class", "bits", i.alias("before"), F.posexplode(F.slice("prefix", i + 2, reach)).alias("at", "token"))
+    longer = longer.withColumn("i", F.col("before") + 1 + F.col("at")).drop("at", "before")
+    may = F.count_if(lean(F.col("n"), F.col("i"), percent, depth + 1))
+    counts = longer.groupBy("key", "token").agg(F.count("*").alias("n_new"), may.alias("l_new"), F.min("class").alias("low"), F.max("class").alias("high"))
+    counts = keep(counts.filter("n_new > 1 AND l_new > 0 AND low <> high").select("key", "token", "n_new", "l_new"), "tokens")
+    then = counts.groupBy("key").agg(F.sum(F.col("n_new") * F.col("l_new") + F.col("n_new")).alias("then"))
+    now = rest.select("key", "members", "leans").distinct()
+    pays = F.coalesce("then", F.lit(0)) * 2 < F.col("members") * F.col("leans")
+    chosen = keep(now.join(then, "key", "left").select("key", pays.alias("pays")), "chosen")
+    deeper = longer.join(counts.join(chosen.filter("pays"), "key").select("key", "token"), ["key", "token"])
+    deeper = deeper.select(F.xxhash64("key", "token").alias("key"), "node", "n", "i", "bits")
+    both = rest.join(chosen, "key")
+    whole = both.filter("pays").filter(n == depth)  # the one set that is the path itself
+    return keep(deeper, "deeper"), both.filter("NOT pays"), meet(whole, both.filter("pays"), percent, depth)
+
+
 def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of documents whose shingle sets are linked at a Jaccard similarity of ``percent`` % or more.
 
@@ -276,8 +317,7 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id",
     kept (the first row of its class by id). Two texts link exactly when 100 * intersection >=
     percent * union. Rows with one set are one node; null, empty and wordless texts have an
     empty set and stay alone; null ids come last and name a class only if it has no other.
-    Other columns are ignored. Sets are held as 64-bit hashes.
-    They are counted by upper halves first, and whole where chance matches of these could decide.
+    Other columns are ignored. Sets are held and compared as 64-bit hashes.
 
     The method, in the metric d = 1 - Jaccard with e = 1 - percent / 100:
 
@@ -287,85 +327,76 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id",
        replicate the whole table. A set's home is the region of its first shingle in one
        common order, rare ones first, and its window of width e reaches the regions of its
        first n - ceil(percent n / 100) + 1 shingles: two sets within e share one of them.
-    2. Regions of at most ``DIRECT`` members are joined pair by pair. Pairs must pass the
-       windows of size and of place (where the region's shingle stands in both sets) and that
-       of parity bits, a map of the sets to 1024 bits that never makes distances larger,
-       before whole sets are fetched and compared exactly, nearest candidates first: pairs
-       that these bring into one class are not compared.
-    3. Larger regions are joined again by pivots: up to ``PIVOTS`` documents outside the
-       largest class of a region meet the members of other classes that the windows of size,
-       of bits and of the distance to the region's first pivot (triangle inequality:
-       |d(x, p) - d(y, p)| <= e) leave. Classes grow by the links found, pivots that met
-       their region leave it, and a region of one class is done; what remains after
-       ``ROUNDS`` rounds is joined pair by pair between classes, under all windows. So no
-       link is lost, and a group of thousands of near copies costs a few pivots' pairs.
+    2. In a region, pairs must pass further windows before whole sets are fetched and compared
+       exactly: of size (the distance from the empty set), of place (where the region's
+       shingle stands in both sets) and of parity bits, a map of the sets to 1024 bits that
+       never makes distances larger. Regions of at most ``DIRECT`` members are joined so,
+       nearest candidates first: pairs that these bring into one class are not compared.
+    3. In larger regions the members outside the largest class meet the others if they are at
+       most ``DIRECT``; otherwise up to ``PIVOTS`` of them do, documents as pivots, for
+       ``ROUNDS`` rounds. Classes grow by the links found, pivots that met their region
+       leave it, and a region of one class is done: thousands of near copies cost a few
+       pivots' pairs.
+    4. What is larger still is cut again by the pivots {s, t}: at the next common shingle, with
+       the windows of step 1, and so on from step 3, ``deepest`` levels down. A region is cut
+       only if the parts have less than half of its pairs by their counts; one of texts that
+       share nearly all shingles, yet in many classes, is joined as it is, under all windows.
 
     Each step is partial aggregates and joins on keys; sets are fetched for pairs alone.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     table = keep(sets(docs, percent, k).withColumn("row", F.monotonically_increasing_id()), "sets")
     full = table.filter("node IS NOT NULL")
     first = full.groupBy("node").agg(F.min("row").alias("row"))
-    reps = keep(full.join(first.select("row"), "row").select("node", "n", "prefix", "bits"), "reps")
-    everywhere = Window.partitionBy("shingle")
-    pivot = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).over(everywhere)
-    regions = reps.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "shingle")).withColumn("members", F.count("*").over(everywhere)).withColumn("pivot", pivot)
-    regions = keep(regions.filter("members > 1").select("shingle", "node", "n", "i", "members", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pn")), "regions")
-    fits = lambda p, q: F.least(p, q) * 100 >= F.greatest(p, q) * percent
-    one, two = (regions.filter(F.col("members") <= DIRECT).select("shingle", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("i").alias(f"i{c}")) for c in "ab")
-    window = (F.col("a") < F.col("b")) & fits(F.col("na"), F.col("nb")) & first_common(F.col("na"), F.col("nb"), F.col("ia"), F.col("ib"), percent)
-    pairs = one.join(two, "shingle").filter(window).select("a", "b").distinct()
+    reps = keep(full.join(first.select("row"), "row").select("node", F.col("n").cast("int").alias("n"), "prefix", "bits"), "reps")
+    found = regions(reps, percent)
+    small = found.filter(F.col("members") <= DIRECT)
+    one, two = (small.select("key", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("i").alias(f"i{c}")) for c in "ab")
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    one = one.filter(lean(F.col("na"), F.col("ia"), percent, 1))
+    pairs = one.join(two, "key").filter(ordered & may_meet(F.col("na"), F.col("nb"), F.col("ia"), F.col("ib"), percent, 1)).select("a", "b").distinct()
     left, right = (reps.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, (pairs["b"] == right["b"]) & may_link(F.col("na"), F.col("nb"), F.col("xa"), F.col("xb"), percent))
     near = keep(both.select("a", pairs["b"], apart(F.col("xa"), F.col("xb")).alias("apart")), "near")
-    members = keep(regions.filter(F.col("members") > DIRECT).drop("members").join(reps.select("node", "bits"), "node"), "large")
-    discard(regions)
-    discard(reps)
+    members = keep(found.filter(F.col("members") > DIRECT).drop("members").join(reps.select("node", "bits"), "node"), "large")
+    discard(found)
     need = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
     held = whole_sets(docs, k, need)
-    linked = F.col("shared") * 100 >= F.col("total") * percent
-    stars = members.filter((F.col("node") != F.col("pivot")) & fits(F.col("n"), F.col("pn"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    met = keep(verify(stars, held, percent), "stars")
     # the nearest candidate of each set first: what comes into one class so needs no second look
     nearest = near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("p")).select("p.a", "b")
-    edges = verify(likely(nearest, held, percent), held, percent).filter(linked).select("a", "b").unionByName(met.filter(linked).select("a", "b"))
-    parts = keep(components(edges), "classes")
-    parts = grow(parts, verify(likely(between(near.select("a", "b"), parts), held, percent), held, percent).filter(linked))
-    away = met.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("total")).alias("d"), (2 * F.col("chance") / F.col("total")).alias("slack"))
-    columns = ("node", "n", "i", "pivot", "d", "slack", "bits")
-    left = members.filter("node <> pivot").join(away, ["node", "pivot"], "left").select("shingle", *columns)
-    reach = 1 - percent / 100 + 1e-9  # and what chance matches may take off a distance
-    for turn in range(ROUNDS + 1):
-        now = left.join(parts, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
-        counts = now.groupBy("shingle", "class").agg(F.count("*").alias("n_class"))
-        state = counts.groupBy("shingle").agg(F.count("*").alias("classes"), F.max(F.struct("n_class", "class")).alias("top"))
-        now = keep(now.join(state.filter("classes > 1").select("shingle", F.col("top.class").alias("top")), "shingle"), "open")
-        if not now.take(1):
-            break
-        if turn < ROUNDS:
+    parts = keep(components(links(nearest, held, percent)), "classes")
+    parts = grow(parts, links(between(near.select("a", "b"), parts), held, percent))
+    for depth in range(1, deepest(percent) + 1):
+        for turn in range(ROUNDS):
+            now = classed(members, parts, percent, depth)
+            few, outside = F.col("others") <= DIRECT, F.col("class") != F.col("top")
             slot = F.pmod(F.xxhash64("class", F.lit(turn)), F.lit(PIVOTS))
-            own = F.struct(*columns, "class").alias("own")
-            picks = now.filter("class <> top").groupBy("shingle", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("node").alias("h"), own)).alias("p"))
-            other = keep(picks.select("shingle", *[F.col(f"p.own.{c}").alias(f"{c}2") for c in (*columns, "class")]), "picks")
-        else:
-            other = now.select("shingle", *[F.col(c).alias(f"{c}2") for c in (*columns, "class")])
-        far = F.coalesce((F.col("pivot") == F.col("pivot2")) & (F.abs(F.col("d") - F.col("d2")) > reach + F.greatest("slack", "slack2")), F.lit(False))
-        window = (F.col("class") != F.col("class2")) & first_common(F.col("n"), F.col("n2"), F.col("i"), F.col("i2"), percent)
-        if turn == ROUNDS:
-            window &= F.col("node") < F.col("node2")
-        window &= ~far & may_link(F.col("n"), F.col("n2"), F.col("bits"), F.col("bits2"), percent)
-        one = now.withColumn("band", band(F.col("n"), percent))
-        two = other.withColumn("band", F.explode(F.array(*[band(F.col("n2"), percent) + x for x in (-1, 0, 1)])))
-        found = one.join(two, ["shingle", "band"]).filter(window)
-        found = found.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        parts = grow(parts, verify(likely(found, held, percent), held, percent).filter(linked))
-        if turn < ROUNDS:
-            left = now.join(other.select("shingle", F.col("node2").alias("node")), ["shingle", "node"], "left_anti").select("shingle", *columns)
+            own = F.struct("node", "n", "i", "bits", "class").alias("own")
+            picks = now.filter(outside & ~few).groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("node").alias("h"), own)).alias("p"))
+            picks = keep(picks.select("key", "p.own.*"), "picks")
+            met = meet(now, now.filter(outside & few).select(*picks.columns).unionByName(picks), percent, depth)
+            parts = grow(parts, links(met, held, percent))
+            members = now.filter(~few).join(picks.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n", "i", "bits")
+        rest = classed(members, parts, percent, depth)
+        if not rest.take(1):
+            break
+        if depth == deepest(percent):
+            parts = grow(parts, links(meet(rest, rest, percent, depth), held, percent))
+            break
+        members, level, through = split(rest, reps, percent, depth)
+        parts = grow(parts, links(meet(level, level, percent, depth).unionByName(through), held, percent))
     held.unpersist()
+    discard(reps)
     out = table.select("doc_id", "n", "node", "row").join(parts, "node", "left")
     # an empty set is a class of its own, named by its row
     out = out.withColumn("class", F.when(F.col("node").isNull(), F.struct(F.lit(True).alias("alone"), F.col("row").alias("name"))).otherwise(F.struct(F.lit(False).alias("alone"), F.coalesce("component", "node").alias("name"))))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    names = out.groupBy("class").agg(F.min("doc_id").alias("component_id"), F.min(order).alias("first"))
+    names = keep(out.groupBy("class").agg(F.min("doc_id").alias("component_id"), F.min(order).alias("first")), "names")
     out = out.join(names, "class")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("row") == F.col("first.row")).alias("kept"))
+
+
+def deepest(percent: int) -> int:
+    """Levels of cuts: at a depth under 2 p / (100 - p), sets with no further common shingle link only if one is the path itself."""
+    return max(1, min(LEVELS, math.ceil(2 * percent / (100 - percent)) - 1)) if percent < 100 else 1
