@@ -140,8 +140,37 @@ def test_repeats_against_brute_force(spark, length):
     assert [tuple(g)[1:] for g in got] == want
 
 
+def test_suffix_ranks_are_those_of_sorted_suffixes():
+    rng = np.random.default_rng(2)
+    for length in (3, 8, 20, 100, 400):
+        data = rng.integers(97, 99, 1500).astype(np.uint8)
+        data[700:1300] = data[100:700]
+        starts = np.arange(len(data) - length + 1)
+        strings = [data[i : i + length].tobytes() for i in starts]
+        ranks = repeats.suffix_ranks(data, starts, length)
+        order = np.argsort(ranks, kind="stable")
+        assert [strings[i] for i in order] == sorted(strings)
+        assert [ranks[i] == ranks[j] for i, j in zip(order[1:], order, strict=False)] == [strings[i] == strings[j] for i, j in zip(order[1:], order, strict=False)]
+
+
+def test_large_pieces_are_cut_whole(spark, monkeypatch):
+    """A passage in many texts, in full, in part and in copies, with pieces of two phrases."""
+    monkeypatch.setattr(repeats, "PIECE", 2)
+    rng = np.random.default_rng(4)
+    passage = "".join(map(chr, rng.integers(97, 123, 700)))
+    rows = []
+    for i in range(30):
+        a, b = sorted(rng.choice(700, 2, replace=False).tolist()) if i % 3 else (0, 700)
+        pre, post = ("".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(0, 300, 2))
+        rows.append((i, pre + passage[a:b] + post))
+    rows += [(100, rows[3][1]), (101, rows[4][1]), (102, passage[100:400] + passage[50:500])]
+    for length in (400, 90):
+        got = sorted(repeats.dedup(spark.createDataFrame(rows, "doc_id long, text string"), length=length).drop("kept").collect())
+        assert [tuple(g)[1:] for g in got] == brute_repeats([t.encode() for _, t in rows], length)
+
+
 def test_repeats_hot_entries_and_edges(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", 2)
+    monkeypatch.setattr(repeats, "PIECE", 2)
     core = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(500))
     rows = [(i, f"{i * 7919 % 1000:04d}" * (i + 1) + core + f"{i * 104729 % 1000:04d}" * i) for i in range(12)]
     got = sorted(repeats.dedup(spark.createDataFrame(rows, "doc_id long, text string"), length=100).drop("kept").collect())

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._bytes import chunks, mix, prefix_sums, stretch
-from tidemark.llm._shared import keep
+from tidemark.llm._shared import keep, small_batches
 
 GRAM = 128
 PLACE_BITS = 24
-HOT = 4096
+PIECE = 4096
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -30,7 +30,7 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def phrases(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(row, first start, last start, trigger key, context) of the phrases of texts laid end to end.
+    """(row, first start, last start, place of the trigger after the first start, trigger key, context) of the phrases of texts laid end to end.
 
     The trigger of a string of ``length`` bytes is its 128-byte piece with the least rolling
     hash, the first one on a tie: a like string has it at the same place. The starts that
@@ -39,7 +39,7 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     """
     gram = min(GRAM, max(1, length // 3))
     if len(data) < length:
-        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     sums = prefix_sums(data)
     at = np.arange(len(data) - gram + 1)
     keys = stretch(sums, at, at + gram)
@@ -61,26 +61,66 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
             lasts.append(start[np.r_[head[1:], len(start)] - 1])
             triggers.append(trigger[head])
     if not rows:
-        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     row, first, last, trigger = (np.concatenate(x) for x in (rows, firsts, lasts, triggers))
     context = mix(stretch(sums, first, last + length) + (trigger - first).astype(np.uint64))
-    return row, first - offsets[row], last - offsets[row], keys[trigger], context
+    return row, first - offsets[row], last - offsets[row], trigger - first, keys[trigger], context
+
+
+def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Places in the suffix array of ``data`` of the suffixes at ``starts``, compared over ``length`` bytes: equal ones agree so far.
+
+    By prefix doubling: suffixes are sorted by their first 8 bytes, then those still alike by
+    the ranks of what follows, at twice the distance each time; the last step overlaps.
+    """
+    padded = np.zeros(len(data) + length + 8, dtype=np.uint64)
+    padded[: len(data)] = data
+    width = min(8, length)
+    word = np.zeros(len(data) + length, dtype=np.uint64)
+    for j in range(width):
+        word |= padded[j : j + len(word)] << np.uint64(56 - 8 * j)
+    order = np.argsort(word, kind="stable")
+    head = np.flatnonzero(np.r_[True, word[order][1:] != word[order][:-1]])
+    rank = np.zeros(len(word) + length, dtype=np.int64)
+    sizes = np.diff(np.r_[head, len(order)])
+    rank[order] = np.repeat(head, sizes)
+    alike = order[np.repeat(sizes, sizes) > 1]
+    while width < length and len(alike):
+        step = min(width, length - width)
+        if 2 * (width + step) >= length:  # the last two steps look at the starts alone and at what the last one adds to them
+            wanted = np.zeros(len(word), dtype=bool)
+            wanted[starts] = True
+            wanted[starts + length - width - step] = True
+            alike = alike[wanted[alike]]
+        now, after = rank[alike], rank[alike + step]
+        by = np.lexsort((after, now))
+        now, after, alike = now[by], after[by], alike[by]
+        group = np.r_[True, now[1:] != now[:-1]]
+        part = group | np.r_[True, after[1:] != after[:-1]]
+        at = np.arange(len(by))
+        first = np.maximum.accumulate(np.where(group, at, 0))
+        begin = np.maximum.accumulate(np.where(part, at, 0))
+        rank[alike] = now + begin - first
+        sizes = np.diff(np.r_[np.flatnonzero(part), len(by)])
+        alike = alike[np.repeat(sizes, sizes) > 1]
+        width += step
+    return rank[starts]
 
 
 def order_windows(contexts: list[bytes], copies: np.ndarray, length: int) -> list[np.ndarray]:
     """For each context, which of its strings of ``length`` bytes start elsewhere too.
 
-    The hashes of all strings of the dictionary entries at hand are sorted; those with like
-    neighbours, or of an entry with copies, occur again.
+    The suffixes of the dictionary entries at hand are sorted by bytes; those with a neighbour
+    that agrees in ``length`` bytes, or of an entry with copies, occur again.
     """
     data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
     ends = np.cumsum([len(c) for c in contexts])
     starts = np.concatenate([np.arange(e - len(c), e - length + 1) for c, e in zip(contexts, ends.tolist(), strict=True)])
     owner = np.repeat(np.arange(len(contexts)), [len(c) - length + 1 for c in contexts])
-    strings = stretch(prefix_sums(data), starts, starts + length)
-    order = np.argsort(strings, kind="stable")
-    like = strings[order][1:] == strings[order][:-1]
-    again = np.zeros(len(strings), dtype=bool)
+    ranks = suffix_ranks(data, starts, length)
+    order = np.argsort(ranks, kind="stable")
+    like = ranks[order][1:] == ranks[order][:-1]
+    again = np.zeros(len(starts), dtype=bool)
     again[order[1:][like]] = True
     again[order[:-1][like]] = True
     again |= copies[owner] > 1
@@ -118,16 +158,18 @@ def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     text are separate and repeat each other. Other columns are ignored.
 
     Prefix-free parsing at scale: rolling-hash triggers cut all texts in phrases, alike in
-    like strings. The dictionary counts each distinct phrase in its context; the parse is the
-    table of their occurrences. A phrase whose trigger occurs once holds no repeat and goes;
-    one that occurs with a single context repeats whole. Only for triggers with several
-    contexts strings are compared, and only inside the dictionary entry: the 64-bit hashes of
-    its strings of ``length`` bytes are sorted and like neighbours repeat, so no task holds
-    more than a piece of the dictionary. No suffix array of dictionary or parse is built, as
-    which strings are alike decides and not their order; bytes are not compared, so results
-    are exact up to collisions. Entries with over ``HOT`` contexts are not gathered: their
-    strings are counted by hash in Spark with partial sums.
+    like strings; each reaches over every string whose trigger it holds, so strings lie in one
+    phrase. The dictionary counts each distinct phrase; the parse is the table of their
+    occurrences. A suffix of the corpus has a neighbour that agrees in ``length`` bytes if its
+    phrase occurs twice in the parse, or if it has one in the suffix array of the dictionary;
+    the order of longer suffixes, which the parse would give, plays no part. Phrases with one
+    trigger are put in one piece of the dictionary, whose suffixes are sorted by bytes. A piece
+    of over ``PIECE`` phrases is cut by longer triggers, half of its starts each time, with the
+    bytes that all strings of the half share, until every piece is small; so no task holds
+    more than a few of these, however many texts share a passage. Only which phrases are the
+    same rests on 64-bit hashes.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("key", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text")))))
@@ -135,24 +177,27 @@ def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, offsets in chunks(batch.column(1)):
-                row, start, last, trigger, context = phrases(data, offsets, length)
+                row, start, last, place, trigger, context = phrases(data, offsets, length)
                 if len(row):
                     keys = batch.column(0).take(pa.array(row + first))
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(start.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(trigger.view(np.int64)), pa.array(context.view(np.int64))], ["key", "start", "last", "trigger", "context"])
+                    numbers = [pa.array(x.astype(np.int32)) for x in (start, last, place)]
+                    yield pa.RecordBatch.from_arrays([keys, *numbers, pa.array(trigger.view(np.int64)), pa.array(context.view(np.int64))], ["key", "start", "last", "place", "trigger", "context"])
 
-    table = keep(rows.select("key", "text").mapInArrow(parse, "key binary, start int, last int, trigger long, context long"), "parse")
+    # aggregates are written before they are joined to the rows they come from, so that Spark may split the hot keys of the join
+    table = keep(rows.select("key", "text").mapInArrow(parse, "key binary, start int, last int, place int, trigger long, context long"), "parse")
     entries = table.groupBy("trigger").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).filter("n > 1")
-    again = keep(table.join(entries.select("trigger", (F.col("low") == F.col("high")).alias("alike")), "trigger"), "again")
+    entries = keep(entries.select("trigger", (F.col("low") == F.col("high")).alias("alike")), "entries")
+    again = keep(table.join(entries, "trigger"), "again")
     whole = again.filter("alike").select("key", F.col("start").alias("begin"), (F.col("last") + length).alias("end"))
     mixed = again.filter("NOT alike")
     words = keep(
-        mixed.groupBy("trigger", "context").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "last")).alias("o"))
-        .select("trigger", "context", "copies", "o.key", "o.start", "o.last"), "dictionary",
+        mixed.groupBy("trigger", "context").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "last", "place")).alias("o"))
+        .select("trigger", "context", "copies", "o.key", "o.start", "o.last", "o.place"), "dictionary",
     )
     several = mixed.join(words.filter("copies > 1").select("trigger", "context"), ["trigger", "context"], "left_semi")
     several = several.select("key", F.col("start").alias("begin"), (F.col("last") + length).alias("end"))
-    size = words.groupBy("trigger").agg(F.count("*").alias("contexts"))
-    asked = words.join(size, "trigger").groupBy("key").agg(F.collect_list(F.struct("trigger", "copies", "start", "last", "contexts")).alias("asked"))
+    size = keep(words.groupBy("trigger").agg(F.count("*").alias("contexts")), "sizes")
+    asked = words.join(size, "trigger").groupBy("key").agg(F.collect_list(F.struct("trigger", "copies", "start", "last", "place", "contexts")).alias("asked"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,15 +206,15 @@ def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
             for key, text, asked in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 raw = text.as_py().encode()
                 for a in asked.as_py():
-                    out.append((key.as_py(), a["trigger"], a["copies"], a["start"], a["contexts"], raw[a["start"] : a["last"] + length]))
+                    out.append((key.as_py(), a["trigger"], a["copies"], a["start"], a["place"], a["contexts"], raw[a["start"] : a["last"] + length]))
                     held += len(out[-1][-1])
-                if held > 8_000_000:
+                if held > 4_000_000:
                     yield _batch(out)
                     out, held = [], 0
             if out:
                 yield _batch(out)
 
-    found = rows.select("key", "text").join(asked, "key").select("key", "text", "asked").mapInArrow(take, "key binary, trigger long, copies long, start int, contexts long, bytes binary")
+    found = rows.select("key", "text").join(asked, "key").select("key", "text", "asked").mapInArrow(take, "key binary, trigger long, copies long, start int, place int, contexts long, bytes binary")
     found = keep(found, "contexts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,21 +228,10 @@ def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
             rest = rest[last:]
         yield from _spans(rest, length)
 
-    cool = found.filter(F.col("contexts") <= HOT).select("key", "trigger", "copies", "start", "bytes")
-    spans = cool.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(compare, "key binary, begin int, end int")
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, start, raw in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                data = np.frombuffer(raw.as_py(), dtype=np.uint8)
-                at = np.arange(len(data) - length + 1)
-                hashes = stretch(prefix_sums(data), at, at + length).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(at), pa.binary()), pa.array((at + start.as_py()).astype(np.int32)), pa.array(hashes)], ["key", "begin", "string"])
-
-    hot = found.filter(F.col("contexts") > HOT).select("key", "start", "bytes").mapInArrow(strings, "key binary, begin int, string long")
-    counted = hot.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string")
-    spans_hot = hot.join(counted, "string", "left_semi").select("key", "begin", (F.col("begin") + length).alias("end"))
-    gone = whole.unionByName(several).unionByName(spans).unionByName(spans_hot)
+    pieces, spans = _pieces(found, length)
+    sorted_ = pieces.select("key", "trigger", "copies", "start", "bytes").repartition("trigger").sortWithinPartitions("trigger")
+    spans = spans.unionByName(sorted_.mapInArrow(compare, "key binary, begin int, end int"))
+    gone = whole.unionByName(several).unionByName(spans)
     gone = gone.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     joined = rows.join(gone, "key", "left").select("doc_id", "text", "spans")
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
@@ -217,8 +251,48 @@ def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["key", "trigger", "copies", "start", "contexts", "bytes"])
+    types = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["key", "trigger", "copies", "start", "place", "contexts", "bytes"])
+
+
+def _pieces(found: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(phrases in pieces of at most ``PIECE``, spans of strings found to repeat on the way).
+
+    ``found`` has the distinct phrases (key, trigger, copies, start, place, contexts, bytes). Those
+    of a larger piece are cut in two by the distance of the trigger from a string's start; all
+    strings of a half share a longer stretch of bytes, whose hash is its trigger.
+    """
+
+    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, copies, start, place, low, high, raw in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                nearest = place - (len(raw) - length)
+                for lo, hi in ((low, (low + high) // 2), ((low + high) // 2, high)):
+                    a, b = min(hi - 1, place), max(lo, nearest)  # the farthest and the nearest start from the trigger
+                    if b <= a:
+                        part, shared = raw[place - a : place - b + length], raw[place - lo if place >= lo else 0 : place - hi + 1 + length]
+                        names = [int.from_bytes(hashlib.blake2b(x, digest_size=8, salt=lo.to_bytes(4, "big") + n.to_bytes(4, "big")).digest(), "big", signed=True) for x, n in ((shared, hi), (part, a))]
+                        out.append((key, copies, start + place - a, a, lo, hi, part, *names))
+            if out:
+                types = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["key", "copies", "start", "place", "low", "high", "bytes", "trigger", "context"])
+
+    columns = ("key", "trigger", "copies", "start", "bytes")
+    small = found.filter(F.col("contexts") <= PIECE).select(*columns)
+    none = found.filter("false").select("key", F.col("start").alias("begin"), F.col("start").alias("end"))
+    large = found.filter(F.col("contexts") > PIECE).select("key", "copies", "start", "place", F.lit(0).alias("low"), F.lit(length).alias("high"), "bytes")
+    while large.take(1):
+        halves = keep(large.mapInArrow(halve, "key binary, copies long, start int, place int, low int, high int, bytes binary, trigger long, context long"), "halves")
+        same = halves.groupBy("trigger", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "start")).alias("one"))
+        same = keep(same, "same")
+        sizes = keep(same.groupBy("trigger").agg(F.count("*").alias("contexts")), "sizes")
+        halves = keep(halves.join(same, ["trigger", "context"]).join(sizes, "trigger"), "counted")
+        none = none.unionByName(halves.filter("n > 1 AND copies = 1").select("key", F.col("start").alias("begin"), (F.col("start") + F.length("bytes")).alias("end")))
+        first = halves.filter((F.col("n") == 1) | (F.col("one") == F.struct("key", "start"))).withColumn("copies", F.greatest("copies", "n"))
+        small = small.unionByName(first.filter(F.col("contexts").between(2, PIECE)).select(*columns))
+        large = first.filter(F.col("contexts") > PIECE).select("key", "copies", "start", "place", "low", "high", "bytes")
+    return small, none
 
 
 def _spans(rows: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
