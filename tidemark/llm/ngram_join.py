@@ -25,6 +25,7 @@ DIRECT = 64
 PIVOTS = 16
 ROUNDS = 2
 LEVELS = 5
+HEAD = 8
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -108,47 +109,52 @@ def far_apart(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
 
 
 def sets(docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """doc_id, n, node (the set's identity), prefix (with a shingle more for each level) and parity bits of every row of ``docs`` (doc_id, text)."""
+    """doc_id, name (of the text), n, node (the set's identity), prefix (with a shingle more for each level) and parity bits of every row of ``docs`` (doc_id, text)."""
     classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, k))  # SKETCH bytes
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = classes.value
         for batch in batches:
             n, node, prefix, bits = [], [], [], []
-            for s in shingle_sets(batch.column(1), k):
+            for s in shingle_sets(batch.column(2), k):
                 kind = order[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
                 first = s[np.argsort(kind, kind="stable")] if len(s) and kind.any() else s
                 n.append(len(s))
                 node.append(identity(s))
                 prefix.append(first[: len(s) - (percent * len(s) + 99) // 100 + LEVELS if len(s) else 0].view(np.int64))
                 bits.append(parity(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n", "node", "prefix", "bits"])
+            columns = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "name", "n", "node", "prefix", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long, prefix array<long>, bits array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("name"), "text").mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, name long, n long, node long, prefix array<long>, bits array<long>")
 
 
 def whole_sets(docs: DataFrame, k: int, need: DataFrame) -> DataFrame:
-    """node, n, wide parity bits and all hashes (sorted, as bytes) of the sets named in ``need`` (node), spread by node.
+    """node, n, wide parity bits and all hashes (sorted, as bytes) of the sets of the texts in ``need`` (name), spread by node.
 
-    The texts are read again; a bitmap of fixed size (``MARKS`` bits) of the names lets few
-    others pass. Held on the executors' disks; a lost part is made again from the texts.
+    The texts are read again; a bitmap of fixed size (``MARKS`` bits) of their names lets few
+    others pass, and a task makes the set of equal texts once. Held on the executors' disks; a
+    lost part is made again from the texts.
     """
     spark = docs.sparkSession
-    words = need.select(F.shiftright(F.pmod(F.col("node"), F.lit(MARKS)), 6).alias("at"), F.expr("shiftleft(1L, cast(pmod(node, 64) as int))").alias("bit"))
+    words = need.select(F.shiftright(F.pmod(F.col("name"), F.lit(MARKS)), 6).alias("at"), F.expr("shiftleft(1L, cast(pmod(name, 64) as int))").alias("bit"))
     mask = np.zeros(MARKS // 64, dtype=np.uint64)
     found = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # MARKS / 64 rows at most, in one job
     mask[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     marks = spark.sparkContext.broadcast(mask)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        named = marks.value
+        named, seen = marks.value, np.zeros(0, dtype=np.int64)
         for batch in batches:
             out: list[tuple] = []
             held = 0
-            for s in shingle_sets(batch.column(0), k):
-                name = identity(s)
-                if name is not None and int(named[(name % MARKS) >> 6]) >> (name % 64) & 1:
-                    out.append((name, len(s), wide(s), s.tobytes()))
+            names, at = np.unique(batch.column(0).to_numpy(), return_index=True)
+            hit = (named[(names % MARKS) >> 6] >> (names % 64).astype(np.uint64)) & np.uint64(1) > 0
+            hit[hit] = ~np.isin(names[hit], seen)
+            seen = np.concatenate([seen, names[hit]])
+            for s in shingle_sets(batch.column(1).take(pa.array(at[hit])), k):
+                if len(s):
+                    out.append((identity(s), len(s), wide(s), s.tobytes()))
                     held += 9 * len(s)
                 if held > 1 << 21:
                     yield _set_batch(out)
@@ -156,7 +162,7 @@ def whole_sets(docs: DataFrame, k: int, need: DataFrame) -> DataFrame:
             if out:
                 yield _set_batch(out)
 
-    found = docs.select("text").mapInArrow(scan, "node long, n long, wide binary, hashes binary")
+    found = docs.select(F.xxhash64("text").alias("name"), "text").mapInArrow(scan, "node long, n long, wide binary, hashes binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return found.repartition(parts, "node").dropDuplicates(["node"]).persist(StorageLevel.DISK_ONLY)
 
@@ -266,7 +272,7 @@ def regions(reps: DataFrame, percent: int) -> DataFrame:
 
 
 def classed(members: DataFrame, parts: DataFrame, percent: int, depth: int) -> DataFrame:
-    """``members`` (key, node, n, i, bits) of the regions that hold more than one class, with class, top (the largest class), others (members outside it), leans and members."""
+    """``members`` (key, node, n, i, bits, head) of the regions that hold more than one class, with class, top (the largest class), others (members outside it), leans and members."""
     now = members.join(parts, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
     may = F.count_if(lean(F.col("n"), F.col("i"), percent, depth))
     counts = now.groupBy("key", "class").agg(F.count("*").alias("n_class"), may.alias("leans"))
@@ -276,12 +282,16 @@ def classed(members: DataFrame, parts: DataFrame, percent: int, depth: int) -> D
 
 
 def meet(one: DataFrame, two: DataFrame, percent: int, depth: int) -> DataFrame:
-    """(a, b): sets of different classes that meet in a region, ``one`` with ``two``, and pass the windows of size, place and parity bits."""
-    columns = ("node", "n", "i", "bits", "class")
+    """(a, b): sets of different classes that meet in a region, ``one`` with ``two``, and pass the windows of size, place and parity bits.
+
+    Sets that share a shingle of their ``head``, the first ones before the region's, meet in its region and not here.
+    """
+    columns = ("node", "n", "i", "bits", "head", "class")
     left = one.select("key", *columns).withColumn("band", band(F.col("n"), percent))
     right = two.select("key", *[F.col(c).alias(f"{c}2") for c in columns]).withColumn("band", F.explode(F.array(*[band(F.col("n2"), percent) + x for x in (-1, 0, 1)])))
     window = (F.col("class") != F.col("class2")) & may_meet(F.col("n"), F.col("n2"), F.col("i"), F.col("i2"), percent, depth)
-    found = left.join(right, ["key", "band"]).filter(window & may_link(F.col("n"), F.col("n2"), F.col("bits"), F.col("bits2"), percent))
+    window &= may_link(F.col("n"), F.col("n2"), F.col("bits"), F.col("bits2"), percent) & ~F.arrays_overlap("head", "head2")
+    found = left.join(right, ["key", "band"]).filter(window)
     return found.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
@@ -294,8 +304,9 @@ def split(rest: DataFrame, reps: DataFrame, percent: int, depth: int) -> tuple[D
     n, i = F.col("n"), F.col("i")
     reach = F.greatest(n - least_common(n, percent) + depth - i, F.lit(0))  # places i + 1 to n - least + depth
     longer = rest.join(reps.select("node", "prefix"), "node")
-    longer = longer.select("key", "node", "n", "class", "bits", i.alias("before"), F.posexplode(F.slice("prefix", i + 2, reach)).alias("at", "token"))
-    longer = longer.withColumn("i", F.col("before") + 1 + F.col("at")).drop("at", "before")
+    more = F.slice("prefix", i + 2, reach)
+    longer = longer.select("key", "node", "n", "class", "bits", "head", i.alias("before"), F.slice(more, F.lit(1), F.lit(HEAD)).alias("next"), F.posexplode(more).alias("at", "token"))
+    longer = longer.withColumn("i", F.col("before") + 1 + F.col("at")).withColumn("head", F.concat("head", F.slice("next", F.lit(1), F.least(F.col("at"), F.lit(HEAD))))).drop("at", "before", "next")
     may = F.count_if(lean(F.col("n"), F.col("i"), percent, depth + 1))
     counts = longer.groupBy("key", "token").agg(F.count("*").alias("n_new"), may.alias("l_new"), F.min("class").alias("low"), F.max("class").alias("high"))
     counts = keep(counts.filter("n_new > 1 AND l_new > 0 AND low <> high").select("key", "token", "n_new", "l_new"), "tokens")
@@ -304,7 +315,7 @@ def split(rest: DataFrame, reps: DataFrame, percent: int, depth: int) -> tuple[D
     pays = F.coalesce("then", F.lit(0)) * 2 < F.col("members") * F.col("leans")
     chosen = keep(now.join(then, "key", "left").select("key", pays.alias("pays")), "chosen")
     deeper = longer.join(counts.join(chosen.filter("pays"), "key").select("key", "token"), ["key", "token"])
-    deeper = deeper.select(F.xxhash64("key", "token").alias("key"), "node", "n", "i", "bits")
+    deeper = deeper.select(F.xxhash64("key", "token").alias("key"), "node", "n", "i", "bits", "head")
     both = rest.join(chosen, "key")
     whole = both.filter("pays").filter(n == depth)  # the one set that is the path itself
     return keep(deeper, "deeper"), both.filter("NOT pays"), meet(whole, both.filter("pays"), percent, depth)
@@ -349,7 +360,7 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id",
     table = keep(sets(docs, percent, k).withColumn("row", F.monotonically_increasing_id()), "sets")
     full = table.filter("node IS NOT NULL")
     first = full.groupBy("node").agg(F.min("row").alias("row"))
-    reps = keep(full.join(first.select("row"), "row").select("node", F.col("n").cast("int").alias("n"), "prefix", "bits"), "reps")
+    reps = keep(full.join(first.select("row"), "row").select("node", "name", F.col("n").cast("int").alias("n"), "prefix", "bits"), "reps")
     found = regions(reps, percent)
     small = found.filter(F.col("members") <= DIRECT)
     one, two = (small.select("key", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("i").alias(f"i{c}")) for c in "ab")
@@ -359,10 +370,11 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id",
     left, right = (reps.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, (pairs["b"] == right["b"]) & may_link(F.col("na"), F.col("nb"), F.col("xa"), F.col("xb"), percent))
     near = keep(both.select("a", pairs["b"], apart(F.col("xa"), F.col("xb")).alias("apart")), "near")
-    members = keep(found.filter(F.col("members") > DIRECT).drop("members").join(reps.select("node", "bits"), "node"), "large")
+    head = F.slice("prefix", F.lit(1), F.least(F.col("i"), F.lit(HEAD))).alias("head")
+    members = keep(found.filter(F.col("members") > DIRECT).join(reps.select("node", "bits", "prefix"), "node").select("key", "node", "n", "i", "bits", head), "large")
     discard(found)
     need = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
-    held = whole_sets(docs, k, need)
+    held = whole_sets(docs, k, reps.join(need, "node", "left_semi").select("name"))
     # the nearest candidate of each set first: what comes into one class so needs no second look
     nearest = near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("p")).select("p.a", "b")
     parts = keep(components(links(nearest, held, percent)), "classes")
@@ -372,12 +384,12 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id",
             now = classed(members, parts, percent, depth)
             few, outside = F.col("others") <= DIRECT, F.col("class") != F.col("top")
             slot = F.pmod(F.xxhash64("class", F.lit(turn)), F.lit(PIVOTS))
-            own = F.struct("node", "n", "i", "bits", "class").alias("own")
+            own = F.struct("node", "n", "i", "bits", "head", "class").alias("own")
             picks = now.filter(outside & ~few).groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("node").alias("h"), own)).alias("p"))
             picks = keep(picks.select("key", "p.own.*"), "picks")
             met = meet(now, now.filter(outside & few).select(*picks.columns).unionByName(picks), percent, depth)
             parts = grow(parts, links(met, held, percent))
-            members = now.filter(~few).join(picks.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n", "i", "bits")
+            members = now.filter(~few).join(picks.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n", "i", "bits", "head")
         rest = classed(members, parts, percent, depth)
         if not rest.take(1):
             break
