@@ -25,7 +25,7 @@ DIRECT = 64
 PIVOTS = 16
 ROUNDS = 2
 LEVELS = 5
-HEAD = 8
+HEAD = 16
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -281,15 +281,19 @@ def classed(members: DataFrame, parts: DataFrame, percent: int, depth: int) -> D
     return keep(now.join(keep(state, "state"), "key"), "open")
 
 
-def meet(one: DataFrame, two: DataFrame, percent: int, depth: int) -> DataFrame:
+def meet(one: DataFrame, two: DataFrame, percent: int, depth: int, ordered: bool = False) -> DataFrame:
     """(a, b): sets of different classes that meet in a region, ``one`` with ``two``, and pass the windows of size, place and parity bits.
 
-    Sets that share a shingle of their ``head``, the first ones before the region's, meet in its region and not here.
+    Sets that share a shingle of their ``head``, regions before this one, meet there and not
+    here. If ``ordered``, both are all members, and the smaller set comes from ``one`` alone.
     """
     columns = ("node", "n", "i", "bits", "head", "class")
     left = one.select("key", *columns).withColumn("band", band(F.col("n"), percent))
     right = two.select("key", *[F.col(c).alias(f"{c}2") for c in columns]).withColumn("band", F.explode(F.array(*[band(F.col("n2"), percent) + x for x in (-1, 0, 1)])))
     window = (F.col("class") != F.col("class2")) & may_meet(F.col("n"), F.col("n2"), F.col("i"), F.col("i2"), percent, depth)
+    if ordered:
+        window &= F.struct("n", "node") < F.struct("n2", "node2")
+        left = left.filter(lean(F.col("n"), F.col("i"), percent, depth))
     window &= may_link(F.col("n"), F.col("n2"), F.col("bits"), F.col("bits2"), percent) & ~F.arrays_overlap("head", "head2")
     found = left.join(right, ["key", "band"]).filter(window)
     return found.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
@@ -370,8 +374,11 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id",
     left, right = (reps.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, (pairs["b"] == right["b"]) & may_link(F.col("na"), F.col("nb"), F.col("xa"), F.col("xb"), percent))
     near = keep(both.select("a", pairs["b"], apart(F.col("xa"), F.col("xb")).alias("apart")), "near")
-    head = F.slice("prefix", F.lit(1), F.least(F.col("i"), F.lit(HEAD))).alias("head")
-    members = keep(found.filter(F.col("members") > DIRECT).join(reps.select("node", "bits", "prefix"), "node").select("key", "node", "n", "i", "bits", head), "large")
+    large = found.filter(F.col("members") > DIRECT)
+    # of the shared shingles before a region's the first ones, rare and common ones alike
+    shared = found.join(large.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("i", "key"))).alias("shared"))
+    head = F.slice(F.transform(F.filter("shared", lambda x: x["i"] < F.col("i")), lambda x: x["key"]), 1, HEAD).alias("head")
+    members = keep(large.join(reps.select("node", "bits"), "node").join(shared, "node").select("key", "node", "n", "i", "bits", head), "large")
     discard(found)
     need = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
     held = whole_sets(docs, k, reps.join(need, "node", "left_semi").select("name"))
@@ -394,10 +401,10 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id",
         if not rest.take(1):
             break
         if depth == deepest(percent):
-            parts = grow(parts, links(meet(rest, rest, percent, depth), held, percent))
+            parts = grow(parts, links(meet(rest, rest, percent, depth, ordered=True), held, percent))
             break
         members, level, through = split(rest, reps, percent, depth)
-        parts = grow(parts, links(meet(level, level, percent, depth).unionByName(through), held, percent))
+        parts = grow(parts, links(meet(level, level, percent, depth, ordered=True).unionByName(through), held, percent))
     held.unpersist()
     discard(reps)
     out = table.select("doc_id", "n", "node", "row").join(parts, "node", "left")
