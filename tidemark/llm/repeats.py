@@ -15,7 +15,8 @@ from tidemark.llm._shared import keep, small_batches
 
 GRAM = 128
 PLACE_BITS = 24
-PIECE = 4096
+PIECE = 512
+SORTED = 1 << 19
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -79,7 +80,7 @@ def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarra
     word = np.zeros(len(data) + length, dtype=np.uint64)
     for j in range(width):
         word |= padded[j : j + len(word)] << np.uint64(56 - 8 * j)
-    order = np.argsort(word, kind="stable")
+    order = np.argsort(word)
     head = np.flatnonzero(np.r_[True, word[order][1:] != word[order][:-1]])
     rank = np.zeros(len(word) + length, dtype=np.int64)
     sizes = np.diff(np.r_[head, len(order)])
@@ -92,11 +93,12 @@ def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarra
             wanted[starts] = True
             wanted[starts + length - width - step] = True
             alike = alike[wanted[alike]]
-        now, after = rank[alike], rank[alike + step]
-        by = np.lexsort((after, now))
-        now, after, alike = now[by], after[by], alike[by]
+        pair = rank[alike] << 32 | rank[alike + step]
+        by = np.argsort(pair)
+        pair, alike = pair[by], alike[by]
+        now = pair >> 32
         group = np.r_[True, now[1:] != now[:-1]]
-        part = group | np.r_[True, after[1:] != after[:-1]]
+        part = np.r_[True, pair[1:] != pair[:-1]]
         at = np.arange(len(by))
         first = np.maximum.accumulate(np.where(group, at, 0))
         begin = np.maximum.accumulate(np.where(part, at, 0))
@@ -218,15 +220,16 @@ def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     found = keep(found, "contexts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[tuple] = []
+        held: list[tuple] = []
+        size, last = 0, None
         for batch in batches:
-            rest += zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
-            last = len(rest)
-            while last and rest[last - 1][1] == rest[-1][1]:
-                last -= 1
-            yield from _spans(rest[:last], length)
-            rest = rest[last:]
-        yield from _spans(rest, length)
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if size > SORTED and row[1] != last:  # whole entries only
+                    yield from _spans(held, length)
+                    held, size = [], 0
+                held.append(row)
+                size, last = size + len(row[4]), row[1]
+        yield from _spans(held, length)
 
     pieces, spans = _pieces(found, length)
     sorted_ = pieces.select("key", "trigger", "copies", "start", "bytes").repartition("trigger").sortWithinPartitions("trigger")
