@@ -14,10 +14,11 @@ LEAST_SHARE = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without a letter and those in which no language has half of the mixture."""
+    """Drop texts without a letter, and those of several languages of which none has half."""
     model = language.train(docs.filter(~held_out(F.col("doc_id"))))
     found = language.identify(docs, model)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    one = (F.size("languages") == 1) | (F.col("score") >= LEAST_SHARE)
+    return found.filter((F.col("lang_pred") != "und") & one).select(*docs.columns)
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
