@@ -550,9 +550,59 @@ def test_mixtures(spark):
     assert language.identify(odd(spark), model).count() == 12 and language.identify(empty(spark), model).count() == 0
 
 
+def brute_mixture(probability, at, penalty):
+    """Every set of languages, by EM in plain loops; the best penalised likelihood wins."""
+    from itertools import combinations
+
+    n = probability.shape[1]
+
+    def fit(chosen):
+        theta = [1 / len(chosen)] * len(chosen)
+        for _ in range(60):
+            sums = [0.0] * len(chosen)
+            for s in at:
+                whole = sum(t * probability[s, k] for t, k in zip(theta, chosen, strict=True))
+                for j, k in enumerate(chosen):
+                    sums[j] += theta[j] * probability[s, k] / whole
+            theta = [x / len(at) for x in sums]
+        return sum(np.log(sum(t * probability[s, k] for t, k in zip(theta, chosen, strict=True))) for s in at)
+
+    sets = [c for r in range(1, n + 1) for c in combinations(range(n), r)]
+    return max(sets, key=lambda c: fit(c) / 3 - penalty * np.log(len(at)) * len(c))
+
+
+def test_language_sets_against_all_sets():
+    rng = np.random.default_rng(8)
+    probability = rng.dirichlet(np.full(40, 0.3), 4).T + 1e-6
+    probability /= probability.sum(axis=0)
+    for shares in ((1, 0, 0, 0), (0.5, 0.5, 0, 0), (0.1, 0, 0.9, 0), (0.4, 0.3, 0, 0.3), (0, 0, 0.02, 0.98)):
+        at = np.concatenate([rng.choice(40, int(600 * s), p=probability[:, k]) for k, s in enumerate(shares)])
+        got = {k for k, _ in language.infer(probability, at.astype(np.uint16), 5.0)}
+        assert got == set(brute_mixture(probability, at, 5.0))
+
+
+def test_many_languages_fit_the_model(spark, monkeypatch):
+    monkeypatch.setattr(language, "WIDE", 2)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("n_chars > 500")
+    model = language.train(docs)
+    assert model.shift == 1 and model.probability.shape == (language.SLOTS // 2, len(model.languages))
+    got = language.identify(docs, model)
+    assert got.filter("lang = lang_pred").count() >= 0.97 * docs.count()
+
+
 # pipeline ---------------------------------------------------------------------
 
 
+def test_language_stage_keeps_short_clean_texts(spark):
+    import corpus_pipeline as pipeline
+
+    more = [(900_001, "ok", "en", "a", 2), (900_002, "Hola", "es", "a", 4), (900_003, "No", None, None, None), (900_004, "12", "en", "a", 2), (900_005, None, "en", "a", 0)]
+    docs = documents(spark).unionByName(spark.createDataFrame(more, DOCS).select(*[F.col(f.name).cast(f.dataType) for f in documents(spark).schema.fields]))
+    kept = {r.doc_id for r in pipeline.known_language(spark, docs, SF).collect()}
+    assert {900_001, 900_002, 900_003} <= kept and not {900_004, 900_005} & kept
+    assert {r.doc_id for r in documents(spark).filter("text rlike '[a-z]'").collect()} - kept == set()
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipeline
 

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm._bytes import chunks
+from tidemark.llm._shared import small_batches
 
 SLOTS = 1 << 16
-MAX_LANGUAGES = 512
+WIDE = 512
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 32
 _FOLD[65:91] = np.arange(97, 123)
@@ -30,19 +31,21 @@ def slots(data: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """``probability[slot, language]``; at most ``MAX_LANGUAGES`` columns, so its size is bounded."""
+    """``probability[slot, language]``; with over ``WIDE`` languages slots are joined by 2 to the power of ``shift``, so its size is bounded."""
 
     languages: tuple[str, ...]
     probability: np.ndarray
+    shift: int = 0
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5) -> Model:
     """Count the n-grams of every labelled text, whole, by language.
 
     Each task sends one count per language and slot, Spark adds them; the driver gets at most
-    SLOTS x languages sums. Rows with a null text or language teach nothing. More than
-    ``MAX_LANGUAGES`` languages raise ValueError.
+    SLOTS x languages sums, in a row for each language. Rows with a null text or language teach
+    nothing. However many languages there are, the model has at most SLOTS x ``WIDE`` numbers.
     """
+    small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
@@ -60,13 +63,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoot
 
     known = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     counts = known.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    table = counts.toPandas()
-    languages = tuple(sorted(table["lang"].unique()))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES} fit the model")
-    probability = np.full((SLOTS, max(1, len(languages))), smoothing)
-    probability[table["slot"].to_numpy(), np.searchsorted(languages, table["lang"])] += table["n"].to_numpy()
-    return Model(languages, probability / probability.sum(axis=0))
+    rows = counts.groupBy("lang").agg(F.collect_list(F.struct("slot", "n")).alias("c")).select("lang", "c.slot", "c.n").toArrow()
+    order = np.argsort(np.array(rows["lang"].to_pylist(), dtype=object), kind="stable") if rows.num_rows else []
+    shift = max(0, (max(1, rows.num_rows) - 1).bit_length() - (WIDE - 1).bit_length())
+    probability = np.full((SLOTS >> shift, max(1, rows.num_rows)), smoothing)
+    for k, row in enumerate(order):
+        slot, n = (rows[c][int(row)].values.to_numpy() for c in ("slot", "n"))
+        np.add.at(probability[:, k], slot >> shift, n)
+    return Model(tuple(rows["lang"][int(row)].as_py() for row in order), probability / probability.sum(axis=0), shift)
 
 
 def shares(probability: np.ndarray, counts: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, float]:
@@ -83,18 +87,19 @@ def shares(probability: np.ndarray, counts: np.ndarray, rounds: int = 12) -> tup
 def infer(model: np.ndarray, at: np.ndarray, penalty: float) -> list[tuple[int, float]]:
     """(language, share) of the set of languages with the best penalised likelihood, largest share first.
 
-    Every n-gram overlaps two others, so a gain in likelihood counts a third.
+    Languages join in the order of their shares among all. Every n-gram overlaps two others, so
+    a gain in likelihood counts a third. No set gains more than all languages do.
     """
     ordered = np.sort(at, kind="stable")
     heads = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
     counts = np.diff(np.r_[heads, len(ordered)]).astype(float)
     p = model[ordered[heads]]
-    theta, _ = shares(p, counts)
+    theta, most = shares(p, counts)
     order = np.argsort(-theta, kind="stable")
     chosen = [int(order[0])]
     part, fit = shares(p[:, chosen], counts)
     for extra in order[1:]:
-        if theta[extra] < 0.05:
+        if (most - fit) / 3 <= penalty * np.log(len(at)):
             break
         part_more, fit_more = shares(p[:, [*chosen, int(extra)]], counts)
         if (fit_more - fit) / 3 <= penalty * np.log(len(at)):
@@ -118,13 +123,14 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: flo
     if not model.languages:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "languages": F.array().cast("array<struct<lang:string,share:double>>")})
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS x MAX_LANGUAGES at most
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS x WIDE numbers at most
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())])))])
     pairs = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
     position = docs.columns.index(text_col)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, probability = shared.value.languages, shared.value.probability
+        languages, probability, shift = shared.value.languages, shared.value.probability, shared.value.shift
         for batch in batches:
             has_letter = batch.column(batch.num_columns - 1).to_pylist()
             best, score, mixture = [], [], []
@@ -135,7 +141,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: flo
                     elif offsets[i + 1] - offsets[i] < 3:
                         found = [(0, 1 / len(languages))]
                     else:
-                        found = infer(probability, slots(data[offsets[i] : offsets[i + 1]]), penalty)
+                        found = infer(probability, slots(data[offsets[i] : offsets[i + 1]]) >> shift, penalty)
                     best.append(languages[found[0][0]] if found else "und")
                     score.append(min(1.0, max(0.0, found[0][1])) if found else 0.0)
                     mixture.append([{"lang": languages[k], "share": x} for k, x in found])
