@@ -10,7 +10,8 @@ from tidemark.config import Config, RangeLayout, Schema, Table, TimeLayout, Unit
 from tidemark.functions.expressions import flatten_claims, in_comma_list, struct_columns, structs_to_json
 from tidemark.operators import changes, grants, partitions, security, selections
 from tidemark.operators.reads import Query, SecureReader, catalog, condition
-from tidemark.plans.sync import sync
+from tidemark.plans.sync import plan, sync
+from tidemark.ship import ship
 from tidemark.sources.store import StalePlan, Store
 
 
@@ -79,7 +80,8 @@ def test_selections_and_nulls(spark):
 
 
 def test_fingerprint_sees_copies(spark):
-    one, two = (spark.createDataFrame([(1, "a")] * n, "k long, v string").agg(partitions.fingerprint(["k", "v"])).first()[0] for n in (1, 3))
+    one, two = (spark.createDataFrame([(1, "a")] * n, "k long, v string").select("k", "v") for n in (1, 3))
+    one, two = (df.agg(partitions.fingerprint(df.schema)).first()[0] for df in (one, two))
     assert one != two
 
 
@@ -95,12 +97,12 @@ def test_diff_and_plan(spark):
     assert [r.partition_id for r in changes.removed(current, stored).collect()] == ["20"]
     assert [(r.lower, r.upper, r.n) for r in changes.merged_intervals(current).orderBy("n").collect()] == [("30", "40", 1), ("0", "20", 2)]
     diff = changes.partition_diff(current, stored)
-    changes.check_plan(diff, current, stored, [], [("s", "t")])
+    changes.check_plan(diff, current, [], [("s", "t")])
     for full, known in (([("s", "t")], [("s", "t")]), ([], []), ([("s", "x")], [("s", "t")])):
         with pytest.raises(ValueError):
-            changes.check_plan(diff, current, stored, full, known)
+            changes.check_plan(diff, current, full, known)
     with pytest.raises(ValueError):
-        changes.check_plan(changes.partition_diff(current, stored), stored, stored, [], [("s", "t")])
+        changes.check_plan(changes.partition_diff(current, stored), stored, [], [("s", "t")])
 
 
 def test_structs_become_json(spark):
@@ -228,7 +230,7 @@ def test_grants_maintenance(spark, tmp_path):
     off = grants.set_enabled(g, F.col("unit_type") == "class", False, F.lit("t2"), "shop")
     assert [r.subject for r in off.filter("NOT is_enabled").collect()] == ["ana"] and grants.set_enabled(g, F.lit(True), False, F.lit("t2"), "lab").filter("NOT is_enabled").count() == 0
     assert {(r.subject, r.status) for r in grants.restore_diff(g, off.filter("subject <> 'bob'")).collect()} == {("ana", "differs"), ("bob", "only_live")}
-    path = grants.export_csv(g, f"file://{tmp_path}", "2024-06-01")
+    path = grants.export_csv(g, f"file://{tmp_path}", "2024-06-01", {"role": "backup"})
     assert spark.read.option("header", True).csv(path).count() == 3
 
 
@@ -264,3 +266,101 @@ def test_pages_counts_and_catalog(spark, tmp_path):
 def test_last_partitions_of_many_tables(spark):
     df = spark.createDataFrame([("a", p) for p in ("1", "2", "3")] + [("b", "9")], "table string, partition_id string")
     assert sorted(tuple(r) for r in partitions.last_partitions(df, 2, "table").collect()) == [("a", "2"), ("a", "3"), ("b", "9")]
+
+
+def test_fingerprint_sees_moved_nulls_and_maps(spark):
+    """A value that moves to a null beside it changes the signature, at any depth; the order of a map's entries does not."""
+    kind = "a int, b int, c string, s struct<x:int,y:int>, l array<int>, m map<string,array<map<string,int>>>"
+
+    def seen(*row):
+        df = spark.createDataFrame([row], kind)
+        return df.agg(partitions.fingerprint(df.schema)).first()[0]
+
+    base = (1, None, "x", (1, None), [1, None, 2], {"k": [{"p": 1, "q": 2}], "n": None})
+    assert seen(*base) == seen(*base[:5], {"n": None, "k": [{"q": 2, "p": 1}]})
+    others = [(None, 1, *base[2:]), (*base[:3], (None, 1), *base[4:]), (*base[:4], [1, 2, None], base[5]), (*base[:4], [None, 1, 2], base[5]), (*base[:3], None, *base[4:]), (*base[:5], {"k": None, "n": [{"p": 1, "q": 2}]}), (*base[:5], None)]
+    assert len({seen(*base), *(seen(*o) for o in others)}) == 8
+
+
+def test_moved_nulls_and_maps_are_synced(spark, tmp_path):
+    whole = Config({"shop": Schema((Table("t", "t"),))})
+    rows = [(1, None, "x", {"k": 1}), (2, "a", None, None)]
+    kind = "id int, a string, b string, m map<string,int>"
+    first = spark.createDataFrame(rows, kind)
+    root = f"file://{tmp_path}"
+    assert sync(spark, whole, root, {"t": first}).first().status == "replaced" and sync(spark, whole, root, {"t": first}).first().status == "unchanged"
+    then = spark.createDataFrame([(1, "x", None, {"k": 1}), rows[1]], kind)
+    assert sync(spark, whole, root, {"t": then}).first().status == "replaced"
+    assert {(r.id, r.a) for r in Store(spark, root).read("shop", "t").collect()} == {(1, "x"), (2, "a")}
+
+
+def test_reads_open_partitions_within_bounds_only(spark, tmp_path):
+    config = Config({"shop": Schema((Table("t", "t", TimeLayout("day", "DAY")), Table("r", "r", RangeLayout("k", 0, 30, 10))))})
+    days_ = days(spark, "2024-01-01", "2024-01-02 05:00:00", "2024-01-03")
+    ints = spark.createDataFrame([(None,), (-1,), (5,), (15,), (25,), (99,)], "k long")
+    sync(spark, config, f"file://{tmp_path}", {"t": days_, "r": ints})
+    store = Store(spark, f"file://{tmp_path}")
+    opened = lambda table, *where: len({f.rsplit("/", 2)[1] for f in store.read("shop", table, where).inputFiles()})
+    assert opened("t") == 3 and opened("t", ("day", "gte", "2024-01-02 06:00:00")) == 2 and opened("t", ("day", "lt", "2024-01-02")) == 1
+    assert opened("t", ("day", "in", ["2024-01-01", "2024-01-03 07:00:00"])) == 2 and opened("t", ("day", "eq", "2024-01-03"), ("id", "eq", 7)) == 1
+    assert opened("t", ("id", "eq", 1)) == 3 and opened("t", {"or": [("day", "lt", "2024-01-02")]}) == 3 and opened("t", ("day", "neq", "2024-01-02")) == 3
+    assert opened("r") == 4 and opened("r", ("k", "eq", "5")) == 2 and opened("r", ("k", "gt", 20)) == 2 and opened("r", ("k", "lte", 10), ("k", "gte", 5)) == 3
+    reader = SecureReader(store, spark.createDataFrame(GRANTS, security.GRANTS), USER)
+    assert [r.k for r in reader.read("shop", "r", Query(where=[("k", "eq", 99)])).collect()] == [99]
+    assert [r.id for r in reader.read("shop", "t", Query(where=[("day", "eq", "2024-01-02 05:00:00")])).collect()] == [1]
+
+
+def jobs(spark, f):
+    """Spark jobs that a call runs."""
+    group = f"jobs-{id(f)}"
+    spark.sparkContext.setJobGroup(group, "")
+    f()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_unchanged_sync_is_few_jobs_and_holds_nothing(spark, tmp_path):
+    root, df = f"file://{tmp_path}/s", days(spark, "2024-01-01", "2024-01-02", "2024-01-03")
+    sync(spark, EVENTS, root, {"t": df})
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    assert jobs(spark, lambda: sync(spark, EVENTS, root, {"t": df})) <= 8
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_plan_of_all_tables(spark, tmp_path):
+    config = Config({"shop": Schema((Table("t", "t", TimeLayout("day", "DAY")), Table("w", "w"))), "none": Schema()})
+    given = {"t": days(spark, "2024-01-01", "2024-01-02"), "w": spark.range(3)}
+    root = f"file://{tmp_path}"
+    rows = {r.table: r for r in plan(spark, config, root, given).collect()}
+    assert (rows["t"].rebuild, rows["t"].new) == (True, 2) and (rows["w"].whole, rows["w"].changed) == (True, 1)
+    sync(spark, config, root, given)
+    assert plan(spark, config, root, given).count() == 0 and plan(spark, Config(), root).count() == 0
+    row = plan(spark, config, root, given | {"t": days(spark, "2024-01-01", "2024-01-05")}).first()
+    assert (row.table, row.new, row.changed, row.removed, row.unchanged) == ("t", 1, 0, 1, 1)
+
+
+def test_roles_of_grants(spark, tmp_path):
+    g = spark.createDataFrame(GRANTS, security.GRANTS)
+    assert grants.writer_schema({"role": "policy_writer_shop"}) == "shop" and grants.written(g, {"role": "policy_writer_lab"}).count() == 1
+    for role in (None, "user", "backup", "policy_writer_"):
+        with pytest.raises(PermissionError):
+            grants.writer_schema({"role": role})
+    with pytest.raises(PermissionError):
+        grants.export_csv(g, f"file://{tmp_path}", "x", {"role": "user"})
+    meta = g.withColumn("metadata", F.create_map(F.lit("by"), F.lit("a"), F.lit("of"), F.lit("b")))
+    other = g.withColumn("metadata", F.create_map(F.lit("of"), F.lit("b"), F.lit("by"), F.lit("a")))
+    assert grants.restore_diff(meta, other).count() == 0
+    assert {r.status for r in grants.restore_diff(meta, other.withColumn("metadata", F.create_map(F.lit("by"), F.lit("c")))).collect()} == {"differs"}
+
+
+def test_jdbc_copy(spark, tmp_path):
+    sync(spark, Config({"shop": Schema((Table("st", "st"),))}), f"file://{tmp_path}", {"st": students(spark)})
+    url, driver = f"jdbc:derby:memory:mirror{tmp_path.name};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    Store(spark, f"file://{tmp_path}").to_jdbc("shop", "st", url, "students", driver)
+    assert sorted(tuple(r) for r in spark.read.jdbc(url, "students", properties=driver).collect()) == sorted(tuple(r) for r in students(spark).collect())
+
+
+def test_package_is_shipped_once(spark):
+    ship(spark)
+    ship(spark)
+    assert sum("tidemark.zip" in f for f in spark.sparkContext.listFiles) == 1

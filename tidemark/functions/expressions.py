@@ -26,6 +26,33 @@ def structs_to_json(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.to_json(c, {"ignoreNullFields": "false"}) for c in found}) if found else df
 
 
+def plain(value: Column, kind: T.DataType) -> Column:
+    """A value as nested structs and arrays in which every null is told by a flag and every map is sorted by key.
+
+    Hashes of Spark pass over nulls and refuse maps; the hash of this form sees where a null stands.
+    """
+    if isinstance(kind, T.ArrayType):
+        return F.struct(value.isNull(), F.size(value), F.transform(value, lambda v: plain(v, kind.elementType)))
+    if isinstance(kind, T.MapType):
+        items = F.transform(F.map_entries(value), lambda e: F.struct(plain(e["key"], kind.keyType).alias("k"), plain(e["value"], kind.valueType).alias("v")))
+        return F.struct(value.isNull(), F.size(value), F.array_sort(items))
+    if isinstance(kind, T.StructType):
+        return F.struct(value.isNull(), *[plain(value[f.name], f.dataType) for f in kind.fields])
+    if isinstance(kind, T.VariantType):
+        value = F.to_json(value)
+    return F.struct(value.isNull(), value)
+
+
+def row_hash(schema: T.StructType) -> Column:
+    """64-bit hash of all columns of a schema, with the places of their nulls and whatever the order of a map's entries."""
+    simple = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
+    parts: list[Column] = []
+    for f in schema.fields:
+        c = F.col(f"`{f.name}`")
+        parts += [plain(c, f.dataType)] if isinstance(f.dataType, simple) else [c.isNull(), c]
+    return F.xxhash64(*parts)
+
+
 def in_comma_list(value: Column | str, text: Column) -> Column:
     """Whether a comma list holds the value; blanks are not trimmed, null and missing lists hold nothing."""
     return F.coalesce(F.array_contains(F.split(text, ",", -1), value), F.lit(False))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.config import Table
+from tidemark.functions.expressions import epoch_ms
 from tidemark.operators.partitions import fingerprint
 
 KEY = ["schema", "table", "partition_id"]
@@ -21,8 +22,12 @@ def table_signature(table: Table, df: DataFrame) -> str:
 
 def full_signature(table: Table, df: DataFrame, signature_mode: str = "content") -> str:
     """Signature of a table that is replaced whole: what was modified, and the configuration."""
-    what = fingerprint(df.columns) if signature_mode == "content" else F.unix_millis(F.max("_metadata.file_modification_time")).cast("string")
-    return f"{df.agg(what).first()[0]}:{table_signature(table, df)}"
+    return df.agg(F.concat_ws(":", modified(df, signature_mode), F.lit(table_signature(table, df)))).first()[0]
+
+
+def modified(df: DataFrame, signature_mode: str = "content") -> Column:
+    """An aggregate that changes when the rows do, or in mode ``mtime`` when their files do."""
+    return fingerprint(df.schema) if signature_mode == "content" else epoch_ms(F.max("_metadata.file_modification_time"))
 
 
 def changed_tables(current: DataFrame, stored: DataFrame) -> DataFrame:
@@ -48,6 +53,7 @@ def partition_diff(current: DataFrame, stored: DataFrame, rebuild: bool = False)
 
 
 def removed(current: DataFrame, stored: DataFrame) -> DataFrame:
+    """Stored partitions that the table has no more."""
     return stored.join(current.select(*KEY), KEY, "left_anti")
 
 
@@ -58,21 +64,32 @@ def affected(diff: DataFrame) -> DataFrame:
 
 def table_plans(diff: DataFrame) -> DataFrame:
     """One row for each table with something to do: counts by status."""
-    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("new", "changed", "removed", "unchanged")]
-    return diff.groupBy("schema", "table").agg(*counts).filter("new + changed + removed > 0")
+    return diff.groupBy("schema", "table").agg(*_counts()).filter("new + changed + removed > 0")
+
 
+def _counts() -> list[Column]:
+    return [F.count_if(F.col("status") == s).alias(s) for s in ("new", "changed", "removed", "unchanged")]
 
-def check_plan(diff: DataFrame, current: DataFrame, stored: DataFrame, full: list[tuple[str, str]], known: list[tuple[str, str]]) -> None:
-    """Raise ValueError on a plan that contradicts itself."""
-    todo = diff.filter("status IN ('new', 'changed')").join(current.select(*KEY), KEY, "left_anti")
-    gone = diff.filter("status = 'removed'").join(current.select(*KEY), KEY, "left_semi")
-    if todo.take(1) or gone.take(1):
+
+def check_plan(diff: DataFrame, current: DataFrame, full: list[tuple[str, str]], known: list[tuple[str, str]]) -> list[Row]:
+    """The rows of :func:`table_plans` for every table of ``diff``, unchanged ones too, by one aggregate.
+
+    Raises ValueError on a plan that contradicts itself: work on partitions that the tables
+    don't have now, removal of those they have, tables planned whole and by partition, and
+    tables that are not configured.
+    """
+    sides = diff.select(*KEY, "status", F.lit(False).alias("here")).unionByName(current.select(*KEY, F.lit(None).cast("string").alias("status"), F.lit(True).alias("here")))
+    both = sides.groupBy(*KEY).agg(F.max("status").alias("status"), F.bool_or("here").alias("here"))
+    wrong = F.count_if(F.coalesce((F.col("status") == "removed") == F.col("here"), F.lit(True)))
+    plans = both.groupBy("schema", "table").agg(*_counts(), wrong.alias("wrong")).collect()  # configured tables only
+    if any(p.wrong for p in plans):
         raise ValueError("the plan and the current partitions disagree")
-    tables = {tuple(r) for r in diff.select("schema", "table").distinct().collect()}  # configured tables only
+    tables = {(p.schema, p.table) for p in plans}
     if tables & set(full):
         raise ValueError("a table is planned both whole and by partition")
     if (tables | set(full)) - set(known):
         raise ValueError("the plan names an unknown table")
+    return plans
 
 
 def merged_intervals(parts: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,18 @@ from tidemark.functions.expressions import merge_metadata
 KEY = ["schema", "subject", "unit_type", "unit_id"]
 
 
+WRITER = "policy_writer_"
+BACKUP = "backup"
+
+
+def writer_schema(claims: Mapping) -> str:
+    """The schema whose grants a requester may write, from the role ``policy_writer_<schema>``; PermissionError for all others."""
+    role = claims.get("role")
+    if not isinstance(role, str) or not role.startswith(WRITER) or role == WRITER:
+        raise PermissionError("only a schema's writer changes grants")
+    return role[len(WRITER) :]
+
+
 def check_writer(rows: DataFrame, schema: str) -> None:
     """A writer touches rows of its own schema only."""
     if rows.filter(~F.col("schema").eqNullSafe(F.lit(schema))).take(1):
@@ -58,19 +72,29 @@ def set_enabled(grants: DataFrame, where: Column, enabled: bool, now: Column, wr
 
 
 def restore_diff(live: DataFrame, restored: DataFrame) -> DataFrame:
-    """Grants that a restored copy and the live table don't share: only_live, only_restored or differs. Null keys match each other."""
-    parts = ["is_admin", "is_enabled"]
+    """Grants that a restored copy and the live table don't share: only_live, only_restored or differs.
+
+    Flags and metadata are compared, the latter whatever the order of its keys. Null keys match each other.
+    """
+    parts = ["is_admin", "is_enabled", F.array_sort(F.map_entries("metadata")).alias("metadata")]
     a = live.select(*KEY, F.struct(*parts).alias("was")).distinct()
     b = restored.select(*[F.col(c).alias(f"r_{c}") for c in KEY], F.struct(*parts).alias("now")).distinct()
     on = [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in KEY]
     both = a.join(b, on, "full_outer")
-    status = F.when(F.col("was").isNull(), "only_restored").when(F.col("now").isNull(), "only_live").when(F.col("was") != F.col("now"), "differs")
+    status = F.when(F.col("was").isNull(), "only_restored").when(F.col("now").isNull(), "only_live").when(~F.col("was").eqNullSafe(F.col("now")), "differs")
     live_side = F.col("was").isNotNull()
     return both.withColumn("status", status).filter("status IS NOT NULL").select(*[F.when(live_side, F.col(c)).otherwise(F.col(f"r_{c}")).alias(c) for c in KEY], "status")
 
 
-def export_csv(grants: DataFrame, prefix: str, date: str) -> str:
-    """One dated CSV export with a header."""
+def written(grants: DataFrame, claims: Mapping) -> DataFrame:
+    """The grants a writer sees: those of its own schema."""
+    return grants.filter(F.col("schema") == writer_schema(claims))
+
+
+def export_csv(grants: DataFrame, prefix: str, date: str, claims: Mapping) -> str:
+    """One dated CSV export of every grant, with a header, for the role ``backup`` alone."""
+    if claims.get("role") != BACKUP:
+        raise PermissionError("only the role backup exports grants")
     path = f"{prefix.rstrip('/')}/{date}"
     grants.withColumn("metadata", F.to_json("metadata")).write.option("header", True).csv(path)
     return path

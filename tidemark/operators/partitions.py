@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.config import FORMATS, RangeLayout, Table, TimeLayout
-from tidemark.functions.expressions import digest, epoch_ms
+from tidemark.functions.expressions import digest, epoch_ms, row_hash
 
 REMAINDER = "__NULL__"
 UNPARTITIONED = "__UNPARTITIONED__"
@@ -53,9 +54,9 @@ def violations(inventory: DataFrame, layout: TimeLayout | RangeLayout) -> DataFr
     return inventory.withColumn("reason", reason).filter("reason IS NOT NULL")
 
 
-def fingerprint(columns: list[str]) -> Column:
-    """Sum of row hashes with the number of rows: like rows in any order give the same, and copies don't cancel."""
-    return F.concat_ws("-", F.sum(F.xxhash64(*columns).cast("decimal(20,0)")).cast("string"), F.count("*").cast("string"))
+def fingerprint(schema: T.StructType) -> Column:
+    """Sum of the hashes of rows of a schema with their number: like rows in any order give the same, and copies don't cancel."""
+    return F.concat_ws("-", F.sum(row_hash(schema).cast("decimal(20,0)")).cast("string"), F.count("*").cast("string"))
 
 
 def inventory(df: DataFrame, layout: TimeLayout | RangeLayout, signature_mode: str = "content") -> DataFrame:
@@ -65,14 +66,10 @@ def inventory(df: DataFrame, layout: TimeLayout | RangeLayout, signature_mode: s
     the newest modification time of the files that hold rows of the partition (reads one
     column, but a file rewritten for one partition marks all others in it as changed).
     """
-    df = df.withColumn("partition_id", partition_id(layout))
+    modified = epoch_ms(F.max("_metadata.file_modification_time")) if signature_mode == "mtime" else fingerprint(df.schema)
     if isinstance(layout, TimeLayout):
         df = df.filter(F.col(layout.column).isNotNull())
-    if signature_mode == "mtime":
-        modified = epoch_ms(F.max("_metadata.file_modification_time"))
-    else:
-        modified = fingerprint([c for c in df.columns if c != "partition_id"])
-    return df.groupBy("partition_id").agg(modified.alias("modified"), F.count("*").alias("rows"))
+    return df.groupBy(partition_id(layout).alias("partition_id")).agg(modified.alias("modified"), F.count("*").alias("rows"))
 
 
 def last_partitions(found: DataFrame, n: int, *tables: str) -> DataFrame:
@@ -88,15 +85,25 @@ def in_order(found: DataFrame) -> DataFrame:
     return found.orderBy(F.col("partition_id").try_cast("long").asc_nulls_last(), "partition_id")
 
 
-def current_manifest(df: DataFrame, table: Table, table_signature: str, signature_mode: str = "content") -> DataFrame:
-    """The partitions a table has now: id, signature, kind, column, bounds and rows. Raises ValueError on unusable ones."""
-    found = with_bounds(inventory(df, table.layout, signature_mode), table.layout)
-    wrong = violations(found, table.layout).select("partition_id", "reason").take(3)
-    if wrong:
-        raise ValueError(f"{table.schema}.{table.name}: {[tuple(r) for r in wrong]}")
+def signed(found: DataFrame, table: Table, table_signature: str) -> DataFrame:
+    """An inventory with bounds as the partitions of a table: id, signature, kind, column, bounds and rows."""
     if table.last is not None:
         found = last_partitions(found, table.last)
     return found.select(
         F.lit(table.schema).alias("schema"), F.lit(table.name).alias("table"), "partition_id",
         digest(F.col("partition_id"), F.col("modified"), F.lit(table_signature)).alias("signature"), "kind", "column", "lower", "upper", "rows",
     )
+
+
+def current_manifest(df: DataFrame, table: Table, table_signature: str, signature_mode: str = "content") -> tuple[DataFrame, DataFrame]:
+    """(inventory, the partitions a table has now). Raises ValueError on unusable ones.
+
+    The inventory, a row for each partition, is held so that the source is scanned once; the
+    caller releases it.
+    """
+    found = with_bounds(inventory(df, table.layout, signature_mode), table.layout).persist()
+    wrong = violations(found, table.layout).agg(F.slice(F.collect_list(F.struct("partition_id", "reason")), 1, 3)).first()[0]
+    if wrong:
+        found.unpersist()
+        raise ValueError(f"{table.schema}.{table.name}: {[tuple(r) for r in wrong]}")
+    return found, signed(found, table, table_signature)

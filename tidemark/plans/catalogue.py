@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import Config, RangeLayout, Schema, Table, TimeLayout, Unit
-from tidemark.functions.expressions import epoch_ms, flatten_claims, in_comma_list, merge_metadata, structs_to_json
+from tidemark.functions.expressions import digest, epoch_ms, flatten_claims, in_comma_list, merge_metadata, structs_to_json
 from tidemark.operators import changes, grants, partitions, security, selections
 from tidemark.operators.reads import Query, SecureReader, catalog
-from tidemark.plans.sync import sync
+from tidemark.plans.sync import plan, sync
 from tidemark.sources.store import Store, scratch_root
 
 QUERIES: dict = {}
@@ -64,8 +64,7 @@ def _time_inventory(granularity: str, name: str, column: str):
     @query(f"time_partition_inventory_{granularity.lower()}", sql)
     def run(spark, sf_dir):
         layout = TimeLayout(column, granularity)
-        df = table(spark, sf_dir, name).filter(F.col(column).isNotNull())
-        found = df.groupBy(partitions.partition_id(layout).alias("partition_id")).agg(F.count("*").alias("rows"))
+        found = partitions.inventory(table(spark, sf_dir, name), layout)
         return partitions.with_bounds(found, layout).select("partition_id", "lower", "upper", "rows")
 
 
@@ -79,13 +78,13 @@ BUCKET_SQL = "CASE WHEN o_custkey IS NULL OR o_custkey < 100 OR o_custkey >= 102
   CASE WHEN pid = '__NULL__' THEN '100' ELSE pid END AS lower, CASE WHEN pid = '__NULL__' THEN '1025' ELSE least(pid::BIGINT + 250, 1025)::VARCHAR END AS upper, "rows"
   FROM (SELECT {BUCKET_SQL} AS pid, count(*) AS "rows" FROM orders GROUP BY 1)""")
 def range_inventory(spark, sf_dir):
-    found = table(spark, sf_dir, "orders").groupBy(partitions.partition_id(KEYS).alias("partition_id")).agg(F.count("*").alias("rows"))
+    found = partitions.inventory(table(spark, sf_dir, "orders"), KEYS)
     return partitions.in_order(partitions.with_bounds(found, KEYS).select("partition_id", "kind", "lower", "upper", "rows"))
 
 
 @query("last_n_partitions", "SELECT strftime(ts, '%Y%m%d') AS partition_id, count(*) AS \"rows\" FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 7")
 def last_n(spark, sf_dir):
-    found = table(spark, sf_dir, "events").groupBy(partitions.partition_id(DAY).alias("partition_id")).agg(F.count("*").alias("rows"))
+    found = partitions.inventory(table(spark, sf_dir, "events"), DAY).select("partition_id", "rows")
     return partitions.last_partitions(found, 7)
 
 
@@ -96,9 +95,26 @@ def bad_partitions(spark, sf_dir):
     return partitions.violations(ids.withColumn("modified", F.lit("1")), KEYS).select("partition_id", "reason")
 
 
+@query("partition_violations_time", """SELECT strftime(ts, '%Y%m%d') AS partition_id, 'no modification time' AS reason FROM events WHERE day(ts) = 4 GROUP BY 1
+ UNION ALL SELECT DISTINCT strftime(ts, '%Y%m'), 'not an id of the granularity' FROM events UNION ALL SELECT DISTINCT '__UNPARTITIONED__', 'unpartitioned rows' FROM events""")
+def bad_times(spark, sf_dir):
+    """Ids of another granularity, rows without a partition and days without a modification time."""
+    found = partitions.inventory(table(spark, sf_dir, "events"), DAY)
+    found = found.withColumn("modified", F.when(F.substring("partition_id", 7, 2) != "04", F.col("modified")))
+    months = found.select(F.substring("partition_id", 1, 6).alias("partition_id"), F.lit("1").alias("modified"), "rows").distinct()
+    odd = found.limit(1).withColumn("partition_id", F.lit(partitions.UNPARTITIONED))
+    months = months.dropDuplicates(["partition_id"])
+    return partitions.violations(partitions.with_bounds(found.unionByName(months).unionByName(odd), DAY), DAY).select("partition_id", "reason")
+
+
 # selections -------------------------------------------------------------------
 
 
+@query("extract_everything", "SELECT * FROM supplier")
+def extract_all(spark, sf_dir):
+    return selections.select_rows(table(spark, sf_dir, "supplier"), selections.Everything())
+
+
 @query("extract_time_range", "SELECT * FROM events WHERE ts >= '2024-01-10' AND ts < '2024-01-12'")
 def extract_time(spark, sf_dir):
     return selections.select_rows(table(spark, sf_dir, "events"), selections.Between("ts", "2024-01-10 00:00:00", "2024-01-12 00:00:00"))
@@ -124,15 +140,27 @@ def retain(spark, sf_dir):
 # change detection ---------------------------------------------------------------
 
 
-@query("partition_fingerprint", "SELECT strftime(ts, '%Y%m%d') AS partition_id, sum(('0x' || substr(md5(event_id || '|' || user_id || '|' || event_type), 1, 8))::BIGINT)::BIGINT AS print, count(*) AS \"rows\" FROM events GROUP BY 1")
+@query("partition_fingerprint", """SELECT strftime(ts, '%Y%m%d') AS partition_id, day(ts) NOT IN (3, 5, 7, 9) AS same, count(*) AS "rows" FROM events GROUP BY ALL""")
 def fingerprints(spark, sf_dir):
-    """The engine's own fingerprint sums xxhash64, which DuckDB lacks; here the same form over MD5."""
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", "event_id", "user_id", "event_type")), 1, 8), 16, 10).cast("long")
-    return table(spark, sf_dir, "events").groupBy(partitions.partition_id(DAY).alias("partition_id")).agg(F.sum(h).alias("print"), F.count("*").alias("rows"))
+    """Whether the engine's fingerprint of a day stays when its rows change places, and changes when a value goes to a null column beside it, in a map or to a copy of another row."""
+    events, d = table(spark, sf_dir, "events"), F.dayofmonth("ts")
+    none = F.lit(None).cast("string")
+    rows = events.withColumns({"a": F.when(d == 3, none).otherwise(F.col("event_type")), "b": F.when(d == 3, F.col("event_type")), "m": F.create_map(F.lit("k"), "event_type", F.lit("v"), none)})
+    was = rows.withColumns({"a": F.col("event_type"), "b": none}).withColumn("m", F.when(d == 7, F.create_map(F.lit("k"), none, F.lit("v"), "event_type")).otherwise(F.create_map(F.lit("v"), none, F.lit("k"), "event_type")))
+    was = was.withColumn("user_id", F.when(d == 5, F.col("user_id") + 1).otherwise(F.col("user_id")))
+    was = was.unionByName(was.filter(d == 9)).orderBy("user_id")
+    was = partitions.inventory(was, DAY).select("partition_id", F.col("modified").alias("was"))
+    return partitions.inventory(rows, DAY).join(was, "partition_id").select("partition_id", (F.col("modified") == F.col("was")).alias("same"), "rows")
+
+
+@query("partition_signatures", """SELECT strftime(ts, '%Y%m%d') AS partition_id, sha256(strftime(ts, '%Y%m%d') || ':' || count(*) || ':sig') AS signature FROM events GROUP BY strftime(ts, '%Y%m%d')""")
+def signatures(spark, sf_dir):
+    found = partitions.with_bounds(partitions.inventory(table(spark, sf_dir, "events"), DAY).withColumn("modified", F.col("rows").cast("string")), DAY)
+    return partitions.signed(found, Table("events", "events", DAY, schema="lab"), "sig").select("partition_id", "signature")
 
 
 def _manifests(spark, sf_dir):
-    found = table(spark, sf_dir, "events").groupBy(partitions.partition_id(DAY).alias("partition_id")).agg(F.count("*").alias("rows"))
+    found = partitions.inventory(table(spark, sf_dir, "events"), DAY).select("partition_id", "rows")
     base = partitions.with_bounds(found, DAY).withColumns({"schema": F.lit("lab"), "table": F.lit("events"), "signature": F.sha2(F.concat_ws(":", "partition_id", F.col("rows").cast("string")), 256)})
     day = F.substring("partition_id", 7, 2).cast("int")
     current = base.filter(day != 3)
@@ -152,6 +180,30 @@ def plans(spark, sf_dir):
     return changes.table_plans(changes.partition_diff(*_manifests(spark, sf_dir)))
 
 
+@query("affected_partitions", """SELECT DISTINCT strftime(ts, '%Y%m%d') AS partition_id, CASE WHEN day(ts) = 3 THEN 'removed' WHEN day(ts) = 20 THEN 'new' ELSE 'changed' END AS status FROM events WHERE day(ts) IN (3, 5, 6, 7, 12, 20)""")
+def affected(spark, sf_dir):
+    return changes.affected(changes.partition_diff(*_manifests(spark, sf_dir))).select("partition_id", "status")
+
+
+@query("plan_checks", """SELECT 'events' AS "table", count(DISTINCT strftime(ts, '%Y%m%d')) AS partitions, 'the plan and the current partitions disagree' AS swapped, 'a table is planned both whole and by partition' AS twice, 'the plan names an unknown table' AS unknown FROM events""")
+def plan_checks(spark, sf_dir):
+    """What the check says of a sound plan and of three that contradict themselves."""
+    current, stored = _manifests(spark, sf_dir)
+    diff = changes.partition_diff(current, stored).persist()
+
+    def said(*given) -> str:
+        try:
+            changes.check_plan(diff, *given)
+        except ValueError as e:
+            return str(e)
+        return "sound"
+
+    me = [("lab", "events")]
+    rows = [(p.table, p.new + p.changed + p.removed + p.unchanged, said(stored, [], me), said(current, me, me), said(current, [], [])) for p in changes.check_plan(diff, current, [], me)]
+    diff.unpersist()
+    return spark.createDataFrame(rows, "table string, partitions long, swapped string, twice string, unknown string")
+
+
 @query("changed_tables", """SELECT 'tpch' AS schema, r_name AS "table", md5(r_name) AS signature FROM region WHERE r_regionkey % 2 = 0 OR r_regionkey = 3""")
 def changed(spark, sf_dir):
     now = table(spark, sf_dir, "region").select(F.lit("tpch").alias("schema"), F.col("r_name").alias("table"), F.md5("r_name").alias("signature"), "r_regionkey")
@@ -220,6 +272,56 @@ def range_refresh(spark, sf_dir):
     return _served(spark, orders, edited, Config({"shop": Schema((Table("orders", "orders", KEYS),))}))
 
 
+BOTH = Config({"shop": Schema((Table("orders", "orders", TimeLayout("o_orderdate", "MONTH")), Table("part", "part"), Table("supplier", "supplier")))})
+
+
+@query("plan_all_tables", """WITH m AS (SELECT DISTINCT strftime(o_orderdate, '%Y%m') AS m FROM orders WHERE o_orderdate < '2001-01-01')
+SELECT 'shop' AS schema, 'orders' AS "table", false AS whole, false AS rebuild, 0::BIGINT AS new, count(CASE WHEN m IN ('199701', '199702') THEN 1 END) AS changed, count(CASE WHEN m = '199603' THEN 1 END) AS removed, count(CASE WHEN m NOT IN ('199603', '199701', '199702') THEN 1 END) AS unchanged FROM m
+UNION ALL SELECT DISTINCT 'shop', 'part', true, false, 0::BIGINT, 1::BIGINT, 0::BIGINT, 0::BIGINT FROM part""")
+def plan_all(spark, sf_dir):
+    """After a sync, months of orders changed and gone, part changed, supplier not."""
+    root, given = scratch_root(spark), {n: table(spark, sf_dir, n) for n in ("orders", "part", "supplier")}
+    sync(spark, BOTH, root, given)
+    return plan(spark, BOTH, root, given | {"orders": _edited(given["orders"]), "part": given["part"].filter("p_size <= 40")})
+
+
+@query("failed_table_is_skipped", """SELECT 'part' AS "table", 'failed' AS status, 0::BIGINT AS served FROM part GROUP BY ALL UNION ALL SELECT 'supplier', 'replaced', count(*) FROM supplier""")
+def failed_table(spark, sf_dir):
+    """One table's layout names a column it lacks; the other one is published all the same."""
+    root = scratch_root(spark)
+    config = Config({"shop": Schema((Table("part", "part", TimeLayout("missing", "DAY")), Table("supplier", "supplier")))})
+    result = sync(spark, config, root, {n: table(spark, sf_dir, n) for n in ("part", "supplier")})
+    served = Store(spark, root).read("shop", "supplier").agg(F.count("*").alias("n")).withColumn("of", F.lit("supplier"))
+    return result.join(served, F.col("table") == F.col("of"), "left").select("table", "status", F.coalesce("n", F.lit(0)).alias("served"))
+
+
+@query("vacuum_keeps_what_is_served", "SELECT *, 1 AS runs_gone FROM supplier WHERE s_acctbal > 0")
+def vacuum(spark, sf_dir):
+    """After two replacements the first run is deleted and the served rows stay."""
+    root, supplier = scratch_root(spark), table(spark, sf_dir, "supplier")
+    config, store = Config({"shop": Schema((Table("supplier", "supplier"),))}), Store(spark, root)
+    for df in (supplier, supplier.filter("s_acctbal > 0")):
+        sync(spark, config, root, {"supplier": df})
+    gone = store.vacuum("shop", "supplier", keep_versions=1, grace_ms=0)
+    return store.read("shop", "supplier").withColumn("runs_gone", F.lit(len(gone)))
+
+
+@query("empty_mirror_keeps_columns", "SELECT o_orderkey, o_orderdate FROM orders WHERE false")
+def empty_mirror(spark, sf_dir):
+    """Every partition of a table goes: what is served has the columns and no rows."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return _served(spark, orders, orders.filter("o_orderdate < '1900-01-01'"))
+
+
+@query("pruned_read", "SELECT * FROM orders WHERE o_orderdate >= '1997-03-10' AND o_orderdate < '1997-05-01' AND o_orderstatus = 'O'")
+def pruned_read(spark, sf_dir):
+    """Two months' files are opened, by the bounds in the manifest; the filter still holds row by row."""
+    root, orders = scratch_root(spark), table(spark, sf_dir, "orders")
+    sync(spark, Config({"shop": Schema((Table("orders", "orders", TimeLayout("o_orderdate", "MONTH")),))}), root, {"orders": orders})
+    spec = Query(where=[("o_orderdate", "gte", "1997-03-10"), ("o_orderdate", "lt", "1997-05-01"), ("o_orderstatus", "eq", "O")], cap=None)
+    return SecureReader(Store(spark, root), demo_grants(spark, sf_dir), USER).read("shop", "orders", spec)
+
+
 @query("struct_to_json", """SELECT o_orderkey, '{"key":' || o_custkey || ',"status":"' || o_orderstatus || '","none":null}' AS s, '[{"p":"' || o_orderpriority || '"}]' AS a FROM orders""")
 def to_json(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
@@ -279,6 +381,11 @@ def metadata(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", merged["note"].alias("note"), merged["created_at"].alias("created_at"), F.size(merged).cast("long").alias("n"))
 
 
+@query("digests", "SELECT p_partkey, sha256(p_name || ':' || p_brand) AS digest FROM part")
+def digests(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", digest(F.col("p_name"), F.col("p_brand")).alias("digest"))
+
+
 # grants -------------------------------------------------------------------------------
 
 
@@ -318,6 +425,26 @@ def restore(spark, sf_dir):
     return grants.restore_diff(live, restored)
 
 
+@query("grants_export", f"""WITH {GRANTS_SQL} SELECT schema, subject, is_admin::VARCHAR AS is_admin, is_enabled::VARCHAR AS is_enabled, unit_type, unit_id, '{{"note":"' || n_name || '"}}' AS metadata FROM g""")
+def export(spark, sf_dir):
+    path = grants.export_csv(demo_grants(spark, sf_dir), scratch_root(spark), "2024-06-01", {"role": "backup"})
+    return spark.read.options(header=True, escape='"', quote='"').csv(path)
+
+
+@query("grants_writer", f"""WITH {GRANTS_SQL} SELECT subject, unit_type, unit_id, is_enabled AND unit_type <> 'segment' AS is_enabled FROM g UNION ALL SELECT subject, unit_type, unit_id, is_enabled FROM g""")
+def writer(spark, sf_dir):
+    """A writer of one schema sees and switches its own grants; those of another schema stay as they are, and reading tables is refused."""
+    claims, g = {"role": "policy_writer_shop"}, demo_grants(spark, sf_dir)
+    both = g.union(g.withColumn("schema", F.lit("lab")))
+    off = grants.set_enabled(both, F.col("unit_type") == "segment", False, F.lit(CLOCK), grants.writer_schema(claims))
+    try:
+        security.secure(g, "shop", None, None, g, claims)
+    except PermissionError:
+        mine = grants.written(off, claims)
+        return mine.unionByName(off.filter("schema = 'lab'")).select("subject", "unit_type", "unit_id", "is_enabled")
+    raise RuntimeError("a writer read a table")
+
+
 # reads -----------------------------------------------------------------------------------
 
 READS = {
@@ -358,10 +485,23 @@ def count_exact(spark, sf_dir):
     return Query(where=[("o_orderstatus", "eq", "O")], limit=10).exact_count(table(spark, sf_dir, "orders"))
 
 
-def _reader(spark, sf_dir, claims: dict) -> SecureReader:
+@query("read_count_estimated", "SELECT count(*) AS total, true AS exact FROM orders WHERE o_orderkey <= 500")
+def count_estimated(spark, sf_dir):
+    """Below the cap the estimate is a count."""
+    orders = table(spark, sf_dir, "orders")
+    n, exact = Query(where=[("o_orderkey", "lte", 500)]).estimated_count(orders, orders.count())
+    return spark.createDataFrame([(n, exact)], "total long, exact boolean")
+
+
+SHOP = (Table("customer", "customer", rls=UNITS, order=("c_custkey",)), Table("events", "events", DAY, last=7), Table("orders", "orders", KEYS))
+
+
+def _reader(spark, sf_dir, claims: dict, *names: str) -> SecureReader:
+    """A reader of a fresh mirror of the named tables, or all of them."""
     root = scratch_root(spark)
-    config = Config({"shop": Schema((Table("customer", "customer", rls=UNITS, order=("c_custkey",)), Table("events", "events", DAY, last=7), Table("orders", "orders", KEYS)), claim="sub")})
-    failed = sync(spark, config, root, {n: table(spark, sf_dir, n) for n in ("customer", "events", "orders")}).filter("status = 'failed'").collect()
+    chosen = tuple(t for t in SHOP if not names or t.name in names)
+    config = Config({"shop": Schema(chosen, claim="sub")})
+    failed = sync(spark, config, root, {t.name: table(spark, sf_dir, t.name) for t in chosen}).filter("status = 'failed'").collect()
     if failed:
         raise RuntimeError(failed[0].error)
     return SecureReader(Store(spark, root), demo_grants(spark, sf_dir), claims)
@@ -370,15 +510,21 @@ def _reader(spark, sf_dir, claims: dict) -> SecureReader:
 @query("mirror_secure_page", _secure_sql("s3").replace("SELECT c.*", "SELECT c.c_custkey, c.c_name") + " AND c.c_acctbal > 0 ORDER BY c_custkey LIMIT 1000")
 def mirror_page(spark, sf_dir):
     spec = Query(where=[("c_acctbal", "gt", 0)], select=("c_custkey", "c_name"), order=(("c_custkey", "asc"),))
-    return _reader(spark, sf_dir, USER).read("shop", "customer", spec)
+    return _reader(spark, sf_dir, USER, "customer").read("shop", "customer", spec)
 
 
 @query("mirror_last_days", "SELECT * FROM events WHERE strftime(ts, '%Y%m%d') IN (SELECT DISTINCT strftime(ts, '%Y%m%d') AS d FROM events ORDER BY d DESC LIMIT 7)")
 def mirror_days(spark, sf_dir):
-    return _reader(spark, sf_dir, USER).table("shop", "events")
+    return _reader(spark, sf_dir, USER, "events").table("shop", "events")
+
+
+CATALOG_TYPES = "CASE column_type WHEN 'BIGINT' THEN 'long' WHEN 'INTEGER' THEN 'integer' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END"
+CATALOG_SQL = " UNION ALL ".join(
+    f"""SELECT 'shop' AS schema, '{t.name}' AS "table", column_name AS "column", {CATALOG_TYPES} AS type, {t.rls is not None} AS protected FROM (DESCRIBE {t.name})""" for t in SHOP
+)
 
 
-@query("catalog")
+@query("catalog", CATALOG_SQL)
 def tables(spark, sf_dir):
     return catalog(spark, _reader(spark, sf_dir, USER).store, USER)
 
@@ -386,4 +532,4 @@ def tables(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mirror the last seven days of events, then one secured, ordered page of them."""
     spec = Query(where=[("ts", "gte", "2024-01-24 00:00:00")], order=(("ts", "asc"), ("event_id", "asc")), limit=100)
-    return _reader(spark, sf_dir, USER).read("shop", "events", spec)
+    return _reader(spark, sf_dir, USER, "events").read("shop", "events", spec)

@@ -10,12 +10,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.config import Config, Table
+from tidemark.config import Config, Table, TimeLayout
 from tidemark.functions.expressions import structs_to_json
-from tidemark.operators.changes import KEY, check_plan, full_signature, merged_intervals, partition_diff, table_plans, table_signature
-from tidemark.operators.partitions import current_manifest, partition_id
+from tidemark.operators.changes import KEY, check_plan, full_signature, merged_intervals, modified, partition_diff, table_plans, table_signature
+from tidemark.operators.partitions import current_manifest, inventory, partition_id, signed, with_bounds
 from tidemark.operators.selections import Between, Remainder, predicate
-from tidemark.sources.store import MANIFEST, PID, Store
+from tidemark.sources.store import MANIFEST, PID, ROWS, Store
 
 RESULT = "schema string, table string, status string, version long, new long, changed long, removed long, error string"
 
@@ -32,14 +32,14 @@ def policy(table: Table, claim: str | None) -> dict:
 
 
 def extract(df: DataFrame, table: Table, todo: DataFrame) -> DataFrame:
-    """Rows of the partitions ``todo``, with their ``__pid``: one scan, pruned by merged intervals, then by id."""
-    spans = [r for r in merged_intervals(todo.filter("kind <> 'remainder'")).select("lower", "upper").collect()]  # a few, merged
-    cast = (lambda x: x) if todo.filter("kind = 'time'").take(1) else int
-    picks = [Between(table.layout.column, cast(r.lower), cast(r.upper)) for r in spans]
-    if todo.filter("kind = 'remainder'").take(1):
-        picks.append(Remainder(table.layout.column, table.layout.start, table.layout.end))
+    """Rows of the partitions ``todo``, with their ``__pid`` and its ``__rows``: one scan, pruned by merged intervals, then by id."""
+    rest = F.lit("remainder")
+    spans = merged_intervals(todo.filter(F.col("kind") != rest)).select("lower", "upper")
+    spans = spans.unionByName(todo.filter(F.col("kind") == rest).select(rest.alias("lower"), rest.alias("upper"))).collect()  # a few, merged
+    cast = str if isinstance(table.layout, TimeLayout) else int
+    picks = [Between(table.layout.column, cast(r.lower), cast(r.upper)) if r.lower != "remainder" else Remainder(table.layout.column, table.layout.start, table.layout.end) for r in spans]
     rows = df.filter(reduce(lambda a, b: a | b, (predicate(p, df) for p in picks), F.lit(False))).withColumn(PID, partition_id(table.layout))
-    return rows.join(todo.select(F.col("partition_id").alias(PID)), PID, "left_semi")
+    return rows.join(todo.select(F.col("partition_id").alias(PID), F.col("rows").alias(ROWS)), PID)
 
 
 def sync_table(store: Store, table: Table, df: DataFrame, claim: str | None = None, signature_mode: str = "content") -> dict:
@@ -59,26 +59,54 @@ def sync_table(store: Store, table: Table, df: DataFrame, claim: str | None = No
         return done | {"status": "replaced", "version": version, "changed": 1}
     signature = table_signature(table, df)
     rebuild = now is None or now["signature"] != signature
-    current = current_manifest(df, table, signature, signature_mode).persist()
+    found, current = current_manifest(df, table, signature, signature_mode)
+    held = [found]
     try:
         stored = store.manifest(schema, name, version)
-        diff = partition_diff(current, stored, rebuild).persist()
-        check_plan(diff, current, stored, [], [(schema, name)])
-        plan = table_plans(diff).first()
-        if plan is None and not rebuild:
+        diff = partition_diff(current, stored, rebuild)  # of the held inventory and a manifest, a row for each partition
+        plans = check_plan(diff, current, [], [(schema, name)])
+        counts = {k: plans[0][k] if plans else 0 for k in ("new", "changed", "removed")}
+        if not any(counts.values()) and not rebuild:
             return done | {"status": "unchanged", "version": version}
-        todo = current.join(diff.filter("status IN ('new', 'changed')").select(*KEY), KEY, "left_semi")
         out = structs_to_json(df)
         fresh = store.spark.createDataFrame([], MANIFEST)
-        if todo.take(1):
-            path = store.write_partitions(structs_to_json(extract(df, table, todo)), schema, name, run, todo, table.order)
+        if counts["new"] or counts["changed"]:
+            todo = current.join(diff.filter("status IN ('new', 'changed')").select(*KEY), KEY, "left_semi").persist()
+            held.append(todo)
+            path = store.write_partitions(structs_to_json(extract(df, table, todo)), schema, name, run, table.order)
             fresh = todo.withColumn("path", F.concat(F.lit(f"{path}/{PID}="), F.col("partition_id")))
         kept = stored.join(diff.filter("status = 'unchanged'").select(*KEY), KEY, "left_semi")
         version = store.publish(kept.unionByName(fresh), schema, name, out.schema, signature, policy(table, claim), version)
-        counts = {k: plan[k] for k in ("new", "changed", "removed")} if plan else {}
         return done | counts | {"status": "rebuilt" if rebuild else "refreshed", "version": version}
     finally:
-        current.unpersist()
+        for df in held:
+            df.unpersist()
+
+
+def plan(spark: SparkSession, config: Config, root: str, sources: Mapping[str, DataFrame] | None = None, signature_mode: str = "content") -> DataFrame:
+    """What :func:`sync` would do, as one table and without writing: schema, table, whole, rebuild, new, changed, removed, unchanged.
+
+    A row for every configured table with something to do; tables that are replaced whole
+    count as one changed partition, partitioned ones by partition.
+    """
+    store, parts = Store(spark, root), []
+    for table in config.tables():
+        df, now = source(spark, table, sources or {}), store.current(table.schema, table.name)
+        names = (F.lit(table.schema).alias("schema"), F.lit(table.name).alias("table"))
+        if table.layout is None:
+            same = F.concat_ws(":", modified(df, signature_mode), F.lit(table_signature(table, df))).eqNullSafe(F.lit(now["signature"] if now else None))
+            row = df.agg(same.alias("same")).filter("NOT same")
+            counts = {"new": 0, "changed": 1, "removed": 0, "unchanged": 0}
+            parts.append(row.select(*names, F.lit(True).alias("whole"), F.lit(now is None).alias("rebuild"), *[F.lit(n).cast("long").alias(c) for c, n in counts.items()]))
+            continue
+        signature = table_signature(table, df)
+        rebuild = now is None or now["signature"] != signature
+        current = signed(with_bounds(inventory(df, table.layout, signature_mode), table.layout), table, signature)
+        plans = table_plans(partition_diff(current, store.manifest(table.schema, table.name), rebuild))
+        parts.append(plans.select(*names, F.lit(False).alias("whole"), F.lit(rebuild).alias("rebuild"), "new", "changed", "removed", "unchanged"))
+    if not parts:
+        return spark.createDataFrame([], "schema string, table string, whole boolean, rebuild boolean, new long, changed long, removed long, unchanged long")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def sync(spark: SparkSession, config: Config, root: str, sources: Mapping[str, DataFrame] | None = None, signature_mode: str = "content") -> DataFrame:

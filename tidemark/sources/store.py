@@ -12,15 +12,41 @@ import json
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.expressions import row_hash
+
 MANIFEST = "schema string, table string, partition_id string, signature string, kind string, column string, lower string, upper string, rows long, path string"
 PID = "__pid"
+ROWS = "__rows"
 LARGE = 5_000_000
 
 
+def may_hold(columns: T.StructType, where: Sequence) -> Column:
+    """Whether a partition of a manifest may hold rows of a filter, by its bounds: all (column, operator, value) in ``where`` count, others rule nothing out."""
+    out = F.lit(True)
+    for spec in where:
+        if not isinstance(spec, (tuple, list)) or len(spec) != 3 or spec[1] not in ("eq", "gt", "gte", "lt", "lte", "in") or spec[0] not in columns.names:
+            continue
+        name, op, value = spec
+        kind = columns[name].dataType
+        times = isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
+        if not times and not isinstance(kind, T.IntegralType):
+            continue
+        manifest, bound = ("time", "timestamp_ntz") if times else ("range", "long")
+        low, high = (F.col(c).try_cast(bound) for c in ("lower", "upper"))
+        inside = F.lit(False)
+        for v in value if op == "in" else [value]:
+            v = F.lit(v).cast(kind).cast(bound)
+            after = high > v if op in ("eq", "gt", "gte", "in") else F.lit(True)
+            before = low <= v if op in ("eq", "in", "lte") else low < v if op == "lt" else F.lit(True)
+            inside = inside | F.coalesce(after & before, F.lit(True))
+        out = out & (inside | (F.col("kind") != manifest) | (F.col("column") != name))
+    return out
+
+
 class StalePlan(RuntimeError):
     """The table was published by someone else since the plan was made."""
 
@@ -72,13 +98,19 @@ class Store:
             return self.spark.createDataFrame([], MANIFEST)
         return self.spark.read.schema(MANIFEST).parquet(f"{self.home(schema, table)}/manifest/v={version}")
 
-    def read(self, schema: str, table: str) -> DataFrame:
-        """The published rows: only the paths that the manifest names, nothing is listed by pattern."""
+    def read(self, schema: str, table: str, where: Sequence = ()) -> DataFrame:
+        """The published rows: only the paths that the manifest names, nothing is listed by pattern.
+
+        Filters (column, operator, value) leave out the partitions whose bounds hold no such
+        row; other rows of those that stay are not filtered.
+        """
         now = self.current(schema, table)
         if now is None:
             raise ValueError(f"{schema}.{table} was never published")
-        paths = [r.path for r in self.manifest(schema, table, now["version"]).select("path").distinct().collect()]  # one for each partition
-        return self.read_paths(T.StructType.fromJson(now["columns"]), paths)
+        columns = T.StructType.fromJson(now["columns"])
+        found = self.manifest(schema, table, now["version"]).filter(may_hold(columns, where))
+        paths = [r.path for r in found.select("path").distinct().collect()]  # one for each partition
+        return self.read_paths(columns, paths)
 
     def read_paths(self, schema: T.StructType, paths: Sequence[str]) -> DataFrame:
         if not paths:
@@ -93,18 +125,16 @@ class Store:
         df.write.parquet(path)
         return path
 
-    def write_partitions(self, df: DataFrame, schema: str, table: str, run: str, sizes: DataFrame, order: Sequence[str] = ()) -> str:
-        """Rows with a ``__pid`` in one job, a folder for each partition.
+    def write_partitions(self, df: DataFrame, schema: str, table: str, run: str, order: Sequence[str] = ()) -> str:
+        """Rows with ``__pid`` and ``__rows`` (those of the partition) in one job, a folder for each partition.
 
-        Partitions go to a task each; those whose inventory counts over ``LARGE`` rows are
-        dealt to as many tasks as they need by a salt, so a hot partition is no single task.
+        Partitions go to a task each; those of over ``LARGE`` rows are dealt to as many tasks as
+        they need by a salt, so a hot partition is no single task.
         """
         path = f"{self.home(schema, table)}/run={run}"
-        large = {r.partition_id: -(-r.rows // LARGE) for r in sizes.filter(F.col("rows") > LARGE).select("partition_id", "rows").collect()}
-        salt = F.lit(0)
-        for pid, n in large.items():
-            salt = F.when(F.col(PID) == pid, F.pmod(F.xxhash64(*[c for c in df.columns if c != PID]), F.lit(n)).cast("int")).otherwise(salt)
-        df = df.withColumn("__salt", salt).repartition(PID, "__salt").drop("__salt")
+        own = T.StructType([f for f in df.schema.fields if f.name not in (PID, ROWS)])
+        salt = F.when(F.col(ROWS) > LARGE, F.pmod(row_hash(own), F.ceil(F.col(ROWS) / LARGE))).otherwise(0)
+        df = df.withColumn("__salt", salt).repartition(PID, "__salt").drop("__salt", ROWS)
         if order:
             df = df.sortWithinPartitions(PID, *order)
         df.write.partitionBy(PID).parquet(path)
