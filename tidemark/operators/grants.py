@@ -92,9 +92,9 @@ def written(grants: DataFrame, claims: Mapping) -> DataFrame:
 
 
 def export_csv(grants: DataFrame, prefix: str, date: str, claims: Mapping) -> str:
-    """One dated CSV export of every grant, with a header, for the role ``backup`` alone."""
+    """One dated CSV export of every grant, with a header and doubled quotes, for the role ``backup`` alone."""
     if claims.get("role") != BACKUP:
         raise PermissionError("only the role backup exports grants")
     path = f"{prefix.rstrip('/')}/{date}"
-    grants.withColumn("metadata", F.to_json("metadata")).write.option("header", True).csv(path)
+    grants.withColumn("metadata", F.to_json("metadata")).write.options(header=True, escape='"').csv(path)
     return path
