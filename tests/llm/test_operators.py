@@ -525,6 +525,41 @@ def test_long_conversations_are_ranked_by_blocks(spark):
     assert got == [(i, i + 1) for i in range(300)]
 
 
+def test_turns_that_are_missing_or_equal(spark):
+    rows = [(1, 0, "user", "a"), (1, 5, "user", "b"), (1, 200, "user", "c"), (1, 200, "bot", "d"), (1, 200, "bot", "d"), (1, None, "user", "e"), (None, 3, "user", "f"), (None, 4, "user", "> f"), (2, -3, "user", "x"), (2, 7, None, None)]
+    got = sorted((r.conv_id or 0, -99 if r.turn is None else r.turn, r.role or "", r.parent_turn, r.position) for r in chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect())
+    assert got == [(0, 3, "user", None, 1), (0, 4, "user", None, 1), (1, -99, "user", None, 2), (1, 0, "user", None, 1), (1, 5, "user", 0, 3), (1, 200, "bot", 5, 4), (1, 200, "bot", 5, 4), (1, 200, "user", 5, 6), (2, -3, "user", None, 1), (2, 7, "", -3, 2)]
+
+
+def test_chat_against_sql(spark, tmp_path):
+    """Random threads with nested quotes, whole and in part, and the given table."""
+    import duckdb
+
+    rng = np.random.default_rng(6)
+    said = ["yes", "The  answer is 42.", "why?\nbecause", "Ünder line", "a\n\n\n\nb", "", "> stray"]
+    rows = []
+    for c in range(40):
+        texts = []
+        for turn in np.unique(rng.integers(0, 200, 12)).tolist():
+            parts = []
+            if texts and rng.random() < 0.7:
+                quote = texts[rng.integers(len(texts))].upper() if rng.random() < 0.3 else texts[rng.integers(len(texts))]
+                parts += ["Ann wrote:"] * int(rng.integers(0, 2)) + ["> " + x for x in quote.split("\n")]
+            parts.append(said[rng.integers(len(said))])
+            texts.append("\n".join(parts))
+            rows.append((c if c else None, turn if rng.random() < 0.97 else None, "user", texts[-1] if rng.random() < 0.97 else None))
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for folder, glob in ((SF, f"{SF}/conversations.parquet"), (str(tmp_path), f"{tmp_path}/conversations.parquet/*.parquet")):
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{glob}'")
+        want = con.sql(chat.ORACLE)
+        df = queries.linked_chat(spark, folder)
+        assert sorted(want.columns) == sorted(df.columns)
+        rows = sorted((tuple(r[c] for c in want.columns) for r in df.collect()), key=str)
+        assert rows == sorted(want.fetchall(), key=str)
+        assert folder == SF or sum(r[want.columns.index("n_linked")] for r in rows) > 50
+
+
 # 10 --------------------------------------------------------------------------
 
 
