@@ -100,10 +100,12 @@ def test_shards_follow_the_ring(spark):
 
 
 def test_shards_move_little(spark):
-    docs = documents(spark)
-    before = {r.doc_id: r.shard for r in sharding.shard(docs, shards=8, load_factor=1.25).collect()}
-    after = {r.doc_id: r.shard for r in sharding.shard(docs, shards=9, load_factor=1.25).collect()}
-    assert sum(before[k] != after[k] for k in before) < 0.45 * len(before)
+    """With slack about one key of nine goes to the ninth shard, and few others move; a plain hash would move eight of nine."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    before, after = ({r.doc_id: r.shard for r in sharding.shard(docs, shards=n, load_factor=1.25).select("doc_id", "shard").collect()} for n in (8, 9))
+    moved = sum(before[k] != after[k] for k in before) / len(before)
+    new = sum(s == 8 for s in after.values()) / len(after)
+    assert new > 0.05 and moved < new + 0.08, (new, moved)
 
 
 def test_shard_edge_cases(spark):

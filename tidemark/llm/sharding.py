@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 
 from tidemark.llm._shared import keep
 
+CELLS = 20
+
 
 def position(key: str) -> int:
     """Place of a key on the ring: the first 60 bits of its MD5."""
@@ -63,8 +65,10 @@ def shard(docs: DataFrame, shards: int = 8, vnodes: int = 256, load_factor: floa
     A row's key is its id and the CRC of its text; the key's place on the ring falls in the
     arc before a virtual node, whose shard takes the row unless it holds its capacity, when
     the row goes on clockwise. Only the number of rows in each arc (shards x vnodes numbers,
-    fixed by the parameters) reaches the driver, which returns the pieces of each arc; rows
-    are ranked inside their arc alone, and slots follow from rank and piece. Null ids and
+    fixed by the parameters) reaches the driver, which returns the pieces of each arc. Rows
+    are ranked inside one of 2 to the power of ``CELLS`` cells of the ring, cells inside their
+    arc; slots follow from rank and piece. ``docs`` is read twice, nothing of it is copied,
+    and columns that the caller doesn't use move nowhere. Null ids and
     texts count as empty; repeated rows are dealt like others and are interchangeable; an
     empty table gives no rows. Returns all columns of ``docs`` (those named like a new one
     are replaced) with size, text_crc32, shard and slot.
@@ -81,14 +85,18 @@ def shard(docs: DataFrame, shards: int = 8, vnodes: int = 256, load_factor: floa
     rows = docs.drop("size", "text_crc32", "shard", "slot").withColumn("size", (F.octet_length(text) + 1).cast("long")).withColumn("text_crc32", F.crc32(text))
     key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.col("text_crc32").cast("string"))
     rows = rows.withColumn("__place", F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long"))
-    rows = keep(rows.withColumn("__arc", arc_of("__place")), "shard-rows")
+    rows = rows.withColumn("__arc", arc_of("__place")).withColumn("__cell", F.shiftright("__place", 60 - CELLS))
+    cells = keep(rows.groupBy("__arc", "__cell").agg(F.count("*").alias("n")), "shard-cells")
     loads = [0] * len(places)
-    for r in rows.groupBy("__arc").count().collect():  # at most shards x vnodes rows
+    for r in cells.groupBy("__arc").agg(F.sum("n")).collect():  # at most shards x vnodes rows
         loads[r[0]] = r[1]
     pieces = deal(loads, met, capacities(sum(loads), shards, load_factor))
     table = spark.createDataFrame(pieces, "__piece_arc int, __from long, __to long, shard int, __slot long")
-    order = Window.partitionBy("__arc").orderBy("__place", F.col(id_col), "size")
+    before = F.sum("n").over(Window.partitionBy("__arc").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.select(F.col("__arc").alias("__a"), F.col("__cell").alias("__c"), F.coalesce(before, F.lit(0)).alias("__before"))
+    order = Window.partitionBy("__arc", "__cell").orderBy("__place", F.col(id_col), "size")
     ranked = rows.withColumn("__rank", F.row_number().over(order).cast("long") - 1)
+    ranked = ranked.join(cells, (F.col("__arc") == F.col("__a")) & (F.col("__cell") == F.col("__c"))).withColumn("__rank", F.col("__rank") + F.col("__before"))
     hit = (F.col("__arc") == F.col("__piece_arc")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to"))
     placed = ranked.join(F.broadcast(table), hit)  # at most shards pieces for each of the fixed number of arcs
-    return placed.withColumn("slot", F.col("__slot") + F.col("__rank") - F.col("__from")).drop("__place", "__arc", "__piece_arc", "__from", "__to", "__slot", "__rank")
+    return placed.withColumn("slot", F.col("__slot") + F.col("__rank") - F.col("__from")).select(*rows.drop("__place", "__arc", "__cell").columns, "shard", "slot")
