@@ -347,6 +347,32 @@ def test_vectors_against_brute_force(spark):
     assert vectors.near_duplicates(data.limit(0)).count() == 0
 
 
+def test_copies_of_vectors_and_cells_cut_by_hash(spark, monkeypatch):
+    """Thousands of equal vectors are one row; rows that no distance can part are cut by hash."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=8)
+    rows = [(i, base.tolist(), 1) for i in range(3000)] + [(3000 + i, (base + rng.normal(size=8) * 1e-3).tolist(), 1) for i in range(200)] + [(4000, (-base).tolist(), 1)]
+    held = []
+    whole = vectors._cells
+    monkeypatch.setattr(vectors, "_cells", lambda rows, n: held.append(rows.count()) or whole(rows, n, levels=2))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), cell_rows=30).collect()}
+    assert held == [202] and got == {**{i: (3199, 0, i == 0) for i in range(3200)}, 4000: (0, 4000, True)}
+
+
+def test_few_pairs_of_cells_are_met(spark, monkeypatch):
+    """Clusters far apart: pairs of cells grow with the cells and not with their square."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(64, 32))
+    x = (centres[:, None] + rng.normal(size=(64, 40, 32)) * 0.02).reshape(-1, 32)
+    met = []
+    whole = vectors._descend
+    monkeypatch.setattr(vectors, "_descend", lambda *a: met.append((out := whole(*a)).count()) or out)
+    data = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = vectors.near_duplicates(data, cell_rows=64)
+    assert got.select("component_id").distinct().count() == 64 and got.filter("n_links <> 39").count() == 0
+    assert met[0] < 64 * 40
+
+
 # 7 ---------------------------------------------------------------------------
 
 

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._graph import components
-from tidemark.llm._shared import keep
+from tidemark.llm._shared import keep, small_batches
 
 LEAF = 128
-SLACK = 1e-9
+SLACK = 1e-6
 
 
 class Tree:
@@ -87,21 +87,22 @@ def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 
 def links(left: pd.DataFrame, right: pd.DataFrame | None, cosine: float) -> pd.DataFrame:
-    """(node, n, root) of the rows of one pair of cells: links counted, and the least row reached by them."""
+    """(node, n, root) of the rows of one pair of cells: vectors linked to each, copies counted, and the least row reached by them."""
     xa = np.stack(left["unit"].to_numpy())
     if right is None:
-        nodes, xb, shift = left["node"].to_numpy(), xa, 0
+        nodes, copies, xb, shift = left["node"].to_numpy(), left["copies"].to_numpy(), xa, 0
     else:
         xb, shift = np.stack(right["unit"].to_numpy()), len(left)
-        nodes = np.r_[left["node"].to_numpy(), right["node"].to_numpy()]
+        nodes, copies = (np.r_[left[c].to_numpy(), right[c].to_numpy()] for c in ("node", "copies"))
     count, label = np.zeros(len(nodes), dtype=np.int64), np.arange(len(nodes))
     tree = grow(xa)
     for i, j in dual(tree, tree if right is None else grow(xb), xa, xb, cosine):
         if right is None:
             i, j = i[i != j], j[i != j]
-            count += np.bincount(i, minlength=len(nodes))
+            np.add.at(count, i, copies[j])
         else:
-            count += np.bincount(i, minlength=len(nodes)) + np.bincount(j + shift, minlength=len(nodes))
+            np.add.at(count, i, copies[j + shift])
+            np.add.at(count, j + shift, copies[i])
         _merge(label, i, j + shift)
     hit = count > 0
     return pd.DataFrame({"node": nodes[hit], "n": count[hit], "root": nodes[label[hit]]})
@@ -110,17 +111,20 @@ def links(left: pd.DataFrame, right: pd.DataFrame | None, cosine: float) -> pd.D
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, cell_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Links of vectors with one label whose cosine is ``cosine`` or more, exactly and in double precision.
 
-    The rows of a label are cut into cells: those above ``cell_rows`` choose up to 16 centres by
-    hash, each row joins its nearest, and cells that are still too large are cut again (the
-    upper, nested levels of the cover tree). Pairs of cells that their covering radii cannot
-    rule out go to one task each, which grows a tree of both and traverses them together; a
-    cell that can't be cut by distance is cut by hash, so no task holds more than two cells.
+    Equal vectors are one row with a count. The rows of a label are the root of a cover tree,
+    whose upper levels Spark grows: nodes above ``cell_rows`` choose up to 16 centres by hash,
+    each row joins its nearest, and so on down to cells. The traversal goes down the same
+    levels, a pair of nodes at a time: from the root's pair with itself, children of a pair
+    that their covering radii cannot rule out go on. Pairs of cells left at the bottom go to
+    one task each, which grows the lower levels of both and traverses them together; a cell
+    that can't be cut by distance is cut by hash, so no task holds more than two cells.
 
     Returns one row per input row: id, n_links, component_id, kept. Rows with a null label,
     null, empty, zero or non-finite vectors link with nothing, nor do vectors of other
     lengths. Equal ids are separate rows; a null id never names a component, and if a
     component has no other, component_id and kept are null. Other columns are ignored.
     """
+    small_batches(vectors.sparkSession)
     x = F.col("unit")
     table = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("unit"))
     norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
@@ -129,16 +133,21 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, cell_rows: int = 4
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     good = F.coalesce(F.col("label").isNotNull() & (F.size("unit") > 0) & finite & (largest > 0), F.lit(False))
     table = table.withColumn("unit", F.when(good, _divided(x, largest)))
-    table = table.withColumn("unit", _divided(x, norm)).withColumn("node", F.monotonically_increasing_id())
-    table = keep(table, "vectors")
-    rows = table.filter("unit IS NOT NULL").select("node", "unit", F.concat_ws(":", F.col("label").cast("string"), F.size("unit")).alias("group"))
-    cells = keep(_cells(rows, cell_rows), "cells")
-    pairs = _pairs(cells, cosine)
-    found = keep(_joined(cells, pairs, cosine), "links")
-    counts = found.groupBy("node").agg(F.sum("n").alias("n_links"))
+    table = table.withColumn("unit", _divided(x, norm)).withColumn("row", F.monotonically_increasing_id())
+    table = table.withColumn("group", F.when(x.isNotNull(), F.concat_ws(":", F.col("label").cast("string"), F.size("unit"))))
+    table = keep(table.select("vec_id", "row", "unit", "group", F.xxhash64("unit").alias("one"), F.hash("unit").alias("two")), "vectors")
+    same = ["group", "one", "two"]
+    firsts = table.filter("unit IS NOT NULL").groupBy(*same).agg(F.min("row").alias("node"), F.count("*").alias("copies"))
+    firsts = keep(firsts, "vector-copies")
+    rows = table.select("row", "unit", "group").join(firsts.select(F.col("node").alias("row"), "copies"), "row").withColumnRenamed("row", "node")
+    cells, levels = _cells(rows, cell_rows)
+    found = keep(_joined(cells, _descend(rows, levels, cosine), cosine), "links")
+    counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     parts = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    out = table.select("vec_id", "node").join(counts, "node", "left").join(parts, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    names = out.groupBy("c").agg(F.min("vec_id").alias("component_id"))
+    firsts = firsts.join(counts, "node", "left").join(parts, "node", "left")
+    firsts = keep(firsts.select(*same, F.coalesce("component", "node").alias("c"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "vector-classes")
+    out = table.select("vec_id", "row", *same).join(firsts, same, "left").withColumn("c", F.coalesce("c", "row"))
+    names = keep(out.groupBy("c").agg(F.min("vec_id").alias("component_id")), "vector-names")
     out = out.join(names, "c")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
 
@@ -148,51 +157,73 @@ def _divided(x: Column, by: Column) -> Column:
     return F.transform(F.array(by), lambda d: F.transform(x, lambda v: v / d)).getItem(0)
 
 
-def _distance(a: str, b: str):
-    dot = F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
+def _distance(dot: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot))
 
 
-def _cells(rows: DataFrame, cell_rows: int, fan: int = 16, levels: int = 6) -> DataFrame:
-    """Add ``cell``: rows of one group cut at nearest centres, level by level, until none is above ``cell_rows`` but those cut by hash."""
+def _cells(rows: DataFrame, cell_rows: int, fan: int = 16, levels: int = 12) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows (node, unit, copies, group) with their ``cell``, and the levels of the tree above: parent, cell, centre and radius.
+
+    Nodes of a group are cut at nearest centres, level by level, until none is above ``cell_rows``; what is after all levels is cut by hash.
+    """
     now = rows.withColumn("cell", F.col("group"))
-    for level in range(levels):
-        sizes = now.groupBy("cell").count()
-        large = sizes.filter(F.col("count") > cell_rows)
+    grown: list[DataFrame] = []
+    for level in range(levels + 1):
+        large = keep(now.groupBy("cell").count().filter(F.col("count") > cell_rows), "large-cells")
         if not large.take(1):
-            return now
+            break
+        cut = now.join(large, "cell", "left")
+        if level == levels:
+            salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / cell_rows))
+            now = keep(cut.withColumn("parent", F.when(F.col("count").isNotNull(), F.col("cell"))).withColumn("cell", F.when(F.col("count").isNotNull(), F.concat_ws("#", "cell", salt)).otherwise(F.col("cell"))).drop("count"), "cells")
+            # no bounds of their own: pairs of these pass as their parents did
+            grown.append(now.filter("parent IS NOT NULL").select("parent", "cell").distinct().select("parent", "cell", F.lit(None).cast("array<double>").alias("centre"), F.lit(None).cast("double").alias("radius")))
+            break
         # one centre for each residue of a hash: a partial minimum, no ranking of a hot cell; no
         # more centres than the rows ask for, since each cell left near another sends its rows there
         pick = F.pmod(F.xxhash64("node", F.lit(level)), F.least(F.lit(fan), F.ceil(F.col("count") * 2 / cell_rows)))
-        centres = now.join(large, "cell").groupBy("cell", pick.alias("pick")).agg(F.min(F.struct(F.xxhash64("node"), F.col("unit"))).alias("c"))
-        per = centres.groupBy("cell").agg(F.collect_list(F.struct("pick", F.col("c.unit").alias("centre"))).alias("centres"))  # fan at most
-        joined = now.join(per, "cell", "left")
-        dot = lambda c: F.aggregate(F.zip_with(c["centre"], F.col("unit"), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-        nearest = F.array_max(F.transform("centres", lambda c: F.struct(dot(c).alias("dot"), c["pick"].alias("pick"))))
-        now = joined.withColumn("cell", F.when(F.col("centres").isNull(), F.col("cell")).otherwise(F.concat_ws("/", F.col("cell"), nearest["pick"]))).drop("centres")
-        now = keep(now, f"cells-{level}")
-    sizes = now.groupBy("cell").count().withColumnRenamed("count", "rows_")
-    salted = now.join(sizes, "cell")
-    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("rows_") / cell_rows))
-    return salted.withColumn("cell", F.when(F.col("rows_") > cell_rows, F.concat_ws("#", "cell", salt)).otherwise(F.col("cell"))).drop("rows_")
-
-
-def _pairs(cells: DataFrame, cosine: float) -> DataFrame:
-    """Pairs of cells of a group (a <= b) that the triangle inequality leaves, from their centres and covering radii."""
-    centres = cells.groupBy("group", "cell").agg(F.min(F.struct(F.xxhash64("node"), F.col("unit"))).alias("c")).select("group", "cell", F.col("c.unit").alias("centre"))
-    radius = cells.join(centres, ["group", "cell"]).groupBy("group", "cell").agg(F.max(_distance("unit", "centre")).alias("radius"))
-    bounds = keep(centres.join(radius, ["group", "cell"]), "bounds")
-    a = bounds.select("group", F.col("cell").alias("a"), F.col("centre").alias("ca"), F.col("radius").alias("ra"))
-    b = bounds.select("group", F.col("cell").alias("b"), F.col("centre").alias("cb"), F.col("radius").alias("rb"))
-    near = a.join(b, "group").filter(F.col("a") <= F.col("b"))
-    return near.filter(_distance("ca", "cb") <= F.col("ra") + F.col("rb") + math.sqrt(2 - 2 * cosine) + 1e-6).select("a", "b")
+        centres = cut.filter("count IS NOT NULL").groupBy("cell", pick.alias("pick")).agg(F.min(F.struct(F.xxhash64("node"), F.col("unit"))).alias("c"))
+        centres = keep(centres.select("cell", "pick", F.col("c.unit").alias("centre")), "centres")
+        per = centres.groupBy("cell").agg(F.collect_list(F.struct("pick", "centre")).alias("centres"))  # fan at most
+        nearest = F.array_max(F.transform("centres", lambda c: F.struct(_dot(c["centre"], F.col("unit")).alias("dot"), c["pick"].alias("pick"))))
+        joined = now.join(keep(per, "centres-of-cells"), "cell", "left").withColumn("nearest", F.when(F.col("centres").isNotNull(), nearest))
+        child = F.when(F.col("nearest").isNull(), F.col("cell")).otherwise(F.concat_ws("/", F.col("cell"), F.col("nearest.pick")))
+        now = keep(joined.select("node", "unit", "copies", "group", child.alias("cell"), F.when(F.col("nearest").isNotNull(), F.col("cell")).alias("parent"), "nearest"), f"cells-{level}")
+        radius = now.filter("parent IS NOT NULL").groupBy("parent", "cell", F.col("nearest.pick").alias("pick")).agg(F.max(_distance(F.col("nearest.dot"))).alias("radius"))
+        grown.append(keep(radius.join(centres.withColumnRenamed("cell", "parent"), ["parent", "pick"]).select("parent", "cell", "centre", "radius"), "bounds"))
+        now = now.drop("parent", "nearest")
+    return now.select("node", "unit", "copies", "cell"), grown
+
+
+def _descend(rows: DataFrame, levels: list[DataFrame], cosine: float) -> DataFrame:
+    """Pairs of cells (a <= b) that the triangle inequality leaves at every level from the root down."""
+    none, zero = F.lit(None).cast("array<double>"), F.lit(None).cast("double")
+    pairs = rows.select(F.col("group").alias("a")).distinct().select("a", F.col("a").alias("b"), none.alias("ca"), zero.alias("ra"), none.alias("cb"), zero.alias("rb"))
+    for level in levels:
+        one, two = (level.select(F.col("parent").alias(f"p{c}"), F.col("cell").alias(f"k{c}"), F.col("centre").alias(f"x{c}"), F.col("radius").alias(f"r{c}2")) for c in "ab")
+        both = pairs.join(one, F.col("a") == F.col("pa"), "left").join(two, F.col("b") == F.col("pb"), "left")
+        both = both.select(
+            (F.col("a") < F.col("b")).alias("apart"), F.coalesce("ka", "a").alias("a"), F.coalesce("kb", "b").alias("b"),
+            F.coalesce("xa", "ca").alias("ca"), F.coalesce("ra2", "ra").alias("ra"), F.coalesce("xb", "cb").alias("cb"), F.coalesce("rb2", "rb").alias("rb"),
+        )
+        far = _distance(_dot(F.col("ca"), F.col("cb"))) > F.col("ra") + F.col("rb") + math.sqrt(2 - 2 * cosine) + SLACK
+        both = both.filter((F.col("apart") | (F.col("a") <= F.col("b"))) & ~F.coalesce(far, F.lit(False))).drop("apart")
+        # names of cells of two parents may come in either order below
+        swap = F.col("a") > F.col("b")
+        pairs = keep(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *[F.when(swap, F.col(q)).otherwise(F.col(p)).alias(p) for p, q in (("ca", "cb"), ("ra", "rb"), ("cb", "ca"), ("rb", "ra"))]), "cell-pairs")
+    return pairs.select("a", "b")
 
 
 def _joined(cells: DataFrame, pairs: DataFrame, cosine: float) -> DataFrame:
     """Links of every pair of cells, one task's work at a time."""
-    left = cells.select(F.col("cell").alias("a"), "node", "unit").join(pairs, "a").withColumn("side", F.lit(0))
-    right = cells.select(F.col("cell").alias("b"), "node", "unit").join(pairs.filter("a <> b"), "b").withColumn("side", F.lit(1))
-    both = left.select("a", "b", "side", "node", "unit").unionByName(right.select("a", "b", "side", "node", "unit"))
+    columns = ("a", "b", "side", "node", "unit", "copies")
+    left = cells.withColumnRenamed("cell", "a").join(pairs, "a").withColumn("side", F.lit(0))
+    right = cells.withColumnRenamed("cell", "b").join(pairs.filter("a <> b"), "b").withColumn("side", F.lit(1))
+    both = left.select(*columns).unionByName(right.select(*columns))
 
     def work(table: pa.Table) -> pa.Table:
         frame = table.to_pandas()
