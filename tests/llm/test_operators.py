@@ -307,6 +307,27 @@ def test_article_is_found():
     assert html.main_text(page) == "Head & line\nFirst paragraph with, commas, and text éé.\nSecond bold\nThird, unclosed, paragraph goes on and on here."
 
 
+PARAGRAPH = "<p>Paragraph {}, with a comma, or two, and enough length to count for the score of a text like this one, which goes on for a while.</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "lines"),
+    [
+        ('<body><div class="content has-sidebar">{}</div><div class="sidebar"><p>Side text, one of two, long enough to be a paragraph.</p></div></body>', 5),
+        ('<body><nav><a href=/>x</a></nav><div class="share-your-story text social">{}</div></body>', 5),
+        ('<body><p>A stray paragraph, of some length, beside the layout of the page.</p><div id=main class="layout right rail">{}</div></body>', 5),
+        ('<body><form action=/><input value=x><div class=menu><a href=a>a</a></div><div>{}</div><select><option>no</select></form></body>', 5),
+        ('<body><div class="site-header"><h2>Site name, and more words to it, and more</h2></div><div class="entry"><div class="entry-header"><h1>Title of it</h1></div>{}</div></body>', 6),
+        ('<body><div class="page comments-open"><article>{}</article><section id="comments"><article class="comment"><p>First, I think, this is wrong, and long enough, really.</p></article></section></div></body>', 5),
+        ("<body><article>{}</article><div class=comments>" + "".join(f"<p>Reader {i} says, at length, that this, of all things, is wrong, and goes on and on.</p>" for i in range(20)) + "</div></body>", 5),
+        ("<body><main>{}<div class=newsletter><p>Sign up, now, for letters, that come, every day, to you, in the morning.</p></div></main></body>", 5),
+    ],
+)
+def test_labels_lower_scores_and_wrappers_stay(page, lines):
+    got = html.main_text(page.replace("{}", "".join(PARAGRAPH.format(i) for i in range(5)))).split("\n")
+    assert sum(x.startswith("Paragraph") for x in got) == 5 and len(got) == lines, got
+
+
 def test_container_by_score_and_odd_pages(spark):
     body = "".join(f"<p>Paragraph {i}, with a comma, and enough length to count for the score.</p>" for i in range(4))
     page = f"<html><body><div class=menu><ul><li><a href=a>x</a></ul></div><div><div>{body}</div></div><div><a href=b>links only, many, of, them, all, links</a></div></body>"

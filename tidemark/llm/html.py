@@ -27,14 +27,18 @@ BLOCK = {
 }
 DROPPED = {
     "script", "style", "noscript", "template", "iframe", "object", "embed", "applet", "canvas", "svg", "math", "audio", "video", "textarea", "select",
-    "button", "form", "input", "nav", "menu", "footer", "aside", "dialog", "head", "title", "datalist", "noembed", "noframes", "map",
+    "button", "input", "nav", "menu", "footer", "aside", "dialog", "head", "title", "datalist", "noembed", "noframes", "map",
 }
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "status"}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "status"}
 NEGATIVE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|sidebar\w*|side|rail|widget\w*|cookies?|consent|gdpr|notices?|alert"
-    r"|popup|modal|overlay|subscri\w+|newsletter|signup|login|comments?|disqus|respond|replies|reply|share\w*|sharing|social|related|recommend\w*|pagination|pager|toolbar|skip|search)(?:$|[\s_-])"
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|sidebar\w*|side|rail|widget\w*|cookies?|consent|gdpr|notices?|alert"
+    r"|popup|modal|overlay|subscri\w+|newsletter|signup|login|comments?|disqus|respond|replies|reply|share\w*|sharing|social|related|recommend\w*|pagination|pager|toolbar|skip|search"
 )
-POSITIVE = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|body|entry|post|story|text|prose)(?:$|[\s_-])")
+POSITIVE = re.compile(r"article\w*|content|main|body|entry|post|story|text|prose")
+TITLES = {"header", "masthead"}
+MODIFIERS = {"has", "have", "with", "without", "no", "not", "show", "is", "can", "your", "my", "our", "the"}
+WORDS = re.compile(r"[^\W_]+")
+MINE, DOUBTFUL, ALIEN = 0, 1, 2
 CLOSES_P = BLOCK - {"br"}
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"table", "ul", "ol", "dl", "div", "section", "article", "body", "td", "th"}
@@ -42,19 +46,43 @@ SPACE = re.compile(r"\s+")
 DEPTH = 200
 
 
+def label_of(names: str) -> tuple[bool, int]:
+    """(whether a class or id says main text, and how surely one says something else).
+
+    A name such as ``sidebar`` or ``post-comments`` is alien; one with a modifier (``has-sidebar``,
+    ``share-your-story``), or beside another that says main text, is doubtful.
+    """
+    good, bad = False, MINE
+    for name in names.split():
+        words = WORDS.findall(name)
+        says = any(POSITIVE.fullmatch(w) for w in words)
+        wrong = [w for w in words if NEGATIVE.fullmatch(w) and not (says and w in TITLES)]
+        if wrong:
+            bad = max(bad, DOUBTFUL if MODIFIERS & set(words) else ALIEN)
+        elif says:
+            good = True
+    return good, min(bad, DOUBTFUL) if good else bad
+
+
 class Node:
     """An element: its parts in order (text or elements), and what scoring gathers in it."""
 
-    __slots__ = ("dropped", "link", "name", "parent", "parts", "score", "size", "weight")
+    __slots__ = ("core", "dropped", "link", "name", "parent", "parts", "points", "score", "size", "suspect", "weight")
 
     def __init__(self, name: str, attrs: str, parent: Node | None):
-        self.name, self.parent, self.parts, self.score, self.size, self.link = name, parent, [], 0.0, 0, 0
+        self.name, self.parent, self.parts = name, parent, []
+        self.clear()
         found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attrs)} if attrs else {}
-        label = f"{found.get('class', '')} {found.get('id', '')}"
-        self.weight = 25.0 if name in ("article", "main") or found.get("role") in ("main", "article") else 10.0 if POSITIVE.search(label) else 0.0
-        bad = NEGATIVE.search(label) is not None and name not in ("body", "html", "article", "main")
+        good, bad = label_of(f"{found.get('class', '')} {found.get('id', '')}") if "class" in found or "id" in found else (False, MINE)
+        top = name in ("article", "main") or found.get("role") in ("main", "article")
+        self.suspect = MINE if name in ("body", "html") else ALIEN if name == "form" or found.get("role") == "form" else min(bad, DOUBTFUL) if top and name == "main" else bad
+        self.weight = -25.0 if self.suspect else 25.0 if top else 10.0 if good else 0.0
+        self.core = self.suspect < ALIEN and (top or good or name == "h1")
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")) is not None
-        self.dropped = name in DROPPED or found.get("role") in ROLES or hidden or bad or name == "header" and not inside(parent, "article")
+        self.dropped = name in DROPPED or found.get("role") in ROLES or hidden or name == "header" and not inside(parent, "article")
+
+    def clear(self) -> None:
+        self.score, self.size, self.link, self.points = 0.0, 0, 0, 0.0
 
 
 def inside(node: Node | None, name: str) -> bool:
@@ -150,7 +178,7 @@ def blocks(node: Node) -> list[str]:
 
 
 def measure(node: Node, in_link: bool = False) -> None:
-    """Set size and link (characters in all and in links) and give each paragraph's points to its ancestors.
+    """Set size, link (characters in all and in links) and points (of all paragraphs inside), and give each paragraph's points to its ancestors.
 
     A run of text straight in an element counts as a paragraph: one point, one for each
     comma, one for each hundred characters up to three; the parent gets them whole, the
@@ -166,6 +194,7 @@ def measure(node: Node, in_link: bool = False) -> None:
             measure(part, in_link or part.name == "a")
             node.size += part.size
             node.link += part.link
+            node.points += part.points
             if part.name not in BLOCK:
                 own += part.size
     if own:
@@ -174,18 +203,59 @@ def measure(node: Node, in_link: bool = False) -> None:
         node.link += text if in_link or node.name == "a" else 0
     if own >= 25 and (node.name in BLOCK or node.parent is None):
         points = (1 + commas + min(own // 100, 3)) * (1 - min(1.0, node.link / max(1, node.size)))
+        node.points += points
         up, share = node.parent or node, 1
         while up is not None and share <= 5:
             up.score += points / share
             up, share = up.parent, share + 1
 
 
+def prune(root: Node) -> bool:
+    """Drop what labels and scores together say is no main text; whether anything was.
+
+    An element that holds half of all points, and either nearly all of them or an element
+    that says main text, is a wrapper whatever its label, and stays. Otherwise forms and alien
+    elements go, doubtful ones only if their text is short or mostly links.
+    """
+    todo, gone = [root], False
+    core: dict[int, bool] = {}
+
+    def says_main(n: Node) -> bool:
+        if id(n) not in core:
+            core[id(n)] = n.core or any(says_main(p) for p in n.parts if not isinstance(p, str) and not p.dropped and p.suspect < ALIEN)
+        return core[id(n)]
+
+    while todo:
+        n = todo.pop()
+        if n.suspect and not n.dropped:
+            wrapper = root.points > 0 and n.points >= root.points / 2 and (root.points - n.points < 2 or says_main(n))
+            if wrapper:
+                n.weight = 10.0 if says_main(n) else 0.0
+            elif n.suspect == ALIEN or n.size < 200 or n.link > n.size / 3:
+                n.dropped = gone = True
+        if not n.dropped:
+            todo += [p for p in n.parts if not isinstance(p, str)]
+    return gone
+
+
+def forget(root: Node) -> None:
+    """Back to the state before scoring."""
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        n.clear()
+        todo += [p for p in n.parts if not isinstance(p, str)]
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the best container and of the siblings that score with it, one to a line."""
     if not page:
         return ""
     root = parse(page)
     measure(root)
+    if prune(root):
+        forget(root)
+        measure(root)
     best, top = root, -1.0
     todo = [root]
     while todo:
@@ -214,8 +284,9 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Add ``text`` and ``n_chars``: the article of each page, whole.
 
-    Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
-    go by element, role, class or id before scoring. Null, empty and article-less pages give
+    Menus, headers, footers, sidebars, adverts, scripts and styles that say so by element or
+    role go before scoring. Forms and what a class or id calls a sidebar, notice, advert or
+    comments score lower, and go unless they hold the page's main text themselves. Null, empty and article-less pages give
     an empty text; broken and cut markup is read as far as it goes. Rows stand alone, so
     nothing is shuffled. Columns named ``text`` or ``n_chars`` are replaced, others kept.
     """
