@@ -9,6 +9,7 @@ from tidemark.llm._shared import discard, keep
 
 
 EDGES = 2048
+MANY = 1_000_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,15 +18,18 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps, each a partial minimum by node and a join,
     until every node has one edge, to a node that has none: its component. Each round is
     written to the shared folder, in files of ``EDGES`` edges at least by the count of the
-    round before. No edges give no rows.
+    round before. With over ``MANY`` edges the minima are written too, so that Spark may split
+    the join of a node with very many edges. No edges give no rows.
     """
     now = keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     count, unsettled = _state(now)
     while unsettled:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = keep(least, "least") if count > MANY else least
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
+        lower = keep(lower, "lower") if count > MANY else lower
         small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         following = small.unionByName(lower.select("a", F.col("m").alias("b"))).distinct()
         following = keep(following.coalesce(-(-count // EDGES)), "edges")

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.ship import ship
+
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4 << 20
 
@@ -22,11 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Let no Arrow batch hold more than ``BATCH_BYTES``, or one row, so that workers hold little at once.
+def ready(spark: SparkSession) -> None:
+    """Send the package to the workers, and let no Arrow batch hold more than ``BATCH_BYTES``, or one row, so that they hold little at once.
 
-    A setting of the session; a smaller one stays.
+    The latter is a setting of the session; a smaller one stays.
     """
+    ship(spark)
     held = spark.conf.get(BATCH, "64m").lower()
     if int(held.rstrip("kmgb")) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(held.rstrip("b")[-1:], 1) > BATCH_BYTES:
         spark.conf.set(BATCH, str(BATCH_BYTES))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm._bytes import chunks, shingles, short, words
+from tidemark.llm._shared import ready
 
 SHINGLE = 5
 BITS = 64
@@ -140,6 +141,7 @@ def contaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius
     named ``matches`` is replaced.
     """
     spark = docs.sparkSession
+    ready(spark)
     docs = docs.drop("matches")
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("item"))
     total = items.agg(F.sum(F.octet_length("item"))).first()[0] or 0

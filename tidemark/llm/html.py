@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm._shared import ready
+
 MARKUP = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
@@ -290,6 +292,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     an empty text; broken and cut markup is read as far as it goes. Rows stand alone, so
     nothing is shuffled. Columns named ``text`` or ``n_chars`` are replaced, others kept.
     """
+    ready(pages.sparkSession)
     if html_col != "text":
         pages = pages.drop("text")
     pages = pages.drop("n_chars")

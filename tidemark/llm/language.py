@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm._bytes import chunks
-from tidemark.llm._shared import small_batches
+from tidemark.llm._shared import ready
 
 SLOTS = 1 << 16
 WIDE = 512
@@ -45,7 +45,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoot
     SLOTS x languages sums, in a row for each language. Rows with a null text or language teach
     nothing. However many languages there are, the model has at most SLOTS x ``WIDE`` numbers.
     """
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
@@ -123,7 +123,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: flo
     if not model.languages:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "languages": F.array().cast("array<struct<lang:string,share:double>>")})
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS x WIDE numbers at most
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())])))])
     pairs = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))

@@ -107,16 +107,20 @@ def apply(docs: DataFrame, **options) -> DataFrame:
 
     ``docs`` has doc_id, text, source and n_chars; all columns are returned, n_chars being
     set anew for a cut text. Rows that agree in id, source and size share what they take
-    evenly, the remainder of that division being left out.
+    evenly, with a word more for some where that leaves a remainder.
     """
     taken = plan(docs, **options)
     per_row = taken.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("sum"), F.count("*").alias("rows"))
     left = docs.withColumn("__size", word_count(F.col("text")))
     per_row = keep(per_row.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__n"), F.col("sum").alias("__sum"), F.col("rows").alias("__rows")), "mix-taken")
     match = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__n"))
-    joined = left.join(per_row, match)
-    share = F.expr("__sum div __rows")
-    joined = joined.withColumn("__taken", share).withColumn("__full", F.expr("if(__size > 0, __taken div __size, 0)")).withColumn("__part", F.expr("if(__size > 0, __taken % __size, 0)"))
+    single = left.join(per_row.filter("__rows = 1"), match).withColumn("__taken", F.col("__sum"))
+    # rows that share an id, source and size are told apart by a number, and few
+    turn = F.row_number().over(Window.partitionBy("__id", "__source", "__n").orderBy("__row"))
+    several = left.withColumn("__row", F.monotonically_increasing_id()).join(per_row.filter("__rows > 1"), match)
+    several = several.withColumn("__taken", F.expr("__sum div __rows") + (turn <= F.col("__sum") % F.col("__rows")).cast("long")).drop("__row")
+    joined = single.unionByName(several)
+    joined = joined.withColumn("__full", F.expr("if(__size > 0, __taken div __size, 0)")).withColumn("__part", F.expr("if(__size > 0, __taken % __size, 0)"))
     parts = F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("__full").cast("int")), F.when(F.col("__part") > 0, F.array("__part")).otherwise(F.array().cast("array<bigint>")))
     out = joined.withColumn("__parts", parts).filter(F.size("__parts") > 0).withColumn("__copies", F.size("__parts"))
     out = out.withColumn("__at", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).withColumn("__cut", F.get("__parts", F.col("__at")))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._bytes import chunks, mix, shingles, short, words
 from tidemark.llm._graph import components
-from tidemark.llm._shared import discard, keep, small_batches
+from tidemark.llm._shared import discard, keep, ready
 
 SKETCH = 1 << 22
 SKETCH_BLOCK = 1 << 17
@@ -359,7 +359,7 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id",
 
     Each step is partial aggregates and joins on keys; sets are fetched for pairs alone.
     """
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     table = keep(sets(docs, percent, k).withColumn("row", F.monotonically_increasing_id()), "sets")
     full = table.filter("node IS NOT NULL")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._bytes import chunks, mix, prefix_sums, stretch
-from tidemark.llm._shared import keep, small_batches
+from tidemark.llm._shared import keep, ready
 
 GRAM = 128
 PLACE_BITS = 24
@@ -171,7 +171,7 @@ def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     more than a few of these, however many texts share a passage. Only which phrases are the
     same rests on 64-bit hashes.
     """
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("key", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text")))))

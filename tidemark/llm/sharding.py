@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.llm._shared import keep
+from tidemark.llm._shared import keep, ready
 
 CELLS = 20
 
@@ -74,6 +74,7 @@ def shard(docs: DataFrame, shards: int = 8, vnodes: int = 256, load_factor: floa
     are replaced) with size, text_crc32, shard and slot.
     """
     spark = docs.sparkSession
+    ready(spark)
     places, met = ring(shards, vnodes)
     bounds = np.array(places, dtype=np.int64)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._graph import components
-from tidemark.llm._shared import keep, small_batches
+from tidemark.llm._shared import keep, ready
 
 LEAF = 128
 SLACK = 1e-6
@@ -124,7 +124,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, cell_rows: int = 4
     lengths. Equal ids are separate rows; a null id never names a component, and if a
     component has no other, component_id and kept are null. Other columns are ignored.
     """
-    small_batches(vectors.sparkSession)
+    ready(vectors.sparkSession)
     x = F.col("unit")
     table = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("unit"))
     norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
