@@ -211,6 +211,7 @@ def brute_classes(rows, k, percent):
 
 def test_jaccard_classes_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "DIRECT", 4)
+    monkeypatch.setattr(ngram_join, "HUB", 2)
     monkeypatch.setattr(ngram_join, "PIVOTS", 2)
     monkeypatch.setattr(ngram_join, "ROUNDS", 2)
     rng = np.random.default_rng(5)
@@ -264,8 +265,8 @@ def test_regions_are_cut_level_by_level(spark, monkeypatch):
 def test_unlinked_texts_of_one_region_cost_in_proportion(spark, monkeypatch):
     """Texts at a similarity of 80 % (a few by chance above), all in one region: what is compared grows as the texts do."""
     compared = []
-    whole = ngram_join.likely
-    monkeypatch.setattr(ngram_join, "likely", lambda pairs, held, percent: compared.append(pairs.count()) or whole(pairs, held, percent))
+    whole = ngram_join.links
+    monkeypatch.setattr(ngram_join, "links", lambda pairs, held, percent: compared.append(pairs.count()) or whole(pairs, held, percent))
     seen = {}
     for size in (750, 1500, 3000):
         compared.clear()

@@ -25,6 +25,7 @@ DIRECT = 64
 PIVOTS = 16
 ROUNDS = 2
 LEVELS = 5
+HUB = 256
 HEAD = 16
 
 
@@ -179,9 +180,36 @@ def common(a: bytes, b: bytes) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def likely(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that wide parity bits leave; these move in place of whole sets, above all those of long texts."""
-    one, two = (held.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"x{c}")) for c in "ab")
+def hubs(pairs: DataFrame) -> DataFrame | None:
+    """node and parts of the sets that are in over ``HUB`` of the pairs (a, b), as pivots are; None if there are none."""
+    sides = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    found = sides.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > HUB)
+    found = keep(found.select("node", F.ceil(F.col("n") / HUB).cast("int").alias("parts")), "hubs")
+    return found if found.take(1) else None
+
+
+def fetched(pairs: DataFrame, held: DataFrame, columns: tuple[str, ...], many: DataFrame | None) -> DataFrame:
+    """The pairs (a, b) with columns of both sets, named by side. Copies of the sets in ``many`` take their pairs in parts, so none meets them all in one task."""
+    for c, other in ("ab", "ba"):
+        own = held.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns])
+        if many is None:
+            pairs = pairs.join(own, c)
+            continue
+        parts = many.select(F.col("node").alias(c), "parts")
+        marked = pairs.join(parts, c, "left")
+        copies = own.join(parts, c).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        dealt = marked.filter("parts IS NOT NULL").withColumn("part", F.pmod(F.xxhash64(other), F.col("parts")).cast("int")).drop("parts")
+        pairs = marked.filter("parts IS NULL").drop("parts").join(own, c).unionByName(dealt.join(copies, [c, "part"]).drop("part"))
+    return pairs
+
+
+def links(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of the pairs (a, b), by whole 64-bit hashes.
+
+    Wide parity bits come first: these move in place of whole sets, above all those of long texts.
+    """
+    pairs = keep(pairs.select("a", "b"), "pairs")
+    many = hubs(pairs)
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,14 +217,6 @@ def likely(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
             kept = [not far_apart(x, y, na, nb, percent) for x, y, na, nb in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "xa", "xb", "na", "nb")
-    return both.mapInArrow(narrow, "a long, b long")
-
-
-def links(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of the pairs (a, b), by whole 64-bit hashes."""
-    one, two = (held.select(F.col("node").alias(c), F.col("hashes").alias(f"x{c}")) for c in "ab")
-
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
@@ -206,8 +226,8 @@ def links(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
                 kept.append(100 * shared >= percent * ((len(p) + len(q)) // 8 - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    both = likely(pairs, held, percent).join(one, "a").join(two, "b")
-    return both.select("a", "b", "xa", "xb").mapInArrow(measure, "a long, b long")
+    likely = fetched(pairs, held, ("n", "wide"), many).select("a", "b", "wide_a", "wide_b", "n_a", "n_b").mapInArrow(narrow, "a long, b long")
+    return fetched(likely, held, ("hashes",), many).select("a", "b", "hashes_a", "hashes_b").mapInArrow(measure, "a long, b long")
 
 
 def may_link(na: Column, nb: Column, xa: Column, xb: Column, percent: int) -> Column:
