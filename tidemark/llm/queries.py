@@ -23,7 +23,7 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.dedup(_table(spark, sf_dir, "documents"), length=400).drop("kept")
+    return repeats.dedup(_table(spark, sf_dir, "documents"), length=400).drop("kept").withColumn("repeated", F.col("n_removed") > 0)
 
 
 def jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:

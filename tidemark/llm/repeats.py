@@ -196,7 +196,8 @@ def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
         mixed.groupBy("trigger", "context").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "last", "place")).alias("o"))
         .select("trigger", "context", "copies", "o.key", "o.start", "o.last", "o.place"), "dictionary",
     )
-    several = mixed.join(words.filter("copies > 1").select("trigger", "context"), ["trigger", "context"], "left_semi")
+    copied = keep(words.filter("copies > 1").select("trigger", "context"), "copied")
+    several = mixed.join(copied, ["trigger", "context"], "left_semi")
     several = several.select("key", F.col("start").alias("begin"), (F.col("last") + length).alias("end"))
     size = keep(words.groupBy("trigger").agg(F.count("*").alias("contexts")), "sizes")
     asked = words.join(size, "trigger").groupBy("key").agg(F.collect_list(F.struct("trigger", "copies", "start", "last", "place", "contexts")).alias("asked"))
