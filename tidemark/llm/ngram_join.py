@@ -406,9 +406,11 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id",
     nearest = near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("p")).select("p.a", "b")
     parts = keep(components(links(nearest, held, percent)), "classes")
     parts = grow(parts, links(between(near.select("a", "b"), parts), held, percent))
-    for depth in range(1, deepest(percent) + 1):
-        for turn in range(ROUNDS):
+    for depth in range(1, deepest(percent) + 1) if members.take(1) else ():
+        for turn in range(ROUNDS + 1):
             now = classed(members, parts, percent, depth)
+            if turn == ROUNDS or not now.take(1):
+                break
             few, outside = F.col("others") <= DIRECT, F.col("class") != F.col("top")
             slot = F.pmod(F.xxhash64("class", F.lit(turn)), F.lit(PIVOTS))
             own = F.struct("node", "n", "i", "bits", "head", "class").alias("own")
@@ -417,9 +419,9 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id",
             met = meet(now, now.filter(outside & few).select(*picks.columns).unionByName(picks), percent, depth)
             parts = grow(parts, links(met, held, percent))
             members = now.filter(~few).join(picks.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n", "i", "bits", "head")
-        rest = classed(members, parts, percent, depth)
-        if not rest.take(1):
+        if not now.take(1):
             break
+        rest = now
         if depth == deepest(percent):
             parts = grow(parts, links(meet(rest, rest, percent, depth, ordered=True), held, percent))
             break
