@@ -23,10 +23,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each class of texts linked at 80 % of their five-word shingles."""
-    rows = docs.withColumn("__id", F.struct("doc_id", F.md5("text").alias("digest")))
-    kept = ngram_join.join(rows, percent=80, k=5, id_col="__id").filter("kept").select(F.col("doc_id").alias("__kept"))
-    first = rows.join(kept, F.col("__id").eqNullSafe(F.col("__kept")), "left_semi")
-    return first.dropDuplicates(["__id"]).select(*docs.columns)
+    rows = docs.withColumn("__class_id", F.struct("doc_id", F.md5("text").alias("digest")))
+    kept = ngram_join.join(rows, percent=80, k=5, id_col="__class_id").filter("kept").select(F.col("doc_id").alias("__class_kept"))
+    first = rows.join(kept, F.col("__class_id").eqNullSafe(F.col("__class_kept")), "left_semi")
+    return first.dropDuplicates(["__class_id"]).select(*docs.columns)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
