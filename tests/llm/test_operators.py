@@ -537,6 +537,14 @@ def test_leak_edge_cases(spark):
     assert decontamination.contaminate(odd(spark), few).count() == 12 and decontamination.contaminate(empty(spark), few).count() == 0
 
 
+def test_items_of_one_word_over_long_texts(spark):
+    few = spark.createDataFrame([(1, "needle"), (2, "Pin"), (2, "pin"), (3, " \t")], "item_id long, text string")
+    long = " ".join(f"w{i}" for i in range(60_000))
+    data = spark.createDataFrame([(1, long + " Needle " + long), (2, long), (3, "pin"), (4, "needles pins")], "doc_id long, text string")
+    got = {r.doc_id: [(m.item_id, m.first_word) for m in r.matches] for r in decontamination.contaminate(data, few).collect()}
+    assert got == {1: [(1, 60_000)], 2: [], 3: [(2, 0)], 4: []}
+
+
 def test_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(1)
     for radius in (3, 7, 20):
@@ -706,6 +714,20 @@ def test_pipeline_stages(spark):
     assert pipeline.sharded(spark, mixed, SF).count() == mixed.count()
 
 
+def test_pipeline_with_clashing_columns(spark):
+    """Columns named like those that stages work with: no stage fails, and the rows are those of the plain table."""
+    import corpus_pipeline as pipeline
+
+    docs = documents(spark).filter("n_chars < 3000")
+    names = ["__id", "digest", "matches", "component_id", "kept", "n_shingles", "lang_pred", "languages", "name", "row", "size", "shard", "slot", "text_crc32"]
+    more = docs.withColumns({n: F.lit("mine") for n in names})
+    for _, stage in pipeline.STAGES:
+        docs, more = (stage(spark, d, SF) for d in (docs, more))
+        assert set(names) <= set(more.columns)
+        ids = [sorted(r.doc_id for r in d.select("doc_id").collect()) for d in (docs, more)]
+        assert ids[0] == ids[1] and ids[0]
+
+
 def test_pipeline_over_an_empty_table(spark, tmp_path):
     import corpus_pipeline as pipeline
 

@@ -31,7 +31,8 @@ def ready(spark: SparkSession) -> None:
     """
     ship(spark)
     held = spark.conf.get(BATCH, "64m").lower()
-    if int(held.rstrip("kmgb")) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(held.rstrip("b")[-1:], 1) > BATCH_BYTES:
+    size = int(held.rstrip("kmgb")) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(held.rstrip("b")[-1:], 1)
+    if not 0 < size <= BATCH_BYTES:
         spark.conf.set(BATCH, str(BATCH_BYTES))
 
 

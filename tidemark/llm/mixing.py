@@ -111,22 +111,22 @@ def apply(docs: DataFrame, **options) -> DataFrame:
     """
     taken = plan(docs, **options)
     per_row = taken.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("sum"), F.count("*").alias("rows"))
-    left = docs.withColumn("__size", word_count(F.col("text")))
-    per_row = keep(per_row.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__n"), F.col("sum").alias("__sum"), F.col("rows").alias("__rows")), "mix-taken")
-    match = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__n"))
-    single = left.join(per_row.filter("__rows = 1"), match).withColumn("__taken", F.col("__sum"))
+    left = docs.withColumn("__mix_size", word_count(F.col("text")))
+    per_row = keep(per_row.select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_n"), F.col("sum").alias("__mix_sum"), F.col("rows").alias("__mix_rows")), "mix-taken")
+    match = F.col("doc_id").eqNullSafe(F.col("__mix_id")) & F.col("source").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_size") == F.col("__mix_n"))
+    single = left.join(per_row.filter("__mix_rows = 1"), match).withColumn("__mix_taken", F.col("__mix_sum"))
     # rows that share an id, source and size are told apart by a number, and few
-    turn = F.row_number().over(Window.partitionBy("__id", "__source", "__n").orderBy("__row"))
-    several = left.withColumn("__row", F.monotonically_increasing_id()).join(per_row.filter("__rows > 1"), match)
-    several = several.withColumn("__taken", F.expr("__sum div __rows") + (turn <= F.col("__sum") % F.col("__rows")).cast("long")).drop("__row")
+    turn = F.row_number().over(Window.partitionBy("__mix_id", "__mix_source", "__mix_n").orderBy("__mix_row"))
+    several = left.withColumn("__mix_row", F.monotonically_increasing_id()).join(per_row.filter("__mix_rows > 1"), match)
+    several = several.withColumn("__mix_taken", F.expr("__mix_sum div __mix_rows") + (turn <= F.col("__mix_sum") % F.col("__mix_rows")).cast("long")).drop("__mix_row")
     joined = single.unionByName(several)
-    joined = joined.withColumn("__full", F.expr("if(__size > 0, __taken div __size, 0)")).withColumn("__part", F.expr("if(__size > 0, __taken % __size, 0)"))
-    parts = F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("__full").cast("int")), F.when(F.col("__part") > 0, F.array("__part")).otherwise(F.array().cast("array<bigint>")))
-    out = joined.withColumn("__parts", parts).filter(F.size("__parts") > 0).withColumn("__copies", F.size("__parts"))
-    out = out.withColumn("__at", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).withColumn("__cut", F.get("__parts", F.col("__at")))
+    joined = joined.withColumn("__mix_full", F.expr("if(__mix_size > 0, __mix_taken div __mix_size, 0)")).withColumn("__mix_part", F.expr("if(__mix_size > 0, __mix_taken % __mix_size, 0)"))
+    parts = F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("__mix_full").cast("int")), F.when(F.col("__mix_part") > 0, F.array("__mix_part")).otherwise(F.array().cast("array<bigint>")))
+    out = joined.withColumn("__mix_parts", parts).filter(F.size("__mix_parts") > 0).withColumn("__mix_copies", F.size("__mix_parts"))
+    out = out.withColumn("__mix_at", F.explode(F.sequence(F.lit(0), F.col("__mix_copies") - 1))).withColumn("__mix_cut", F.get("__mix_parts", F.col("__mix_at")))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    cut = F.when(F.col("__cut") == 0, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("__cut"), F.lit(1)).cast("int")), " "))
-    out = out.withColumn("text", cut).withColumn("n_chars", F.when(F.col("__cut") == 0, F.col("n_chars")).otherwise(F.char_length("text")))
+    cut = F.when(F.col("__mix_cut") == 0, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("__mix_cut"), F.lit(1)).cast("int")), " "))
+    out = out.withColumn("text", cut).withColumn("n_chars", F.when(F.col("__mix_cut") == 0, F.col("n_chars")).otherwise(F.char_length("text")))
     return out.select(*docs.columns)
 
 
