@@ -35,6 +35,19 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_matches_its_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "embeddings", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    want, df = con.sql(queries.ORACLES[name]), queries.QUERIES[name](spark, SF)
+    assert sorted(want.columns) == sorted(df.columns)
+    plain = lambda r: tuple(round(v, 6) if isinstance(v, float) else v for v in r)
+    assert sorted((plain(r[c] for c in want.columns) for r in df.collect()), key=str) == sorted(map(plain, want.fetchall()), key=str)
+
+
 # 1 ---------------------------------------------------------------------------
 
 

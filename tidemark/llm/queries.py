@@ -114,4 +114,12 @@ FROM embeddings e JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) m ON m.a = e.ve
 LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY a) k ON k.a = e.vec_id
 """
 
-ORACLES = {"op1_water_filling": mixing.ORACLE, "op4_jaccard_join": JACCARD_SQL, "op6_cover_tree": VECTOR_SQL, "op9_quotation_linking": chat.ORACLE}
+ORACLES = {
+    "op1_water_filling": mixing.ORACLE,
+    "op2_hash_ring": sharding.oracle(),
+    "op3_prefix_free_parsing": repeats.ORACLE,
+    "op4_jaccard_join": JACCARD_SQL,
+    "op6_cover_tree": VECTOR_SQL,
+    "op7_patience_alignment": lines.ORACLE,
+    "op9_quotation_linking": chat.ORACLE,
+}

@@ -311,3 +311,20 @@ def _spans(rows: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
                 begins.append(start + int(a))
                 ends.append(start + int(b) + length)
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], ["key", "begin", "end"])
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT id, doc_id, h, (length(h) // 2)::BIGINT AS n_bytes FROM d),
+w AS (SELECT id, i, hash(substr(h, 2 * i + 1, 800)) AS x FROM (SELECT id, h, unnest(range(0, n_bytes - 399)) AS i FROM n WHERE n_bytes >= 400)),
+r AS (SELECT id, i FROM w WHERE x IN (SELECT x FROM w GROUP BY x HAVING count(*) > 1)),
+s AS (SELECT id, i, CASE WHEN i - lag(i) OVER (PARTITION BY id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS first FROM r),
+g AS (SELECT id, i, sum(first) OVER (PARTITION BY id ORDER BY i) AS g FROM s),
+p AS (SELECT id, g, min(i) AS b, max(i) + 400 AS e FROM g GROUP BY id, g),
+c AS (SELECT id, sum(e - b)::BIGINT AS n_removed, count(*) AS n_spans, list(b ORDER BY b) AS bs, list(e ORDER BY b) AS es FROM p GROUP BY id)
+SELECT n.doc_id, n.n_bytes, coalesce(c.n_removed, 0)::BIGINT AS n_removed, coalesce(c.n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN c.id IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(bs) + 1),
+         lambda k: substr(h, 2 * coalesce(CASE WHEN k > 0 THEN es[k] END, 0) + 1, 2 * (coalesce(bs[k + 1], n_bytes) - coalesce(CASE WHEN k > 0 THEN es[k] END, 0)))), '') END)) AS kept_sha256,
+       coalesce(c.n_removed, 0) > 0 AS repeated
+FROM n LEFT JOIN c ON c.id = n.id
+"""

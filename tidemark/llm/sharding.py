@@ -101,3 +101,41 @@ def shard(docs: DataFrame, shards: int = 8, vnodes: int = 256, load_factor: floa
     hit = (F.col("__arc") == F.col("__piece_arc")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to"))
     placed = ranked.join(F.broadcast(table), hit)  # at most shards pieces for each of the fixed number of arcs
     return placed.withColumn("slot", F.col("__slot") + F.col("__rank") - F.col("__from")).select(*rows.drop("__place", "__arc", "__cell").columns, "shard", "slot")
+
+
+ROUND = """
+o{r} AS (
+  SELECT l.arc, l.start, l.n, m.shard, c.cap - coalesce(u.used, 0) AS free, coalesce(u.used, 0) AS used,
+         coalesce(sum(l.n) OVER (PARTITION BY m.shard ORDER BY l.arc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM l{r} l JOIN met m ON m.arc = l.arc AND m.r = {r} JOIN caps c ON c.shard = m.shard LEFT JOIN u{r} u ON u.shard = m.shard),
+t{r} AS (SELECT arc, shard, start, greatest(0, least(n, free - before))::BIGINT AS take, (used + least(before, free))::BIGINT AS slot, n FROM o{r}),
+l{s} AS (SELECT arc, start + take AS start, n - take AS n FROM t{r}),
+u{s} AS (SELECT shard, sum(take)::BIGINT AS used FROM ({all}) GROUP BY shard),"""
+
+
+def oracle(shards: int = 8, vnodes: int = 256) -> str:
+    """SQL for the law of rows: the ring, then a round of offers for each shard as window sums; CRC-32 by table."""
+    rounds = "".join(ROUND.format(r=r, s=r + 1, all=" UNION ALL ".join(f"SELECT shard, take FROM t{k}" for k in range(r + 1))) for r in range(shards))
+    pieces = " UNION ALL ".join(f"SELECT arc, shard, start, take, slot FROM t{r} WHERE take > 0" for r in range(shards))
+    return f"""
+WITH node AS (
+  SELECT ('0x' || substr(md5('shard ' || s || ' node ' || v), 1, 15))::BIGINT AS pos, s::INTEGER AS shard FROM range({shards}) a(s), range({vnodes}) b(v)),
+ring AS (SELECT row_number() OVER (ORDER BY pos, shard) - 1 AS arc, pos, shard FROM node),
+met AS (
+  SELECT a.arc, b.shard, row_number() OVER (PARTITION BY a.arc ORDER BY min((b.arc - a.arc + {shards * vnodes}) % {shards * vnodes})) - 1 AS r FROM ring a, ring b GROUP BY a.arc, b.shard),
+tab AS (
+  SELECT list(v ORDER BY k) AS tab FROM (SELECT k, list_reduce(range(8), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k) AS v FROM range(256) t(k))),
+k AS (SELECT doc_id, (strlen(coalesce(text, '')) + 1)::BIGINT AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (
+  SELECT doc_id, size, xor(list_reduce(list_transform(range(size - 1), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32
+  FROM k, tab),
+p AS (SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || text_crc32), 1, 15))::BIGINT AS place FROM c),
+q AS (SELECT p.*, coalesce(ring.arc, 0) AS arc FROM p ASOF LEFT JOIN ring ON p.place <= ring.pos),
+z AS (SELECT *, row_number() OVER (PARTITION BY arc ORDER BY place, doc_id, size) - 1 AS rank FROM q),
+caps AS (SELECT s::INTEGER AS shard, n // {shards} + CASE WHEN s < n % {shards} THEN 1 ELSE 0 END AS cap FROM range({shards}) a(s), (SELECT count(*) AS n FROM k)),
+u0 AS (SELECT NULL::INTEGER AS shard, 0::BIGINT AS used WHERE false),
+l0 AS (SELECT arc, 0::BIGINT AS start, count(*) AS n FROM z GROUP BY arc),{rounds}
+pieces AS ({pieces})
+SELECT z.doc_id, z.size, z.text_crc32, 'rows' AS law, pieces.shard, (pieces.slot + z.rank - pieces.start)::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM z JOIN pieces ON z.arc = pieces.arc AND z.rank >= pieces.start AND z.rank < pieces.start + pieces.take
+"""
