@@ -170,3 +170,34 @@ def contaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius
 
         out = out.mapInArrow(scan, schema)
     return out
+
+
+ORACLE = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w, row_number() OVER () AS d FROM documents),
+iw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w, row_number() OVER () AS k FROM benchmark),
+ds AS (SELECT d, unnest(range(0, len(w) - 4)) AS p, w FROM dw WHERE len(w) >= 5),
+dx AS (SELECT d, p, array_to_string(w[p + 1 : p + 5], ' ') AS s, list_sum(list_transform(w[p + 1 : p + 5], lambda x: strlen(x)))::BIGINT AS g FROM ds),
+dc AS (SELECT d, p, s, g, sum(g) OVER (PARTITION BY d ORDER BY p)::BIGINT AS upto FROM dx),
+ix AS (
+  SELECT k, array_to_string(w[p + 1 : p + 5], ' ') AS s, list_sum(list_transform(w[p + 1 : p + 5], lambda x: strlen(x)))::BIGINT AS g
+  FROM (SELECT k, w, unnest(range(0, len(w) - 4)) AS p FROM iw WHERE len(w) >= 5)),
+ib AS (SELECT k, s, any_value(g) AS g, count(*) AS n FROM ix GROUP BY k, s),
+io AS (SELECT k, sum(g * n)::BIGINT AS own FROM ib GROUP BY k),
+h AS (SELECT dc.d, ib.k, dc.p, ib.s, ib.g, ib.n, least(len(iw.w) - 4, len(dw.w) - 4) AS span, greatest(len(dw.w) - len(iw.w), 0) AS last
+      FROM dc JOIN ib ON ib.s = dc.s JOIN iw ON iw.k = ib.k JOIN dw ON dw.d = dc.d),
+e AS (SELECT d, k, s, g, n, span, unnest(range(greatest(p - span + 1, 0), least(p, last) + 1)) AS st FROM h),
+c AS (SELECT d, k, st, span, s, g * least(count(*), n) AS c FROM e GROUP BY d, k, st, span, s, g, n),
+v AS (SELECT d, k, st, span, sum(c)::BIGINT AS common FROM c GROUP BY d, k, st, span),
+y AS (
+  SELECT v.d, v.k, common, (b.upto - b0.upto + b0.g)::BIGINT + io.own - common AS total
+  FROM v JOIN io ON io.k = v.k JOIN dc b ON b.d = v.d AND b.p = v.st + v.span - 1 JOIN dc b0 ON b0.d = v.d AND b0.p = v.st),
+m AS (
+  SELECT d, k, max(common / total) AS similarity FROM y WHERE common * 100 >= 80 * total GROUP BY d, k
+  UNION ALL
+  SELECT d, k, 1.0 FROM dw, iw WHERE len(iw.w) BETWEEN 1 AND 4 AND len(list_filter(range(1, len(dw.w) - len(iw.w) + 2), lambda i: dw.w[i : i + len(iw.w) - 1] = iw.w)) > 0),
+z AS (SELECT d, item_id, max(similarity) AS similarity FROM m JOIN iw USING (k) GROUP BY d, item_id)
+SELECT dw.doc_id, count(z.d) > 0 AS contaminated, string_agg(z.item_id::VARCHAR, ',' ORDER BY z.item_id) AS items, max(z.similarity) AS similarity
+FROM dw LEFT JOIN z ON z.d = dw.d GROUP BY dw.d, dw.doc_id
+"""

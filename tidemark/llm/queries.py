@@ -44,10 +44,11 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
     return found.select(
         "doc_id",
         (F.size("matches") > 0).alias("contaminated"),
-        F.transform("matches", lambda m: m["item_id"]).alias("item_ids"),
+        F.when(F.size("matches") > 0, F.array_join(F.transform(ids, lambda i: i.cast("string")), ",")).alias("items"),
         F.array_max(F.transform("matches", lambda m: m["similarity"])).alias("similarity"),
     )
 
@@ -121,5 +122,6 @@ ORACLES = {
     "op4_jaccard_join": JACCARD_SQL,
     "op6_cover_tree": VECTOR_SQL,
     "op7_patience_alignment": lines.ORACLE,
+    "op8_simhash_windows": decontamination.ORACLE,
     "op9_quotation_linking": chat.ORACLE,
 }
