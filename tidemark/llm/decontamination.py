@@ -17,6 +17,7 @@ from tidemark.llm._shared import ready
 
 SHINGLE = 5
 BITS = 64
+TILE = 1024
 MATCH = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType())]))
 _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64())]))
 
@@ -47,6 +48,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], radius: int):
         self.radius = radius
+        self.shifts, self.masks = (np.array(x, dtype=np.uint64) for x in zip(*blocks(radius), strict=True))
         self.whole: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         self.bags: list[tuple[int, Counter, dict[int, int], int]] = []
         by_size: dict[int, list[int]] = defaultdict(list)
@@ -69,19 +71,30 @@ class Items:
         self.filter[(self.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         self.sizes = {}
         for size, at in by_size.items():
-            index = []
-            for shift, mask in blocks(radius):
-                table = defaultdict(list)
-                for i in at:
-                    table[(prints[i] >> shift) & mask].append(i)
-                index.append((shift, mask, dict(table)))
-            self.sizes[size] = (min(self.bags[i][3] for i in at), index)
-        self.prints = prints
-
-    def near(self, size: int, print_: int) -> set[int]:
-        """Items of this size whose fingerprint is within the radius."""
-        found = {i for shift, mask, table in self.sizes[size][1] for i in table.get((print_ >> shift) & mask, ())}
-        return {i for i in found if (self.prints[i] ^ print_).bit_count() <= self.radius}
+            own = np.array([prints[i] for i in at], dtype=np.uint64)
+            values = (own[None] >> self.shifts[:, None]) & self.masks[:, None]
+            order = np.argsort(values, axis=1, kind="stable")
+            # where the items of each value of each block begin in the order of the block
+            bounds = np.stack([np.searchsorted(v[o], np.arange(int(self.masks.max()) + 2, dtype=np.uint64)) for v, o in zip(values, order, strict=True)])
+            self.sizes[size] = (min(self.bags[i][3] for i in at), np.array(at), own, order, bounds)
+
+    def near(self, size: int, prints: np.ndarray) -> dict[int, set[int]]:
+        """For each place in ``prints`` with any, the items of this size whose fingerprint is within the radius."""
+        _, at, own, order, bounds = self.sizes[size]
+        found: dict[int, set[int]] = {}
+        block = np.arange(len(self.shifts))
+        for begin in range(0, len(prints), TILE):
+            tile = prints[begin : begin + TILE]
+            value = ((tile[:, None] >> self.shifts) & self.masks).astype(np.int64)
+            low = bounds[block, value].ravel()
+            n = bounds[block, value + 1].ravel() - low
+            probe = np.repeat(np.arange(len(n)), n)
+            item = order[probe % len(block), np.arange(len(probe)) - np.repeat(np.cumsum(n) - n - low, n)]
+            window = probe // len(block)
+            hit = np.flatnonzero(np.bitwise_count(tile[window] ^ own[item]) <= self.radius)
+            for w, i in zip((window[hit] + begin).tolist(), at[item[hit]].tolist(), strict=True):
+                found.setdefault(w, set()).add(i)
+        return found
 
     def hits(self, sh: np.ndarray) -> np.ndarray:
         """Which shingles are in some item."""
@@ -101,17 +114,17 @@ class Items:
                     best.setdefault(item_id, (1.0, at))
         if hit.any():
             shared = np.r_[0, np.cumsum(np.where(hit, weight, 0))]
-            for size, (least, _) in self.sizes.items():
+            for size, (least, *_) in self.sizes.items():
                 # a similarity of p % needs shared shingles of p % of the item's weight; windows are cut to short texts
                 span = min(size - SHINGLE + 1, len(sh))
                 starts = np.arange(len(sh) - span + 1)
                 starts = starts[(shared[starts + span] - shared[starts]) * 100 >= percent * least]
                 if not len(starts):
                     continue
-                for at, print_ in zip(starts.tolist(), fingerprints(sh, starts, starts + span).tolist(), strict=True):
-                    near = self.near(size, print_)
-                    if not near:
-                        continue
+                # windows that lie apart are hashed apart, without what is between them
+                cuts = np.flatnonzero(np.diff(starts) > span) + 1
+                prints = [fingerprints(sh[s[0] : s[-1] + span], s - s[0], s - s[0] + span) for s in np.split(starts, cuts)]
+                for at, near in ((int(starts[w]), items) for w, items in sorted(self.near(size, np.concatenate(prints)).items())):
                     window = Counter(sh[at : at + span].tolist())
                     weights = dict(zip(sh[at : at + span].tolist(), weight[at : at + span].tolist(), strict=True))
                     total = sum(weights[s] * n for s, n in window.items())
