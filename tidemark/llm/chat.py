@@ -71,31 +71,25 @@ def link(messages: DataFrame) -> DataFrame:
     deeper levels only count as linked. Without one, the parent is the turn before it that the
     conversation has, none for the first. Position orders a conversation by (parent_turn, turn),
     so every message stands after its parent and replies to one message stand together; it
-    counts the rows before, so rows alike in turn, role and body share theirs. Null conv_id: no
+    counts the rows before, so rows alike in turn, role and text share theirs. Null conv_id: no
     parent, and position 1; null turn: no parent, after the others. Equal (conv_id, turn) share
     their links. Blank passages never link. Links and positions come from windows over blocks
     of turns on narrow rows, so a long conversation isn't sorted in one task.
     """
     df = parse(messages.drop("body", "quotes", "n_quotes", "n_linked", "parent_turn", "quoted", "position"))
-    lines_of = F.filter(F.transform(F.split("body", "\n", -1), normal), lambda x: F.length(x) > 0)
-    keys = F.concat(
-        F.array(F.struct(normal(F.col("body")).alias("passage"), F.lit(2).alias("kind"))),
-        F.transform(lines_of, lambda x: F.struct(x.alias("passage"), F.lit(1).alias("kind"))),
-    )
-    originals = df.filter("conv_id IS NOT NULL AND turn IS NOT NULL AND body IS NOT NULL").select("conv_id", "turn", F.explode(keys).alias("k"))
-    originals = originals.filter("k.passage <> ''").select(
-        "conv_id", "turn", F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("line"), F.col("k.kind").alias("kind"),
-        F.xxhash64("k.passage").alias("hash"), F.md5("k.passage").alias("md5"), F.lit(None).cast("int").alias("letters"),
-    ).distinct()
-    quoted = df.filter("conv_id IS NOT NULL AND turn IS NOT NULL AND size(quotes) > 0").select("conv_id", "turn", F.explode("quotes").alias("q"))
-    asked = F.concat(
-        F.array(F.struct(normal(F.array_join("q.lines", "\n")).alias("passage"), F.lit(2).alias("kind"))),
-        F.transform(F.filter(F.transform("q.lines", normal), lambda x: F.length(x) > 0), lambda x: F.struct(x.alias("passage"), F.lit(1).alias("kind"))),
-    )
-    quoted = quoted.select("conv_id", "turn", F.col("q.level").alias("level"), F.col("q.line").alias("line"), F.explode(asked).alias("k")).filter("k.passage <> ''")
-    quoted = quoted.select("conv_id", "turn", "level", "line", F.col("k.kind").alias("kind"), F.xxhash64("k.passage").alias("hash"), F.md5("k.passage").alias("md5"), F.length("k.passage").alias("letters")).distinct()
+
+    def passages(lines: Column, level: Column, line: Column) -> Column:
+        """The text of lines as a whole (kind 2), and each line (kind 1)."""
+        item = lambda x, kind: F.struct(level.alias("level"), line.alias("line"), F.lit(kind).alias("kind"), x.alias("passage"))
+        return F.concat(F.array(item(normal(F.array_join(lines, "\n")), 2)), F.transform(lines, lambda x: item(normal(x), 1)))
+
+    none = F.lit(None).cast("int")
+    own = F.when(F.col("body").isNotNull(), passages(F.split("body", "\n", -1), none, none))
+    asked = F.flatten(F.transform("quotes", lambda q: passages(q["lines"], q["level"], q["line"])))
+    said = df.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode(F.filter(F.concat(F.coalesce(own, F.array().cast("array<struct<level:int,line:int,kind:int,passage:string>>")), asked), lambda x: x["passage"] != "")).alias("k"))
+    said = said.select("conv_id", "turn", "k.level", "k.line", "k.kind", F.xxhash64("k.passage").alias("hash"), F.md5("k.passage").alias("md5"), F.when(F.col("k.level").isNotNull(), F.length("k.passage")).alias("letters")).distinct()
     # of all messages with the passage only the latest one before the quote counts: a sorted union instead of pairs
-    hits = latest_before(originals.unionByName(quoted), ["conv_id", "hash", "md5", "kind"], F.col("level").isNull()).filter("level IS NOT NULL AND found IS NOT NULL")
+    hits = latest_before(said, ["conv_id", "hash", "md5", "kind"], F.col("level").isNull()).filter("level IS NOT NULL AND found IS NOT NULL")
     by_message = hits.groupBy("conv_id", "turn", "level", "line", "kind", "found").agg(F.sum("letters").alias("letters"))
     best = by_message.groupBy("conv_id", "turn", "level", "line").agg(F.max(F.struct("kind", "letters", "found")).alias("best"))
     per = best.groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("best"))).alias("best"))
@@ -110,7 +104,7 @@ def link(messages: DataFrame) -> DataFrame:
 
 def _positions(df: DataFrame) -> DataFrame:
     """Rank by (parent_turn, turn) in each conversation: counts of like rows, summed inside a block of turns, over the blocks of 64 parents, and over these."""
-    df = df.withColumn("__digest", F.md5("body"))
+    df = df.withColumn("__digest", F.md5("text"))
     parents = F.coalesce(F.floor(F.col("parent_turn") / TURNS_IN_BLOCK), F.lit(-1)).cast("long").alias("__parents")
     own = ["conv_id", "parent_turn", "turn", "role", "__digest"]
     rows = df.filter("conv_id IS NOT NULL").groupBy(*own).agg(F.count("*").alias("n"))
@@ -176,7 +170,7 @@ k AS (
   FROM g WHERE r = 1 GROUP BY conv_id, turn),
 t AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM (SELECT DISTINCT conv_id, turn FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
 x AS (
-  SELECT b.conv_id, b.turn, b.role, b.body, b.n_quotes, coalesce(k.n_linked, 0)::BIGINT AS n_linked, coalesce(k.found, t.prev) AS parent_turn
+  SELECT b.conv_id, b.turn, b.role, b.text, b.body, b.n_quotes, coalesce(k.n_linked, 0)::BIGINT AS n_linked, coalesce(k.found, t.prev) AS parent_turn
   FROM b LEFT JOIN t ON t.conv_id = b.conv_id AND t.turn = b.turn LEFT JOIN k ON k.conv_id = b.conv_id AND k.turn = b.turn)
-SELECT *, CASE WHEN conv_id IS NULL THEN 1 ELSE rank() OVER (PARTITION BY conv_id ORDER BY parent_turn NULLS FIRST, turn NULLS LAST, role NULLS FIRST, md5(body) NULLS FIRST) END::BIGINT AS position FROM x
+SELECT * EXCLUDE (text), CASE WHEN conv_id IS NULL THEN 1 ELSE rank() OVER (PARTITION BY conv_id ORDER BY parent_turn NULLS FIRST, turn NULLS LAST, role NULLS FIRST, md5(text) NULLS FIRST) END::BIGINT AS position FROM x
 """
