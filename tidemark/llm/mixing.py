@@ -107,20 +107,16 @@ def apply(docs: DataFrame, **options) -> DataFrame:
 
     ``docs`` has doc_id, text, source and n_chars; all columns are returned, n_chars being
     set anew for a cut text. Rows that agree in id, source and size share what they take
-    evenly, with a word more for some where that leaves a remainder.
+    evenly, rounded up to a word.
     """
     taken = plan(docs, **options)
     per_row = taken.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("sum"), F.count("*").alias("rows"))
     left = docs.withColumn("__mix_size", word_count(F.col("text")))
     per_row = keep(per_row.select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_n"), F.col("sum").alias("__mix_sum"), F.col("rows").alias("__mix_rows")), "mix-taken")
     match = F.col("doc_id").eqNullSafe(F.col("__mix_id")) & F.col("source").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_size") == F.col("__mix_n"))
-    single = left.join(per_row.filter("__mix_rows = 1"), match).withColumn("__mix_taken", F.col("__mix_sum"))
-    # rows that share an id, source and size are told apart by a number, and few
-    turn = F.row_number().over(Window.partitionBy("__mix_id", "__mix_source", "__mix_n").orderBy("__mix_row"))
-    several = left.withColumn("__mix_row", F.monotonically_increasing_id()).join(per_row.filter("__mix_rows > 1"), match)
-    several = several.withColumn("__mix_taken", F.expr("__mix_sum div __mix_rows") + (turn <= F.col("__mix_sum") % F.col("__mix_rows")).cast("long")).drop("__mix_row")
-    joined = single.unionByName(several)
-    joined = joined.withColumn("__mix_full", F.expr("if(__mix_size > 0, __mix_taken div __mix_size, 0)")).withColumn("__mix_part", F.expr("if(__mix_size > 0, __mix_taken % __mix_size, 0)"))
+    joined = left.join(per_row, match)
+    share = F.expr("(__mix_sum + __mix_rows - 1) div __mix_rows")
+    joined = joined.withColumn("__mix_taken", share).withColumn("__mix_full", F.expr("if(__mix_size > 0, __mix_taken div __mix_size, 0)")).withColumn("__mix_part", F.expr("if(__mix_size > 0, __mix_taken % __mix_size, 0)"))
     parts = F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("__mix_full").cast("int")), F.when(F.col("__mix_part") > 0, F.array("__mix_part")).otherwise(F.array().cast("array<bigint>")))
     out = joined.withColumn("__mix_parts", parts).filter(F.size("__mix_parts") > 0).withColumn("__mix_copies", F.size("__mix_parts"))
     out = out.withColumn("__mix_at", F.explode(F.sequence(F.lit(0), F.col("__mix_copies") - 1))).withColumn("__mix_cut", F.get("__mix_parts", F.col("__mix_at")))
