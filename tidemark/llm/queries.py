@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontamination, html, language, lines, mixing, ngram_join, repeats, sharding, vectors, whitening
+from tidemark.llm import chat, decontamination, html, language, lines, mixing, ngram_join, phrases, repeats, sharding, vectors, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_table(spark, sf_dir, "documents"), least=30, top=2000).drop("path_words")
+
+
 def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=16)
 
@@ -84,6 +88,7 @@ QUERIES = {
     "op8_simhash_windows": leaks,
     "op9_quotation_linking": linked_chat,
     "op10_language_mixture": languages,
+    "op12_phrase_graph": collocations,
     "op13_block_whitening": whitened,
 }
 
@@ -129,4 +134,5 @@ ORACLES = {
     "op7_patience_alignment": lines.ORACLE,
     "op8_simhash_windows": decontamination.ORACLE,
     "op9_quotation_linking": chat.ORACLE,
+    "op12_phrase_graph": phrases.ORACLE,
 }
