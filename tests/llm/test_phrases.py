@@ -53,6 +53,8 @@ def test_against_brute_force(spark, monkeypatch):
     for least, top in ((5, 40), (2, 2000)):
         assert mined(df, least=least, top=top) == brute(rows, least, top)
     monkeypatch.setattr(phrases, "TOGETHER", 97)
+    monkeypatch.setattr(phrases, "BUCKET", 1000)  # dozens of buckets, dealt in several rounds
+    monkeypatch.setattr(phrases, "WAYS", 4)
     assert mined(df, least=5, top=None) == brute(rows, 5, None)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.llm._bytes import chunks, prefix_sums, stretch
 from tidemark.llm._shared import discard, keep, ready
 
 ENDS = r"[.,;:!?\x0A-\x0D]"
@@ -19,8 +20,11 @@ EDGE = 4
 TOGETHER = 1_000_000
 CUT = 16
 ROUNDS = 12
-GRAMS = "lang string, gram string, w long"
-FLOWS = "words int, lang string, phrase string, w long"
+BUCKET = 8 << 20
+WAYS = 4096
+CODEC = "zstd"
+BLOCKS = "bucket long, lang string, size long, n long, grams binary, weights binary"
+BLOCK_SCHEMA = pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("size", pa.int64()), ("n", pa.int64()), ("grams", pa.binary()), ("weights", pa.binary())])
 
 
 def words_of(langs: pa.Array, texts: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
@@ -45,82 +49,136 @@ def longest_grams(words: pa.Array, piece: np.ndarray, begin: int, end: int) -> p
     return pc.binary_join_element_wise(*parts, " ", null_handling="skip")
 
 
-def weighted(tables: list[pa.Table]) -> pa.RecordBatch | None:
-    """Tables of grams (lang, gram) as one batch of different grams with their number, in order, which lets the shuffle pack them closer."""
-    found = pa.concat_tables(tables).group_by(["lang", "gram"]).aggregate([([], "count_all")])
-    found = found.sort_by([("gram", "ascending"), ("lang", "ascending")]).combine_chunks()
-    return pa.RecordBatch.from_arrays([found[c].combine_chunks() if found[c].num_chunks else pa.array([], t) for c, t in (("lang", pa.string()), ("gram", pa.string()), ("count_all", pa.int64()))], ["lang", "gram", "w"])
-
-
-def edges_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (grams of ``EDGE`` words) and ends of pieces (shorter grams) of texts (lang, text), summed over about ``TOGETHER`` words at a time."""
-    held, count = [], 0
-    for batch in batches:
-        words, langs, piece = words_of(batch.column("lang"), batch.column("text"))
-        for begin in range(0, len(words), TOGETHER):
-            end = min(begin + TOGETHER, len(words))
-            held.append(pa.table({"lang": langs.slice(begin, end - begin), "gram": longest_grams(words, piece, begin, end)}))
-            count += end - begin
-            if count >= TOGETHER:
-                yield weighted(held)
-                held, count = [], 0
-    if held:
-        yield weighted(held)
-
-
-def runs(columns: list[pa.Array], weights: np.ndarray) -> tuple[list[pa.Array], np.ndarray]:
-    """Rows in which the columns are as in the row before become one, weights summed."""
-    n = len(weights)
-    if not n:
-        return columns, weights
-    new = np.zeros(n, dtype=bool)
-    new[0] = True
-    for c in columns:
-        new[1:] |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-    first = np.flatnonzero(new)
-    return [c.take(pa.array(first)) for c in columns], np.add.reduceat(weights, first)
-
-
-def flows_of(least: int):
-    """A map over sorted rows (node, lang, gram, w): frequent edges and nodes, and all flows through nodes summed by their first two words.
-
-    Rows of one node follow each other, so its flow, the sum of the edges that leave it and of
-    the pieces that end with it, is complete when the next node comes. Words tell rows apart:
-    4 an edge, 3 a node, 2 a flow to be summed on.
-    """
+def summed(tables: list[pa.Table]) -> pa.Table:
+    """Tables (lang, gram, w) as one of different grams, weights summed."""
+    return pa.concat_tables(tables).group_by(["lang", "gram"]).aggregate([("w", "sum")]).rename_columns(["lang", "gram", "w"])
+
+
+def heads(grams: pa.Array | pa.ChunkedArray, words: int) -> np.ndarray:
+    """Hash of the first words of each gram, of all of it if it has fewer."""
+    out = [np.zeros(0, dtype=np.uint64)]
+    for _, data, offsets in chunks(grams):
+        blanks = np.flatnonzero(data == 32)
+        at = np.searchsorted(blanks, offsets[:-1]) + words - 1
+        end = np.r_[blanks, np.full(words, len(data))][at]
+        out.append(stretch(prefix_sums(data), offsets[:-1], np.minimum(end, offsets[1:])))
+    return np.concatenate(out)
+
+
+def pack(table: pa.Table, bucket: np.ndarray) -> pa.RecordBatch:
+    """Grams (lang, gram, w) as compressed blocks, one for each bucket and language: a third of what rows would take in a shuffle."""
+    if not table.num_rows:
+        return pa.RecordBatch.from_pylist([], BLOCK_SCHEMA)
+    langs = table["lang"].combine_chunks().dictionary_encode()
+    key = bucket.astype(np.int64) * len(langs.dictionary) + langs.indices.to_numpy()
+    by = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(key[by]) != 0])
+    lines = pc.binary_join_element_wise(table["gram"].combine_chunks().take(pa.array(by)).cast(pa.large_string()), *(pa.scalar(x, pa.large_string()) for x in ("", "\n")))
+    offsets, data = np.frombuffer(lines.buffers()[1], dtype=np.int64)[: len(by) + 1], lines.buffers()[2]
+    weights = table["w"].to_numpy()[by]
+    rows = []
+    for i, j in zip(starts, [*starts[1:], len(by)]):
+        text = data.slice(offsets[i], offsets[j] - offsets[i])
+        rows.append((int(bucket[by[i]]), langs.dictionary[int(langs.indices[int(by[i])].as_py())].as_py(), int(offsets[j] - offsets[i]), int(j - i), pa.compress(text, CODEC, asbytes=True), pa.compress(weights[i:j].tobytes(), CODEC, asbytes=True)))
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), BLOCK_SCHEMA)], schema=BLOCK_SCHEMA)
+
+
+def unpack(blocks: pa.Table | pa.RecordBatch) -> list[pa.Table]:
+    """The grams (lang, gram, w) of each block."""
+    out = []
+    for lang, size, n, grams, weights in zip(*(blocks[c].to_pylist() for c in ("lang", "size", "n", "grams", "weights"))):
+        text = pa.decompress(grams, size, CODEC)
+        lines = pc.split_pattern(pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, size], dtype=np.int64)), text]), "\n").flatten().slice(0, n)
+        out.append(pa.table({"lang": pa.repeat(pa.scalar(lang), n), "gram": lines, "w": np.frombuffer(pa.decompress(weights, 8 * n, CODEC), dtype=np.int64)}))
+    return out
+
 
-    def out(words: int, lang: pa.Array, phrase: pa.Array, w: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(w), words, dtype=np.int32)), lang, phrase, pa.array(w)], ["words", "lang", "phrase", "w"])
-
-    def settle(node: pa.Array, lang: pa.Array, gram: pa.Array, w: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Rows of whole nodes, summed by gram."""
-        edge = pa.array(w >= least)
-        edge = pc.and_(edge, pc.not_equal(node, gram))
-        yield out(4, lang.filter(edge), gram.filter(edge), w[edge.to_numpy(zero_copy_only=False)])
-        (node, lang), flow = runs([node, lang], w)
-        often = flow >= least
-        yield out(3, lang.filter(pa.array(often)), node.filter(pa.array(often)), flow[often])
-        pair = pc.replace_substring_regex(node, r"(?s)^([^ ]+ [^ ]+) .*$", r"\1")
-        (pair, lang), flow = runs([pair, lang], flow)
-        yield out(2, lang, pair, flow)
+def edges_of_texts(ways: int):
+    """A map over texts (lang, text): blocks of their edges (grams of ``EDGE`` words) and ends of pieces (shorter ones), summed over about ``TOGETHER`` words at a time, by a hash of their node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
+        held, count = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns, w = [batch.column(c) for c in ("node", "lang", "gram")], batch.column("w").to_numpy()
-            if held:
-                columns, w = [pa.concat_arrays([a, b]) for a, b in zip(held[0], columns)], np.r_[held[1], w]
-            columns, w = runs(columns, w)
-            node, lang = columns[:2]
-            last = pc.and_(pc.equal(node, node[-1]), pc.equal(lang, lang[-1])).to_numpy(zero_copy_only=False)
-            whole = len(w) - int(last.sum())
-            if whole:
-                yield from settle(*(c.slice(0, whole) for c in columns), w[:whole])
-            held = ([c.slice(whole) for c in columns], w[whole:])
+            words, langs, piece = words_of(batch.column("lang"), batch.column("text"))
+            for begin in range(0, len(words), TOGETHER):
+                end = min(begin + TOGETHER, len(words))
+                grams = longest_grams(words, piece, begin, end).cast(pa.large_string())
+                held.append(summed([pa.table({"lang": langs.slice(begin, end - begin), "gram": grams, "w": np.ones(end - begin, dtype=np.int64)})]))
+                count += end - begin
+                if count >= TOGETHER:
+                    table, held, count = summed(held), [], 0
+                    yield pack(table, heads(table["gram"], 3) % np.uint64(ways))
         if held:
-            yield from settle(*held[0], held[1])
+            table = summed(held)
+            yield pack(table, heads(table["gram"], 3) % np.uint64(ways))
+
+    return run
+
+
+def dealt(blocks: DataFrame, words: int, ways: int, parts: int) -> DataFrame:
+    """Blocks of ``ways`` buckets dealt on to ``parts`` buckets at least, ``WAYS`` times as many in each round, so that blocks stay large."""
+    while ways < parts:
+        more, old = min(WAYS, -(-parts // ways)), ways
+
+        def finer(batches: Iterator[pa.RecordBatch], more: int = more, old: int = old) -> Iterator[pa.RecordBatch]:
+            held, count, now = [], 0, None
+
+            def flush() -> Iterator[pa.RecordBatch]:
+                if held:
+                    table = summed(held)
+                    yield pack(table, np.uint64(now) * np.uint64(more) + heads(table["gram"], words) // np.uint64(old) % np.uint64(more))
+
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    bucket = batch.column("bucket")[i].as_py()
+                    if bucket != now or count >= TOGETHER:
+                        yield from flush()
+                        held, count, now = [], 0, bucket
+                    held += unpack(batch.slice(i, 1))
+                    count += held[-1].num_rows
+            yield from flush()
+
+        blocks = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(finer, BLOCKS)
+        ways *= more
+    return blocks
+
+
+def nodes_of(least: int, ways: int):
+    """A map over the blocks of a bucket and language, which hold all edges of their nodes: frequent edges and nodes, and blocks of the flows through nodes by their first two words.
+
+    A node's flow is the sum of the edges that leave it and of the pieces that end with it.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        edges = summed(unpack(table))
+        often = edges.filter(pc.and_(pc.greater_equal(edges["w"], least), pc.match_substring_regex(edges["gram"], "^[^ ]+ [^ ]+ [^ ]+ ")))
+        node = pc.replace_substring_regex(edges["gram"], r"(?s)^([^ ]+ [^ ]+ [^ ]+) .*$", r"\1")
+        nodes = summed([pa.table({"lang": edges["lang"], "gram": node, "w": edges["w"]})])
+        often = pa.concat_tables([often, nodes.filter(pc.and_(pc.greater_equal(nodes["w"], least), pc.match_substring_regex(nodes["gram"], "^[^ ]+ [^ ]+ ")))])
+        pair = pc.replace_substring_regex(nodes["gram"], r"(?s)^([^ ]+ [^ ]+) .*$", r"\1")
+        pairs = summed([pa.table({"lang": nodes["lang"], "gram": pair, "w": nodes["w"]})])
+        blocks = pack(pairs, heads(pairs["gram"], 2) % np.uint64(ways))
+        none = lambda n, t: pa.nulls(n, t)
+        rows = [none(often.num_rows, f.type) if f.name != "lang" else often["lang"].combine_chunks() for f in BLOCK_SCHEMA]
+        schema = pa.schema([*BLOCK_SCHEMA, ("phrase", pa.string()), ("w", pa.int64())])
+        found = pa.table([*rows, often["gram"].cast(pa.string()), often["w"]], schema=schema)
+        return pa.concat_tables([found, pa.table([*blocks.columns, none(blocks.num_rows, pa.string()), none(blocks.num_rows, pa.int64())], schema=schema)])
+
+    return run
+
+
+def pairs_of(least: int):
+    """A map over the blocks of a bucket and language, which hold all flows of their pairs: frequent pairs, and the flows by first word."""
+
+    def run(table: pa.Table) -> pa.Table:
+        pairs = summed(unpack(table))
+        real = pc.match_substring(pairs["gram"], " ")
+        often = pairs.filter(pc.and_(pc.greater_equal(pairs["w"], least), real))
+        word = pc.replace_substring_regex(pairs["gram"], "(?s) .*$", "")
+        single = summed([pa.table({"lang": pairs["lang"], "gram": word, "w": pairs["w"]})])
+        words = pa.array([2] * often.num_rows + [1] * single.num_rows, pa.int32())
+        both = pa.concat_tables([often, single])
+        return pa.table([words, both["lang"], both["gram"].cast(pa.string()), both["w"]], names=["words", "lang", "phrase", "w"])
 
     return run
 
@@ -128,20 +186,25 @@ def flows_of(least: int):
 def phrase_counts(texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of all phrases of 1 to 4 words that occur ``least`` times, and (lang, n) of all words.
 
-    Only the longest gram at each place is shuffled, once, to its node (its first three words).
-    Counts of shorter phrases are flows: what leaves a node, and the pieces that end there,
-    summed to nodes of fewer words.
+    Only the longest gram at each place is shuffled, to the bucket of its node (its first
+    three words). Counts of shorter phrases are flows: what leaves a node, and the pieces that
+    end there, summed to nodes of fewer words. Buckets grow in number with the texts, so that
+    what one task holds doesn't.
     """
-    edges = texts.mapInArrow(edges_of_texts, GRAMS).withColumn("node", F.substring_index("gram", " ", 3))
-    dealt = edges.repartition("node", "lang").sortWithinPartitions("node", "lang", "gram").select("node", "lang", "gram", "w")
-    flows = keep(dealt.mapInArrow(flows_of(least), FLOWS), "flows")
-    pairs = flows.filter("words = 2").groupBy("lang", "phrase").agg(F.sum("w").alias("f"))
-    single = pairs.groupBy("lang", F.substring_index("phrase", " ", 1).alias("phrase")).agg(F.sum("f").alias("f"))
-    short = pairs.filter("phrase LIKE '% %'").unionByName(single).filter(F.col("f") >= least)
-    long = flows.filter("words = 4 OR (words = 3 AND phrase LIKE '% % %')").select("lang", "phrase", F.col("w").alias("f"))
-    counts = keep(long.unionByName(short).select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "f"), "counts")
-    totals = keep(flows.filter("words = 2").groupBy("lang").agg(F.sum("w").alias("n")), "totals")
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(1, -(-size // BUCKET))
+    ways = min(parts, WAYS)
+    edges = dealt(texts.mapInArrow(edges_of_texts(ways), BLOCKS), 3, ways, parts)
+    ways = min(-(-parts // 4), WAYS)
+    flows = keep(edges.groupBy("bucket", "lang").applyInArrow(nodes_of(least, ways), BLOCKS + ", phrase string, w long"), "flows")
+    pairs = dealt(flows.filter("phrase IS NULL").drop("phrase", "w"), 2, ways, -(-parts // 4))
+    short = keep(pairs.groupBy("bucket", "lang").applyInArrow(pairs_of(least), "words int, lang string, phrase string, w long"), "pairs")
+    single = short.filter("words = 1").groupBy("lang", "phrase").agg(F.sum("w").alias("w"))
+    found = flows.filter("phrase IS NOT NULL").select("lang", "phrase", "w").unionByName(short.filter("words = 2").drop("words")).unionByName(single.filter(F.col("w") >= least))
+    counts = keep(found.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), F.col("w").alias("f")), "counts")
+    totals = keep(short.filter("words = 1").groupBy("lang").agg(F.sum("w").alias("n")), "totals")
     discard(flows)
+    discard(short)
     return counts, totals
 
 
