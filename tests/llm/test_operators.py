@@ -40,7 +40,7 @@ def test_query_matches_its_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "conversations", "benchmark"):
+    for table in ("documents", "embeddings", "conversations", "benchmark", "pages"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want, df = con.sql(queries.ORACLES[name]), queries.QUERIES[name](spark, SF)
     assert sorted(want.columns) == sorted(df.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontamination, html, language, lines, mixing, ngram_join, phrases, repeats, sharding, vectors, whitening
+from tidemark.llm import chat, decontamination, html, language, lines, mixing, ngram_join, phrases, repeats, sharding, vectors, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,13 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages hold no time of capture: one is made of the id, a second for each."""
+    clock = F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod("page_id", F.lit(1_000_000_000)))
+    found = warc.archive(_table(spark, sf_dir, "pages"), captured=clock)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "position", "capture")
+
+
 def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(_table(spark, sf_dir, "documents"), least=30, top=2000).drop("path_words")
 
@@ -88,6 +95,7 @@ QUERIES = {
     "op8_simhash_windows": leaks,
     "op9_quotation_linking": linked_chat,
     "op10_language_mixture": languages,
+    "op11_loser_tree_merge": archived,
     "op12_phrase_graph": collocations,
     "op13_block_whitening": whitened,
 }
@@ -134,5 +142,6 @@ ORACLES = {
     "op7_patience_alignment": lines.ORACLE,
     "op8_simhash_windows": decontamination.ORACLE,
     "op9_quotation_linking": chat.ORACLE,
+    "op11_loser_tree_merge": warc.ORACLE,
     "op12_phrase_graph": phrases.ORACLE,
 }
