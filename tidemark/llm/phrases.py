@@ -17,7 +17,7 @@ from tidemark.llm._shared import discard, keep, ready
 ENDS = r"[.,;:!?\x0A-\x0D]"
 BLANKS = r"[\x20\x09]+"
 EDGE = 4
-TOGETHER = 1_000_000
+TOGETHER = 500_000
 CUT = 16
 ROUNDS = 12
 BUCKET = 8 << 20
@@ -50,21 +50,55 @@ def longest_grams(words: pa.Array, piece: np.ndarray, begin: int, end: int) -> p
 
 
 def summed(tables: list[pa.Table]) -> pa.Table:
-    """Tables (lang, gram, w) as one of different grams, weights summed."""
-    return pa.concat_tables(tables).group_by(["lang", "gram"]).aggregate([("w", "sum")]).rename_columns(["lang", "gram", "w"])
+    """Tables (lang, gram, w) as one of different grams, weights summed, language by language."""
+    table = pa.concat_tables(tables).combine_chunks()
+    if not table.num_rows:
+        return table
+    langs = table["lang"].combine_chunks().dictionary_encode()
+    code = langs.indices.to_numpy()
+    by = np.argsort(code, kind="stable") if len(langs.dictionary) > 1 else None
+    grams, weights = table["gram"].combine_chunks(), table["w"].to_numpy()
+    if by is not None:
+        grams, weights, code = grams.take(pa.array(by)), weights[by], code[by]
+    starts = [*np.flatnonzero(np.r_[True, code[1:] != code[:-1]]), len(code)]
+    out = []
+    for i, j in zip(starts, starts[1:]):
+        found = grams.slice(i, j - i).dictionary_encode()
+        sums = np.bincount(found.indices.to_numpy(), weights[i:j]).astype(np.int64)  # exact below 2^53
+        out.append(pa.table({"lang": pa.repeat(langs.dictionary[int(code[i])], len(sums)), "gram": found.dictionary, "w": sums}))
+    pa.default_memory_pool().release_unused()
+    return pa.concat_tables(out).combine_chunks()
+
+
+def ends(data: np.ndarray, offsets: np.ndarray, words: int) -> np.ndarray:
+    """Where the first words of each gram end, or the gram if it has fewer."""
+    blanks = np.flatnonzero(data == 32)
+    at = np.searchsorted(blanks, offsets[:-1]) + words - 1
+    return np.minimum(np.r_[blanks, np.full(words, len(data))][at], offsets[1:])
 
 
 def heads(grams: pa.Array | pa.ChunkedArray, words: int) -> np.ndarray:
     """Hash of the first words of each gram, of all of it if it has fewer."""
     out = [np.zeros(0, dtype=np.uint64)]
     for _, data, offsets in chunks(grams):
-        blanks = np.flatnonzero(data == 32)
-        at = np.searchsorted(blanks, offsets[:-1]) + words - 1
-        end = np.r_[blanks, np.full(words, len(data))][at]
-        out.append(stretch(prefix_sums(data), offsets[:-1], np.minimum(end, offsets[1:])))
+        out.append(stretch(prefix_sums(data), offsets[:-1], ends(data, offsets, words)))
     return np.concatenate(out)
 
 
+def cut(grams: pa.Array | pa.ChunkedArray, words: int) -> pa.ChunkedArray:
+    """The first words of each gram."""
+    out = []
+    for _, data, offsets in chunks(grams):
+        end = ends(data, offsets, words)
+        inside = np.zeros(len(data) + 1, dtype=np.int8)
+        inside[offsets[:-1]] += 1
+        inside[end] -= 1
+        lengths = np.r_[0, np.cumsum(end - offsets[:-1])]
+        kept = data[np.cumsum(inside[:-1], dtype=np.int8) > 0]
+        out.append(pa.Array.from_buffers(pa.large_string(), len(end), [None, pa.py_buffer(lengths.astype(np.int64)), pa.py_buffer(kept)]))
+    return pa.chunked_array(out, pa.large_string())
+
+
 def pack(table: pa.Table, bucket: np.ndarray) -> pa.RecordBatch:
     """Grams (lang, gram, w) as compressed blocks, one for each bucket and language: a third of what rows would take in a shuffle."""
     if not table.num_rows:
@@ -103,7 +137,7 @@ def edges_of_texts(ways: int):
             for begin in range(0, len(words), TOGETHER):
                 end = min(begin + TOGETHER, len(words))
                 grams = longest_grams(words, piece, begin, end).cast(pa.large_string())
-                held.append(summed([pa.table({"lang": langs.slice(begin, end - begin), "gram": grams, "w": np.ones(end - begin, dtype=np.int64)})]))
+                held.append(pa.table({"lang": langs.slice(begin, end - begin), "gram": grams, "w": np.ones(end - begin, dtype=np.int64)}))
                 count += end - begin
                 if count >= TOGETHER:
                     table, held, count = summed(held), [], 0
@@ -151,12 +185,14 @@ def nodes_of(least: int, ways: int):
 
     def run(table: pa.Table) -> pa.Table:
         edges = summed(unpack(table))
-        often = edges.filter(pc.and_(pc.greater_equal(edges["w"], least), pc.match_substring_regex(edges["gram"], "^[^ ]+ [^ ]+ [^ ]+ ")))
-        node = pc.replace_substring_regex(edges["gram"], r"(?s)^([^ ]+ [^ ]+ [^ ]+) .*$", r"\1")
-        nodes = summed([pa.table({"lang": edges["lang"], "gram": node, "w": edges["w"]})])
-        often = pa.concat_tables([often, nodes.filter(pc.and_(pc.greater_equal(nodes["w"], least), pc.match_substring_regex(nodes["gram"], "^[^ ]+ [^ ]+ ")))])
-        pair = pc.replace_substring_regex(nodes["gram"], r"(?s)^([^ ]+ [^ ]+) .*$", r"\1")
-        pairs = summed([pa.table({"lang": nodes["lang"], "gram": pair, "w": nodes["w"]})])
+        often = edges.filter(pc.greater_equal(edges["w"], least))
+        often = often.filter(pc.match_substring_regex(often["gram"], "^[^ ]+ [^ ]+ [^ ]+ "))
+        nodes = summed([pa.table({"lang": edges["lang"], "gram": cut(edges["gram"], 3), "w": edges["w"]})])
+        del edges
+        known = nodes.filter(pc.greater_equal(nodes["w"], least))
+        often = pa.concat_tables([often, known.filter(pc.match_substring_regex(known["gram"], "^[^ ]+ [^ ]+ "))])
+        pairs = summed([pa.table({"lang": nodes["lang"], "gram": cut(nodes["gram"], 2), "w": nodes["w"]})])
+        del nodes
         blocks = pack(pairs, heads(pairs["gram"], 2) % np.uint64(ways))
         none = lambda n, t: pa.nulls(n, t)
         rows = [none(often.num_rows, f.type) if f.name != "lang" else often["lang"].combine_chunks() for f in BLOCK_SCHEMA]
@@ -174,8 +210,7 @@ def pairs_of(least: int):
         pairs = summed(unpack(table))
         real = pc.match_substring(pairs["gram"], " ")
         often = pairs.filter(pc.and_(pc.greater_equal(pairs["w"], least), real))
-        word = pc.replace_substring_regex(pairs["gram"], "(?s) .*$", "")
-        single = summed([pa.table({"lang": pairs["lang"], "gram": word, "w": pairs["w"]})])
+        single = summed([pa.table({"lang": pairs["lang"], "gram": cut(pairs["gram"], 1), "w": pairs["w"]})])
         words = pa.array([2] * often.num_rows + [1] * single.num_rows, pa.int32())
         both = pa.concat_tables([often, single])
         return pa.table([words, both["lang"], both["gram"].cast(pa.string()), both["w"]], names=["words", "lang", "phrase", "w"])
