@@ -49,7 +49,11 @@ class RangeLayout:
 
 @dataclass(frozen=True)
 class Table:
-    """One mirrored table; without a layout it is replaced whole."""
+    """One mirrored table; without a layout it is replaced whole.
+
+    Rows are sorted by ``order`` in their files; files hold Bloom filters of ``index``,
+    and sketches of the columns ``estimate`` are kept for counts.
+    """
 
     name: str
     source: str
@@ -57,6 +61,8 @@ class Table:
     last: int | None = None
     rls: tuple[Unit, ...] | None = None
     order: tuple[str, ...] = ()
+    index: tuple[str, ...] = ()
+    estimate: tuple[str, ...] = ()
     schema: str = ""
 
     def __post_init__(self):

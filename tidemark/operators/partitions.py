@@ -14,23 +14,39 @@ REMAINDER = "__NULL__"
 UNPARTITIONED = "__UNPARTITIONED__"
 
 
-def partition_id(layout: TimeLayout | RangeLayout) -> Column:
-    """Id of the partition of a row; null for a null time."""
+def on_utc(c: Column, kind: T.DataType | None) -> Column:
+    """A time as a time without zone: instants by the clock of UTC, whatever the session's zone; others as they stand."""
+    if not isinstance(kind, T.TimestampType):
+        return c.cast("timestamp_ntz")
+    seconds = (F.unix_micros(c).cast("decimal(24,6)") / 1_000_000).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
+def partition_id(layout: TimeLayout | RangeLayout, schema: T.StructType | None = None) -> Column:
+    """Id of the partition of a row; null for a null time.
+
+    Instants (a timestamp column of ``schema``) are dealt by the clock of UTC. Times are cut out
+    of their text, since Spark's formatting would move local times that the session's zone skips.
+    """
     c = F.col(layout.column)
     if isinstance(layout, TimeLayout):
-        return F.date_format(c, FORMATS[layout.granularity])
+        known = schema is not None and layout.column in schema.names
+        text = on_utc(c, schema[layout.column].dataType if known else None).cast("string")
+        return F.substring(F.translate(text, "-: ", ""), 1, len(FORMATS[layout.granularity]))
     low = F.expr(f"{layout.start} + ((`{layout.column}` - {layout.start}) div {layout.interval}) * {layout.interval}")
     return F.when(c.isNull() | (c < layout.start) | (c >= layout.end), F.lit(REMAINDER)).otherwise(low.cast("string"))
 
 
 def with_bounds(inventory: DataFrame, layout: TimeLayout | RangeLayout) -> DataFrame:
-    """Add kind, column, lower and upper (texts) to rows with a partition_id."""
+    """Add kind, column, lower and upper (texts, times by the clock of UTC) to rows with a partition_id."""
     pid = F.col("partition_id")
     if isinstance(layout, TimeLayout):
-        low = F.try_to_timestamp(pid, F.lit(FORMATS[layout.granularity])).cast("timestamp_ntz")
+        parts = [F.substring(pid, at, n) for at, n in ((1, 4), (5, 2), (7, 2), (9, 2))]
+        month, day, hour = (F.when(F.length(p) > 0, p).otherwise(d) for p, d in zip(parts[1:], ("01", "01", "00")))
+        low = F.concat(parts[0], F.lit("-"), month, F.lit("-"), day, F.lit(" "), hour, F.lit(":00:00")).try_cast("timestamp_ntz")
+        low = F.when(F.length(pid) == len(FORMATS[layout.granularity]), low)
         df = inventory.withColumn("__low", low).withColumn("__high", F.expr(f"__low + INTERVAL 1 {layout.granularity}"))
-        text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-        return df.withColumns({"kind": F.lit("time"), "column": F.lit(layout.column), "lower": text("__low"), "upper": text("__high")}).drop("__low", "__high")
+        return df.withColumns({"kind": F.lit("time"), "column": F.lit(layout.column), "lower": F.col("__low").cast("string"), "upper": F.col("__high").cast("string")}).drop("__low", "__high")
     low = pid.try_cast("long")
     high = F.least(low + layout.interval, F.lit(layout.end))
     rest = pid == REMAINDER
@@ -54,9 +70,29 @@ def violations(inventory: DataFrame, layout: TimeLayout | RangeLayout) -> DataFr
     return inventory.withColumn("reason", reason).filter("reason IS NOT NULL")
 
 
+def content(schema: T.StructType) -> Column:
+    """Sum of the hashes of rows of a schema: like rows in any order give the same, copies don't cancel, and sums of parts add up."""
+    return F.sum(row_hash(schema).cast("decimal(20,0)"))
+
+
+def joined(content: Column, rows: Column) -> Column:
+    return F.concat_ws("-", content.cast("string"), rows.cast("string"))
+
+
 def fingerprint(schema: T.StructType) -> Column:
-    """Sum of the hashes of rows of a schema with their number: like rows in any order give the same, and copies don't cancel."""
-    return F.concat_ws("-", F.sum(row_hash(schema).cast("decimal(20,0)")).cast("string"), F.count("*").cast("string"))
+    """The content of rows of a schema with their number."""
+    return joined(content(schema), F.count("*"))
+
+
+def content_of(fingerprint: str) -> Column:
+    """The content in a column of fingerprints."""
+    return F.regexp_extract(fingerprint, r"^(.*)-\d+$", 1).try_cast("decimal(38,0)")
+
+
+def split_fingerprint(text: str) -> tuple[int, int | None]:
+    """(rows, content) of a fingerprint; no content where there are no rows."""
+    content, _, rows = text.rpartition("-")
+    return int(rows), int(content) if content else None
 
 
 def inventory(df: DataFrame, layout: TimeLayout | RangeLayout, signature_mode: str = "content") -> DataFrame:
@@ -69,7 +105,45 @@ def inventory(df: DataFrame, layout: TimeLayout | RangeLayout, signature_mode: s
     modified = epoch_ms(F.max("_metadata.file_modification_time")) if signature_mode == "mtime" else fingerprint(df.schema)
     if isinstance(layout, TimeLayout):
         df = df.filter(F.col(layout.column).isNotNull())
-    return df.groupBy(partition_id(layout).alias("partition_id")).agg(modified.alias("modified"), F.count("*").alias("rows"))
+    return df.groupBy(partition_id(layout, df.schema).alias("partition_id")).agg(modified.alias("modified"), F.count("*").alias("rows"))
+
+
+FILE = {"file": "file_path", "size": "file_size", "written": "file_modification_time"}
+FILES = "file string, size long, written timestamp, partition_id string, content decimal(38,0), rows long"
+
+
+def file_states(df: DataFrame) -> DataFrame:
+    """file, size and written of the files that hold rows of a plain scan; reads no data column."""
+    return df.select(*[F.col(f"_metadata.{m}").alias(c) for c, m in FILE.items()]).distinct()
+
+
+def moved_files(df: DataFrame, known: DataFrame) -> tuple[list[str], list[str]]:
+    """(new or rewritten, gone or rewritten) files of a scan against known entries: only those that differ come to the driver."""
+    now, was = file_states(df).withColumn("now", F.lit(True)), known.select(*FILE).distinct().withColumn("was", F.lit(True))
+    differ = now.join(was, [F.expr("true") & now[c].eqNullSafe(was[c]) for c in FILE], "full_outer").filter(now["now"].isNull() | was["was"].isNull())
+    rows = differ.select(now["file"].alias("now"), was["file"].alias("was")).collect()
+    return [r.now for r in rows if r.now is not None], [r.was for r in rows if r.was is not None]
+
+
+def file_entries(df: DataFrame, layout: TimeLayout | RangeLayout | None, files: list[str] | None = None) -> DataFrame:
+    """Content and rows by file and partition (null for null times, empty without a layout), of all files of a scan or of those named; others are not opened."""
+    if files is not None:
+        df = df.filter(F.col("_metadata.file_path").isin(files))
+    pid = partition_id(layout, df.schema) if layout is not None else F.lit("")
+    keys = [F.col(f"_metadata.{m}").alias(c) for c, m in FILE.items()]
+    found = df.groupBy(*keys, pid.alias("partition_id")).agg(content(df.schema).cast("decimal(38,0)").alias("content"), F.count("*").alias("rows"))
+    return found.select(*[f.split()[0] for f in FILES.split(", ")])
+
+
+def content_of_files(entries: DataFrame) -> str:
+    """The fingerprint that a scan of all files would give."""
+    return entries.agg(joined(F.sum("content"), F.coalesce(F.sum("rows"), F.lit(0)))).first()[0]
+
+
+def inventory_of_files(entries: DataFrame) -> DataFrame:
+    """The inventory that a scan of all files would give, from their entries."""
+    found = entries.filter("partition_id IS NOT NULL").groupBy("partition_id").agg(F.sum("content").alias("c"), F.sum("rows").alias("rows"))
+    return found.select("partition_id", joined(F.col("c"), F.col("rows")).alias("modified"), "rows")
 
 
 def last_partitions(found: DataFrame, n: int, *tables: str) -> DataFrame:
@@ -95,13 +169,13 @@ def signed(found: DataFrame, table: Table, table_signature: str) -> DataFrame:
     )
 
 
-def current_manifest(df: DataFrame, table: Table, table_signature: str, signature_mode: str = "content") -> tuple[DataFrame, DataFrame]:
-    """(inventory, the partitions a table has now). Raises ValueError on unusable ones.
+def current_manifest(found: DataFrame, table: Table, table_signature: str) -> tuple[DataFrame, DataFrame]:
+    """(inventory with bounds, the partitions a table has now) of an inventory. Raises ValueError on unusable ones.
 
     The inventory, a row for each partition, is held so that the source is scanned once; the
     caller releases it.
     """
-    found = with_bounds(inventory(df, table.layout, signature_mode), table.layout).persist()
+    found = with_bounds(found, table.layout).persist()
     wrong = violations(found, table.layout).agg(F.slice(F.collect_list(F.struct("partition_id", "reason")), 1, 3)).first()[0]
     if wrong:
         found.unpersist()

@@ -8,8 +8,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.config import Unit
+from tidemark.operators.estimates import estimate, usable
 from tidemark.operators.security import check_role, in_scope, secure
 from tidemark.sources.store import Store
 
@@ -48,21 +50,53 @@ def condition(df: DataFrame, spec) -> Column:
 
 @dataclass(frozen=True)
 class Query:
-    """One read. Order is a list of (column, "asc" or "desc"): nulls last upwards, first downwards."""
+    """One read. Order is a list of (column, "asc" or "desc"): nulls last upwards, first downwards.
+
+    ``after`` holds the order columns' values of the last row of the page before: the page goes on
+    behind it without counting off what came before. The order should tell all rows apart,
+    since rows equal to it in all order columns are passed over.
+    """
 
     where: Sequence = ()
     select: Sequence[str] = ()
     order: Sequence[tuple[str, str]] = ()
     limit: int | None = None
     offset: int = 0
+    after: Sequence = ()
     cap: int | None = field(default=ROW_CAP)  # None: no cap
 
     def filtered(self, df: DataFrame) -> DataFrame:
         return df.filter(condition(df, list(self.where))) if self.where else df
 
+    def behind(self, df: DataFrame) -> Column:
+        """Rows behind ``after`` in the order. The first column's bound stands alone too, so that it reaches the scan."""
+        if len(self.after) != len(self.order):
+            raise ValueError("after needs a value for each column of the order")
+        out, same, first = F.lit(False), F.lit(True), None
+        for (name, way), v in zip(self.order, self.after):
+            c, v = df[name], F.lit(v).cast(df.schema[name].dataType)
+            if way == "desc":  # nulls come first
+                later, from_here = F.when(v.isNull(), c.isNotNull()).otherwise(c < v), v.isNull() | (c <= v)
+            else:
+                later, from_here = v.isNotNull() & (c.isNull() | (c > v)), c.isNull() | (c >= v)
+            first = from_here if first is None else first
+            out = out | (same & F.coalesce(later, F.lit(False)))
+            same = same & c.eqNullSafe(v)
+        return first & out
+
+    def spans(self) -> list:
+        """Conditions that rule partitions out: the filter's, and where the order leads through the first column, ``after``'s."""
+        where = list(self.where)
+        if self.after and self.after[0] is not None:
+            name, way = self.order[0]
+            where.append((name, "lte" if way == "desc" else "gte", self.after[0]))
+        return where
+
     def page(self, df: DataFrame) -> DataFrame:
         """Filter, order, skip, limit (never above the cap) and pick columns."""
         out = self.filtered(df)
+        if self.after:
+            out = out.filter(self.behind(df))
         if self.order:
             out = out.orderBy(*[F.col(c).desc_nulls_first() if way == "desc" else F.col(c).asc_nulls_last() for c, way in self.order])
         if self.offset:
@@ -76,15 +110,20 @@ class Query:
         """One row ``total``: all rows of the filter, whatever the page."""
         return self.filtered(df).agg(F.count("*").alias("total"))
 
-    def estimated_count(self, df: DataFrame, known_rows: int, sample: float = 0.01, seed: int = 7) -> tuple[int, bool]:
-        """(rows, exact): counted up to the cap, above it the manifest's rows scaled by a sample."""
-        cap = ROW_CAP if self.cap is None else self.cap
-        few = self.filtered(df).limit(cap + 1).count()
-        if few <= cap:
+    def estimated_count(self, df: DataFrame, visible_rows: int, sample: float = 0.01, seed: int = 7) -> tuple[int, bool]:
+        """(rows, exact) without sketches: counted up to the cap, above it ``visible_rows``, the rows of ``df`` without the filter, scaled by a sample."""
+        few, exact = self.counted(df)
+        if exact:
             return few, True
         part = df.sample(sample, seed)
         seen, hit = part.agg(F.count("*"), F.count_if(condition(df, list(self.where)))).first()
-        return max(cap + 1, round(known_rows * hit / max(1, seen))), False
+        return max(few, round(visible_rows * hit / max(1, seen))), False
+
+    def counted(self, df: DataFrame) -> tuple[int, bool]:
+        """(rows, True) if they are no more than the cap, else (cap + 1, False)."""
+        cap = ROW_CAP if self.cap is None else self.cap
+        few = self.filtered(df).limit(cap + 1).count()
+        return few, few <= cap
 
 
 class SecureReader:
@@ -96,18 +135,58 @@ class SecureReader:
     def table(self, schema: str | None, table: str, where: Sequence = ()) -> DataFrame:
         """The visible rows; the schema may be left out when only one is published. ``where`` spares partitions, see :meth:`Store.read`."""
         check_role(self.claims)
+        schema = self.named(schema)
+        now = self.store.current(schema, table)
+        df = self.store.read(schema, table, where)
+        units = now["policy"]["units"]
+        return secure(df, schema, None if units is None else [Unit(**u) for u in units], now["policy"]["claim"], self.grants, self.claims)
+
+    def named(self, schema: str | None) -> str:
+        """The schema, or the only one that is published."""
         if schema is None:
             names = {s for s, _ in self.store.tables()}
             if len(names) != 1:
                 raise ValueError("name a schema")
             schema = names.pop()
-        now = self.store.current(schema, table)
-        df = self.store.read(schema, table, where)
-        units = now["policy"]["units"]
-        return secure(df, schema, None if units is None else [Unit(**u) for u in units], now["policy"]["claim"], self.grants, self.claims)
+        return schema
 
     def read(self, schema: str | None, table: str, query: Query) -> DataFrame:
-        return query.page(self.table(schema, table, query.where))
+        return query.page(self.table(schema, table, query.spans()))
+
+    def count(self, schema: str | None, table: str, query: Query, exact: bool = True) -> DataFrame:
+        """One row (total, exact): the visible rows of the filter, whatever the page.
+
+        With ``exact`` False more rows than the cap are estimated from the sketches of the visible
+        units' rows, so hidden rows are in no number; where the table has no sketches of the
+        filter's columns, rows are counted all the same.
+        """
+        schema = self.named(schema)
+        visible, certain = self.table(schema, table, query.where), F.lit(True).alias("exact")
+        if not exact:
+            few, known = query.counted(visible)
+            if known:
+                return self.store.spark.createDataFrame([(few, True)], "total long, exact boolean")
+            found = self.estimated(schema, table, query)
+            if found is not None:
+                return found.select(F.greatest("total", F.lit(few)).alias("total"), F.lit(False).alias("exact"))
+        return query.exact_count(visible).select("total", certain)
+
+    def estimated(self, schema: str, table: str, query: Query) -> DataFrame | None:
+        """The estimate alone; None if the sketches can't tell of a condition."""
+        now = self.store.current(schema, table)
+        columns = T.StructType.fromJson(now["columns"])
+        kinds = {c: columns[c].dataType for c in now.get("estimate") or ()}
+        units = now["policy"]["units"]
+        keys = list(dict.fromkeys(u["column"] for u in units or ()))
+        kinds = {c: k for c, k in kinds.items() if c not in keys}
+        if not usable(query.where, kinds, keys):
+            return None
+        sketches = self.store.sketches(schema, table, query.where)
+        if sketches is None:
+            return None
+        seen = secure(sketches, schema, None if units is None else [Unit(**u) for u in units], now["policy"]["claim"], self.grants, self.claims)
+        keyed = [s for s in query.where if s[0] in keys]
+        return estimate(seen, query.where, kinds, condition(seen, keyed) if keyed else None)
 
 
 def catalog(spark: SparkSession, store: Store, claims: Mapping | None = None) -> DataFrame:

@@ -322,6 +322,58 @@ def pruned_read(spark, sf_dir):
     return SecureReader(Store(spark, root), demo_grants(spark, sf_dir), USER).read("shop", "orders", spec)
 
 
+def _instants(events: DataFrame) -> DataFrame:
+    """Events with their time as an instant, read by the clock of UTC whatever the session's zone."""
+    return events.withColumn("at", F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), "ts")))
+
+
+@query("zone_proof_read", "SELECT event_id, epoch_us(ts) // 1000000 AS seconds FROM events WHERE ts >= '2024-01-10 06:00:00' AND ts < '2024-01-12 18:30:00'")
+def zone_proof(spark, sf_dir):
+    """A mirror by the hour that is synced in one time zone and read in two others: by instants of the text's own zone, and of the session's."""
+    root = scratch_root(spark)
+    config = Config({"lab": Schema((Table("events", "events", TimeLayout("at", "HOUR")),))})
+    failed = sync(spark, config, root, {"events": _instants(table(spark, sf_dir, "events"))}).filter("status = 'failed'").collect()
+    if failed:
+        raise RuntimeError(failed[0].error)
+    there = spark.newSession()
+    there.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    there.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    spec = Query(where=[("at", "gte", "2024-01-10 06:00:00Z"), ("at", "lt", "2024-01-12 10:30:00")], cap=None)  # 18:30 in UTC
+    found = SecureReader(Store(there, root), demo_grants(there, sf_dir), USER).read("lab", "events", spec)
+    return found.select("event_id", F.unix_seconds("at").alias("seconds"))
+
+
+@query("changed_files_sync", """SELECT o_orderkey, o_orderstatus, 1 AS opened FROM orders WHERE o_orderkey % 4 <> 1
+ UNION ALL SELECT o_orderkey, 'X', 1 FROM orders WHERE o_orderkey % 4 = 1 AND strftime(o_orderdate, '%Y%m') <> '199603'""")
+def changed_files(spark, sf_dir):
+    """A source of files of which one is written anew: the next sync opens it alone and the refresh is right; one more finds all files as they were."""
+    orders, root = table(spark, sf_dir, "orders"), scratch_root(spark)
+    part, there = F.pmod("o_orderkey", F.lit(4)), F.date_format("o_orderdate", "yyyyMM") != "199603"
+    for k in range(4):
+        orders.filter(part == k).coalesce(1).write.mode("append").parquet(f"{root}-source/k={k}")
+    store = Store(spark, root)
+    known = lambda: {r.file for r in spark.read.parquet(store.current("shop", "orders")["files"]).select("file").distinct().collect()}
+    given = {"orders": f"{root}-source"}
+    statuses = [sync(spark, ORDERS, root, given).first().status]
+    before = known()
+    orders.filter((part == 1) & there).withColumn("o_orderstatus", F.lit("X")).coalesce(1).write.mode("overwrite").parquet(f"{root}-source/k=1")
+    statuses.append(sync(spark, ORDERS, root, given).first().status)
+    opened = len(known() - before)
+    statuses.append(sync(spark, ORDERS, root, given).first().status)
+    if statuses != ["rebuilt", "refreshed", "unchanged"]:
+        raise RuntimeError(str(statuses))
+    return store.read("shop", "orders").select("o_orderkey", "o_orderstatus", F.lit(opened).alias("opened"))
+
+
+@query("indexed_point_read", "SELECT * FROM orders WHERE o_custkey = 77")
+def point_read(spark, sf_dir):
+    """A read by a column that is neither partitioned nor sorted by: Bloom filters tell which row groups to open."""
+    root = scratch_root(spark)
+    config = Config({"shop": Schema((Table("orders", "orders", TimeLayout("o_orderdate", "YEAR"), order=("o_orderdate",), index=("o_custkey",)),))})
+    sync(spark, config, root, {"orders": table(spark, sf_dir, "orders")})
+    return SecureReader(Store(spark, root), demo_grants(spark, sf_dir), USER).read("shop", "orders", Query(where=[("o_custkey", "eq", 77)], cap=None))
+
+
 @query("struct_to_json", """SELECT o_orderkey, '{"key":' || o_custkey || ',"status":"' || o_orderstatus || '","none":null}' AS s, '[{"p":"' || o_orderpriority || '"}]' AS a FROM orders""")
 def to_json(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
@@ -493,7 +545,7 @@ def count_estimated(spark, sf_dir):
     return spark.createDataFrame([(n, exact)], "total long, exact boolean")
 
 
-SHOP = (Table("customer", "customer", rls=UNITS, order=("c_custkey",)), Table("events", "events", DAY, last=7), Table("orders", "orders", KEYS))
+SHOP = (Table("customer", "customer", rls=UNITS, order=("c_custkey",), estimate=("c_acctbal", "c_name")), Table("events", "events", DAY, last=7), Table("orders", "orders", KEYS))
 
 
 def _reader(spark, sf_dir, claims: dict, *names: str) -> SecureReader:
@@ -513,6 +565,28 @@ def mirror_page(spark, sf_dir):
     return _reader(spark, sf_dir, USER, "customer").read("shop", "customer", spec)
 
 
+@query("secured_count", _secure_sql("s2").replace("SELECT c.*", "SELECT count(*) AS total, true AS exact") + " AND c.c_acctbal > 5000")
+def secured_count(spark, sf_dir):
+    """All visible rows of a filter for a subject who sees one nation."""
+    spec = Query(where=[("c_acctbal", "gt", 5000)], limit=3)
+    return _reader(spark, sf_dir, USER | {"sub": "s2"}, "customer").count("shop", "customer", spec)
+
+
+@query("secured_count_estimated", _secure_sql("s2").replace("SELECT c.*", "SELECT count(*) AS total, false AS exact") + " AND c.c_acctbal > 2000 AND c.c_acctbal <= 7000")
+def secured_estimate(spark, sf_dir):
+    """Above the cap the sketches of visible units tell; with few rows in each unit they are exact. Rows of other nations are in no number."""
+    spec = Query(where=[("c_acctbal", "gt", 2000), ("c_acctbal", "lte", 7000)], cap=0)
+    return _reader(spark, sf_dir, USER | {"sub": "s2"}, "customer").count("shop", "customer", spec, exact=False)
+
+
+@query("mirror_page_after", "SELECT * FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1020 OFFSET 500) ORDER BY o_totalprice DESC, o_orderkey LIMIT 40 OFFSET 980")
+def page_after(spark, sf_dir):
+    """A deep page of a mirror by the key of the row before it: 1480 rows are passed, none is counted off by the read."""
+    reader, order = _reader(spark, sf_dir, USER, "orders"), (("o_totalprice", "desc"), ("o_orderkey", "asc"))
+    last = Query(order=order, offset=1479, limit=1).page(table(spark, sf_dir, "orders")).first()
+    return reader.read("shop", "orders", Query(order=order, after=(last.o_totalprice, last.o_orderkey), limit=40))
+
+
 @query("mirror_last_days", "SELECT * FROM events WHERE strftime(ts, '%Y%m%d') IN (SELECT DISTINCT strftime(ts, '%Y%m%d') AS d FROM events ORDER BY d DESC LIMIT 7)")
 def mirror_days(spark, sf_dir):
     return _reader(spark, sf_dir, USER, "events").table("shop", "events")

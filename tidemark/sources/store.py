@@ -10,22 +10,33 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.expressions import row_hash
+from tidemark.operators.estimates import sketch
+from tidemark.operators.partitions import FILES, on_utc
 
 MANIFEST = "schema string, table string, partition_id string, signature string, kind string, column string, lower string, upper string, rows long, path string"
 PID = "__pid"
 ROWS = "__rows"
 LARGE = 5_000_000
+CLOCK = "UTC"
+ROW_GROUP = 16 << 20
 
 
-def may_hold(columns: T.StructType, where: Sequence) -> Column:
-    """Whether a partition of a manifest may hold rows of a filter, by its bounds: all (column, operator, value) in ``where`` count, others rule nothing out."""
+def may_hold(columns: T.StructType, where: Sequence, clock: str | None = CLOCK) -> Column:
+    """Whether a partition of a manifest may hold rows of a filter, by its bounds: all (column, operator, value) in ``where`` count, others rule nothing out.
+
+    Bounds of instants are by the clock of UTC, and a filter's instants are held against them by
+    the same one, so the session's zone decides only how a filter's text is read. Of a table
+    published without that clock, instants rule nothing out.
+    """
     out = F.lit(True)
     for spec in where:
         if not isinstance(spec, (tuple, list)) or len(spec) != 3 or spec[1] not in ("eq", "gt", "gte", "lt", "lte", "in") or spec[0] not in columns.names:
@@ -33,13 +44,13 @@ def may_hold(columns: T.StructType, where: Sequence) -> Column:
         name, op, value = spec
         kind = columns[name].dataType
         times = isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
-        if not times and not isinstance(kind, T.IntegralType):
+        if not times and not isinstance(kind, T.IntegralType) or clock != CLOCK and isinstance(kind, T.TimestampType):
             continue
         manifest, bound = ("time", "timestamp_ntz") if times else ("range", "long")
         low, high = (F.col(c).try_cast(bound) for c in ("lower", "upper"))
         inside = F.lit(False)
         for v in value if op == "in" else [value]:
-            v = F.lit(v).cast(kind).cast(bound)
+            v = on_utc(F.lit(v).cast(kind), kind) if times else F.lit(v).cast(kind).cast(bound)
             after = high > v if op in ("eq", "gt", "gte", "in") else F.lit(True)
             before = low <= v if op in ("eq", "in", "lte") else low < v if op == "lt" else F.lit(True)
             inside = inside | F.coalesce(after & before, F.lit(True))
@@ -108,7 +119,7 @@ class Store:
         if now is None:
             raise ValueError(f"{schema}.{table} was never published")
         columns = T.StructType.fromJson(now["columns"])
-        found = self.manifest(schema, table, now["version"]).filter(may_hold(columns, where))
+        found = self.manifest(schema, table, now["version"]).filter(may_hold(columns, where, now.get("clock")))
         paths = [r.path for r in found.select("path").distinct().collect()]  # one for each partition
         return self.read_paths(columns, paths)
 
@@ -117,15 +128,22 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
-    def write_whole(self, df: DataFrame, schema: str, table: str, run: str, order: Sequence[str] = ()) -> str:
+    def _parquet(self, df: DataFrame, index: Sequence[str]):
+        """A writer that a point read on an indexed column is served well by: Bloom filters of it, and row groups of bounded size."""
+        writer = df.write
+        for name in index:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+        return writer.option("parquet.block.size", ROW_GROUP) if index else writer
+
+    def write_whole(self, df: DataFrame, schema: str, table: str, run: str, order: Sequence[str] = (), index: Sequence[str] = ()) -> str:
         """One whole table below a run of its own; ordered by range where the table asks for it."""
         path = f"{self.home(schema, table)}/run={run}/data"
         if order:
             df = df.repartitionByRange(*order).sortWithinPartitions(*order)
-        df.write.parquet(path)
+        self._parquet(df, index).parquet(path)
         return path
 
-    def write_partitions(self, df: DataFrame, schema: str, table: str, run: str, order: Sequence[str] = ()) -> str:
+    def write_partitions(self, df: DataFrame, schema: str, table: str, run: str, order: Sequence[str] = (), index: Sequence[str] = ()) -> str:
         """Rows with ``__pid`` and ``__rows`` (those of the partition) in one job, a folder for each partition.
 
         Partitions go to a task each; those of over ``LARGE`` rows are dealt to as many tasks as
@@ -137,17 +155,54 @@ class Store:
         df = df.withColumn("__salt", salt).repartition(PID, "__salt").drop("__salt", ROWS)
         if order:
             df = df.sortWithinPartitions(PID, *order)
-        df.write.partitionBy(PID).parquet(path)
+        self._parquet(df, index).partitionBy(PID).parquet(path)
+        return path
+
+    def files(self, schema: str, table: str, signature: str) -> DataFrame | None:
+        """What is known of the source's files, if it was found under this signature of the table."""
+        now = self.current(schema, table)
+        if now is None or now.get("files_for") != signature:
+            return None
+        return self.spark.read.schema(FILES).parquet(now["files"])
+
+    def write_files(self, entries: DataFrame, schema: str, table: str) -> str:
+        path = f"{self.home(schema, table)}/files/{uuid.uuid4().hex}"
+        entries.write.parquet(path)
         return path
 
-    def publish(self, manifest: DataFrame, schema: str, table: str, columns: T.StructType, signature: str, policy: dict, expected: int) -> int:
-        """Write the next manifest, then replace the pointer if it still is at ``expected``."""
+    def note_files(self, schema: str, table: str, files: str, signature: str) -> None:
+        """Name what is known of the source's files without a new version: their rows are what is served already."""
+        now = self.current(schema, table) | {"files": files, "files_for": signature}
+        self._replace(f"{self.home(schema, table)}/_CURRENT", json.dumps(now))
+
+    def write_sketches(self, schema: str, table: str, run: str, path: str, columns: T.StructType, units: Sequence[str], sketched: Sequence[str], parted: bool) -> None:
+        """Sketches of what a run has written, by partition and unit columns; reads those columns only."""
+        kind = T.StructType([*columns.fields, T.StructField(PID, T.StringType())]) if parted else columns
+        df = self.spark.read.schema(kind).parquet(path)
+        df = df if parted else df.withColumn(PID, F.lit(""))
+        own = sketch(df, [PID, *units], sketched).withColumn("__run", F.lit(run))
+        own.write.parquet(f"{self.home(schema, table)}/sketches/run={run}/data")
+
+    def sketches(self, schema: str, table: str, where: Sequence = ()) -> DataFrame | None:
+        """The sketches of all published partitions that may hold rows of a filter; None if some have none."""
+        now = self.current(schema, table)
+        columns = T.StructType.fromJson(now["columns"])
+        run = F.regexp_extract("path", "/run=([^/]+)/", 1)
+        found = self.manifest(schema, table, now["version"]).filter(may_hold(columns, where, now.get("clock")))
+        parts = found.select(F.col("partition_id").alias(PID), run.alias("__run"))
+        paths = [f"{self.home(schema, table)}/sketches/run={r[0]}/data" for r in parts.select("__run").distinct().collect()]
+        if not now.get("estimate") or not paths or not all(fs.exists(p) for p, fs in map(self._path, paths)):
+            return None
+        return self.spark.read.parquet(*paths).join(parts, [PID, "__run"], "left_semi")
+
+    def publish(self, manifest: DataFrame, schema: str, table: str, columns: T.StructType, signature: str, policy: dict, expected: int, **noted) -> int:
+        """Write the next manifest, then replace the pointer if it still is at ``expected``; ``noted`` goes into the pointer."""
         now = self.current(schema, table)
         if (now["version"] if now else 0) != expected:
             raise StalePlan(f"{schema}.{table} is at another version than {expected}")
         version = expected + 1
         manifest.select(*[f.split()[0] for f in MANIFEST.split(", ")]).coalesce(1).write.mode("overwrite").parquet(f"{self.home(schema, table)}/manifest/v={version}")
-        text = json.dumps({"version": version, "columns": columns.jsonValue(), "signature": signature, "policy": policy})
+        text = json.dumps({"version": version, "columns": columns.jsonValue(), "signature": signature, "policy": policy, "clock": CLOCK} | noted)
         self._replace(f"{self.home(schema, table)}/_CURRENT", text)
         return version
 
@@ -180,15 +235,57 @@ class Store:
         for v in range(max(1, now["version"] - keep_versions + 1), now["version"] + 1):
             used |= {r.run for r in self.manifest(schema, table, v).select(F.regexp_extract("path", "run=([^/]+)", 1).alias("run")).distinct().collect()}
         gone = []
-        path, fs = self._path(f"{self.home(schema, table)}/run=*")
         limit = self.spark._jvm.java.lang.System.currentTimeMillis() - grace_ms
+        path, fs = self._path(f"{self.home(schema, table)}/files/*")
+        for status in fs.globStatus(path) or []:
+            if status.getPath().getName() != now.get("files", "").rsplit("/", 1)[-1] and status.getModificationTime() <= limit:
+                fs.delete(status.getPath(), True)
+        path, fs = self._path(f"{self.home(schema, table)}/run=*")
         for status in fs.globStatus(path) or []:
             run = status.getPath().getName().split("=", 1)[1]
             if run not in used and status.getModificationTime() <= limit:
                 fs.delete(status.getPath(), True)
+                fs.delete(self._path(f"{self.home(schema, table)}/sketches/run={run}")[0], True)
                 gone.append(run)
         return gone
 
-    def to_jdbc(self, schema: str, table: str, url: str, target: str, properties: dict | None = None) -> None:
-        """Copy a published table to a relational database."""
-        self.read(schema, table).write.mode("overwrite").jdbc(url, target, properties=properties or {})
+    def to_jdbc(self, schema: str, table: str, url: str, target: str, properties: dict | None = None, tasks: int = 8, rename: str = "ALTER TABLE {} RENAME TO {}") -> None:
+        """Copy a published table to a relational database: to a shadow table by up to ``tasks`` connections, which then takes the target's place in one transaction.
+
+        Until then, and if anything fails, the target stays as it was. ``rename`` is the
+        database's way to rename a table; its DDL must be transactional.
+        """
+        properties, shadow, old = properties or {}, f"{target}_tidemark_new", f"{target}_tidemark_old"
+        self._sql(url, properties, [f"DROP TABLE {t}" for t in (shadow, old) if self._has(url, properties, t)])
+        self.read(schema, table).write.mode("overwrite").option("numPartitions", tasks).jdbc(url, shadow, properties=properties)
+        there = self._has(url, properties, target)
+        self._sql(url, properties, [rename.format(target, old)] * there + [rename.format(shadow, target)] + [f"DROP TABLE {old}"] * there)
+
+    def _has(self, url: str, properties: dict, table: str) -> bool:
+        try:
+            self._sql(url, properties, [f"SELECT 1 FROM {table} WHERE 1 = 0"])
+        except Py4JJavaError as e:
+            if "SQL" not in e.java_exception.getClass().getName():
+                raise
+            return False
+        return True
+
+    def _sql(self, url: str, properties: dict, statements: Sequence[str]) -> None:
+        """Statements in one transaction."""
+        jvm = self.spark._jvm
+        given = jvm.java.util.Properties()
+        for k, v in properties.items():
+            given.setProperty(k, v)
+        if "driver" in properties:
+            jvm.java.lang.Class.forName(properties["driver"])
+        connection = jvm.java.sql.DriverManager.getConnection(url, given)
+        try:
+            connection.setAutoCommit(False)
+            for text in statements:
+                connection.createStatement().execute(text)
+            connection.commit()
+        except Py4JJavaError:
+            connection.rollback()
+            raise
+        finally:
+            connection.close()
