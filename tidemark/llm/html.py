@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 from tidemark.llm._shared import ready
 
 MARKUP = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
-    r"|<(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)",
+    r"|<(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s\"'>][^\s>]*)?)?)*+)(?:>|\Z)",
     re.S,
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
@@ -34,7 +34,7 @@ DROPPED = {
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "status"}
 NEGATIVE = re.compile(
     r"ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|sidebar\w*|side|rail|widget\w*|cookies?|consent|gdpr|notices?|alert"
-    r"|popup|modal|overlay|subscri\w+|newsletter|signup|login|comments?|disqus|respond|replies|reply|share\w*|sharing|social|related|recommend\w*|pagination|pager|toolbar|skip|search"
+    r"|popup|modal|overlay|subscri\w+|newsletter|signup|login|comments?|discussions?|disqus|respond|replies|reply|share\w*|sharing|social|related|recommend\w*|pagination|pager|toolbar|skip|search"
 )
 POSITIVE = re.compile(r"article\w*|content|main|body|entry|post|story|text|prose")
 TITLES = {"header", "masthead"}
@@ -71,7 +71,7 @@ class Node:
 
     __slots__ = ("core", "dropped", "link", "name", "parent", "parts", "points", "score", "size", "suspect", "weight")
 
-    def __init__(self, name: str, attrs: str, parent: Node | None):
+    def __init__(self, name: str, attrs: str, parent: Node | None, hiding: bool = True):
         self.name, self.parent, self.parts = name, parent, []
         self.clear()
         found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attrs)} if attrs else {}
@@ -81,22 +81,26 @@ class Node:
         self.weight = -25.0 if self.suspect else 25.0 if top else 10.0 if good else 0.0
         self.core = self.suspect < ALIEN and (top or good or name == "h1")
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")) is not None
-        self.dropped = name in DROPPED or found.get("role") in ROLES or hidden or name == "header" and not inside(parent, "article")
+        alien = hidden or name == "noscript" or found.get("role") in ROLES
+        self.dropped = name in DROPPED and name != "noscript" or hiding and alien or name == "header" and not inside(parent, "article", "main")
 
     def clear(self) -> None:
         self.score, self.size, self.link, self.points = 0.0, 0, 0, 0.0
 
 
-def inside(node: Node | None, name: str) -> bool:
+def inside(node: Node | None, *names: str) -> bool:
     while node is not None:
-        if node.name == name:
+        if node.name in names:
             return True
         node = node.parent
     return False
 
 
-def parse(page: str) -> Node:
-    """The tree of a page, however its tags are nested; elements below a depth of 200 hang on that depth."""
+def parse(page: str, hiding: bool = True) -> Node:
+    """The tree of a page, however its tags are nested; elements below a depth of 200 hang on that depth.
+
+    With ``hiding`` False what is hidden, for pages without scripts or of a role beside the text is read too.
+    """
     root = Node("html", "", None)
     here, depth, at = root, 0, 0
     low = None
@@ -132,12 +136,12 @@ def parse(page: str) -> Node:
             if node.parent is not None and (node.name in ends or node.name == "p" and name in CLOSES_P):
                 here, depth = node.parent, depth - up - 1
             if name in ("html", "body"):
-                child = Node(name, m["attrs"], here)
+                child = Node(name, m["attrs"], here, hiding)
                 here.weight += child.weight
                 continue
-            node = Node(name, m["attrs"], here)
+            node = Node(name, m["attrs"], here, hiding)
             here.parts.append(node)
-            if name in RAW:
+            if name in RAW and (hiding or name != "noscript"):
                 low = page.lower() if low is None else low
                 end = low.find(f"</{name}", at)
                 at = len(page) if end < 0 else end
@@ -184,7 +188,8 @@ def measure(node: Node, in_link: bool = False) -> None:
 
     A run of text straight in an element counts as a paragraph: one point, one for each
     comma, one for each hundred characters up to three; the parent gets them whole, the
-    grandparent half, the next a third and so on.
+    grandparent half, the next a third and so on. Short lines, as of a list or a poem, count as
+    one paragraph together, as the element that first holds 25 characters of them.
     """
     own = 0
     commas = 0
@@ -205,18 +210,22 @@ def measure(node: Node, in_link: bool = False) -> None:
         node.link += text if in_link or node.name == "a" else 0
     if own >= 25 and (node.name in BLOCK or node.parent is None):
         points = (1 + commas + min(own // 100, 3)) * (1 - min(1.0, node.link / max(1, node.size)))
-        node.points += points
-        up, share = node.parent or node, 1
-        while up is not None and share <= 5:
-            up.score += points / share
-            up, share = up.parent, share + 1
+    elif node.size >= 25 and not node.points and not own and node.name in BLOCK:
+        points = (1 + min(node.size // 100, 3)) * (1 - min(1.0, node.link / node.size))
+    else:
+        return
+    node.points += points
+    up, share = node.parent or node, 1
+    while up is not None and share <= 5:
+        up.score += points / share
+        up, share = up.parent, share + 1
 
 
 def prune(root: Node) -> bool:
     """Drop what labels and scores together say is no main text; whether anything was.
 
-    An element that holds half of all points, and either nearly all of them or an element
-    that says main text, is a wrapper whatever its label, and stays. Otherwise forms and alien
+    An element that holds half of all points, and either nearly all of them and of the text or an
+    element that says main text, is a wrapper whatever its label, and stays. Otherwise forms and alien
     elements go, doubtful ones only if their text is short or mostly links.
     """
     todo, gone = [root], False
@@ -230,7 +239,8 @@ def prune(root: Node) -> bool:
     while todo:
         n = todo.pop()
         if n.suspect and not n.dropped:
-            wrapper = root.points > 0 and n.points >= root.points / 2 and (root.points - n.points < 2 or says_main(n))
+            outside, text = (root.size - root.link) - (n.size - n.link), n.size - n.link
+            wrapper = root.points > 0 and n.points >= root.points / 2 and (root.points - n.points < 2 and outside < text / 2 or says_main(n))
             if wrapper:
                 n.weight = 10.0 if says_main(n) else 0.0
             elif n.suspect == ALIEN or n.size < 200 or n.link > n.size / 3:
@@ -250,10 +260,17 @@ def forget(root: Node) -> None:
 
 
 def main_text(page: str | None) -> str:
-    """Blocks of the best container and of the siblings that score with it, one to a line."""
+    """Blocks of the best container and of the siblings that score with it, one to a line.
+
+    A page that is empty without what is hidden at first (by style, role or for want of
+    scripts) is read with it.
+    """
     if not page:
         return ""
-    root = parse(page)
+    return best_blocks(parse(page)) or best_blocks(parse(page, hiding=False))
+
+
+def best_blocks(root: Node) -> str:
     measure(root)
     if prune(root):
         forget(root)

@@ -15,7 +15,6 @@ from tidemark.llm._bytes import chunks
 from tidemark.llm._shared import ready
 
 SLOTS = 1 << 16
-WIDE = 512
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 32
 _FOLD[65:91] = np.arange(97, 123)
@@ -31,11 +30,10 @@ def slots(data: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """``probability[slot, language]``; with over ``WIDE`` languages slots are joined by 2 to the power of ``shift``, so its size is bounded."""
+    """``probability[slot, language]``: half a MB for each language, of which there are as many as labels, however many rows."""
 
     languages: tuple[str, ...]
     probability: np.ndarray
-    shift: int = 0
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5) -> Model:
@@ -43,7 +41,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoot
 
     Each task sends one count per language and slot, Spark adds them; the driver gets at most
     SLOTS x languages sums, in a row for each language. Rows with a null text or language teach
-    nothing. However many languages there are, the model has at most SLOTS x ``WIDE`` numbers.
+    nothing. The model has SLOTS numbers for each language, the same however many languages there are.
     """
     ready(docs.sparkSession)
 
@@ -65,12 +63,11 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoot
     counts = known.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     rows = counts.groupBy("lang").agg(F.collect_list(F.struct("slot", "n")).alias("c")).select("lang", "c.slot", "c.n").toArrow()
     order = np.argsort(np.array(rows["lang"].to_pylist(), dtype=object), kind="stable") if rows.num_rows else []
-    shift = max(0, (max(1, rows.num_rows) - 1).bit_length() - (WIDE - 1).bit_length())
-    probability = np.full((SLOTS >> shift, max(1, rows.num_rows)), smoothing)
+    probability = np.full((SLOTS, max(1, rows.num_rows)), smoothing)
     for k, row in enumerate(order):
         slot, n = (rows[c][int(row)].values.to_numpy() for c in ("slot", "n"))
-        np.add.at(probability[:, k], slot >> shift, n)
-    return Model(tuple(rows["lang"][int(row)].as_py() for row in order), probability / probability.sum(axis=0), shift)
+        probability[slot, k] += n
+    return Model(tuple(rows["lang"][int(row)].as_py() for row in order), probability / probability.sum(axis=0))
 
 
 def shares(probability: np.ndarray, counts: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, float]:
@@ -124,13 +121,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: flo
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "languages": F.array().cast("array<struct<lang:string,share:double>>")})
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     ready(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS x WIDE numbers at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS numbers for each language
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())])))])
     pairs = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
     position = docs.columns.index(text_col)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, probability, shift = shared.value.languages, shared.value.probability, shared.value.shift
+        languages, probability = shared.value.languages, shared.value.probability
         for batch in batches:
             has_letter = batch.column(batch.num_columns - 1).to_pylist()
             best, score, mixture = [], [], []
@@ -141,7 +138,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: flo
                     elif offsets[i + 1] - offsets[i] < 3:
                         found = [(0, 1 / len(languages))]
                     else:
-                        found = infer(probability, slots(data[offsets[i] : offsets[i + 1]]) >> shift, penalty)
+                        found = infer(probability, slots(data[offsets[i] : offsets[i + 1]]), penalty)
                     best.append(languages[found[0][0]] if found else "und")
                     score.append(min(1.0, max(0.0, found[0][1])) if found else 0.0)
                     mixture.append([{"lang": languages[k], "share": x} for k, x in found])

@@ -174,7 +174,8 @@ def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     ready(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    rows = rows.withColumn("key", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text")))))
+    named = F.coalesce(F.concat(F.octet_length(F.col("doc_id").cast("string")).cast("string"), F.lit(":"), F.col("doc_id").cast("string")), F.lit("-"))
+    rows = rows.withColumn("key", F.unhex(F.md5(F.concat(named, F.lit(":"), F.col("text")))))  # the id's length keeps ids with a colon apart
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
