@@ -84,7 +84,7 @@ def opened(monkeypatch):
     """The lists of files that syncs opened for their content; None stands for all."""
     seen = []
     real = partitions.file_entries
-    monkeypatch.setattr(syncs, "file_entries", lambda df, layout, files=None: seen.append(files) or real(df, layout, files))
+    monkeypatch.setattr(syncs, "file_entries", lambda df, layout, files=None, split=(): seen.append(files) or real(df, layout, files, split))
     return seen
 
 
@@ -166,6 +166,53 @@ def test_doubtful_counts_are_read_back(spark, tmp_path, monkeypatch):
             assert sync(spark, config, f"file://{tmp_path}/{name}{layout is None}", {"t": df}).first().status in ("rebuilt", "replaced")
 
 
+# pieces of partitions ---------------------------------------------------------------
+
+
+@pytest.mark.parametrize("by_file", [False, True])
+def test_one_row_rewrites_one_piece(spark, tmp_path, monkeypatch, by_file):
+    monkeypatch.setattr(partitions, "LEAF", 100)
+    table = Table("t", "t", RangeLayout("k", 0, 20, 10), split=("id",))
+    config, root, turn = Config({"shop": Schema((table,))}), f"file://{tmp_path}/s", iter(range(99))
+    store = Store(spark, root)
+
+    def run(df):
+        if by_file:
+            df.repartition(3).write.parquet(path := f"{tmp_path}/{next(turn)}")
+        return sync(spark, config, root, {"t": path if by_file else df}).first()
+
+    def paths():
+        return {r.partition_id: r.path for r in store.manifest("shop", "t").collect()}
+
+    df = spark.range(3000).select("id", F.when(F.col("id") % 10 > 0, F.lit(3)).when(F.col("id") % 20 > 0, F.lit(15)).alias("k"), F.lit("v").alias("v"))
+    assert run(df).status == "rebuilt"
+    before = paths()
+    assert len([p for p in before if p.startswith("0-")]) == 32 and len([p for p in before if p.startswith("10-")]) == 2 and len([p for p in before if p.startswith("__NULL__-")]) == 2
+    assert run(df).status == "unchanged"
+    changed = df.withColumn("v", F.when(F.col("id") == 1234, "w").otherwise("v"))
+    assert (r := run(changed)).status == "refreshed" and (r.new, r.changed, r.removed) == (0, 1, 0)
+    after = paths()
+    assert [p for p in after if after[p] != before[p]] == [next(p for p in after if after[p] != before[p])] and set(after) == set(before)
+    assert sorted(store.read("shop", "t").collect()) == sorted(changed.collect())
+    more = changed.union(spark.range(3000, 3040).select("id", F.lit(3), F.lit("v")))
+    assert run(more).status == "refreshed" and set(paths()) == set(before)  # a little more leaves the cut
+    far = changed.filter("k = 3 AND id < 400 OR k = 15")
+    assert run(far).removed > 30 and len([p for p in paths() if p.startswith("0-")]) == 4  # much less cuts anew
+    assert sorted(store.read("shop", "t", [("k", "eq", 15)]).filter("k = 15").collect()) == sorted(far.filter("k = 15").collect())
+    assert sorted(store.read("shop", "t").collect()) == sorted(far.collect())
+    assert by_file or plan(spark, config, root, {"t": far}).count() == 0
+
+
+def test_newest_partitions_of_split_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(partitions, "LEAF", 5)
+    config = Config({"shop": Schema((Table("t", "t", TimeLayout("day", "DAY"), last=2, split=("id",)),))})
+    sync(spark, config, f"file://{tmp_path}", {"t": days(spark, range(200))})
+    got = Store(spark, f"file://{tmp_path}").read("shop", "t")
+    assert {r.id % 5 for r in got.collect()} == {3, 4} and got.count() == days(spark, range(200)).filter("day IS NOT NULL AND id % 5 >= 3").count()
+    with pytest.raises(ValueError):
+        Table("t", "t", split=("id",))
+
+
 # estimates -------------------------------------------------------------------------
 
 
@@ -250,6 +297,38 @@ def test_point_reads_open_few_row_groups(spark, tmp_path, monkeypatch):
     assert read["with"] * 4 < read["without"], read
 
 
+# the audit --------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("units", [("a",), ("a", "b"), ("a", "b", "c"), ("a", "a"), ()])
+def test_audit_of_many_units_against_reads(spark, units):
+    rng = random.Random(len(units))
+    df = spark.createDataFrame([(i, rng.choice([None, *range(8)]), rng.choice([None, *"xyz"]), rng.randrange(4)) for i in range(600)], "id long, a int, b string, c int")
+    rows = []
+    for s in range(25):
+        for _ in range(rng.randrange(0, 6)):
+            kind = rng.choice(["a", "b", "c", "other"])
+            rows.append(("shop", f"s{s}", rng.random() < 0.03, rng.random() < 0.85, kind, rng.choice("xyz") if kind == "b" else str(rng.randrange(8)) if rng.random() < 0.9 else None, None))
+    grants = spark.createDataFrame(rows + rows[:10], security.GRANTS)
+    own = tuple(Unit(u, u) for u in units)
+    table = df.collect()
+    want = {}
+    for subject in {r[1] for r in rows if r[3]}:
+        mine = [r for r in rows if r[1] == subject and r[3]]
+        admin, held = any(r[2] for r in mine), {(r[4], r[5]) for r in mine}
+        want[subject] = (admin, len(table) if admin else sum(any((u, str(r[u])) in held and r[u] is not None for u in units) for r in table))
+    found = security.audit(df, "shop", own, grants)
+    assert {r.subject: (r.is_admin, r.visible_rows) for r in found.collect()} == want
+
+
+def test_audit_shuffles_no_pair_of_subject_and_combination(spark):
+    """Nothing is grouped by the subject and all units at once."""
+    df = spark.range(100).select("id", F.col("id").alias("a"), F.col("id").alias("b"))
+    text = security.audit(df, "shop", (Unit("a", "a"), Unit("b", "b")), spark.createDataFrame(GRANTS, security.GRANTS))._jdf.queryExecution().optimizedPlan().toString()
+    keys = [line for line in text.splitlines() if "Aggregate [subject" in line]
+    assert keys and not any("u0" in k.split("]")[0] and "u1" in k.split("]")[0] for k in keys)
+
+
 # pages by key ---------------------------------------------------------------------------
 
 

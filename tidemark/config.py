@@ -52,7 +52,9 @@ class Table:
     """One mirrored table; without a layout it is replaced whole.
 
     Rows are sorted by ``order`` in their files; files hold Bloom filters of ``index``,
-    and sketches of the columns ``estimate`` are kept for counts.
+    and sketches of the columns ``estimate`` are kept for counts. Partitions of over a million
+    rows are cut by the hash of ``split`` columns, a key that rows keep, into pieces that are
+    refreshed each on its own.
     """
 
     name: str
@@ -63,6 +65,7 @@ class Table:
     order: tuple[str, ...] = ()
     index: tuple[str, ...] = ()
     estimate: tuple[str, ...] = ()
+    split: tuple[str, ...] = ()
     schema: str = ""
 
     def __post_init__(self):
@@ -70,6 +73,8 @@ class Table:
             raise ValueError(f"bad table name {self.name!r}")
         if self.last is not None and (not isinstance(self.layout, TimeLayout) or self.last < 1):
             raise ValueError("last keeps the newest partitions of a time layout only")
+        if self.split and self.layout is None:
+            raise ValueError("only partitions are split")
 
     def canonical(self) -> str:
         """JSON that changes when anything in the configuration does."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,9 +39,55 @@ def partition_id(layout: TimeLayout | RangeLayout, schema: T.StructType | None =
     return F.when(c.isNull() | (c < layout.start) | (c >= layout.end), F.lit(REMAINDER)).otherwise(low.cast("string"))
 
 
-def with_bounds(inventory: DataFrame, layout: TimeLayout | RangeLayout) -> DataFrame:
-    """Add kind, column, lower and upper (texts, times by the clock of UTC) to rows with a partition_id."""
+SLOTS = 1024
+LEAF = 1_000_000
+PIECE = r"^(.*)-(\d+)\.(\d+)$"
+
+
+def slot(split: Sequence[str], schema: T.StructType) -> Column:
+    """One of ``SLOTS`` slots of a row, by the hash of its split columns."""
+    return F.pmod(row_hash(T.StructType([schema[c] for c in split])), F.lit(SLOTS))
+
+
+def piece_of(pid: Column, slot: Column, pieces: Column) -> Column:
+    """Id of a piece of a partition that is cut in so many: ``<partition>-<piece>.<pieces>``, the partition's own where it is whole."""
+    return F.when(pieces == 1, pid).otherwise(F.concat(pid, F.lit("-"), F.pmod(slot, pieces).cast("string"), F.lit("."), pieces.cast("string")))
+
+
+def base_id(pid: Column) -> Column:
+    """The partition that an id or the id of a piece names."""
+    return F.regexp_replace(pid, PIECE, "$1")
+
+
+def pieces_in(pid: Column) -> Column:
+    """How many pieces the partition of an id is cut in."""
+    return F.coalesce(F.regexp_extract(pid, PIECE, 3).try_cast("long"), F.lit(1))
+
+
+def fold(cells: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """The inventory of pieces from that of slots: sums of a hash tree, slots below pieces below partitions.
+
+    A partition is cut in as many pieces, a power of 2, as it has millions of rows. The number
+    that ``stored`` has stays while pieces hold between a quarter and twice of that, so a change
+    of a few rows changes a few pieces.
+    """
     pid = F.col("partition_id")
+    cells = cells.select(base_id(pid).alias("__base"), F.regexp_extract(pid, PIECE, 2).cast("long").alias("__slot"), content_of("modified").alias("__content"), "rows")
+    sizes = cells.groupBy("__base").agg(F.sum("rows").alias("__total"))
+    wanted = F.least(F.lit(SLOTS), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("__total") / LEAF, F.lit(1.0))))).cast("long"))
+    if stored is None:
+        sizes = sizes.select("__base", wanted.alias("__n"))
+    else:
+        old = stored.groupBy(base_id(pid).alias("__base")).agg(F.max(pieces_in(pid)).alias("__old"))
+        fits = (F.col("__total") <= 2 * LEAF * F.col("__old")) & ((F.col("__old") == 1) | (4 * F.col("__total") >= LEAF * F.col("__old")))
+        sizes = sizes.join(old, "__base", "left").select("__base", F.when(fits, F.col("__old")).otherwise(wanted).alias("__n"))
+    cut = cells.join(sizes, "__base").withColumn("partition_id", piece_of(F.col("__base"), F.col("__slot"), F.col("__n")))
+    return cut.groupBy("partition_id").agg(joined(F.sum("__content"), F.sum("rows")).alias("modified"), F.sum("rows").alias("rows"))
+
+
+def with_bounds(inventory: DataFrame, layout: TimeLayout | RangeLayout) -> DataFrame:
+    """Add kind, column, lower and upper (texts, times by the clock of UTC) to rows with a partition_id; pieces have those of their partition."""
+    pid = base_id(F.col("partition_id"))
     if isinstance(layout, TimeLayout):
         parts = [F.substring(pid, at, n) for at, n in ((1, 4), (5, 2), (7, 2), (9, 2))]
         month, day, hour = (F.when(F.length(p) > 0, p).otherwise(d) for p, d in zip(parts[1:], ("01", "01", "00")))
@@ -60,7 +108,7 @@ def with_bounds(inventory: DataFrame, layout: TimeLayout | RangeLayout) -> DataF
 
 def violations(inventory: DataFrame, layout: TimeLayout | RangeLayout) -> DataFrame:
     """Rows of an inventory (partition_id, lower, modified) that no refresh may use, with the reason."""
-    pid = F.col("partition_id")
+    pid = base_id(F.col("partition_id"))
     if isinstance(layout, TimeLayout):
         bad = F.when(F.col("lower").isNull(), "not an id of the granularity").when(F.length(pid) != len(FORMATS[layout.granularity]), "not an id of the granularity")
     else:
@@ -95,7 +143,13 @@ def split_fingerprint(text: str) -> tuple[int, int | None]:
     return int(rows), int(content) if content else None
 
 
-def inventory(df: DataFrame, layout: TimeLayout | RangeLayout, signature_mode: str = "content") -> DataFrame:
+def cell_id(layout: TimeLayout | RangeLayout, schema: T.StructType, split: Sequence[str] = ()) -> Column:
+    """Id of the partition of a row, or of its slot in it where partitions are split."""
+    pid = partition_id(layout, schema)
+    return piece_of(pid, slot(split, schema), F.lit(SLOTS)) if split else pid
+
+
+def inventory(df: DataFrame, layout: TimeLayout | RangeLayout, signature_mode: str = "content", split: Sequence[str] = ()) -> DataFrame:
     """partition_id, rows and modified of each partition: one partial aggregate over the source.
 
     ``modified`` is the fingerprint of the content (reads all columns), or in mode ``mtime``
@@ -105,7 +159,7 @@ def inventory(df: DataFrame, layout: TimeLayout | RangeLayout, signature_mode: s
     modified = epoch_ms(F.max("_metadata.file_modification_time")) if signature_mode == "mtime" else fingerprint(df.schema)
     if isinstance(layout, TimeLayout):
         df = df.filter(F.col(layout.column).isNotNull())
-    return df.groupBy(partition_id(layout, df.schema).alias("partition_id")).agg(modified.alias("modified"), F.count("*").alias("rows"))
+    return df.groupBy(cell_id(layout, df.schema, split).alias("partition_id")).agg(modified.alias("modified"), F.count("*").alias("rows"))
 
 
 FILE = {"file": "file_path", "size": "file_size", "written": "file_modification_time"}
@@ -125,11 +179,11 @@ def moved_files(df: DataFrame, known: DataFrame) -> tuple[list[str], list[str]]:
     return [r.now for r in rows if r.now is not None], [r.was for r in rows if r.was is not None]
 
 
-def file_entries(df: DataFrame, layout: TimeLayout | RangeLayout | None, files: list[str] | None = None) -> DataFrame:
+def file_entries(df: DataFrame, layout: TimeLayout | RangeLayout | None, files: list[str] | None = None, split: Sequence[str] = ()) -> DataFrame:
     """Content and rows by file and partition (null for null times, empty without a layout), of all files of a scan or of those named; others are not opened."""
     if files is not None:
         df = df.filter(F.col("_metadata.file_path").isin(files))
-    pid = partition_id(layout, df.schema) if layout is not None else F.lit("")
+    pid = cell_id(layout, df.schema, split) if layout is not None else F.lit("")
     keys = [F.col(f"_metadata.{m}").alias(c) for c, m in FILE.items()]
     found = df.groupBy(*keys, pid.alias("partition_id")).agg(content(df.schema).cast("decimal(38,0)").alias("content"), F.count("*").alias("rows"))
     return found.select(*[f.split()[0] for f in FILES.split(", ")])
@@ -156,13 +210,14 @@ def last_partitions(found: DataFrame, n: int, *tables: str) -> DataFrame:
 
 def in_order(found: DataFrame) -> DataFrame:
     """Ids as numbers upwards, the remainder last."""
-    return found.orderBy(F.col("partition_id").try_cast("long").asc_nulls_last(), "partition_id")
+    return found.orderBy(base_id(F.col("partition_id")).try_cast("long").asc_nulls_last(), "partition_id")
 
 
 def signed(found: DataFrame, table: Table, table_signature: str) -> DataFrame:
     """An inventory with bounds as the partitions of a table: id, signature, kind, column, bounds and rows."""
     if table.last is not None:
-        found = last_partitions(found, table.last)
+        kept = last_partitions(found.select(base_id(F.col("partition_id")).alias("partition_id")).distinct(), table.last)
+        found = found.withColumn("__base", base_id(F.col("partition_id"))).join(kept.select(F.col("partition_id").alias("__base")), "__base", "left_semi") if table.split else last_partitions(found, table.last)
     return found.select(
         F.lit(table.schema).alias("schema"), F.lit(table.name).alias("table"), "partition_id",
         digest(F.col("partition_id"), F.col("modified"), F.lit(table_signature)).alias("signature"), "kind", "column", "lower", "upper", "rows",

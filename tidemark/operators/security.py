@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,17 +68,29 @@ def audit(df: DataFrame, schema: str, units: Sequence[Unit], grants: DataFrame)
     """subject, is_admin and visible_rows of every subject with an enabled grant in the schema.
 
     Rows are counted by their combination of unit values first, so what meets the grants is
-    those counts and not the table, and a combination that two grants open counts once.
+    those counts and not the table. Rows that several of a subject's units open count once, by
+    inclusion and exclusion: for each set of units, the rows that all of its units open are
+    added or taken off. Counts are summed by subject and the units still to be met after each
+    join, so no pair of a subject and a whole combination is shuffled.
     """
     enabled = grants.filter((F.col("schema") == schema) & F.col("is_enabled") & F.col("subject").isNotNull())
-    columns = list(dict.fromkeys(u.column for u in units))
-    combos = df.groupBy(*columns).agg(F.count("*").alias("rows"))
-    pairs = F.array_distinct(F.array(*[F.struct(F.lit(u.unit_type).alias("unit_type"), F.col(u.column).cast("string").alias("unit_id")) for u in units])) if units else F.array().cast("array<struct<unit_type:string,unit_id:string>>")
-    opened = combos.withColumn("__u", F.explode(pairs)).select(*columns, "rows", "__u.*")
-    mine = enabled.select("subject", "unit_type", "unit_id").join(opened, ["unit_type", "unit_id"]).select("subject", *columns, "rows").distinct()
-    seen = mine.groupBy("subject").agg(F.sum("rows").alias("n"))
+    combos = df.groupBy(*dict.fromkeys(u.column for u in units)).agg(F.count("*").alias("rows"))
+    held = enabled.filter("unit_id IS NOT NULL").select("subject", "unit_type", "unit_id").distinct()
     total = df.agg(F.count("*").alias("total")).withColumn("__one", F.lit(1))
     people = enabled.groupBy("subject").agg(F.bool_or("is_admin").alias("is_admin")).withColumn("__one", F.lit(1))
+    terms = []
+    for size in range(1, len(units) + 1):
+        for chosen in combinations(range(len(units)), size):
+            names = [f"u{i}" for i in chosen]
+            term = combos.select(*[F.col(units[i].column).cast("string").alias(n) for i, n in zip(chosen, names)], "rows").dropna(subset=names)
+            term = term.groupBy(*names).agg(F.sum("rows").alias("rows"))
+            for at, (i, n) in enumerate(zip(chosen, names)):
+                own = held.filter(F.col("unit_type") == units[i].unit_type).select("subject", F.col("unit_id").alias(n))
+                term = term.join(own, ["subject", n] if at else [n]).groupBy("subject", *names[at + 1 :]).agg(F.sum("rows").alias("rows"))
+            terms.append(term.select("subject", (F.col("rows") * (1 if size % 2 else -1)).alias("rows")))
+    if not terms:
+        terms = [people.select("subject", F.lit(0).cast("long").alias("rows"))]
+    seen = reduce(DataFrame.unionByName, terms).groupBy("subject").agg(F.sum("rows").alias("n"))
     out = people.join(seen, "subject", "left").join(total, "__one")
     return out.select("subject", "is_admin", F.when(F.col("is_admin"), F.col("total")).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("visible_rows"))
 

@@ -365,6 +365,25 @@ def changed_files(spark, sf_dir):
     return store.read("shop", "orders").select("o_orderkey", "o_orderstatus", F.lit(opened).alias("opened"))
 
 
+@query("split_refresh", "SELECT * REPLACE (CASE WHEN o_orderkey = 7 THEN 'X' ELSE o_orderstatus END AS o_orderstatus), 1 AS rewritten FROM orders")
+def split_refresh(spark, sf_dir):
+    """One row of one year changes: one piece of the year's partition is written anew, whatever the year's size."""
+    orders, root, before = table(spark, sf_dir, "orders"), scratch_root(spark), partitions.LEAF
+    config = Config({"shop": Schema((Table("orders", "orders", TimeLayout("o_orderdate", "YEAR"), split=("o_orderkey",)),))})
+    store = Store(spark, root)
+    paths = lambda: {r.path for r in store.manifest("shop", "orders").select("path").collect()}
+    try:
+        partitions.LEAF = 20  # pieces of twenty rows: these years are far from a million
+        statuses = [sync(spark, config, root, {"orders": orders}).first().status]
+        was = paths()
+        statuses.append(sync(spark, config, root, {"orders": orders.withColumn("o_orderstatus", F.when(F.col("o_orderkey") == 7, "X").otherwise(F.col("o_orderstatus")))}).first().status)
+    finally:
+        partitions.LEAF = before
+    if statuses != ["rebuilt", "refreshed"] or len(was) < 50:
+        raise RuntimeError(str((statuses, len(was))))
+    return store.read("shop", "orders").withColumn("rewritten", F.lit(len(paths() - was)))
+
+
 @query("indexed_point_read", "SELECT * FROM orders WHERE o_custkey = 77")
 def point_read(spark, sf_dir):
     """A read by a column that is neither partitioned nor sorted by: Bloom filters tell which row groups to open."""

@@ -18,7 +18,8 @@ from tidemark.config import Config, Table, TimeLayout
 from tidemark.functions.expressions import struct_columns, structs_to_json
 from tidemark.operators.changes import KEY, check_plan, full_signature, merged_intervals, modified, partition_diff, table_plans, table_signature
 from tidemark.operators.partitions import (
-    FILES, content, content_of, content_of_files, current_manifest, file_entries, inventory, inventory_of_files, moved_files, partition_id, signed, split_fingerprint, with_bounds,
+    FILES, base_id, content, content_of, content_of_files, current_manifest, file_entries, fold, inventory, inventory_of_files, moved_files, partition_id, piece_of, pieces_in, signed, slot,
+    split_fingerprint, with_bounds,
 )
 from tidemark.operators.selections import Between, Remainder, predicate
 from tidemark.sources.store import MANIFEST, PID, ROWS, Store
@@ -55,10 +56,20 @@ def entries_by_file(store: Store, table: Table, df: DataFrame, signature: str) -
     """
     known = store.files(table.schema, table.name, signature)
     if known is None:
-        return file_entries(df, table.layout), False
+        return file_entries(df, table.layout, split=table.split), False
     new, gone = moved_files(df, known)
     kept = known.filter(~F.col("file").isin(gone)) if gone else known
-    return kept.unionByName(file_entries(df, table.layout, new)) if new else kept, not new and not gone
+    return kept.unionByName(file_entries(df, table.layout, new, table.split)) if new else kept, not new and not gone
+
+
+def pieces(table: Table, df: DataFrame, entries: DataFrame | None, signature_mode: str, stored: DataFrame | None) -> DataFrame:
+    """The inventory of a table's partitions, or of their pieces where it splits them (by content only: file times can't tell pieces)."""
+    if entries is not None:
+        found = inventory_of_files(entries)
+        return fold(found, stored) if table.split else found
+    if table.split and signature_mode == "content":
+        return fold(inventory(df, table.layout, signature_mode, table.split), stored)
+    return inventory(df, table.layout, signature_mode)
 
 
 def policy(table: Table, claim: str | None) -> dict:
@@ -74,6 +85,10 @@ def extract(df: DataFrame, table: Table, todo: DataFrame) -> DataFrame:
     cast = (lambda text: f"{text}Z" if instants else text) if isinstance(table.layout, TimeLayout) else int
     picks = [Between(table.layout.column, cast(r.lower), cast(r.upper)) if r.lower != "remainder" else Remainder(table.layout.column, table.layout.start, table.layout.end) for r in spans]
     rows = df.filter(reduce(lambda a, b: a | b, (predicate(p, df) for p in picks), F.lit(False))).withColumn(PID, partition_id(table.layout, df.schema))
+    if table.split:
+        pid = F.col("partition_id")
+        cuts = todo.select(base_id(pid).alias(PID), pieces_in(pid).alias("__n")).distinct()
+        rows = rows.join(cuts, PID).withColumn(PID, piece_of(F.col(PID), slot(table.split, df.schema), F.col("__n"))).drop("__n")
     return rows.join(todo.select(F.col("partition_id").alias(PID), F.col("rows").alias(ROWS)), PID)
 
 
@@ -145,10 +160,10 @@ def sync_table(store: Store, table: Table, df: DataFrame, claim: str | None = No
         version = store.publish(store.spark.createDataFrame(row, MANIFEST), schema, name, out.schema, whole, policy(table, claim), version, **noted)
         return done | {"status": "replaced", "version": version, "changed": 1}
     rebuild = now is None or now["signature"] != signature
-    found, current = current_manifest(inventory(df, table.layout, signature_mode) if entries is None else inventory_of_files(entries), table, signature)
+    stored = store.manifest(schema, name, version)
+    found, current = current_manifest(pieces(table, df, entries, signature_mode, None if rebuild else stored), table, signature)
     held = [found]
     try:
-        stored = store.manifest(schema, name, version)
         diff = partition_diff(current, stored, rebuild)  # of the held inventory and a manifest, a row for each partition
         plans = check_plan(diff, current, [], [(schema, name)])
         counts = {k: plans[0][k] if plans else 0 for k in ("new", "changed", "removed")}
@@ -197,9 +212,10 @@ def plan(spark: SparkSession, config: Config, root: str, sources: Mapping[str, D
             parts.append(row.select(*names, F.lit(True).alias("whole"), F.lit(now is None).alias("rebuild"), *[F.lit(n).cast("long").alias(c) for c, n in counts.items()]))
             continue
         rebuild = now is None or now["signature"] != signature
-        found = inventory(df, table.layout, signature_mode) if entries is None else inventory_of_files(entries)
+        stored = store.manifest(table.schema, table.name)
+        found = pieces(table, df, entries, signature_mode, None if rebuild else stored)
         current = signed(with_bounds(found, table.layout), table, signature)
-        plans = table_plans(partition_diff(current, store.manifest(table.schema, table.name), rebuild))
+        plans = table_plans(partition_diff(current, stored, rebuild))
         parts.append(plans.select(*names, F.lit(False).alias("whole"), F.lit(rebuild).alias("rebuild"), "new", "changed", "removed", "unchanged"))
     if not parts:
         return spark.createDataFrame([], "schema string, table string, whole boolean, rebuild boolean, new long, changed long, removed long, unchanged long")
