@@ -116,6 +116,18 @@ def test_only_new_files_are_opened(spark, tmp_path, monkeypatch):
     assert statuses() == ["unchanged", "unchanged"] and len(seen) == count
 
 
+def test_a_refresh_reads_the_files_that_hold_its_partitions(spark, tmp_path, monkeypatch):
+    root, src, read = f"file://{tmp_path}/store", f"{tmp_path}/src", []
+    for d in range(5):
+        days(spark, range(100)).filter(F.col("id") % 5 == d).coalesce(1).write.mode("append").parquet(src)
+    config, real = Config({"shop": Schema((Table("t", "t", TimeLayout("day", "DAY")),))}), syncs.holding
+    monkeypatch.setattr(syncs, "holding", lambda *a: read.append((df := real(*a)).select("_metadata.file_path").distinct().count()) or df)
+    sync(spark, config, root, {"t": src})
+    days(spark, [502]).coalesce(1).write.mode("append").parquet(src)
+    assert sync(spark, config, root, {"t": src}).first().changed == 1 and read == [5, 2]
+    assert sorted(r.id for r in Store(spark, root).read("shop", "t").collect()) == sorted(r.id for r in spark.read.parquet(src).filter("day IS NOT NULL").collect())
+
+
 def test_unmoved_files_are_found_without_a_data_column(spark, tmp_path):
     src = f"{tmp_path}/src"
     days(spark, range(50)).write.parquet(src)
@@ -403,3 +415,18 @@ def test_a_failed_copy_leaves_the_old_table(spark, tmp_path):
     assert rows() == list(range(5))
     copy(tasks=2)
     assert rows() == list(range(7))
+
+
+@pytest.mark.parametrize("layout", [None, TimeLayout("day", "DAY")])
+def test_empty_sources_and_odd_columns_are_written(spark, tmp_path, layout):
+    """What is observed at the write comes back also where nothing is written."""
+    config = Config({"shop": Schema((Table("t", "t", layout),))})
+    kind = "id long, day timestamp_ntz, a array<struct<x:int>>, `odd name` string, rows int, content string"
+    none = spark.createDataFrame([], kind)
+    for k, df in enumerate((none, spark.createDataFrame([(1, None, None, "x", 1, "c")], kind), none.union(none).filter("id > 1"))):
+        root = f"file://{tmp_path}/{k}"
+        assert sync(spark, config, root, {"t": df}).first().status in ("replaced", "rebuilt")
+        assert Store(spark, root).read("shop", "t").count() == (0 if layout else df.count())
+        df.write.parquet(f"{tmp_path}/src{k}")
+        assert sync(spark, config, f"{root}-files", {"t": f"{tmp_path}/src{k}"}).first().status in ("replaced", "rebuilt")
+        assert sync(spark, config, f"{root}-files", {"t": f"{tmp_path}/src{k}"}).first().status == "unchanged"

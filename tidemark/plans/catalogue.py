@@ -365,6 +365,18 @@ def changed_files(spark, sf_dir):
     return store.read("shop", "orders").select("o_orderkey", "o_orderstatus", F.lit(opened).alias("opened"))
 
 
+@query("relational_copy", "SELECT * FROM supplier WHERE s_suppkey % 3 > 0")
+def relational_copy(spark, sf_dir):
+    """Two copies of a mirror to a database, the second in the place of the first; a database in the driver's memory, so for local masters."""
+    root, supplier = scratch_root(spark), table(spark, sf_dir, "supplier")
+    config, store = Config({"shop": Schema((Table("supplier", "supplier"),))}), Store(spark, root)
+    url, driver = f"jdbc:derby:memory:copy{abs(hash(root))};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    for df in (supplier, supplier.filter("s_suppkey % 3 > 0")):
+        sync(spark, config, root, {"supplier": df})
+        store.to_jdbc("shop", "supplier", url, "suppliers", driver, rename="RENAME TABLE {} TO {}")
+    return spark.read.jdbc(url, "suppliers", properties=driver)
+
+
 @query("split_refresh", "SELECT * REPLACE (CASE WHEN o_orderkey = 7 THEN 'X' ELSE o_orderstatus END AS o_orderstatus), 1 AS rewritten FROM orders")
 def split_refresh(spark, sf_dir):
     """One row of one year changes: one piece of the year's partition is written anew, whatever the year's size."""

@@ -92,6 +92,13 @@ def extract(df: DataFrame, table: Table, todo: DataFrame) -> DataFrame:
     return rows.join(todo.select(F.col("partition_id").alias(PID), F.col("rows").alias(ROWS)), PID)
 
 
+def holding(df: DataFrame, entries: DataFrame, todo: DataFrame) -> DataFrame:
+    """The rows of the files that hold rows of the partitions ``todo``; the names of no other files come to the driver, which has listed all."""
+    base = base_id(F.col("partition_id")).alias("pid")
+    files = entries.select("file", base).join(todo.select(base).distinct(), "pid", "left_semi").select("file").distinct().collect()
+    return df.filter(F.col("_metadata.file_path").isin([r.file for r in files]))
+
+
 class WrongWrite(RuntimeError):
     """What was written is not what was planned, so it is not published."""
 
@@ -174,7 +181,7 @@ def sync_table(store: Store, table: Table, df: DataFrame, claim: str | None = No
         if counts["new"] or counts["changed"]:
             todo = current.join(diff.filter("status IN ('new', 'changed')").select(*KEY), KEY, "left_semi").persist()
             held.append(todo)
-            rows, seen = observed(extract(df, table, todo))
+            rows, seen = observed(extract(df if entries is None else holding(df, entries, todo), table, todo))
             path = store.write_partitions(structs_to_json(rows), schema, name, run, table.order, table.index)
             planned = found.join(todo.select("partition_id"), "partition_id", "left_semi")
             sums = planned.agg(F.sum("rows"), F.sum(content_of("modified")) if signature_mode == "content" else F.lit(None)).first()
