@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._shared import discard, keep, ready
 
-LARGEST = float(1 << 46)
+LARGEST = float(1 << 56)
 BLOCK = 1 << 18
 BLOCKS = 100_000
 NO_VARIANCE = 1e-10
@@ -21,7 +21,7 @@ WIDE = "decimal(38,0)"
 
 
 def fixed_point(vector: Column, scale: int = 64, shift: int = 1_000_000) -> Column:
-    """Entries as integers, floor(scale * entry) + shift; null for a null vector or one with a null, non-finite or huge (from 2^46) entry."""
+    """Entries as integers, floor(scale * entry) + shift; null for a null vector or one with a null, non-finite or huge (from 2^56) entry."""
     v = vector.cast("array<double>")
     usable = F.forall(v, lambda c: c.isNotNull() & (F.abs(c) < LARGEST))
     return F.when(usable, F.transform(v, lambda c: F.floor(c * scale) + shift))
@@ -88,7 +88,7 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     the fit list minus the identity. Components whose variance is under 1e-10 of the first one's
     can't be scaled and are left out, so a fit list of one vector gives no rows.
 
-    Null vectors and those with null, non-finite or huge entries (from 2^46) give no rows; of
+    Null vectors and those with null, non-finite or huge entries (from 2^56, which would not fit) give no rows; of
     vectors of different lengths those of the most frequent one (the longest on a tie) stay.
     Ids may be null or repeat: each row is its own. Only the id column is carried along.
     """
