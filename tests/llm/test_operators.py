@@ -470,6 +470,25 @@ def test_patience_keeps_order():
     assert lines.patience([], [1]) == []
 
 
+def test_runs_align_in_chains():
+    run = lambda *rows: lines.aligned(*(np.array(c) for c in zip(*rows))).tolist()
+    assert run((0, 2, 5), (1, 3, 6), (4, 6, 9)) == [0, 1, 2, 4, 5]  # one chain
+    assert run((0, 2, 5), (6, 8, 5)) == [0, 1, 6, 7]  # stands twice: the second chain
+    assert run((0, 1, 9), (3, 4, 6), (5, 6, 3), (8, 9, 0)) == [0, 3, 5, 8]  # in another order
+    many = [(2 * i, 2 * i + 1, 1000 - i) for i in range(100)]  # more chains than rounds
+    assert run(*many) == [2 * i for i in range(100)]
+    assert lines.rising([3, 1, 2, 5, 4]) in ([1, 2, 3], [1, 2, 4]) and lines.rising([]) == []
+
+
+def test_without_alignment_nothing_goes(spark, monkeypatch):
+    docs = documents(spark)
+    gone = lambda: lines.dedup(docs, every_block=True).agg(F.sum("n_deleted")).first()[0]
+    copies = docs.filter("text IS NOT NULL").count() - docs.select("text").distinct().count()
+    before = gone()
+    monkeypatch.setattr(lines, "aligned", lambda begins, ends, places: np.zeros(0, dtype=np.int32))
+    assert before > gone() and copies >= 0
+
+
 def test_line_dedup(spark):
     one, two = (["%s line number %d of a text that is long enough" % (n, i) for i in range(8)] for n in ("first", "second"))
     rows = [(1, "\n".join(one)), (2, "\n".join([*two[:3], *one[2:6], *two[3:]])), (3, "\n".join(one)), (4, "short\nline"), (5, "short\nline"), (6, None), (7, ""), (None, "\n".join(one)), (1, "\n".join(one))]
