@@ -229,7 +229,7 @@ def test_newest_partitions_of_split_tables(spark, tmp_path, monkeypatch):
 
 
 def pupils(spark, n=40_000):
-    return spark.range(n).select(
+    return spark.range(0, n, 1, 4).select(
         "id", (F.col("id") % 100).alias("school"), F.pmod(F.xxhash64("id"), F.lit(1000)).alias("grade"), (F.rand(5) * F.rand(6) * 100).alias("score"),
         F.when(F.col("id") % 3 > 0, F.concat(F.lit("name"), F.col("id") % 50)).alias("name"), F.timestamp_seconds(1_704_067_200 + F.col("id") * 60).alias("at"),
     )
@@ -246,7 +246,7 @@ def test_estimates_count_visible_rows_only(spark, tmp_path):
     ]
     for subject, visible in (("ana", 400), ("bob", 40_000), ("zoe", 0)):
         reader = SecureReader(Store(spark, f"file://{tmp_path}"), grants, USER | {"sub": subject})
-        for where in filters:
+        for where in filters if visible else filters[:2]:
             query = Query(where=where, cap=0)
             real = reader.count("shop", "p", query).first()
             got = reader.count("shop", "p", query, exact=False).first()

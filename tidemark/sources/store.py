@@ -249,12 +249,14 @@ class Store:
                 gone.append(run)
         return gone
 
-    def to_jdbc(self, schema: str, table: str, url: str, target: str, properties: dict | None = None, tasks: int = 8, rename: str = "ALTER TABLE {} RENAME TO {}") -> None:
+    def to_jdbc(self, schema: str, table: str, url: str, target: str, properties: dict | None = None, tasks: int = 8, rename: str | None = None) -> None:
         """Copy a published table to a relational database: to a shadow table by up to ``tasks`` connections, which then takes the target's place in one transaction.
 
         Until then, and if anything fails, the target stays as it was. ``rename`` is the
-        database's way to rename a table; its DDL must be transactional.
+        database's way to rename a table, by default that of most, or of the few by their URL; its
+        DDL must be transactional.
         """
+        rename = rename or ("RENAME TABLE {} TO {}" if url.split(":")[1] in ("derby", "db2", "mysql", "mariadb") else "ALTER TABLE {} RENAME TO {}")
         properties, shadow, old = properties or {}, f"{target}_tidemark_new", f"{target}_tidemark_old"
         self._sql(url, properties, [f"DROP TABLE {t}" for t in (shadow, old) if self._has(url, properties, t)])
         self.read(schema, table).write.mode("overwrite").option("numPartitions", tasks).jdbc(url, shadow, properties=properties)
