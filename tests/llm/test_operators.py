@@ -1,5 +1,7 @@
 """Operators against brute force on small tables, and their edge cases."""
 
+import datetime
+import decimal
 import hashlib
 import re
 import zlib
@@ -627,6 +629,18 @@ def test_items_of_one_word_over_long_texts(spark):
     assert got == {1: [(1, 60_000)], 2: [], 3: [(2, 0)], 4: []}
 
 
+def test_item_ids_of_any_type(spark):
+    texts = ["alpha beta gamma delta epsilon zeta", "pin", None, "needle in hay"]
+    data = spark.createDataFrame([(1, "x alpha beta gamma delta epsilon zeta"), (2, "pin a Needle in hay pin"), (3, "none")], "doc_id long, text string")
+    for kind, ids in (("string", ["b:1", "a", None, "b:1"]), ("date", [datetime.date(2024, 1, d) for d in (3, 2, 1, 3)]), ("decimal(20,2)", [decimal.Decimal(d) for d in (9, 5, 1, 9)])):
+        few = spark.createDataFrame(list(zip(ids, texts, strict=True)), f"item_id {kind}, text string")
+        for block in (32_000_000, 30):
+            found = decontamination.contaminate(data, few, block_bytes=block)
+            assert found.schema["matches"].dataType.elementType["item_id"].dataType == few.schema["item_id"].dataType
+            got = {r.doc_id: {(m.item_id, m.first_word) for m in r.matches} for r in found.collect()}
+            assert got == {1: {(ids[0], 1)}, 2: {(ids[1], 0), (ids[0], 2)}, 3: set()}
+
+
 def test_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(1)
     for radius in (3, 7, 20):

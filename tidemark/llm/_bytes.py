@@ -101,7 +101,17 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def sequences(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each ``n`` words in a row as a whole sequence, ``n`` being less than the words of a shingle."""
+    many = len(hashes) - n + 1
+    if many <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    total = np.full(many, n, dtype=np.uint64)
+    for i in range(n):
+        total += mix(hashes[i : i + many] * _PLACE[i] + np.uint64(n * 1000))
+    return mix(total)
+
+
 def short(hashes: np.ndarray) -> np.uint64:
     """Hash of a whole sequence of words shorter than a shingle."""
-    total = mix(hashes * _PLACE[: len(hashes)] + np.uint64(len(hashes) * 1000)).sum(dtype=np.uint64)
-    return mix(np.array([total + np.uint64(len(hashes))], dtype=np.uint64))[0]
+    return sequences(hashes, len(hashes))[0]

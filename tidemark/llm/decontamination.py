@@ -12,14 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._bytes import chunks, shingles, short, words
+from tidemark.llm._bytes import chunks, sequences, shingles, short, words
 from tidemark.llm._shared import ready
 
 SHINGLE = 5
 BITS = 64
 TILE = 1024
-MATCH = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType())]))
-_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64())]))
 
 
 def fingerprints(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -43,29 +41,53 @@ def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hashes, shingles(hashes, SHINGLE), sums[SHINGLE:] - sums[:-SHINGLE], bounds
 
 
+class Block:
+    """A block of benchmark items (item_id, item), ordered by them, as it is broadcast.
+
+    A Python worker indexes it once, for all tasks that it runs.
+    """
+
+    def __init__(self, rows: pa.Table, radius: int):
+        self.rows, self.radius, self.made = rows, radius, None
+
+    def index(self) -> Items:
+        if self.made is None:
+            self.made = Items(self.rows, self.radius)
+        return self.made
+
+
 class Items:
-    """Index of a block of benchmark items: shingles, weights and fingerprints by number of words."""
+    """Index of a block of benchmark items: shingles, weights and fingerprints by number of words.
+
+    Items are known by a number in the order of their ids, which may be of any type.
+    """
 
-    def __init__(self, rows: list[tuple[int, str]], radius: int):
+    def __init__(self, rows: pa.Table, radius: int):
         self.radius = radius
         self.shifts, self.masks = (np.array(x, dtype=np.uint64) for x in zip(*blocks(radius), strict=True))
-        self.whole: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        self.ids: list = []
+        whole: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         self.bags: list[tuple[int, Counter, dict[int, int], int]] = []
         by_size: dict[int, list[int]] = defaultdict(list)
         prints: list[int] = []
-        for item_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
+        for item_id, text in zip(rows.column("item_id").to_pylist(), rows.column("item").to_pylist(), strict=True):
+            if not self.ids or self.ids[-1] != item_id:
+                self.ids.append(item_id)
+            item = len(self.ids) - 1
             raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
             hashes, sh, weight, _ = parts(raw, np.array([0, len(raw)]))
             if not len(hashes):
                 continue
             if len(hashes) < SHINGLE:
-                self.whole[len(hashes)][int(short(hashes))].append(item_id)
+                whole[len(hashes)][int(short(hashes))].append(item)
                 continue
             bag = Counter(sh.tolist())
             weights = dict(zip(sh.tolist(), weight.tolist(), strict=True))
             by_size[len(hashes)].append(len(self.bags))
-            self.bags.append((item_id, bag, weights, sum(weights[s] * n for s, n in bag.items())))
+            self.bags.append((item, bag, weights, sum(weights[s] * n for s, n in bag.items())))
             prints.append(int(fingerprints(sh, np.array([0]), np.array([len(sh)]))[0]))
+        # hashes in order, and the items of each
+        self.whole = {size: (np.array(sorted(table), dtype=np.uint64), [table[h] for h in sorted(table)]) for size, table in whole.items()}
         self.known = np.unique(np.array([s for _, bag, _, _ in self.bags for s in bag], dtype=np.uint64))
         self.filter = np.zeros(1 << 20, dtype=bool)
         self.filter[(self.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
@@ -105,13 +127,16 @@ class Items:
             out[at] = self.known[place] == sh[at]
         return out
 
-    def search(self, hashes: np.ndarray, sh: np.ndarray, weight: np.ndarray, hit: np.ndarray, percent: int) -> list[tuple[int, float, int]]:
-        """(item, similarity, first word) of the best window of each item found in one text."""
+    def search(self, hashes: np.ndarray, sh: np.ndarray, weight: np.ndarray, hit: np.ndarray, percent: int) -> list[tuple]:
+        """(item_id, similarity, first word) of the best window of each item found in one text."""
         best: dict[int, tuple[float, int]] = {}
-        for size, table in self.whole.items():
-            for at in range(len(hashes) - size + 1):
-                for item_id in table.get(int(short(hashes[at : at + size])), ()):
-                    best.setdefault(item_id, (1.0, at))
+        for size, (known, items) in self.whole.items():
+            found = sequences(hashes, size)
+            place = np.minimum(np.searchsorted(known, found), len(known) - 1)
+            at = np.flatnonzero(known[place] == found)
+            for k, first in zip(*(x.tolist() for x in np.unique(place[at], return_index=True)), strict=True):
+                for item in items[k]:
+                    best[item] = min(best.get(item, (1.0, len(hashes))), (1.0, int(at[first])))
         if hit.any():
             shared = np.r_[0, np.cumsum(np.where(hit, weight, 0))]
             for size, (least, *_) in self.sizes.items():
@@ -129,11 +154,20 @@ class Items:
                     weights = dict(zip(sh[at : at + span].tolist(), weight[at : at + span].tolist(), strict=True))
                     total = sum(weights[s] * n for s, n in window.items())
                     for i in near:
-                        item_id, bag, _, own = self.bags[i]
+                        item, bag, _, own = self.bags[i]
                         common = sum(weights[s] * min(n, bag[s]) for s, n in window.items() if s in bag)
-                        if common * 100 >= percent * (total + own - common) and common / (total + own - common) > best.get(item_id, (0, 0))[0]:
-                            best[item_id] = (common / (total + own - common), at)
-        return [(k, s, at) for k, (s, at) in sorted(best.items(), key=lambda x: (x[0] is None, x[0]))]
+                        if common * 100 >= percent * (total + own - common) and common / (total + own - common) > best.get(item, (0, 0))[0]:
+                            best[item] = (common / (total + own - common), at)
+        return [(self.ids[k], s, at) for k, (s, at) in sorted(best.items())]
+
+
+def merged(old: list[dict] | None, new: list[tuple]) -> list[dict]:
+    """Matches of the blocks so far and of one more: the better one of an id that is in both."""
+    best = {m["item_id"]: m for m in old or ()}
+    for item_id, similarity, at in new:
+        if item_id not in best or similarity > best[item_id]["similarity"]:
+            best[item_id] = {"item_id": item_id, "similarity": similarity, "first_word": at}
+    return list(best.values())
 
 
 def contaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius: int = 20, block_bytes: int = 32_000_000,
@@ -147,7 +181,8 @@ def contaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius
     repeats, weighed by the bytes of their words) is ``percent`` or more. Windows that hold
     too little weight of benchmark shingles for that are passed over before hashing. Items
     with fewer than five words match as a whole sequence; empty or null items and texts
-    match nothing. Words are split at white space, A-Z in lower case.
+    match nothing. Words are split at white space, A-Z in lower case. Item ids may be of any
+    type that Spark can sort; equal ones are one item with several texts, null is one of them.
 
     The benchmark is taken in blocks of at most about ``block_bytes`` of text, one pass over
     the documents for each, so its size doesn't bind memory. Other columns pass through, one
@@ -156,18 +191,20 @@ def contaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius
     spark = docs.sparkSession
     ready(spark)
     docs = docs.drop("matches")
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("item"))
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item"))
+    match = T.StructType([T.StructField("item_id", items.schema["item_id"].dataType), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType())])
     total = items.agg(F.sum(F.octet_length("item"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
-    schema = T.StructType([*docs.schema.fields, T.StructField("matches", MATCH)])
+    schema = T.StructType([*docs.schema.fields, T.StructField("matches", T.ArrayType(match))])
     position = docs.columns.index(text_col)
-    out = docs.withColumn("matches", F.array().cast(MATCH))
+    out = docs.withColumn("matches", F.array().cast(T.ArrayType(match)))
     for block in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "item"), F.lit(n)) == block) if n > 1 else items
-        shared = spark.sparkContext.broadcast([tuple(r) for r in rows.collect()])  # block_bytes at most, about
+        table = rows.orderBy(F.col("item_id").asc_nulls_last(), F.col("item").asc_nulls_first()).toArrow()  # block_bytes at most, about
+        shared = spark.sparkContext.broadcast(Block(table, radius))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Items(shared.value, radius)
+            index = shared.value.index()
             for batch in batches:
                 found = []
                 for _, data, offsets in chunks(batch.column(position)):
@@ -177,9 +214,9 @@ def contaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius
                     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                         e = max(a, b - SHINGLE + 1)
                         found.append(index.search(hashes[a:b], sh[a:e], weight[a:e], hit[a:e], percent) if index.whole or e > a and seen[e] > seen[a] else [])
-                old = batch.column(batch.num_columns - 1).to_pylist()
-                new = [[*(o or []), *({"item_id": k, "similarity": s, "first_word": at} for k, s, at in f)] for o, f in zip(old, found, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(new, _ARROW)], schema.names)
+                held = batch.column(batch.num_columns - 1)
+                new = [merged(o, f) for o, f in zip(held.to_pylist(), found, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(new, held.type)], schema.names)
 
         out = out.mapInArrow(scan, schema)
     return out
