@@ -81,6 +81,24 @@ def test_mix_edge_cases(spark):
     assert 0 <= sum(len(WORD.findall(r.text)) for r in out.collect()) - sum(r.taken for r in rows) <= 3
 
 
+def test_one_id_may_hold_most_rows(spark):
+    """Rows of one id, and null ids, fill the range where targets end: each source still meets its target to the word."""
+    rows = [(7, "one two three", None, s, None) for s in ("a", "b", None) for _ in range(150)]
+    rows += [(None, "x y", None, "a", None)] * 90 + [(i, "w " * (i % 9), None, "c", None) for i in range(60)]
+    got = mixing.plan(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == len(rows)
+    for source in ("a", "b", "c", None):
+        mine = [r for r in got if r.source == source]
+        assert sum(r.taken for r in mine) == int(mine[0].target + 1e-9)
+        assert all(r.whole * r.size <= r.taken <= (r.whole + 1) * r.size for r in mine)
+
+
+def test_sources_are_ranked_by_code_point(spark):
+    names = [f"s{i}" for i in range(40)] + ["", "Z", "é", "😀", None]
+    got = {r.source: r.place for r in mixing.ranked(spark.createDataFrame([(n,) for n in names], "source string")).collect()}
+    assert got == {n: i for i, n in enumerate([*sorted((n for n in names if n is not None), key=lambda n: n.encode()), None])}
+
+
 # 2 ---------------------------------------------------------------------------
 
 

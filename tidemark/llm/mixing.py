@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from tidemark.llm._shared import keep
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096
+SALTS = 1024
 
 
 def word_count(text: Column) -> Column:
@@ -49,6 +52,17 @@ def water_fill(sources: DataFrame, max_epochs: int, budget: int | None = None) -
     return table.withColumn("target", F.when(clamped, F.col("cap").cast("double")).otherwise(share))
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """``sources`` with ``place``, from 0 by code point, null last: counted inside ranges of the order, behind the counts of those before."""
+    by = F.col("source").asc_nulls_last()
+    many = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = keep(sources.repartitionByRange(many, by).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    counts = ranges.groupBy("range").agg(F.count("*").alias("n"))  # a row for each range, so that one task may add them up
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(by)) - 1
+    return ranges.withColumn("inside", inside).join(before, "range").withColumn("place", F.col("before") + F.col("inside")).drop("range", "inside", "before")
+
+
 def plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3, seed: int = 17,
          id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How many words of each document the mix takes.
@@ -63,23 +77,21 @@ def plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int =
 
     Order inside a source is by a digest, cut in ``BUCKETS`` ranges: sums of the ranges find
     the one range where the target ends, and only its rows (about 1/4096 of a source) are
-    sorted, so a source with a third of all rows is never one task's work.
+    sorted, so a source with a third of all rows is never one task's work. Rows of that range
+    that agree in id and size are sorted as counts of ``SALTS`` parts, and take their places
+    part by part, so one id may hold any share of the rows.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     rows = keep(
         docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), digest.alias("draw"))
-        .withColumn("bucket", F.conv(F.substring("draw", 1, 3), 16, 10).cast("int")),
+        .withColumn("bucket", F.conv(F.substring("draw", 1, 3), 16, 10).cast("int"))
+        .withColumn("row", F.monotonically_increasing_id()),
         "mix-rows",
     )
     sums = keep(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "mix-sums")
-    ranked = Window.orderBy(F.col("source").asc_nulls_last())
-    order = F.row_number().over(ranked) - 1
     pattern = F.array(*[F.lit(int(w)) for w in weights])
-    sources = keep(
-        sums.groupBy("source").agg(F.sum("words").alias("source_size"))
-        .withColumn("weight", F.element_at(pattern, (order % F.lit(len(weights)) + 1).cast("int")).cast("long")),
-        "mix-sources",
-    )
+    weight = F.element_at(pattern, (F.col("place") % F.lit(len(weights)) + 1).cast("int")).cast("long")
+    sources = keep(ranked(sums.groupBy("source").agg(F.sum("words").alias("source_size"))).select("source", "source_size", weight.alias("weight")), "mix-sources")
     filled = water_fill(sources, max_epochs)
     goal = F.floor(F.col("target"))
     filled = filled.withColumn("whole", F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0)).cast("long"))
@@ -95,8 +107,15 @@ def plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int =
     )
     joined = rows.join(filled, F.col("source").eqNullSafe(F.col("s")))
     sides = joined.filter("bucket <> end_bucket").withColumn("extra", F.when(F.col("bucket") < F.col("end_bucket"), F.col("size")).otherwise(F.lit(0)))
-    running = Window.partitionBy("source").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = joined.filter("bucket = end_bucket").withColumn("start", F.col("before") + F.sum("size").over(running) - F.col("size"))
+    edge = joined.filter("bucket = end_bucket").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
+    alike = ["source", "doc_id", "size", "salt"]
+    running = Window.partitionBy("source").orderBy("draw", "doc_id", "size", "salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    words = F.col("size") * F.col("n")
+    groups = edge.groupBy("draw", "before", *alike).agg(F.count("*").alias("n")).withColumn("from", F.col("before") + F.sum(words).over(running) - words)
+    groups = keep(groups.select(*[F.col(c).alias(f"__{c}") for c in alike], "from"), "mix-edge")
+    turn = F.row_number().over(Window.partitionBy(*alike).orderBy("row")) - 1
+    edge = edge.withColumn("turn", turn).join(groups, reduce(operator.and_, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in alike)))
+    edge = edge.withColumn("start", F.col("from") + F.col("turn") * F.col("size"))
     edge = edge.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("more") - F.col("start"))))
     columns = ["doc_id", "source", "size", "source_size", "target", "whole", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken")]
     return sides.select(*columns).unionByName(edge.select(*columns))
