@@ -109,3 +109,36 @@ class Config:
 
     def tables(self) -> list[Table]:
         return [t for s in self.schemas.values() for t in s.tables]
+
+
+def read_config(text: str) -> tuple[Config, list[tuple[str, str | None, str]]]:
+    """A configuration from JSON, and (schema, table, problem) of what had to be left out of it.
+
+    An object of schemas by name, each with ``claim`` and ``tables``; a table's fields are those
+    of :class:`Table`, its layout has a column and either a granularity or start, end and
+    interval. A bad entry spoils no other one, and none is taken in part.
+    """
+    schemas, bad = {}, []
+    for name, entry in json.loads(text).items():
+        claim, tables = entry.get("claim"), {}
+        if not NAME.fullmatch(name):
+            bad.append((name, None, f"bad schema name {name!r}"))
+            continue
+        for given in entry.get("tables", ()):
+            fields = dict(given)
+            try:
+                if (layout := fields.get("layout")) is not None:
+                    fields["layout"] = TimeLayout(**layout) if "granularity" in layout else RangeLayout(**layout)
+                if (units := fields.get("rls")) is not None:
+                    fields["rls"] = tuple(Unit(**u) for u in units)
+                table = Table(**{k: tuple(v) if isinstance(v, list) else v for k, v in fields.items()})
+                if table.name in tables:
+                    raise ValueError("named twice")
+                if table.rls is not None and not claim:
+                    raise ValueError("secured, but the schema has no claim")
+            except (TypeError, ValueError) as e:
+                bad.append((name, given.get("name"), str(e)))
+            else:
+                tables[table.name] = table
+        schemas[name] = Schema(tuple(tables.values()), claim)
+    return Config(schemas), bad

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -197,3 +198,10 @@ def catalog(spark: SparkSession, store: Store, claims: Mapping | None = None) ->
             now = store.current(schema, table)
             rows += [(schema, table, f["name"], f["type"] if isinstance(f["type"], str) else f["type"]["type"], now["policy"]["units"] is not None) for f in now["columns"]["fields"]]
     return spark.createDataFrame(rows, "schema string, table string, column string, type string, protected boolean")
+
+
+def namespaces(spark: SparkSession, store: Store, claims: Mapping | None = None) -> DataFrame:
+    """schema and how many tables it publishes, for every namespace, an empty one too; those in scope if claims are given."""
+    held = Counter(schema for schema, _ in store.tables())
+    rows = [(s, held[s]) for s in store.schemas() if claims is None or in_scope(claims, s)]
+    return spark.createDataFrame(rows, "schema string, tables long")

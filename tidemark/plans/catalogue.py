@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import Config, RangeLayout, Schema, Table, TimeLayout, Unit
 from tidemark.functions.expressions import digest, epoch_ms, flatten_claims, in_comma_list, merge_metadata, structs_to_json
 from tidemark.operators import changes, grants, partitions, security, selections
-from tidemark.operators.reads import Query, SecureReader, catalog
+from tidemark.operators.reads import Query, SecureReader, catalog, namespaces
+from tidemark.plans.preflight import preflight
 from tidemark.plans.sync import plan, sync
 from tidemark.sources.store import Store, scratch_root
 
@@ -634,6 +637,56 @@ def tables(spark, sf_dir):
     return catalog(spark, _reader(spark, sf_dir, USER).store, USER)
 
 
+@query("namespaces", """SELECT 'lab' AS schema, 0::BIGINT AS tables UNION ALL SELECT 'shop', count(*) FROM (SELECT 1 FROM customer LIMIT 1)""")
+def created(spark, sf_dir):
+    """A sync creates every configured namespace, one without a table too; one out of the requester's scope is not told."""
+    root = scratch_root(spark)
+    config = Config({"shop": Schema((SHOP[0],), claim="sub"), "lab": Schema(), "hidden": Schema()})
+    sync(spark, config, root, {"customer": table(spark, sf_dir, "customer")}).collect()
+    return namespaces(spark, Store(spark, root), USER)
+
+
+def _entry(name: str, **fields) -> dict:
+    return {"name": name, "source": name} | fields
+
+
+MONTHS = {"column": "o_orderdate", "granularity": "MONTH"}
+CHECKED = {
+    "shop": {
+        "claim": "sub",
+        "tables": [
+            _entry("customer", rls=[{"unit_type": "segment", "column": "c_segment"}], order=["c_custkey"], index=["c_name"]),
+            _entry("orders", layout=MONTHS, last=12, split=["o_orderkey"]),
+            _entry("lineitem", layout={"column": "l_shipday", "granularity": "MONTH"}, index=["l_partkey"]),
+            _entry("events", layout={"column": "event_type", "granularity": "DAY"}),
+            _entry("part", layout={"column": "p_size", "start": 5, "end": 45, "interval": 10}),
+            _entry("supplier", layout={"column": "s_acctbal", "start": 0, "end": 10, "interval": 2}),
+            _entry("nation", layout={"column": "n_nationkey", "start": 0, "end": 25, "interval": 5}),
+        ],
+    },
+    "lab": {"tables": [_entry("customer", rls=[{"unit_type": "nation", "column": "c_nationkey"}]), _entry("orders", layout=MONTHS | {"granularity": "WEEK"}), _entry("part", layout={"column": "p_size", "start": 5, "end": 5, "interval": 1}), _entry("supplier", layout={"column": "s_nationkey", "start": 0, "end": 25, "interval": 5}, last=3)]},
+}
+
+
+@query("preflight", """
+ SELECT 'shop' AS schema, 'customer' AS "table", 'rows without a unit, for admins only' AS problem, false AS blocks, count(*) AS "rows" FROM customer WHERE c_mktsegment = 'BUILDING' HAVING count(*) > 0
+ UNION ALL SELECT 'shop', 'orders', 'rows without a time', false, count(*) FROM orders WHERE o_orderstatus = 'P' HAVING count(*) > 0
+ UNION ALL SELECT 'shop', 'events', 'texts that are no time', true, count(*) FROM events WHERE event_type IS NOT NULL AND try_cast(event_type AS TIMESTAMP) IS NULL HAVING count(*) > 0
+ UNION ALL SELECT 'shop', 'part', 'rows in the remainder', false, count(*) FROM part WHERE p_size IS NULL OR p_size < 5 OR p_size >= 45 HAVING count(*) > 0
+ UNION ALL SELECT 'shop', 'lineitem', 'layout: no column l_shipday', true, NULL
+ UNION ALL SELECT 'shop', 'supplier', 'layout: s_acctbal is no integer but double', true, NULL
+ UNION ALL SELECT 'lab', 'customer', 'secured, but the schema has no claim', true, NULL
+ UNION ALL SELECT 'lab', 'orders', 'unknown granularity ''WEEK''', true, NULL
+ UNION ALL SELECT 'lab', 'part', 'a range layout needs a column, a positive interval and start < end', true, NULL
+ UNION ALL SELECT 'lab', 'supplier', 'last keeps the newest partitions of a time layout only', true, NULL""")
+def checked(spark, sf_dir):
+    """A configuration with faults of every kind against all rows of its sources: counts of rows without unit, time or range, and what contradicts itself."""
+    sources = {n: table(spark, sf_dir, n) for n in ("customer", "orders", "lineitem", "events", "part", "supplier", "nation")}
+    sources["customer"] = sources["customer"].withColumn("c_segment", F.expr("nullif(c_mktsegment, 'BUILDING')"))
+    sources["orders"] = sources["orders"].withColumn("o_orderdate", F.expr("if(o_orderstatus = 'P', NULL, o_orderdate)"))
+    return preflight(spark, json.dumps(CHECKED), sources)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mirror the last seven days of events, then one secured, ordered page of them."""
     spec = Query(where=[("ts", "gte", "2024-01-24 00:00:00")], order=(("ts", "asc"), ("event_id", "asc")), limit=100)

@@ -217,6 +217,11 @@ class Store:
         options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(new, target, options)
 
+    def schemas(self) -> list[str]:
+        """Every namespace that was created, with tables or without."""
+        path, fs = self._path(f"{self.root}/*")
+        return sorted(s.getPath().getName() for s in fs.globStatus(path) or [] if s.isDirectory())
+
     def tables(self) -> list[tuple[str, str]]:
         """(schema, table) of every published table."""
         found = []
