@@ -459,7 +459,7 @@ def test_copies_of_vectors_and_cells_cut_by_hash(spark, monkeypatch):
     rows = [(i, base.tolist(), 1) for i in range(3000)] + [(3000 + i, (base + rng.normal(size=8) * 1e-3).tolist(), 1) for i in range(200)] + [(4000, (-base).tolist(), 1)]
     held = []
     whole = vectors._cells
-    monkeypatch.setattr(vectors, "_cells", lambda rows, n: held.append(rows.count()) or whole(rows, n, levels=2))
+    monkeypatch.setattr(vectors, "_cells", lambda rows, *a: held.append(rows.count()) or whole(rows, *a, levels=2))
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), cell_rows=30).collect()}
     assert held == [202] and got == {**{i: (3199, 0, i == 0) for i in range(3200)}, 4000: (0, 4000, True)}
 
@@ -478,6 +478,50 @@ def test_few_pairs_of_cells_are_met(spark, monkeypatch):
     assert met[0] < 64 * 40
 
 
+def test_levels_halve_and_are_nested():
+    rng = np.random.default_rng(11)
+    x = np.concatenate([c + rng.normal(size=(300, 12)) * w for c, w in zip(rng.normal(size=(6, 12)), (0.01, 0.05, 0.1, 0.2, 0.4, 1.0), strict=True)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    todo, cut = [vectors.grow(x, 0.98)], 0
+    while todo:
+        node = todo.pop()
+        assert abs(vectors.spread(x[node.points] @ x[node.centre]).max() - node.radius) < 1e-7
+        if not node.children:
+            assert len(node.points) <= vectors.LEAF or node.radius <= vectors.reach(0.98) / 2
+            continue
+        cut += 1
+        centres = [c.centre for c in node.children]
+        apart = vectors.spread(x[centres] @ x[centres].T) + 4 * np.eye(len(centres))
+        assert apart.min() > node.radius / 2 and max(c.radius for c in node.children) <= node.radius / 2
+        assert node.centre in centres and sorted(np.concatenate([c.points for c in node.children])) == sorted(node.points)
+        todo += node.children
+    assert cut > 3
+
+
+def test_upper_levels_halve_beside_rows_without_structure(spark):
+    """A hot group, small groups and rows far from all: radii halve, the rest keeps its gap, links are those of brute force."""
+    rng = np.random.default_rng(13)
+    hot = rng.normal(size=24)
+    groups = [hot + rng.normal(size=(400, 24)) * 0.06, *[c + rng.normal(size=(40, 24)) * 0.3 for c in rng.normal(size=(5, 24))], rng.normal(size=(300, 24))]
+    x = np.concatenate(groups)
+    data = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.98
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(data, cell_rows=50).collect()}
+    assert got == {i: int(near[i].sum()) - 1 for i in range(len(x))} and sum(got.values()) > 1000
+    rows = spark.createDataFrame([(i, v.tolist(), 1, "1:24") for i, v in enumerate(x)], "node long, unit array<double>, copies long, group string")
+    cells, levels, pieces = vectors._cells(rows, 50, 0.98)
+    assert cells.groupBy("cell").count().agg({"count": "max"}).first()[0] < 200 and cells.count() == len(x) and len(levels) > 1
+    radius = {"1:24": 2.0}
+    for level in levels:
+        for r in level.collect():
+            assert r.radius <= radius[r.parent] / (1 if r.gap else 2) and r.gap in (None, radius[r.parent] / 2)
+            radius[r.cell] = r.radius
+    met = vectors._descend(rows, levels, pieces, 0.98)
+    n = cells.select("cell").distinct().count()
+    assert met.count() == met.distinct().count() < n * (n + 1) / 2
+
+
 # 7 ---------------------------------------------------------------------------
 
 

@@ -16,60 +16,103 @@ from tidemark.llm._shared import keep, ready
 
 LEAF = 128
 SLACK = 1e-6
+SAMPLE = 1024
+DENSE = 4
+PIECE = 8192
+LEVELS = 12
+
+
+def spread(dot: np.ndarray) -> np.ndarray:
+    """Euclidean distance of unit vectors by their products."""
+    return np.sqrt(np.maximum(0, 2 - 2 * dot))
+
+
+def reach(cosine: float) -> float:
+    """Distance within which vectors link, with room for rounding."""
+    return math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
+
+
+def net(x: np.ndarray, points: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centres (places in ``points``) more than ``radius`` apart that cover all points, and each point's centre and distance.
+
+    The first point is a centre; 64 points not covered yet are looked at together.
+    """
+    owner, distance = np.zeros(len(points), dtype=np.int64), np.zeros(len(points))
+    left, centres = np.arange(len(points)), np.zeros(0, dtype=np.int64)
+    while len(left):
+        some = x[points[left[:64]]]
+        near = spread(some @ some.T) <= radius
+        chosen: list[int] = []
+        for i in range(len(some)):
+            if not near[i, chosen].any():
+                chosen.append(i)
+        d = spread(x[points[left]] @ some[chosen].T)
+        d[chosen, np.arange(len(chosen))] = 0.0
+        closest = d.argmin(axis=1)
+        apart = d[np.arange(len(left)), closest]
+        covered = apart <= radius
+        owner[left[covered]], distance[left[covered]] = closest[covered] + len(centres), apart[covered]
+        centres, left = np.r_[centres, left[chosen]], left[~covered]
+    return centres, owner, distance
 
 
 class Tree:
-    """Nested levels of points: each level's centres lie within half the radius of the level above.
+    """A node of a cover tree: children's centres are more than half its radius apart and cover it within that half.
 
-    ``points`` of a node are its rows, ``radius`` covers them from its centre exactly.
+    A node's centre is a centre among its children too, so levels are nested. ``points`` of a
+    node are its rows, ``radius`` covers them from its centre exactly. Nodes of few rows, or so
+    narrow that all their rows link, have no children.
     """
 
     __slots__ = ("centre", "children", "points", "radius")
 
-    def __init__(self, x: np.ndarray, points: np.ndarray, centre: int, distance: np.ndarray):
-        self.points, self.centre, self.radius, self.children = points, centre, float(distance.max()), []
-        if len(points) <= LEAF or self.radius == 0:
+    def __init__(self, x: np.ndarray, points: np.ndarray, centre: int, radius: float, narrow: float):
+        self.points, self.centre, self.radius, self.children = points, centre, radius, []
+        if len(points) <= LEAF or radius <= max(narrow, SLACK):
             return
-        # farthest-first centres until half the radius covers all: that is the next level
-        nearest, owner, centres = distance.copy(), np.zeros(len(points), dtype=np.int64), [centre]
-        while nearest.max() > self.radius / 2 and len(centres) < LEAF:
-            far = int(points[nearest.argmax()])
-            d = np.sqrt(np.maximum(0, 2 - 2 * (x[points] @ x[far])))
-            closer = d < nearest
-            nearest[closer], owner[closer] = d[closer], len(centres)
-            centres.append(far)
-        if len(centres) > 1:
-            self.children = [Tree(x, points[owner == k], c, nearest[owner == k]) for k, c in enumerate(centres) if (owner == k).any()]
+        points = np.r_[centre, points[points != centre]]
+        centres, owner, distance = net(x, points, radius / 2)
+        order = np.argsort(owner, kind="stable")
+        ends = np.cumsum(np.bincount(owner, minlength=len(centres)))
+        for c, rows in zip(centres, np.split(order, ends[:-1]), strict=True):
+            self.children.append(Tree(x, points[rows], int(points[c]), float(distance[rows].max()), narrow))
 
 
-def grow(x: np.ndarray) -> Tree:
-    return Tree(x, np.arange(len(x)), 0, np.sqrt(np.maximum(0, 2 - 2 * (x @ x[0]))))
+def grow(x: np.ndarray, cosine: float) -> Tree:
+    return Tree(x, np.arange(len(x)), 0, float(spread(x @ x[0]).max()), reach(cosine) / 2)
 
 
 def dual(a: Tree, b: Tree, xa: np.ndarray, xb: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows (i of a, j of b) of pairs at the cosine or above; nodes farther apart than their radii and the limit are passed over.
 
-    All children of two nodes meet in one product of their centres; of what is left, the leaves
-    that meet one leaf are compared with it at once.
+    Children of two nodes meet in products of their centres; what is left of leaves is compared
+    in blocks of rows, a block with the leaves that any of its own are near.
     """
-    reach = math.sqrt(2 - 2 * cosine) + SLACK
     todo = [(a, b)]
     while todo:
         p, q = todo.pop()
         ps, qs = p.children or [p], q.children or [q]
-        apart = np.sqrt(np.maximum(0, 2 - 2 * (xa[[c.centre for c in ps]] @ xb[[c.centre for c in qs]].T)))
-        near = apart <= np.array([c.radius for c in ps])[:, None] + np.array([c.radius for c in qs]) + reach
-        for c, row in zip(ps, near, strict=True):
-            met = [qs[k] for k in np.flatnonzero(row)]
-            todo += [(c, d) for d in met if c.children or d.children]
-            leaves = [] if c.children else [d.points for d in met if not d.children]
-            others = np.concatenate(leaves) if leaves else np.zeros(0, dtype=np.int64)
-            for s in range(0, len(c.points), 1024):
-                rows = c.points[s : s + 1024]
-                for t in range(0, len(others), 1024):
-                    i, j = np.nonzero(xa[rows] @ xb[others[t : t + 1024]].T >= cosine)
+        centres, wide = xb[[d.centre for d in qs]], np.array([d.radius for d in qs]) + reach(cosine)
+        flat = np.array([not d.children for d in qs])
+        start = 0
+        while start < len(ps):
+            end, rows = start + 1, len(ps[start].points)
+            while end < len(ps) and end - start < 1024 and rows + len(ps[end].points) <= 1024:
+                rows += len(ps[end].points)
+                end += 1
+            some, start = ps[start:end], end
+            near = spread(xa[[c.centre for c in some]] @ centres.T) <= np.array([c.radius for c in some])[:, None] + wide
+            low = np.array([not c.children for c in some])
+            todo += [(some[i], qs[j]) for i, j in zip(*np.nonzero(near & ~(low[:, None] & flat)), strict=True)]
+            met = np.flatnonzero((near[low] & flat).any(axis=0))
+            if not len(met):
+                continue
+            one, two = (np.concatenate(v) for v in ([c.points for c in some if not c.children], [qs[j].points for j in met]))
+            for s in range(0, len(one), 1024):
+                for t in range(0, len(two), 1024):
+                    i, j = np.nonzero(xa[one[s : s + 1024]] @ xb[two[t : t + 1024]].T >= cosine)
                     if len(i):
-                        yield rows[i], others[t + j]
+                        yield one[s + i], two[t + j]
 
 
 def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -95,8 +138,8 @@ def links(left: pd.DataFrame, right: pd.DataFrame | None, cosine: float) -> pd.D
         xb, shift = np.stack(right["unit"].to_numpy()), len(left)
         nodes, copies = (np.r_[left[c].to_numpy(), right[c].to_numpy()] for c in ("node", "copies"))
     count, label = np.zeros(len(nodes), dtype=np.int64), np.arange(len(nodes))
-    tree = grow(xa)
-    for i, j in dual(tree, tree if right is None else grow(xb), xa, xb, cosine):
+    tree = grow(xa, cosine)
+    for i, j in dual(tree, tree if right is None else grow(xb, cosine), xa, xb, cosine):
         if right is None:
             i, j = i[i != j], j[i != j]
             np.add.at(count, i, copies[j])
@@ -112,12 +155,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, cell_rows: int = 4
     """Links of vectors with one label whose cosine is ``cosine`` or more, exactly and in double precision.
 
     Equal vectors are one row with a count. The rows of a label are the root of a cover tree,
-    whose upper levels Spark grows: nodes above ``cell_rows`` choose up to 16 centres by hash,
-    each row joins its nearest, and so on down to cells. The traversal goes down the same
-    levels, a pair of nodes at a time: from the root's pair with itself, children of a pair
-    that their covering radii cannot rule out go on. Pairs of cells left at the bottom go to
-    one task each, which grows the lower levels of both and traverses them together; a cell
-    that can't be cut by distance is cut by hash, so no task holds more than two cells.
+    whose upper levels Spark grows. Of each node above ``cell_rows`` a sample of ``SAMPLE`` rows,
+    by hash, gives centres more than half the node's radius apart; those with ``DENSE`` sampled
+    rows about them become children, which take all rows within that half, so radii halve level
+    by level. Rows that no centre covers are a node that is sampled again, known to lie more
+    than half the radius from each of its siblings. The traversal goes down the same levels, a pair of nodes at
+    a time: from the root's pair with itself, children of a pair that their covering radii
+    cannot rule out go on. What has no dense part, or is so narrow that all of it links, is cut
+    by hash into pieces of ``cell_rows``. Pairs of cells left at the bottom are dealt to tasks
+    by their rows, which grow the lower levels and traverse them together; no task holds more
+    than a few pairs. The sample decides the shape of the tree and no link.
 
     Returns one row per input row: id, n_links, component_id, kept. Rows with a null label,
     null, empty, zero or non-finite vectors link with nothing, nor do vectors of other
@@ -140,8 +187,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, cell_rows: int = 4
     firsts = table.filter("unit IS NOT NULL").groupBy(*same).agg(F.min("row").alias("node"), F.count("*").alias("copies"))
     firsts = keep(firsts, "vector-copies")
     rows = table.select("row", "unit", "group").join(firsts.select(F.col("node").alias("row"), "copies"), "row").withColumnRenamed("row", "node")
-    cells, levels = _cells(rows, cell_rows)
-    found = keep(_joined(cells, _descend(rows, levels, cosine), cosine), "links")
+    cells, levels, pieces = _cells(rows, cell_rows, cosine)
+    found = keep(_joined(cells, _descend(rows, levels, pieces, cosine), cosine, cell_rows), "links")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     parts = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     firsts = firsts.join(counts, "node", "left").join(parts, "node", "left")
@@ -157,78 +204,146 @@ def _divided(x: Column, by: Column) -> Column:
     return F.transform(F.array(by), lambda d: F.transform(x, lambda v: v / d)).getItem(0)
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+def _table(columns: dict[str, list | np.ndarray], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-def _distance(dot: Column) -> Column:
-    return F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot))
+VECTOR = pa.list_(pa.float64())
+CENTRES = pa.schema([("cell", pa.string()), ("pick", pa.int32()), ("centre", VECTOR)])
+PLACED = pa.schema([("node", pa.int64()), ("unit", VECTOR), ("copies", pa.int64()), ("parent", pa.string()), ("pick", pa.int32()), ("distance", pa.float64())])
+PAIRS = pa.schema([("a", pa.string()), ("b", pa.string())])
 
 
-def _cells(rows: DataFrame, cell_rows: int, fan: int = 16, levels: int = 12) -> tuple[DataFrame, list[DataFrame]]:
-    """Rows (node, unit, copies, group) with their ``cell``, and the levels of the tree above: parent, cell, centre and radius.
+def _rows(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as a matrix."""
+    values = column.combine_chunks()
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
 
-    Nodes of a group are cut at nearest centres, level by level, until none is above ``cell_rows``; what is after all levels is cut by hash.
+
+def _centres(table: pa.Table) -> pa.Table:
+    """Dense centres of one cell's sample; the cell's own centre, where it has one, comes first."""
+    own = table["own"][0].as_py()
+    x = _rows(table["unit"])
+    x = x if own is None else np.r_[np.array(own)[None], x]
+    centres, owner, _ = net(x, np.arange(len(x)), table["radius"][0].as_py() / 2)
+    dense = centres[np.bincount(owner, minlength=len(centres)) >= DENSE]
+    return _table({"cell": [table["cell"][0].as_py()] * len(dense), "pick": np.arange(len(dense)), "centre": list(x[dense])}, CENTRES)
+
+
+def _placed(rows: pa.Table, centres: pa.Table) -> pa.Table:
+    """Rows of one part of a cell with the nearest centre within half its radius, if there is one."""
+    if not len(rows):
+        return PLACED.empty_table()
+    d = spread(_rows(rows["unit"]) @ _rows(centres["centre"]).T)
+    closest = d.argmin(axis=1)
+    apart = d[np.arange(len(d)), closest]
+    far = apart > rows["radius"][0].as_py() / 2
+    return pa.table([rows["node"], rows["unit"].cast(VECTOR), rows["copies"], rows["cell"], pa.array(centres["pick"].to_numpy()[closest], pa.int32(), mask=far), pa.array(apart, pa.float64(), mask=far)], schema=PLACED)
+
+
+def _cells(rows: DataFrame, cell_rows: int, cosine: float, levels: int = LEVELS) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """Rows (node, unit, copies) with their ``cell``; the levels of the tree above (parent, cell, centre, radius, gap); pieces (parent, cell) of what is cut by hash.
+
+    ``gap`` of the rows that no centre covers is what they lie from each of their siblings' centres at least.
     """
-    now = rows.withColumn("cell", F.col("group"))
+    now = rows.select("node", "unit", "copies", F.col("group").alias("cell"))
+    none, zero = F.lit(None).cast("array<double>"), F.lit(None).cast("double")
+    # unit vectors are within 2 of each other
+    bounds = now.select("cell").distinct().select("cell", none.alias("own"), F.lit(2.0).alias("radius"))
     grown: list[DataFrame] = []
-    for level in range(levels + 1):
-        large = keep(now.groupBy("cell").count().filter(F.col("count") > cell_rows), "large-cells")
+    for level in range(levels):
+        # of new cells only: what had no dense part is not tried again
+        large = now.groupBy("cell").count().filter(F.col("count") > cell_rows)
+        large = keep(large.join(bounds, "cell").filter(F.col("radius") > reach(cosine) / 2), "large-cells")
         if not large.take(1):
             break
-        cut = now.join(large, "cell", "left")
-        if level == levels:
-            salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / cell_rows))
-            now = keep(cut.withColumn("parent", F.when(F.col("count").isNotNull(), F.col("cell"))).withColumn("cell", F.when(F.col("count").isNotNull(), F.concat_ws("#", "cell", salt)).otherwise(F.col("cell"))).drop("count"), "cells")
-            # no bounds of their own: pairs of these pass as their parents did
-            grown.append(now.filter("parent IS NOT NULL").select("parent", "cell").distinct().select("parent", "cell", F.lit(None).cast("array<double>").alias("centre"), F.lit(None).cast("double").alias("radius")))
+        cut = now.join(large, "cell")
+        sample = cut.filter(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 40)) / float(1 << 40) * F.col("count") < SAMPLE)
+        centres = keep(sample.select("cell", "unit", "own", "radius").groupBy("cell").applyInArrow(_centres, "cell string, pick int, centre array<double>"), "centres")
+        if not centres.take(1):
             break
-        # one centre for each residue of a hash: a partial minimum, no ranking of a hot cell; no
-        # more centres than the rows ask for, since each cell left near another sends its rows there
-        pick = F.pmod(F.xxhash64("node", F.lit(level)), F.least(F.lit(fan), F.ceil(F.col("count") * 2 / cell_rows)))
-        centres = cut.filter("count IS NOT NULL").groupBy("cell", pick.alias("pick")).agg(F.min(F.struct(F.xxhash64("node"), F.col("unit"))).alias("c"))
-        centres = keep(centres.select("cell", "pick", F.col("c.unit").alias("centre")), "centres")
-        per = centres.groupBy("cell").agg(F.collect_list(F.struct("pick", "centre")).alias("centres"))  # fan at most
-        nearest = F.array_max(F.transform("centres", lambda c: F.struct(_dot(c["centre"], F.col("unit")).alias("dot"), c["pick"].alias("pick"))))
-        joined = now.join(keep(per, "centres-of-cells"), "cell", "left").withColumn("nearest", F.when(F.col("centres").isNotNull(), nearest))
-        child = F.when(F.col("nearest").isNull(), F.col("cell")).otherwise(F.concat_ws("/", F.col("cell"), F.col("nearest.pick")))
-        now = keep(joined.select("node", "unit", "copies", "group", child.alias("cell"), F.when(F.col("nearest").isNotNull(), F.col("cell")).alias("parent"), "nearest"), f"cells-{level}")
-        radius = now.filter("parent IS NOT NULL").groupBy("parent", "cell", F.col("nearest.pick").alias("pick")).agg(F.max(_distance(F.col("nearest.dot"))).alias("radius"))
-        grown.append(keep(radius.join(centres.withColumnRenamed("cell", "parent"), ["parent", "pick"]).select("parent", "cell", "centre", "radius"), "bounds"))
-        now = now.drop("parent", "nearest")
-    return now.select("node", "unit", "copies", "cell"), grown
-
-
-def _descend(rows: DataFrame, levels: list[DataFrame], cosine: float) -> DataFrame:
+        dense = keep(large.join(centres.select("cell").distinct(), "cell"), "dense-cells")
+        parts = F.ceil(F.col("count") / PIECE)
+        one = now.join(dense, "cell").withColumn("part", F.pmod(F.xxhash64("node", F.lit(-1)), parts)).select("cell", "part", "node", "unit", "copies", "radius")
+        two = centres.join(dense.select("cell", parts.alias("parts")), "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "pick", "centre")
+        placed = one.groupBy("cell", "part").cogroup(two.groupBy("cell", "part")).applyInArrow(_placed, "node long, unit array<double>, copies long, parent string, pick int, distance double")
+        placed = placed.withColumn("cell", F.concat_ws("/", "parent", F.coalesce(F.col("pick").cast("string"), F.lit("rest"))))
+        placed = keep(placed, f"placed-{level}")
+        radius = placed.groupBy("parent", "cell", "pick").agg(F.max("distance").alias("covered"))
+        radius = radius.join(centres.withColumnRenamed("cell", "parent"), ["parent", "pick"], "left").join(dense.withColumnRenamed("cell", "parent"), "parent")
+        rest = F.col("pick").isNull()
+        # what is left keeps its parent's bounds
+        level_bounds = radius.select("parent", "cell", F.when(rest, F.col("own")).otherwise(F.col("centre")).alias("centre"), F.when(rest, F.col("radius")).otherwise(F.col("covered")).alias("radius"), F.when(rest, F.col("radius") / 2).alias("gap"))
+        grown.append(keep(level_bounds, "bounds"))
+        bounds = grown[-1].select("cell", F.col("centre").alias("own"), "radius")
+        now = keep(now.join(dense.select("cell"), "cell", "left_anti").select("node", "unit", "copies", "cell").unionByName(placed.select("node", "unit", "copies", "cell")), f"cells-{level}")
+    large = keep(now.groupBy("cell").count().filter(F.col("count") > cell_rows), "large-cells")
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / cell_rows))
+    cut = now.join(large, "cell", "left").select("node", "unit", "copies", F.when(F.col("count").isNotNull(), F.col("cell")).alias("parent"), F.concat_ws("#", "cell", salt.cast("string")).alias("cell"))
+    cut = keep(cut, "cells")
+    return cut.select("node", "unit", "copies", "cell"), grown, cut.filter("parent IS NOT NULL").select("parent", "cell").distinct()
+
+
+def _descend(rows: DataFrame, levels: list[DataFrame], pieces: DataFrame, cosine: float) -> DataFrame:
     """Pairs of cells (a <= b) that the triangle inequality leaves at every level from the root down."""
+    limit = reach(cosine)
+
+    def meet(table: pa.Table) -> pa.Table:
+        a, b, side = table["a"][0].as_py(), table["b"][0].as_py(), table["side"].to_numpy()
+        cells, centres, radii, gaps = (table[c].to_pylist() for c in ("cell", "centre", "radius", "gap"))
+        one = np.flatnonzero(side == 0)
+        two = one if a == b else np.flatnonzero(side == 1)
+        known = np.array([c is not None for c in centres])
+        width = next((len(c) for c in centres if c is not None), 1)
+        x = np.array([c if c is not None else [0.0] * width for c in centres])
+        r = np.array([v if v is not None else np.inf for v in radii])
+        near = spread(x[one] @ x[two].T) <= r[one][:, None] + r[two] + limit
+        near |= ~(known[one][:, None] & known[two])
+        if a == b:
+            gap = np.array([v if v is not None else -np.inf for v in gaps])[one]
+            off = ~np.eye(len(one), dtype=bool)
+            near &= ~(off & (gap[:, None] > r[one] + limit)) & ~(off & (gap > r[one][:, None] + limit))
+            near = np.triu(near)
+        i, j = np.nonzero(near)
+        both = [sorted((cells[one[p]], cells[two[q]])) for p, q in zip(i, j, strict=True)]
+        return _table({"a": [p for p, _ in both], "b": [q for _, q in both]}, PAIRS)
+
     none, zero = F.lit(None).cast("array<double>"), F.lit(None).cast("double")
-    pairs = rows.select(F.col("group").alias("a")).distinct().select("a", F.col("a").alias("b"), none.alias("ca"), zero.alias("ra"), none.alias("cb"), zero.alias("rb"))
+    now = rows.select(F.col("group").alias("cell")).distinct().select("cell", none.alias("centre"), zero.alias("radius"))
+    pairs = now.select(F.col("cell").alias("a"), F.col("cell").alias("b"))
     for level in levels:
-        one, two = (level.select(F.col("parent").alias(f"p{c}"), F.col("cell").alias(f"k{c}"), F.col("centre").alias(f"x{c}"), F.col("radius").alias(f"r{c}2")) for c in "ab")
-        both = pairs.join(one, F.col("a") == F.col("pa"), "left").join(two, F.col("b") == F.col("pb"), "left")
-        both = both.select(
-            (F.col("a") < F.col("b")).alias("apart"), F.coalesce("ka", "a").alias("a"), F.coalesce("kb", "b").alias("b"),
-            F.coalesce("xa", "ca").alias("ca"), F.coalesce("ra2", "ra").alias("ra"), F.coalesce("xb", "cb").alias("cb"), F.coalesce("rb2", "rb").alias("rb"),
-        )
-        far = _distance(_dot(F.col("ca"), F.col("cb"))) > F.col("ra") + F.col("rb") + math.sqrt(2 - 2 * cosine) + SLACK
-        both = both.filter((F.col("apart") | (F.col("a") <= F.col("b"))) & ~F.coalesce(far, F.lit(False))).drop("apart")
-        # names of cells of two parents may come in either order below
-        swap = F.col("a") > F.col("b")
-        pairs = keep(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *[F.when(swap, F.col(q)).otherwise(F.col(p)).alias(p) for p, q in (("ca", "cb"), ("ra", "rb"), ("cb", "ca"), ("rb", "ra"))]), "cell-pairs")
-    return pairs.select("a", "b")
-
-
-def _joined(cells: DataFrame, pairs: DataFrame, cosine: float) -> DataFrame:
-    """Links of every pair of cells, one task's work at a time."""
-    columns = ("a", "b", "side", "node", "unit", "copies")
+        cut = level.select(F.col("parent").alias("cell")).distinct()
+        whole = now.join(cut, "cell", "left_anti")
+        kids = level.unionByName(whole.select(F.col("cell").alias("parent"), "cell", "centre", "radius", zero.alias("gap")))
+        marked = pairs.join(cut.select(F.col("cell").alias("a"), F.lit(1).alias("cut_a")), "a", "left").join(cut.select(F.col("cell").alias("b"), F.lit(1).alias("cut_b")), "b", "left")
+        marked = keep(marked.select("a", "b", F.expr("cut_a IS NOT NULL OR cut_b IS NOT NULL").alias("open")), "marked-pairs")
+        opened, named = marked.filter("open").select("a", "b"), ("a", "b", "side", "cell", "centre", "radius", "gap")
+        left = opened.join(kids.withColumnRenamed("parent", "a"), "a").withColumn("side", F.lit(0)).select(*named)
+        right = opened.filter("a <> b").join(kids.withColumnRenamed("parent", "b"), "b").withColumn("side", F.lit(1)).select(*named)
+        met = left.unionByName(right).groupBy("a", "b").applyInArrow(meet, "a string, b string")
+        pairs = keep(marked.filter("NOT open").select("a", "b").unionByName(met), "cell-pairs")
+        now = keep(kids.select("cell", "centre", "radius"), "frontier")
+    one, two = (pieces.select(F.col("parent").alias(c), F.col("cell").alias(f"k{c}")) for c in "ab")
+    both = pairs.join(one, "a", "left").join(two, "b", "left").withColumns({"ka": F.coalesce("ka", "a"), "kb": F.coalesce("kb", "b")})
+    both = both.filter("a <> b OR ka <= kb")
+    return keep(both.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")), "cell-pairs")
+
+
+def _joined(cells: DataFrame, pairs: DataFrame, cosine: float, cell_rows: int) -> DataFrame:
+    """Links of every pair of cells; pairs share tasks by hash, so that each task has about two cells' rows."""
+    sizes = cells.groupBy("cell").count()
+    rows = pairs.select(F.col("a").alias("cell")).unionByName(pairs.filter("a <> b").select(F.col("b").alias("cell"))).join(sizes, "cell").agg(F.sum("count")).first()[0]
+    pairs = pairs.withColumn("task", F.pmod(F.xxhash64("a", "b"), F.lit(max(1, (rows or 0) // (2 * cell_rows)))))
+    columns = ("task", "a", "b", "side", "node", "unit", "copies")
     left = cells.withColumnRenamed("cell", "a").join(pairs, "a").withColumn("side", F.lit(0))
     right = cells.withColumnRenamed("cell", "b").join(pairs.filter("a <> b"), "b").withColumn("side", F.lit(1))
     both = left.select(*columns).unionByName(right.select(*columns))
 
     def work(table: pa.Table) -> pa.Table:
-        frame = table.to_pandas()
-        second = frame[frame["side"] == 1]
-        done = links(frame[frame["side"] == 0], None if frame["a"].iloc[0] == frame["b"].iloc[0] else second, cosine)
-        return pa.Table.from_pandas(done, preserve_index=False).cast(pa.schema([("node", pa.int64()), ("n", pa.int64()), ("root", pa.int64())]))
+        done = []
+        for (a, b), frame in table.to_pandas().groupby(["a", "b"], sort=False):
+            second = None if a == b else frame[frame["side"] == 1]
+            done.append(links(frame[frame["side"] == 0], second, cosine))
+        return pa.Table.from_pandas(pd.concat(done), preserve_index=False).cast(pa.schema([("node", pa.int64()), ("n", pa.int64()), ("root", pa.int64())]))
 
-    return both.groupBy("a", "b").applyInArrow(work, "node long, n long, root long")
+    return both.groupBy("task").applyInArrow(work, "node long, n long, root long")
