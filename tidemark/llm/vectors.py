@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._graph import components
-from tidemark.llm._shared import keep, ready
+from tidemark.llm._shared import keep, passing, ready
 
 LEAF = 128
 SLACK = 1e-6
 SAMPLE = 1024
 DENSE = 4
+SHARE = 8
 PIECE = 8192
 LEVELS = 12
 
@@ -161,7 +162,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, cell_rows: int = 4
     by level. Rows that no centre covers are a node that is sampled again, known to lie more
     than half the radius from each of its siblings. The traversal goes down the same levels, a pair of nodes at
     a time: from the root's pair with itself, children of a pair that their covering radii
-    cannot rule out go on. What has no dense part, or is so narrow that all of it links, is cut
+    cannot rule out go on. What has no dense parts of an eighth of it together, or is so narrow that all of it links, is cut
     by hash into pieces of ``cell_rows``. Pairs of cells left at the bottom are dealt to tasks
     by their rows, which grow the lower levels and traverse them together; no task holds more
     than a few pairs. The sample decides the shape of the tree and no link.
@@ -187,8 +188,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, cell_rows: int = 4
     firsts = table.filter("unit IS NOT NULL").groupBy(*same).agg(F.min("row").alias("node"), F.count("*").alias("copies"))
     firsts = keep(firsts, "vector-copies")
     rows = table.select("row", "unit", "group").join(firsts.select(F.col("node").alias("row"), "copies"), "row").withColumnRenamed("row", "node")
-    cells, levels, pieces = _cells(rows, cell_rows, cosine)
-    found = keep(_joined(cells, _descend(rows, levels, pieces, cosine), cosine, cell_rows), "links")
+    with passing(vectors.sparkSession):
+        cells, levels, pieces = _cells(rows, cell_rows, cosine)
+        found = keep(_joined(cells, _descend(rows, levels, pieces, cosine), cosine, cell_rows), "links", stay=True)
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     parts = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     firsts = firsts.join(counts, "node", "left").join(parts, "node", "left")
@@ -221,12 +223,18 @@ def _rows(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _centres(table: pa.Table) -> pa.Table:
-    """Dense centres of one cell's sample; the cell's own centre, where it has one, comes first."""
+    """Dense centres of one cell's sample; the cell's own centre, where it has one, comes first.
+
+    None if they cover less than a ``SHARE``-th: cutting these off would leave most pairs and cost a level.
+    """
     own = table["own"][0].as_py()
     x = _rows(table["unit"])
     x = x if own is None else np.r_[np.array(own)[None], x]
     centres, owner, _ = net(x, np.arange(len(x)), table["radius"][0].as_py() / 2)
-    dense = centres[np.bincount(owner, minlength=len(centres)) >= DENSE]
+    sizes = np.bincount(owner, minlength=len(centres))
+    dense = centres[sizes >= DENSE]
+    if sizes[sizes >= DENSE].sum() * SHARE < len(x):
+        dense = dense[:0]
     return _table({"cell": [table["cell"][0].as_py()] * len(dense), "pick": np.arange(len(dense)), "centre": list(x[dense])}, CENTRES)
 
 
@@ -276,7 +284,7 @@ def _cells(rows: DataFrame, cell_rows: int, cosine: float, levels: int = LEVELS)
         level_bounds = radius.select("parent", "cell", F.when(rest, F.col("own")).otherwise(F.col("centre")).alias("centre"), F.when(rest, F.col("radius")).otherwise(F.col("covered")).alias("radius"), F.when(rest, F.col("radius") / 2).alias("gap"))
         grown.append(keep(level_bounds, "bounds"))
         bounds = grown[-1].select("cell", F.col("centre").alias("own"), "radius")
-        now = keep(now.join(dense.select("cell"), "cell", "left_anti").select("node", "unit", "copies", "cell").unionByName(placed.select("node", "unit", "copies", "cell")), f"cells-{level}")
+        now = now.join(dense.select("cell"), "cell", "left_anti").select("node", "unit", "copies", "cell").unionByName(placed.select("node", "unit", "copies", "cell"))
     large = keep(now.groupBy("cell").count().filter(F.col("count") > cell_rows), "large-cells")
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / cell_rows))
     cut = now.join(large, "cell", "left").select("node", "unit", "copies", F.when(F.col("count").isNotNull(), F.col("cell")).alias("parent"), F.concat_ws("#", "cell", salt.cast("string")).alias("cell"))
