@@ -141,6 +141,17 @@ def test_shards_move_little(spark):
     assert new > 0.05 and moved < new + 0.08, (new, moved)
 
 
+@pytest.mark.parametrize("vnodes", [1, 16, 37])
+def test_arcs_are_found_without_python(spark, vnodes):
+    """Each place falls in the arc up to the next node; no worker is started to tell, whose memory would come on top of the executor's."""
+    places, _ = sharding.ring(8, vnodes)
+    asked = sorted({0, 2**60 - 1, *places, *(p - 1 for p in places), *(p + 1 for p in places)})
+    found = spark.createDataFrame([(p,) for p in asked], "p long").select("p", sharding.arc_of(F.col("p"), places)).collect()
+    assert {p: a for p, a in found} == {p: int(np.searchsorted(places, p)) % len(places) for p in asked}
+    plan = sharding.shard(documents(spark), shards=8, vnodes=vnodes)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_shard_edge_cases(spark):
     rows = sharding.shard(odd(spark), shards=3).collect()
     assert len(rows) == 12 and Counter(r.shard for r in rows) == {0: 4, 1: 4, 2: 4}

@@ -5,14 +5,11 @@ from __future__ import annotations
 import hashlib
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.llm._shared import keep, ready
+from tidemark.llm._shared import keep
 
 CELLS = 20
 
@@ -36,6 +33,14 @@ def ring(shards: int, vnodes: int) -> tuple[list[int], list[list[int]]]:
     return [p for p, _ in nodes], met
 
 
+def arc_of(place: Column, places: list[int]) -> Column:
+    """Index of the first virtual node at or after a place, past the last one that of the first: a binary search by column functions."""
+    nodes = F.split(F.lit(",".join(map(str, places))), ",").cast("array<long>")  # one literal once it is folded
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(places).bit_length()))])
+    before = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(nodes, n + step - 1) < place, n + step).otherwise(n))
+    return F.pmod(before, F.lit(len(places)))
+
+
 def capacities(rows: int, shards: int, load_factor: float) -> list[int]:
     """Most rows of each shard: a load factor of 1 deals floor or ceil of the mean, one above leaves slack."""
     if load_factor <= 1:
@@ -74,19 +79,12 @@ def shard(docs: DataFrame, shards: int = 8, vnodes: int = 256, load_factor: floa
     are replaced) with size, text_crc32, shard and slot.
     """
     spark = docs.sparkSession
-    ready(spark)
     places, met = ring(shards, vnodes)
-    bounds = np.array(places, dtype=np.int64)
-
-    @F.pandas_udf(T.IntegerType())
-    def arc_of(place: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, place.to_numpy(np.int64), side="left") % len(bounds)).astype("int32")
-
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.drop("size", "text_crc32", "shard", "slot").withColumn("size", (F.octet_length(text) + 1).cast("long")).withColumn("text_crc32", F.crc32(text))
     key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.col("text_crc32").cast("string"))
     rows = rows.withColumn("__place", F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long"))
-    rows = rows.withColumn("__arc", arc_of("__place")).withColumn("__cell", F.shiftright("__place", 60 - CELLS))
+    rows = rows.withColumn("__arc", arc_of(F.col("__place"), places)).withColumn("__cell", F.shiftright("__place", 60 - CELLS))
     cells = keep(rows.groupBy("__arc", "__cell").agg(F.count("*").alias("n")), "shard-cells")
     loads = [0] * len(places)
     for r in cells.groupBy("__arc").agg(F.sum("n")).collect():  # at most shards x vnodes rows
