@@ -555,6 +555,19 @@ def test_runs_align_in_chains():
     assert lines.rising([3, 1, 2, 5, 4]) in ([1, 2, 3], [1, 2, 4]) and lines.rising([]) == []
 
 
+def test_runs_align_by_patience_diff_of_their_lines(monkeypatch):
+    asked, diff = [], lines.patience
+    monkeypatch.setattr(lines, "patience", lambda a, b: asked.append((a, b)) or diff(a, b))
+    run = lambda *rows: lines.aligned(*(np.array(c) for c in zip(*rows))).tolist()
+    # lines 0 to 2, 4 and 5 in order; 6 and 7 stand before them in the other text, and are aligned by a second diff
+    assert run((0, 2, 5), (1, 3, 6), (4, 6, 9), (6, 8, 1)) == [0, 1, 2, 4, 5, 6, 7]
+    assert asked == [([0, 1, 2, 3, 4, 5, 6], [2, 3, 4, 5, 6, 0, 1]), ([0, 1, 2, 3, 4, 5, 6], [0, 1])]
+    asked.clear()
+    # line 1 is like line 5 of the other text by one run, like line 9 by another: one name for all
+    assert run((0, 2, 4), (1, 3, 9)) == [0, 1, 2]
+    assert asked[0] == ([0, 1, 1, 3], [0, 1, 3])
+
+
 def test_without_alignment_nothing_goes(spark, monkeypatch):
     docs = documents(spark)
     gone = lambda: lines.dedup(docs, every_block=True).agg(F.sum("n_deleted")).first()[0]

@@ -102,30 +102,52 @@ def short_runs(hashes: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, least
     return row, begin - offsets[row], end - offsets[row], mix((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64))
 
 
+def alike(own: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the lines of two texts, alike for like ones, from pairs of like lines (both by place, from 0 on)."""
+    there = np.arange(int(ahead.max()) + 1)
+    while True:
+        here = np.full(int(own.max()) + 1, len(there))
+        np.minimum.at(here, own, there[ahead])
+        least = there.copy()
+        np.minimum.at(least, ahead, here[own])
+        if (least == there).all():
+            return here, there
+        there = least
+
+
 def aligned(begins: np.ndarray, ends: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Lines of a text in the blocks that align with another text, from the runs that both share: (first line, line after the last, first line in the other).
 
-    Patience diff on runs in place of lines: of each run the first place in the text that is not
-    yet aligned takes part, and the longest chain that rises in both texts is aligned. What is
-    left, blocks that stand twice or in another order, is aligned again; after ``ROUNDS`` chains
-    each run stands for itself.
+    :func:`patience` aligns the lines of both texts that lie in shared runs (others are in no
+    block): equal ends, the longest rising chain of lines unique on both sides, then between its
+    links. A run whose lines meet lines in a row is aligned. What is left, blocks that stand twice
+    or in another order, is aligned again; after ``ROUNDS`` diffs, or one that aligns no run, each
+    run stands for itself.
     """
     order = np.lexsort((ends, begins))
-    begins, ends, places = begins[order], ends[order], places[order]
-    gone = np.zeros(int(ends.max()) + 1, dtype=np.int64)
-    left = np.arange(len(begins))
+    begins, ends, places = (x[order].astype(np.int64) for x in (begins, ends, places))
+    sizes = ends - begins
+    heads = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    step = np.arange(sizes.sum()) - np.repeat(heads, sizes)
+    line, owner = np.repeat(begins, sizes) + step, np.repeat(np.arange(len(begins)), sizes)
+    other, ahead = np.unique(np.repeat(places, sizes) + step, return_inverse=True)
+    here, there = alike(line, ahead)
+    gone = np.zeros(int(ends.max()), dtype=bool)
+    left = np.ones(len(begins), dtype=bool)
     for _ in range(ROUNDS):
-        if not len(left):
+        own = np.unique(line[left[owner]])
+        met = np.array(patience(there.tolist(), here[own].tolist()), dtype=np.int64).reshape(-1, 2)
+        # how far a line lies from the one it meets: the same for all lines of an aligned run
+        far = np.full(len(gone), np.iinfo(np.int64).max)
+        far[own[met[:, 1]]] = other[met[:, 0]] - own[met[:, 1]]
+        low, high = np.minimum.reduceat(far[line], heads), np.maximum.reduceat(far[line], heads)
+        now = left & (low == high) & (high < np.iinfo(np.int64).max)
+        gone[line[now[owner]]] = True
+        left &= ~now
+        if not now.any() or not left.any():
             break
-        _, once = np.unique(places[left], return_index=True)
-        taken = left[np.sort(once)]
-        chain = taken[rising(places[taken].tolist())]
-        np.add.at(gone, begins[chain], 1)
-        np.add.at(gone, ends[chain], -1)
-        left = np.setdiff1d(left, chain, assume_unique=True)
-    np.add.at(gone, begins[left], 1)
-    np.add.at(gone, ends[left], -1)
-    return np.flatnonzero(np.cumsum(gone)).astype(np.int32)
+    gone[line[left[owner]]] = True
+    return np.flatnonzero(gone).astype(np.int32)
 
 
 def aligned_blocks(texts: DataFrame, order: Column, least: int) -> DataFrame:
