@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.config import Config, RangeLayout, Schema, Table, TimeLayout, Unit
 from tidemark.operators import estimates, partitions, security
 from tidemark.operators.reads import Query, SecureReader
+from tidemark.plans import catalogue
 from tidemark.plans import sync as syncs
 from tidemark.plans.sync import plan, sync
 from tidemark.sources import store as stores
@@ -235,6 +236,32 @@ def pupils(spark, n=40_000):
     )
 
 
+def test_sharp_estimates_are_true_at_any_size(spark, tmp_path):
+    """Units of 300 and of 3,000 rows, and one without a name: sketches hold the small ones, rows of the others are counted."""
+    table = Table("p", "p", rls=(Unit("school", "school"),), estimate=("grade", "name"))
+    rows = spark.range(7000).selectExpr("id", "CASE WHEN id < 300 THEN 'a' WHEN id < 3300 THEN 'b' WHEN id < 6300 THEN 'c' END AS school", "sqrt(id * 37 % 7001) AS grade", "concat('n', id % 5) AS name")
+    config, root = Config({"shop": Schema((table,), claim="sub")}), f"file://{tmp_path}"
+    assert [r.status for r in sync(spark, config, root, {"p": rows}).collect()] == ["replaced"]
+    grants = spark.createDataFrame([("shop", "all", True, True, None, None, {}), *(("shop", "one", False, True, "school", u, {}) for u in "ab")], security.GRANTS)
+    for subject in ("all", "one"):
+        reader = SecureReader(Store(spark, root), grants, {"role": "user", "schemas": ["shop"], "sub": subject})
+        for where in ([("grade", "gt", 20.5), ("grade", "lte", 61.0)], [("grade", "lt", 33.3), ("name", "eq", "n2")], [("school", "eq", "b"), ("grade", "gte", 50.0)], [("school", "in", ["a", "b"])]):
+            got = reader.count("shop", "p", Query(where=where, cap=0), exact=False, sharp=True).first()
+            assert (got.total, got.exact) == (reader.count("shop", "p", Query(where=where)).first().total, False), (subject, where)
+
+
+def test_large_units_are_counted_like_the_sql(spark, tmp_path):
+    """Some 120,000 customers: more in a unit than its sketch holds."""
+    few = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").filter("c_nationkey IS NOT NULL")
+    n = 2 + 120_000 // max(1, few.count())
+    few.crossJoin(spark.range(n)).withColumn("c_custkey", F.col("c_custkey") + F.col("id") * 1_000_000).withColumn("c_acctbal", F.col("c_acctbal") + F.col("id") * 0.37).drop("id").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/nation.parquet").write.parquet(f"{tmp_path}/nation.parquet")
+    got = catalogue.secured_estimate(spark, str(tmp_path)).first()
+    reader = catalogue._reader(spark, str(tmp_path), catalogue.USER | {"sub": "s2"}, "customer")
+    want = reader.table("shop", "customer").filter("c_acctbal > 2000 AND c_acctbal <= 7000").count()
+    assert (got.total, got.exact) == (want, False) and want > 400
+
+
 def test_estimates_count_visible_rows_only(spark, tmp_path):
     df = pupils(spark).persist()
     table = Table("p", "p", TimeLayout("at", "DAY"), rls=(Unit("school", "school"),), estimate=("grade", "score", "name", "at"))

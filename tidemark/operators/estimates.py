@@ -91,6 +91,16 @@ def to_under(rank, kept: Column, v: Column, least: Column, real: bool) -> Column
     return F.coalesce(rank(kept, before), F.lit(0.0))
 
 
+def sure(where: Sequence, kinds: Mapping[str, T.DataType]) -> Column:
+    """Whether a sketch's share is its rows' true one: conditions on at most one sketched column, a number or time, of which it holds every value."""
+    names = list({spec[0] for spec in where if spec[0] in kinds})
+    if not names:
+        return F.lit(True)
+    if len(names) > 1 or not isinstance(kinds[names[0]], (*WHOLE, *REAL)):
+        return F.lit(False)
+    return F.col(f"held_{names[0]}") <= K
+
+
 def estimate(sketches: DataFrame, where: Sequence, kinds: Mapping[str, T.DataType], keyed: Column | None = None) -> DataFrame:
     """One row ``total``: rows of all sketches that meet the conditions, columns taken as independent within a sketch.
 
