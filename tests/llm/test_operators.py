@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -321,6 +322,32 @@ def test_unlinked_texts_of_one_region_cost_in_proportion(spark, monkeypatch):
     assert seen[3000] <= 6 * max(seen[750], 200)
 
 
+def test_frequent_shingles_stand_last_however_full_the_count_is(spark, monkeypatch):
+    """A phrase of 55 texts where a slot of the count holds 60 other shingles: frequent, though a slot's count is not doubled."""
+    monkeypatch.setattr(ngram_join, "SKETCH", 1 << 12)
+    monkeypatch.setattr(ngram_join, "SKETCH_BLOCK", 1 << 12)
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(["in", "every", "one", "here", *(f"v{x}" for x in rng.integers(0, 10**9, 4468))])) for i in range(55)]
+    classes = ngram_join.frequency_classes(spark.createDataFrame(rows, "doc_id long, text string"), 4)
+    slot = int(next(ngram_join.shingle_sets(pa.array(["in every one here"]), 4))[0]) & (1 << 12) - 1
+    assert classes[slot] > 0 and (classes == 0).mean() > 0.95
+
+
+def test_sets_are_fetched_for_compared_pairs_alone(spark, monkeypatch):
+    """60 texts meet in the region of one shingle; all but two pairs of near copies are ruled out before whole sets are fetched."""
+    monkeypatch.setattr(ngram_join, "DIRECT", 4)
+    monkeypatch.setattr(ngram_join, "frequency_classes", lambda docs, k: np.zeros(ngram_join.SKETCH, dtype=np.uint8))
+    fetched = []
+    whole = ngram_join.whole_sets
+    monkeypatch.setattr(ngram_join, "whole_sets", lambda docs, k, need: fetched.append(need.count()) or whole(docs, k, need))
+    met = min((f"c{i}" for i in range(5000)), key=lambda w: int(next(ngram_join.shingle_sets(pa.array([w]), 1))[0]))
+    rows = [(i, " ".join([met, *(f"t{i}w{x}" for x in range(39))])) for i in range(60)]
+    rows += [(100 + i, f"{rows[i][1]} more") for i in (0, 1)]
+    got = sorted(tuple(r)[:3] for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), percent=85, k=1).collect())
+    assert got == brute_classes(rows, 1, 85) and len({c for _, _, c in got}) == 60
+    assert 4 <= sum(fetched) <= 8
+
+
 def test_pipeline_keeps_one_of_each_class_and_drops_linked_ones_only(spark):
     import corpus_pipeline as pipeline
 

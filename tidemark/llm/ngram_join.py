@@ -43,8 +43,10 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def frequency_classes(docs: DataFrame, k: int) -> np.ndarray:
-    """Class of each slot of a fixed-size count of all shingles: 0 for those near the mean, then by powers of two.
+    """Class of each slot of a fixed-size count of all shingles: 0 for those near the middle, then by powers of two of what is above it.
 
+    Near is what the spread of the slots, not their mean, allows: with more input a slot holds
+    more shingles that meet by chance, and ever more frequent ones would pass for rare.
     Only the order in which a set lists its shingles depends on it, so collisions, and the
     255 at which a task stops counting a slot, cost time and never a link.
     """
@@ -80,8 +82,10 @@ def frequency_classes(docs: DataFrame, k: int) -> np.ndarray:
     counts = np.zeros(SKETCH)
     for block, n in blocks:
         counts[block * SKETCH_BLOCK : (block + 1) * SKETCH_BLOCK] = np.frombuffer(n, dtype=np.uint32)
-    limit = 2 * counts.mean() + 8
-    return np.where(counts > limit, np.floor(np.log2(np.maximum(counts, 1) / limit)) + 1, 0).astype(np.uint8)
+    middle, upper = np.quantile(counts, (0.5, 0.84))
+    limit = 8 + min(counts.mean(), 3 * (upper - middle))
+    above = counts - middle
+    return np.where(above > limit, np.floor(np.log2(np.maximum(above, 1) / limit)) + 1, 0).astype(np.uint8)
 
 
 def identity(s: np.ndarray) -> int | None:
@@ -109,13 +113,13 @@ def far_apart(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
 
 
 def sets(docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """doc_id, name (of the text), n, node (the set's identity), prefix (with a shingle more for each level) and parity bits of every row of ``docs`` (doc_id, text)."""
+    """doc_id, name (of the text), n, node (the set's identity), prefix (with a shingle more for each level), parity bits and, of large sets, wide ones of every row of ``docs`` (doc_id, text)."""
     classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, k))  # SKETCH bytes
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = classes.value
         for batch in batches:
-            n, node, prefix, bits = [], [], [], []
+            n, node, prefix, bits, more = [], [], [], [], []
             for s in shingle_sets(batch.column(2), k):
                 kind = order[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
                 first = s[np.argsort(kind, kind="stable")] if len(s) and kind.any() else s
@@ -123,14 +127,15 @@ def sets(docs: DataFrame, percent: int, k: int) -> DataFrame:
                 node.append(identity(s))
                 prefix.append(first[: len(s) - (percent * len(s) + 99) // 100 + LEVELS if len(s) else 0].view(np.int64))
                 bits.append(parity(s))
-            columns = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "name", "n", "node", "prefix", "bits"])
+                more.append(wide(s) if len(s) >= PARITY else None)  # else they are the others
+            columns = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(more, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "name", "n", "node", "prefix", "bits", "wide"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("name"), "text").mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, name long, n long, node long, prefix array<long>, bits array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("name"), "text").mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, name long, n long, node long, prefix array<long>, bits array<long>, wide binary")
 
 
 def whole_sets(docs: DataFrame, k: int, need: DataFrame) -> DataFrame:
-    """node, n, wide parity bits and all hashes (sorted, as bytes) of the sets of the texts in ``need`` (name), spread by node.
+    """node and all hashes (sorted, as bytes) of the sets of the texts in ``need`` (name), spread by node.
 
     The texts are read again; a bitmap of fixed size (``MARKS`` bits) of their names lets few
     others pass, and a task makes the set of equal texts once. Held on the executors' disks; a
@@ -154,22 +159,22 @@ def whole_sets(docs: DataFrame, k: int, need: DataFrame) -> DataFrame:
             seen = np.concatenate([seen, names[hit]])
             for s in shingle_sets(batch.column(1).take(pa.array(at[hit])), k):
                 if len(s):
-                    out.append((identity(s), len(s), wide(s), s.tobytes()))
-                    held += 9 * len(s)
+                    out.append((identity(s), s.tobytes()))
+                    held += 8 * len(s)
                 if held > 1 << 21:
                     yield _set_batch(out)
                     out, held = [], 0
             if out:
                 yield _set_batch(out)
 
-    found = docs.select(F.xxhash64("text").alias("name"), "text").mapInArrow(scan, "node long, n long, wide binary, hashes binary")
+    found = docs.select(F.xxhash64("text").alias("name"), "text").mapInArrow(scan, "node long, hashes binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return found.repartition(parts, "node").dropDuplicates(["node"]).persist(StorageLevel.DISK_ONLY)
 
 
 def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["node", "n", "wide", "hashes"])
+    node, hashes = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(hashes, pa.binary())], ["node", "hashes"])
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -179,20 +184,44 @@ def common(a: bytes, b: bytes) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def likely(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that wide parity bits leave; these move in place of whole sets, above all those of long texts."""
-    one, two = (held.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"x{c}")) for c in "ab")
+    one, two = (reps.filter("wide IS NOT NULL").select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"x{c}")) for c in "ab")
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(2, 6)]
-            kept = [not far_apart(x, y, na, nb, percent) for x, y, na, nb in zip(*columns, strict=True)]
+            kept = [x is None or y is None or not far_apart(x, y, na, nb, percent) for x, y, na, nb in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "xa", "xb", "na", "nb")
+    both = pairs.select("a", "b").join(one, "a", "left").join(two, "b", "left").select("a", "b", "xa", "xb", "na", "nb")
     return both.mapInArrow(narrow, "a long, b long")
 
 
+class WholeSets:
+    """Whole sets (:func:`whole_sets`) of the nodes that pairs to be compared have, each fetched once."""
+
+    def __init__(self, docs: DataFrame, k: int, reps: DataFrame) -> None:
+        self.docs, self.k, self.names = docs, k, reps.select("node", "name")
+        self.parts: list[DataFrame] = []
+        self.nodes: list[DataFrame] = []
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """node, hashes: those of all pairs (a, b) so far; texts are read again only if a set is missing."""
+        need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        for known in self.nodes:
+            need = need.join(known, "node", "left_anti")
+        need = keep(self.names.join(need, "node", "left_semi"), "need")
+        if not self.parts or need.take(1):
+            self.parts.append(whole_sets(self.docs, self.k, need.select("name")))
+            self.nodes.append(need.select("node"))
+        return reduce(DataFrame.unionByName, self.parts)
+
+    def release(self) -> None:
+        for part in self.parts:
+            part.unpersist()
+
+
 def links(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """The linked ones of the pairs (a, b), by whole 64-bit hashes."""
     one, two = (held.select(F.col("node").alias(c), F.col("hashes").alias(f"x{c}")) for c in "ab")
@@ -206,7 +235,7 @@ def links(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
                 kept.append(100 * shared >= percent * ((len(p) + len(q)) // 8 - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    both = likely(pairs, held, percent).join(one, "a").join(two, "b")
+    both = pairs.select("a", "b").join(one, "a").join(two, "b")
     return both.select("a", "b", "xa", "xb").mapInArrow(measure, "a long, b long")
 
 
@@ -307,22 +336,28 @@ def split(rest: DataFrame, reps: DataFrame, percent: int, depth: int) -> tuple[D
     """
     n, i = F.col("n"), F.col("i")
     reach = F.greatest(n - least_common(n, percent) + depth - i, F.lit(0))  # places i + 1 to n - least + depth
-    longer = rest.join(reps.select("node", "prefix"), "node")
-    more = F.slice("prefix", i + 2, reach)
-    longer = longer.select("key", "node", "n", "class", "bits", "head", i.alias("before"), F.slice(more, F.lit(1), F.lit(HEAD)).alias("next"), F.posexplode(more).alias("at", "token"))
-    longer = longer.withColumn("i", F.col("before") + 1 + F.col("at")).withColumn("head", F.concat("head", F.slice("next", F.lit(1), F.least(F.col("at"), F.lit(HEAD))))).drop("at", "before", "next")
+
+    def longer(members: DataFrame) -> DataFrame:
+        more = members.select("key", "node", "n", "class", "i").join(reps.select("node", "prefix"), "node")
+        more = more.select("key", "node", "n", "class", i.alias("before"), F.posexplode(F.slice("prefix", i + 2, reach)).alias("at", "token"))
+        return more.withColumn("i", F.col("before") + 1 + F.col("at")).drop("at", "before")
+
     may = F.count_if(lean(F.col("n"), F.col("i"), percent, depth + 1))
-    counts = longer.groupBy("key", "token").agg(F.count("*").alias("n_new"), may.alias("l_new"), F.min("class").alias("low"), F.max("class").alias("high"))
+    counts = longer(rest).groupBy("key", "token").agg(F.count("*").alias("n_new"), may.alias("l_new"), F.min("class").alias("low"), F.max("class").alias("high"))
     counts = keep(counts.filter("n_new > 1 AND l_new > 0 AND low <> high").select("key", "token", "n_new", "l_new"), "tokens")
     then = counts.groupBy("key").agg(F.sum(F.col("n_new") * F.col("l_new") + F.col("n_new")).alias("then"))
     now = rest.select("key", "members", "leans").distinct()
     pays = F.coalesce("then", F.lit(0)) * 2 < F.col("members") * F.col("leans")
     chosen = keep(now.join(then, "key", "left").select("key", pays.alias("pays")), "chosen")
-    deeper = longer.join(counts.join(chosen.filter("pays"), "key").select("key", "token"), ["key", "token"])
-    deeper = deeper.select(F.xxhash64("key", "token").alias("key"), "node", "n", "i", "bits", "head")
     both = rest.join(chosen, "key")
-    whole = both.filter("pays").filter(n == depth)  # the one set that is the path itself
-    return keep(deeper, "deeper"), both.filter("NOT pays"), meet(whole, both.filter("pays"), percent, depth)
+    cut = both.filter("pays")
+    # what moves with every further shingle is narrow; the rest joins those that are left
+    found = longer(cut).join(counts.select("key", "token"), ["key", "token"]).select("key", "token", "node", F.col("i").alias("place"))
+    found = found.join(cut.select("key", "node", "n", "i", "bits", "head"), ["key", "node"]).join(reps.select("node", "prefix"), "node")
+    passed = F.slice("prefix", i + 2, F.least(F.col("place") - i - 1, F.lit(HEAD)))
+    deeper = found.select(F.xxhash64("key", "token").alias("key"), "node", "n", F.col("place").alias("i"), "bits", F.concat("head", passed).alias("head"))
+    whole = cut.filter(n == depth)  # the one set that is the path itself
+    return keep(deeper, "deeper"), both.filter("NOT pays"), meet(whole, cut, percent, depth)
 
 
 def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -361,10 +396,12 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id",
     """
     ready(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    table = keep(sets(docs, percent, k).withColumn("row", F.monotonically_increasing_id()), "sets")
-    full = table.filter("node IS NOT NULL")
+    made = keep(sets(docs, percent, k).withColumn("row", F.monotonically_increasing_id()), "sets")
+    full = made.filter("node IS NOT NULL")
     first = full.groupBy("node").agg(F.min("row").alias("row"))
-    reps = keep(full.join(first.select("row"), "row").select("node", "name", F.col("n").cast("int").alias("n"), "prefix", "bits"), "reps")
+    reps = keep(full.join(first.select("row"), "row").select("node", "name", F.col("n").cast("int").alias("n"), "prefix", "bits", "wide"), "reps")
+    table = keep(made.select("doc_id", "n", "node", "row"), "rows")
+    discard(made)
     found = regions(reps, percent)
     small = found.filter(F.col("members") <= DIRECT)
     one, two = (small.select("key", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("i").alias(f"i{c}")) for c in "ab")
@@ -374,21 +411,31 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id",
     left, right = (reps.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, (pairs["b"] == right["b"]) & may_link(F.col("na"), F.col("nb"), F.col("xa"), F.col("xb"), percent))
     near = keep(both.select("a", pairs["b"], apart(F.col("xa"), F.col("xb")).alias("apart")), "near")
+    near = keep(near.join(likely(near, reps, percent), ["a", "b"]), "close")
     large = found.filter(F.col("members") > DIRECT)
     # of the shared shingles before a region's the first ones, rare and common ones alike
     shared = found.join(large.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("i", "key"))).alias("shared"))
     head = F.slice(F.transform(F.filter("shared", lambda x: x["i"] < F.col("i")), lambda x: x["key"]), 1, HEAD).alias("head")
     members = keep(large.join(reps.select("node", "bits"), "node").join(shared, "node").select("key", "node", "n", "i", "bits", head), "large")
     discard(found)
-    need = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
-    held = whole_sets(docs, k, reps.join(need, "node", "left_semi").select("name"))
+    sets_of = WholeSets(docs, k, reps)
+    held = sets_of.of(near)
     # the nearest candidate of each set first: what comes into one class so needs no second look
     nearest = near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("p")).select("p.a", "b")
     parts = keep(components(links(nearest, held, percent)), "classes")
     parts = grow(parts, links(between(near.select("a", "b"), parts), held, percent))
+
+    def compared(met: DataFrame) -> DataFrame:
+        close = keep(likely(met, reps, percent), "close")
+        return grow(parts, links(close, sets_of.of(close), percent)) if close.take(1) else parts
+
     for depth in range(1, deepest(percent) + 1) if members.take(1) else ():
+        past = [members]
         for turn in range(ROUNDS + 1):
             now = classed(members, parts, percent, depth)
+            for done in past:  # all that the rows so far were made of
+                discard(done)
+            past = [now]
             if turn == ROUNDS or not now.take(1):
                 break
             few, outside = F.col("others") <= DIRECT, F.col("class") != F.col("top")
@@ -397,17 +444,19 @@ def join(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id",
             picks = now.filter(outside & ~few).groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("node").alias("h"), own)).alias("p"))
             picks = keep(picks.select("key", "p.own.*"), "picks")
             met = meet(now, now.filter(outside & few).select(*picks.columns).unionByName(picks), percent, depth)
-            parts = grow(parts, links(met, held, percent))
+            parts = compared(met)
             members = now.filter(~few).join(picks.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n", "i", "bits", "head")
+            past = [now, picks]
         if not now.take(1):
             break
         rest = now
         if depth == deepest(percent):
-            parts = grow(parts, links(meet(rest, rest, percent, depth, ordered=True), held, percent))
+            parts = compared(meet(rest, rest, percent, depth, ordered=True))
             break
         members, level, through = split(rest, reps, percent, depth)
-        parts = grow(parts, links(meet(level, level, percent, depth, ordered=True).unionByName(through), held, percent))
-    held.unpersist()
+        parts = compared(meet(level, level, percent, depth, ordered=True).unionByName(through))
+        discard(rest)
+    sets_of.release()
     discard(reps)
     out = table.select("doc_id", "n", "node", "row").join(parts, "node", "left")
     # an empty set is a class of its own, named by its row
