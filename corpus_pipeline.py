@@ -11,6 +11,7 @@ from tidemark.llm.queries import held_out
 
 SHARDS = 8
 LEAST_SHARE = 0.5
+MARKS = 1 << 24
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +25,25 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each class of texts linked at 80 % of their five-word shingles."""
     rows = docs.withColumn("__class_id", F.struct("doc_id", F.md5("text").alias("digest")))
-    kept = ngram_join.join(rows, percent=80, k=5, id_col="__class_id").filter("kept").select(F.col("doc_id").alias("__class_kept"))
-    first = rows.join(kept, F.col("__class_id").eqNullSafe(F.col("__class_kept")), "left_semi")
-    return first.dropDuplicates(["__class_id"]).select(*docs.columns)
+    found = ngram_join.join(rows, percent=80, k=5, id_col="__class_id").groupBy(F.col("doc_id").alias("__class_kept"))
+    found = keep(found.agg(F.bool_or("kept").alias("any"), (F.count("*") > 1).alias("many")), "kept")
+    sure, unsure = marked(rows, found.filter("many OR NOT any"))
+    first = unsure.join(found.filter("any"), F.col("__class_id").eqNullSafe(F.col("__class_kept")), "left_semi")
+    return sure.select(*docs.columns).unionByName(first.dropDuplicates(["__class_id"]).select(*docs.columns))
+
+
+def marked(rows: DataFrame, some: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``__class_id`` is surely none of those in ``some`` (``__class_kept``), and the others.
+
+    A bitmap of fixed size (``MARKS`` bits) of their hashes tells it where a row stands, so the
+    texts of the first ones, by far the most, are not shuffled.
+    """
+    place = F.pmod(F.xxhash64("__class_kept"), F.lit(MARKS))
+    marks = some.select(F.shiftright(place, 6).alias("__word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(__class_kept), 64) as int))").alias("bit"))
+    marks = keep(marks.groupBy("__word").agg(F.bit_or("bit").alias("__bits")), "marks")  # MARKS / 64 rows at most
+    named = rows.withColumn("__word", F.shiftright(F.pmod(F.xxhash64("__class_id"), F.lit(MARKS)), 6)).join(F.broadcast(marks), "__word", "left")
+    hit = F.expr("coalesce(__bits & shiftleft(1L, cast(pmod(xxhash64(__class_id), 64) as int)), 0L) <> 0")
+    return named.filter(~hit), named.filter(hit)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -359,6 +359,26 @@ def test_pipeline_keeps_one_of_each_class_and_drops_linked_ones_only(spark):
     assert kept == {c for _, _, c in classes} and len(kept) < len(rows)
 
 
+def test_pipeline_shuffles_no_text_that_is_surely_kept(spark, monkeypatch):
+    import corpus_pipeline as pipeline
+
+    parted = []
+    whole = pipeline.marked
+    monkeypatch.setattr(pipeline, "marked", lambda rows, some: parted.append(whole(rows, some)) or parted[-1])
+    rows = [(i, " ".join(f"t{i}w{x}" for x in range(60))) for i in range(300)]
+    rows += [(1000 + i, f"{rows[i][1]} more") for i in range(5)]  # linked, not kept
+    rows += [rows[7], rows[7], (400, ""), (400, ""), (401, None), (None, "a b"), (None, "a b"), (None, None), (None, None), (402, "a B")]
+    got = pipeline.one_of_each_class(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    named = [((d, t and hashlib.md5(t.encode()).hexdigest() if t else t), t) for d, t in rows]
+    kept = ngram_join.join(spark.createDataFrame(named, "doc_id struct<doc_id: long, digest: string>, text string"), percent=80, k=5).filter("kept")
+    kept = {tuple(r.doc_id) for r in kept.collect()}
+    want = {(d, t) for (name, t), (d, _) in zip(named, rows, strict=True) if name in kept}
+    assert Counter(map(tuple, got.collect())) == Counter(want) and len(want) == 304
+    (sure, unsure), = parted
+    assert unsure.count() <= 16 and sure.count() >= len(rows) - 16
+    assert "hashpartitioning" not in sure._jdf.queryExecution().toString()
+
+
 def test_jaccard_edge_cases(spark):
     rows = ngram_join.join(odd(spark)).collect()
     assert len(rows) == 12
